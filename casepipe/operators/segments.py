@@ -212,3 +212,18 @@ def build_segments(events: DataFrame, order: str = "reference", key: str = "file
         .where(F.col("_joined").isNotNull() | (F.col("seg") < F.col("_last")))
     )
     return seg.select(key, "seg", strip_ws(F.coalesce(F.col("_joined"), F.lit(""))).alias("segment"))
+
+
+def new_main_text(numbered: DataFrame, main: DataFrame, scanned: DataFrame, key: str = "file_name") -> DataFrame:
+    """Fallback substitution: keep numbered paragraphs of files that have more
+    than one; for files with exactly one, or none at all, take their rows of
+    the main text instead.  Result ``(file_name, ord, paragraph, source)``.
+    """
+    per = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    multi = per.where(F.col("_n") > 1).select(key)
+    keep = numbered.join(multi, key, "left_semi").select(
+        key, F.col("gid").alias("ord"), "paragraph", F.lit("numbered").alias("source")
+    )
+    fallback = scanned.select(key).distinct().join(multi, key, "left_anti")
+    sub = main.join(fallback, key, "left_semi").select(key, F.col("pos").alias("ord"), "paragraph", F.lit("main").alias("source"))
+    return keep.unionByName(sub)

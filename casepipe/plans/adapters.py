@@ -70,3 +70,91 @@ def paras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     file_name = F.concat(F.lit("xml_page_"), _s(doc % 10 + 1), F.lit("/doc_"), _s(doc), F.lit(".xml"))
     return x.select(file_name.alias("file_name"), doc.alias("doc_id"), pos.cast("int").alias("pos"), paragraph.alias("paragraph"))
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``paras`` after the main-text quality filter."""
+    from casepipe.functions.text import paragraph_ok
+
+    return paras(spark, sf_dir).where(paragraph_ok("paragraph"))
+
+
+def _h(c: str = "pos") -> F.Column:
+    return F.col("doc_id") + F.col(c)
+
+
+def ij_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introduction / judgment annotation rows (a workbook stand-in).
+
+    Rows of ``kept`` with ``(doc_id + pos) % 3 <> 0``; ``introduction`` is
+    NULL when ``% 17 = 0``; rows with ``% 13 = 0`` appear twice, the copy
+    (``dup = 1``) with the judgment label flipped.
+    """
+    k = kept(spark, sf_dir).where(_h() % 3 != 0)
+    base = k.select(
+        "file_name",
+        "paragraph",
+        "pos",
+        F.lit(0).alias("dup"),
+        F.when(_h() % 17 == 0, F.lit(None).cast("int")).when(F.col("pos") < 3, 1).otherwise(0).alias("introduction"),
+        F.when(_h() % 11 == 0, 1).otherwise(0).alias("judgment"),
+    )
+    copy = k.where(_h() % 13 == 0).select(
+        "file_name",
+        "paragraph",
+        "pos",
+        F.lit(1).alias("dup"),
+        F.when(_h() % 17 == 0, F.lit(None).cast("int")).when(F.col("pos") < 3, 1).otherwise(0).alias("introduction"),
+        F.when(_h() % 11 == 0, 0).otherwise(1).alias("judgment"),
+    )
+    return base.unionByName(copy)
+
+
+def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation labels: even ``(doc_id + pos)`` rows of ``kept``; 1 on the
+    citation-decorated lines, NULL when ``% 19 = 0``."""
+    k = kept(spark, sf_dir).where(_h() % 2 == 0)
+    return k.select(
+        "file_name",
+        "paragraph",
+        "pos",
+        F.when(_h() % 19 == 0, F.lit(None).cast("int")).when(F.col("pos") % 7 == 1, 1).otherwise(0).alias("citation"),
+    )
+
+
+def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw fact outputs of a batch labeller: ``'1' '0' 'Output: 1' 'yes'
+    '10'`` or NULL by ``(doc_id + pos) % 6``; rows with ``% 5 = 1`` absent,
+    rows with ``% 9 = 0`` answered twice (copy ``dup = 1`` says ``'0'``)."""
+    k = kept(spark, sf_dir).where(_h() % 5 != 1)
+    m = _h() % 6
+    raw = (
+        F.when(m == 0, "1").when(m == 1, "0").when(m == 2, "Output: 1").when(m == 3, "yes").when(m == 4, "10")
+        .otherwise(F.lit(None).cast("string"))
+    )
+    base = k.select("file_name", "paragraph", "pos", F.lit(0).alias("dup"), raw.alias("fact"))
+    copy = k.where(_h() % 9 == 0).select("file_name", "paragraph", "pos", F.lit(1).alias("dup"), F.lit("0").alias("fact"))
+    return base.unionByName(copy)
+
+
+def header_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header ``p`` texts (with their newline tail) of every file except
+    ``doc_id % 7 = 3`` (no header at all): the first three lines; for
+    ``doc_id % 5 = 0`` the header is present but blank."""
+    p = paras(spark, sf_dir).where((F.col("pos") < 3) & (F.col("doc_id") % 7 != 3))
+    text = F.when(F.col("doc_id") % 5 == 0, F.lit("\n")).otherwise(F.concat(F.col("paragraph"), F.lit("\n")))
+    return p.select("file_name", "doc_id", "pos", text.alias("paragraph"))
+
+
+def body_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body ``p`` texts (unfiltered): lines from ``pos`` 3 on, with marker
+    lines: ``JUDGMENT`` at ``pos`` 4 unless ``doc_id % 3 = 2``, and a
+    ``Hearing date:`` line at ``pos`` 6 when ``doc_id % 3 = 0``."""
+    p = paras(spark, sf_dir).where(F.col("pos") >= 3)
+    d3 = F.col("doc_id") % 3
+    text = (
+        F.when((d3 == 0) & (F.col("pos") == 6), F.concat(F.lit("Hearing date: "), F.col("paragraph")))
+        .when((d3 != 2) & (F.col("pos") == 4), F.lit("JUDGMENT"))
+        .otherwise(F.col("paragraph"))
+    )
+    return p.select("file_name", "doc_id", "pos", text.alias("paragraph"))

@@ -28,3 +28,277 @@ def register(name: str):
 @register("case_summary")
 def q_case_summary(spark, sf):
     return profile.case_summary(A.paras(spark, sf))
+
+
+# ---------------------------------------------------------------- scalars (P*)
+from pyspark.sql import functions as F  # noqa: E402
+
+from casepipe import functions as fn  # noqa: E402
+from casepipe.operators import joins, ordering, segments, splits  # noqa: E402
+
+PROMPT_HEAD = "Label the paragraph below with 1 if it states a fact of the case, else 0.\nParagraph: "
+PROMPT_TAIL = "\nAnswer:"
+TRUNCATE_CHARS = 2000
+
+
+@register("para_filter_main")
+def q_para_filter_main(spark, sf):
+    return A.paras(spark, sf).where(fn.paragraph_ok("paragraph")).select("file_name", "pos", "paragraph")
+
+
+@register("para_filter_cover")
+def q_para_filter_cover(spark, sf):
+    return A.paras(spark, sf).where(fn.paragraph_ok("paragraph", need_alnum=False)).select("file_name", "pos", "paragraph")
+
+
+@register("citation_flag")
+def q_citation_flag(spark, sf):
+    return A.paras(spark, sf).select("file_name", "pos", fn.citation_flag("paragraph").alias("citation"))
+
+
+@register("fact_flag")
+def q_fact_flag(spark, sf):
+    return A.paras(spark, sf).select("file_name", "pos", fn.fact_flag("paragraph").alias("fact"))
+
+
+@register("starts_with_number")
+def q_starts_with_number(spark, sf):
+    return A.paras(spark, sf).select("file_name", "pos", fn.starts_with_number("paragraph").cast("int").alias("numbered"))
+
+
+@register("annotated_paragraphs")
+def q_annotated_paragraphs(spark, sf):
+    return A.kept(spark, sf).select(
+        "file_name",
+        "pos",
+        "paragraph",
+        F.lit(0).alias("introduction"),
+        fn.fact_flag("paragraph").alias("fact"),
+        fn.citation_flag("paragraph").alias("citation"),
+        F.lit(0).alias("judgment"),
+    )
+
+
+@register("path_parts")
+def q_path_parts(spark, sf):
+    files = A.paras(spark, sf).select("file_name").distinct()
+    return files.select("file_name", fn.page_number("file_name").alias("page"), fn.case_name("file_name").alias("case_name"))
+
+
+@register("paragraph_number")
+def q_paragraph_number(spark, sf):
+    return ordering.add_paragraph_number(A.kept(spark, sf).select("file_name", "pos", "paragraph")).select(
+        "file_name", "pos", "paragraph_number"
+    )
+
+
+@register("model_text")
+def q_model_text(spark, sf):
+    numbered = ordering.add_paragraph_number(A.kept(spark, sf).select("file_name", "pos", "paragraph"))
+    return numbered.select("file_name", "pos", fn.model_text("paragraph_number", "paragraph").alias("model_text"))
+
+
+@register("truncate_text")
+def q_truncate_text(spark, sf):
+    return A.paras(spark, sf).select("file_name", "pos", fn.truncate("paragraph", TRUNCATE_CHARS).alias("text"))
+
+
+@register("render_prompts")
+def q_render_prompts(spark, sf):
+    return A.kept(spark, sf).select(
+        "file_name", "pos", fn.render_prompt(fn.truncate("paragraph", TRUNCATE_CHARS), PROMPT_HEAD, PROMPT_TAIL).alias("prompt")
+    )
+
+
+@register("normalise_label")
+def q_normalise_label(spark, sf):
+    return A.fact_labels(spark, sf).select("file_name", "pos", "dup", "fact", fn.normalise_label("fact").alias("label"))
+
+
+@register("fill_zero")
+def q_fill_zero(spark, sf):
+    return joins.fill_zero(A.citation_labels(spark, sf).select("file_name", "pos", "citation"), ["citation"])
+
+
+@register("label_vectors")
+def q_label_vectors(spark, sf):
+    c = _consolidated(spark, sf)
+    return c.select("file_name", "pos", F.array("introduction", "fact", "citation", "judgment").alias("labels"))
+
+
+# ------------------------------------------------------- windows / concat (W*, G7)
+@register("numbered_paragraphs")
+def q_numbered_paragraphs(spark, sf):
+    return segments.merge_numbered(A.kept(spark, sf).select("file_name", "pos", "paragraph"))
+
+
+@register("doc_concat")
+def q_doc_concat(spark, sf):
+    return segments.concat_by(A.kept(spark, sf), "file_name", "pos", "paragraph", " ", out="text").select("file_name", "text")
+
+
+@register("cover_text")
+def q_cover_text(spark, sf):
+    h = A.header_paras(spark, sf)
+    files = h.select("file_name").distinct()
+    ok = h.where(fn.paragraph_ok("paragraph", need_alnum=False))
+    cov = segments.concat_by(ok, "file_name", "pos", "paragraph", "", out="cover_text").select("file_name", "cover_text")
+    return files.join(cov, "file_name", "left").select("file_name", F.coalesce("cover_text", F.lit("")).alias("cover_text"))
+
+
+@register("prefix_until_marker")
+def q_prefix_until_marker(spark, sf):
+    return segments.prefix_until_marker(A.body_paras(spark, sf))
+
+
+@register("cover_fill")
+def q_cover_fill(spark, sf):
+    cover = q_cover_text(spark, sf)
+    prefix = segments.prefix_until_marker(A.body_paras(spark, sf))
+    return joins.fill_cover(cover, prefix)
+
+
+# ------------------------------------------------------------- profiles (G*)
+@register("value_counts")
+def q_value_counts(spark, sf):
+    return profile.value_counts(A.fact_labels(spark, sf), "fact", dropna=False)
+
+
+@register("value_counts_nonnull")
+def q_value_counts_nonnull(spark, sf):
+    return profile.value_counts(A.fact_labels(spark, sf), "fact", dropna=True)
+
+
+@register("null_profile")
+def q_null_profile(spark, sf):
+    return profile.null_profile(A.ij_labels(spark, sf))
+
+
+@register("label_totals")
+def q_label_totals(spark, sf):
+    return profile.label_totals(_consolidated(spark, sf), joins.LABELS)
+
+
+@register("paragraphs_per_file")
+def q_paragraphs_per_file(spark, sf):
+    return profile.paragraphs_per_file(A.kept(spark, sf))
+
+
+@register("single_paragraph_files")
+def q_single_paragraph_files(spark, sf):
+    return profile.single_paragraph_files(q_numbered_paragraphs(spark, sf))
+
+
+@register("corpus_shape")
+def q_corpus_shape(spark, sf):
+    return profile.corpus_shape(A.kept(spark, sf).select("file_name", "pos", "paragraph"))
+
+
+@register("missing_files")
+def q_missing_files(spark, sf):
+    return profile.missing_files(A.paras(spark, sf), q_numbered_paragraphs(spark, sf))
+
+
+# -------------------------------------------------- ordering / dedup / union (W*, U*)
+@register("sorted_paragraphs")
+def q_sorted_paragraphs(spark, sf):
+    return ordering.sorted_paragraphs(A.kept(spark, sf).select("file_name", "pos", "paragraph"))
+
+
+@register("head_rows")
+def q_head_rows(spark, sf):
+    return ordering.head_rows(A.kept(spark, sf).select("file_name", "pos", "paragraph"), 5)
+
+
+@register("distinct_files")
+def q_distinct_files(spark, sf):
+    return ordering.distinct_files(A.kept(spark, sf))
+
+
+@register("dedup_first")
+def q_dedup_first(spark, sf):
+    return ordering.dedup_first(A.fact_labels(spark, sf), ["file_name", "paragraph"], ["pos", "dup"])
+
+
+@register("dedup_all")
+def q_dedup_all(spark, sf):
+    return ordering.dedup_all(A.fact_labels(spark, sf).select("file_name", "paragraph", "fact"))
+
+
+@register("union_by_name")
+def q_union_by_name(spark, sf):
+    c = A.citation_labels(spark, sf).select("file_name", "pos", "citation")
+    f = A.fact_labels(spark, sf).select("file_name", "pos", "fact")
+    return ordering.union_all([c, f])
+
+
+# ------------------------------------------------------------------ joins (J*)
+def _labelled_files(spark, sf):
+    return A.citation_labels(spark, sf).where(F.col("citation") == 1).select("file_name").distinct()
+
+
+@register("files_semi")
+def q_files_semi(spark, sf):
+    return joins.keep_files(A.kept(spark, sf).select("file_name", "pos", "paragraph"), _labelled_files(spark, sf))
+
+
+@register("files_anti")
+def q_files_anti(spark, sf):
+    return joins.drop_files(A.kept(spark, sf).select("file_name", "pos", "paragraph"), _labelled_files(spark, sf))
+
+
+@register("left_merge")
+def q_left_merge(spark, sf):
+    right = ordering.dedup_first(A.citation_labels(spark, sf), ["file_name", "paragraph"], ["pos"])
+    left = A.kept(spark, sf).select("file_name", "pos", "paragraph")
+    return joins.left_merge(left, right, ["paragraph", "file_name"])
+
+
+@register("natural_left_merge")
+def q_natural_left_merge(spark, sf):
+    return joins.natural_left_merge(A.kept(spark, sf).select("file_name", "pos", "paragraph"), A.citation_labels(spark, sf))
+
+
+@register("positional_join")
+def q_positional_join(spark, sf):
+    a = A.kept(spark, sf).select("file_name", "pos", "paragraph")
+    b = ordering.dedup_first(A.fact_labels(spark, sf), ["file_name", "pos"], ["dup"])
+    return joins.positional_join(a, b, "file_name", "pos", "pos", ["fact"])
+
+
+@register("frames_equal")
+def q_frames_equal(spark, sf):
+    return joins.frames_equal(A.kept(spark, sf), _consolidated(spark, sf), ["file_name", "paragraph"])
+
+
+def _consolidated(spark, sf):
+    return joins.consolidate_labels(
+        A.kept(spark, sf).select("file_name", "pos", "paragraph"),
+        A.ij_labels(spark, sf).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "introduction", "judgment"),
+        A.citation_labels(spark, sf),
+        A.fact_labels(spark, sf).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "fact"),
+    )
+
+
+@register("consolidate_labels")
+def q_consolidate_labels(spark, sf):
+    return _consolidated(spark, sf)
+
+
+@register("new_main_text")
+def q_new_main_text(spark, sf):
+    numbered = q_numbered_paragraphs(spark, sf)
+    main = A.kept(spark, sf).select("file_name", "pos", "paragraph")
+    scanned = A.paras(spark, sf).select("file_name")
+    return segments.new_main_text(numbered, main, scanned)
+
+
+# ------------------------------------------------------------------ splits
+@register("group_split")
+def q_group_split(spark, sf):
+    return splits.group_split(A.kept(spark, sf).select("file_name", "pos"), "file_name")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf):
+    return splits.split_sizes(q_group_split(spark, sf), "file_name")

@@ -10,6 +10,9 @@ from __future__ import annotations
 from casepipe.functions.text import CITATION_PATTERN_REFERENCE, FACT_PATTERN_REFERENCE
 
 NUM_RE = r"^\d+\."
+PROMPT_HEAD = "Label the paragraph below with 1 if it states a fact of the case, else 0.\nParagraph: "
+PROMPT_TAIL = "\nAnswer:"
+TRUNCATE_CHARS = 2000
 
 # name -> (dependencies, SELECT body)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -39,6 +42,120 @@ WHERE paragraph IS NOT NULL
   AND length(paragraph) - length(replace(paragraph, '-', '')) <= 2
   AND regexp_matches(paragraph, '\S')
   AND regexp_matches(paragraph, '[\p{L}\p{N}]')
+""",
+    ),
+    "ij_labels": (
+        ("kept",),
+        r"""
+SELECT file_name, paragraph, pos, 0 AS dup,
+       CAST(CASE WHEN (doc_id + pos) % 17 = 0 THEN NULL WHEN pos < 3 THEN 1 ELSE 0 END AS INTEGER) AS introduction,
+       CAST(CASE WHEN (doc_id + pos) % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS judgment
+FROM kept WHERE (doc_id + pos) % 3 <> 0
+UNION ALL
+SELECT file_name, paragraph, pos, 1 AS dup,
+       CAST(CASE WHEN (doc_id + pos) % 17 = 0 THEN NULL WHEN pos < 3 THEN 1 ELSE 0 END AS INTEGER),
+       CAST(CASE WHEN (doc_id + pos) % 11 = 0 THEN 0 ELSE 1 END AS INTEGER)
+FROM kept WHERE (doc_id + pos) % 3 <> 0 AND (doc_id + pos) % 13 = 0
+""",
+    ),
+    "citation_labels": (
+        ("kept",),
+        r"""
+SELECT file_name, paragraph, pos,
+       CAST(CASE WHEN (doc_id + pos) % 19 = 0 THEN NULL WHEN pos % 7 = 1 THEN 1 ELSE 0 END AS INTEGER) AS citation
+FROM kept WHERE (doc_id + pos) % 2 = 0
+""",
+    ),
+    "fact_labels": (
+        ("kept",),
+        r"""
+SELECT file_name, paragraph, pos, 0 AS dup,
+       CASE (doc_id + pos) % 6 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'Output: 1'
+            WHEN 3 THEN 'yes' WHEN 4 THEN '10' ELSE NULL END AS fact
+FROM kept WHERE (doc_id + pos) % 5 <> 1
+UNION ALL
+SELECT file_name, paragraph, pos, 1 AS dup, '0' AS fact
+FROM kept WHERE (doc_id + pos) % 5 <> 1 AND (doc_id + pos) % 9 = 0
+""",
+    ),
+    "header_paras": (
+        ("paras",),
+        r"""
+SELECT file_name, doc_id, pos,
+       CASE WHEN doc_id % 5 = 0 THEN chr(10) ELSE paragraph || chr(10) END AS paragraph
+FROM paras WHERE pos < 3 AND doc_id % 7 <> 3
+""",
+    ),
+    "body_paras": (
+        ("paras",),
+        r"""
+SELECT file_name, doc_id, pos,
+       CASE WHEN doc_id % 3 = 0 AND pos = 6 THEN 'Hearing date: ' || paragraph
+            WHEN doc_id % 3 <> 2 AND pos = 4 THEN 'JUDGMENT'
+            ELSE paragraph END AS paragraph
+FROM paras WHERE pos >= 3
+""",
+    ),
+
+    "numbered": (
+        ("kept",),
+        r"""
+SELECT file_name, CAST(gid AS INTEGER) AS gid,
+       regexp_replace(string_agg(paragraph, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g') AS paragraph
+FROM (SELECT *, sum(CASE WHEN regexp_matches(paragraph, '^\d+\.') THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY file_name ORDER BY pos) AS gid FROM kept)
+GROUP BY file_name, gid
+""",
+    ),
+    "cons": (
+        ("kept", "ij_labels", "citation_labels", "fact_labels"),
+        r"""
+SELECT k.file_name, k.pos,
+       'The paragraph number is ' || row_number() OVER (PARTITION BY k.file_name ORDER BY k.pos) AS paragraph_number,
+       k.paragraph,
+       CAST(coalesce(ij.introduction, 0) AS INTEGER) AS introduction,
+       CAST(coalesce(fa.fact, 0) AS INTEGER) AS fact,
+       CAST(coalesce(ci.citation, 0) AS INTEGER) AS citation,
+       CAST(coalesce(ij.judgment, 0) AS INTEGER) AS judgment
+FROM kept k
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos, dup) AS rn
+                          FROM ij_labels) WHERE rn = 1) ij
+  ON k.file_name IS NOT DISTINCT FROM ij.file_name AND k.paragraph IS NOT DISTINCT FROM ij.paragraph
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos) AS rn
+                          FROM citation_labels) WHERE rn = 1) ci
+  ON k.file_name IS NOT DISTINCT FROM ci.file_name AND k.paragraph IS NOT DISTINCT FROM ci.paragraph
+LEFT JOIN (SELECT file_name, paragraph,
+                  CASE WHEN fact LIKE '%0%' THEN 0 WHEN fact LIKE '%1%' THEN 1 END AS fact
+           FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos, dup) AS rn
+                 FROM fact_labels) WHERE rn = 1) fa
+  ON k.file_name IS NOT DISTINCT FROM fa.file_name AND k.paragraph IS NOT DISTINCT FROM fa.paragraph
+""",
+    ),
+    "cover": (
+        ("header_paras",),
+        r"""
+SELECT f.file_name, coalesce(c.cover_text, '') AS cover_text
+FROM (SELECT DISTINCT file_name FROM header_paras) f
+LEFT JOIN (SELECT file_name, string_agg(paragraph, '' ORDER BY pos) AS cover_text
+           FROM header_paras
+           WHERE paragraph IS NOT NULL
+             AND length(paragraph) - length(replace(paragraph, '-', '')) <= 2
+             AND regexp_matches(paragraph, '\S')
+           GROUP BY file_name) c USING (file_name)
+""",
+    ),
+    "prefix": (
+        ("body_paras",),
+        r"""
+SELECT b.file_name, string_agg(b.paragraph, chr(10) ORDER BY b.pos) AS prefix_text
+FROM body_paras b
+JOIN (SELECT file_name,
+             coalesce(min(CASE WHEN lower(paragraph) LIKE '%hearing date%' THEN pos END),
+                      min(CASE WHEN lower(paragraph) LIKE '%judgment%' THEN pos END),
+                      max(pos)) AS cut
+      FROM body_paras GROUP BY file_name) c USING (file_name)
+WHERE b.pos <= c.cut
+GROUP BY b.file_name
 """,
     ),
 }
@@ -90,4 +207,203 @@ GROUP BY file_name
 """,
         "kept",
     )
+
+    out["para_filter_main"] = with_views("SELECT file_name, pos, paragraph FROM kept", "kept")
+    out["para_filter_cover"] = with_views(
+        r"""SELECT file_name, pos, paragraph FROM paras
+WHERE paragraph IS NOT NULL AND length(paragraph) - length(replace(paragraph, '-', '')) <= 2
+  AND regexp_matches(paragraph, '\S')""",
+        "paras",
+    )
+    out["citation_flag"] = with_views(
+        f"SELECT file_name, pos, CAST(coalesce(regexp_matches(paragraph, {CIT}), false) AS INTEGER) AS citation FROM paras", "paras"
+    )
+    out["fact_flag"] = with_views(
+        f"SELECT file_name, pos, CAST(coalesce(regexp_matches(paragraph, {FACT}), false) AS INTEGER) AS fact FROM paras", "paras"
+    )
+    out["starts_with_number"] = with_views(
+        f"SELECT file_name, pos, CAST(coalesce(regexp_matches(paragraph, {NUM}), false) AS INTEGER) AS numbered FROM paras", "paras"
+    )
+    out["annotated_paragraphs"] = with_views(
+        f"""SELECT file_name, pos, paragraph, CAST(0 AS INTEGER) AS introduction,
+       CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,
+       CAST(regexp_matches(paragraph, {CIT}) AS INTEGER) AS citation,
+       CAST(0 AS INTEGER) AS judgment
+FROM kept""",
+        "kept",
+    )
+    out["path_parts"] = with_views(
+        r"""SELECT file_name,
+       regexp_extract(regexp_extract(file_name, '([^/\\]*)[/\\][^/\\]*$', 1), '([^_]*)$', 1) AS page,
+       substr(regexp_extract(file_name, '([^/\\]*)$', 1), 1, greatest(length(regexp_extract(file_name, '([^/\\]*)$', 1)) - 4, 0)) AS case_name
+FROM (SELECT DISTINCT file_name FROM paras)""",
+        "paras",
+    )
+    out["paragraph_number"] = with_views(
+        """SELECT file_name, pos,
+       'The paragraph number is ' || row_number() OVER (PARTITION BY file_name ORDER BY pos) AS paragraph_number
+FROM kept""",
+        "kept",
+    )
+    out["model_text"] = with_views(
+        """SELECT file_name, pos,
+       'The paragraph number is ' || row_number() OVER (PARTITION BY file_name ORDER BY pos) || ' ' || paragraph AS model_text
+FROM kept""",
+        "kept",
+    )
+    out["truncate_text"] = with_views(f"SELECT file_name, pos, substr(paragraph, 1, {TRUNCATE_CHARS}) AS text FROM paras", "paras")
+    out["render_prompts"] = with_views(
+        f"SELECT file_name, pos, {q(PROMPT_HEAD)} || substr(paragraph, 1, {TRUNCATE_CHARS}) || {q(PROMPT_TAIL)} AS prompt FROM kept",
+        "kept",
+    )
+    out["normalise_label"] = with_views(
+        """SELECT file_name, pos, dup, fact,
+       CAST(CASE WHEN fact LIKE '%0%' THEN 0 WHEN fact LIKE '%1%' THEN 1 END AS INTEGER) AS label
+FROM fact_labels""",
+        "fact_labels",
+    )
+    out["fill_zero"] = with_views(
+        "SELECT file_name, pos, CAST(coalesce(citation, 0) AS INTEGER) AS citation FROM citation_labels", "citation_labels"
+    )
+    out["label_vectors"] = with_views(
+        "SELECT file_name, pos, [introduction, fact, citation, judgment] AS labels FROM cons", "cons"
+    )
+    out["numbered_paragraphs"] = with_views("SELECT * FROM numbered", "numbered")
+    out["doc_concat"] = with_views(
+        "SELECT file_name, string_agg(paragraph, ' ' ORDER BY pos) AS text FROM kept GROUP BY file_name", "kept"
+    )
+    out["cover_text"] = with_views("SELECT * FROM cover", "cover")
+    out["prefix_until_marker"] = with_views("SELECT * FROM prefix", "prefix")
+    out["cover_fill"] = with_views(
+        r"""SELECT c.file_name,
+       CASE WHEN regexp_replace(c.cover_text, '^\s+|\s+$', '', 'g') = '' THEN coalesce(p.prefix_text, '')
+            ELSE c.cover_text END AS cover_text
+FROM cover c LEFT JOIN prefix p USING (file_name)""",
+        "cover",
+        "prefix",
+    )
+    out["value_counts"] = with_views(
+        "SELECT fact, CAST(count(*) AS BIGINT) AS count FROM fact_labels GROUP BY fact", "fact_labels"
+    )
+    out["value_counts_nonnull"] = with_views(
+        "SELECT fact, CAST(count(*) AS BIGINT) AS count FROM fact_labels WHERE fact IS NOT NULL GROUP BY fact", "fact_labels"
+    )
+    out["null_profile"] = with_views(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM ij_labels"
+            for c in ("file_name", "paragraph", "pos", "dup", "introduction", "judgment")
+        ),
+        "ij_labels",
+    )
+    out["label_totals"] = with_views(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS label, CAST(coalesce(sum({c}), 0) AS BIGINT) AS total FROM cons"
+            for c in ("introduction", "fact", "citation", "judgment")
+        ),
+        "cons",
+    )
+    out["paragraphs_per_file"] = with_views(
+        "SELECT file_name, CAST(count(*) AS BIGINT) AS n_paragraphs FROM kept GROUP BY file_name", "kept"
+    )
+    out["single_paragraph_files"] = with_views(
+        "SELECT file_name FROM numbered GROUP BY file_name HAVING count(*) = 1", "numbered"
+    )
+    out["corpus_shape"] = with_views(
+        """SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
+       CAST(count(DISTINCT file_name) AS BIGINT) AS n_files FROM kept""",
+        "kept",
+    )
+    out["missing_files"] = with_views(
+        """SELECT DISTINCT file_name FROM paras p
+WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.file_name = p.file_name)""",
+        "paras",
+        "numbered",
+    )
+    out["sorted_paragraphs"] = with_views("SELECT file_name, pos, paragraph FROM kept", "kept")
+    out["head_rows"] = with_views("SELECT file_name, pos, paragraph FROM kept ORDER BY file_name, pos LIMIT 5", "kept")
+    out["distinct_files"] = with_views("SELECT file_name, min(pos) AS first_pos FROM kept GROUP BY file_name", "kept")
+    out["dedup_first"] = with_views(
+        """SELECT file_name, paragraph, pos, dup, fact FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos, dup) AS rn FROM fact_labels)
+WHERE rn = 1""",
+        "fact_labels",
+    )
+    out["dedup_all"] = with_views("SELECT DISTINCT file_name, paragraph, fact FROM fact_labels", "fact_labels")
+    out["union_by_name"] = with_views(
+        """SELECT file_name, pos, citation, CAST(NULL AS VARCHAR) AS fact FROM citation_labels
+UNION ALL SELECT file_name, pos, CAST(NULL AS INTEGER), fact FROM fact_labels""",
+        "citation_labels",
+        "fact_labels",
+    )
+    out["files_semi"] = with_views(
+        """SELECT file_name, pos, paragraph FROM kept
+WHERE file_name IN (SELECT file_name FROM citation_labels WHERE citation = 1)""",
+        "kept",
+        "citation_labels",
+    )
+    out["files_anti"] = with_views(
+        """SELECT file_name, pos, paragraph FROM kept k
+WHERE NOT EXISTS (SELECT 1 FROM citation_labels c WHERE c.citation = 1 AND c.file_name = k.file_name)""",
+        "kept",
+        "citation_labels",
+    )
+    out["left_merge"] = with_views(
+        """SELECT k.file_name, k.pos AS pos_x, k.paragraph, c.pos AS pos_y, c.citation
+FROM kept k LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos) AS rn
+                 FROM citation_labels) WHERE rn = 1) c
+  ON k.paragraph IS NOT DISTINCT FROM c.paragraph AND k.file_name IS NOT DISTINCT FROM c.file_name""",
+        "kept",
+        "citation_labels",
+    )
+    out["natural_left_merge"] = with_views(
+        """SELECT k.file_name, k.pos, k.paragraph, c.citation
+FROM kept k LEFT JOIN citation_labels c
+  ON k.file_name IS NOT DISTINCT FROM c.file_name AND k.pos IS NOT DISTINCT FROM c.pos
+ AND k.paragraph IS NOT DISTINCT FROM c.paragraph""",
+        "kept",
+        "citation_labels",
+    )
+    out["positional_join"] = with_views(
+        """SELECT a.file_name, a.pos, a.paragraph, b.fact
+FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY pos) AS i FROM kept) a
+LEFT JOIN (SELECT file_name, fact, row_number() OVER (PARTITION BY file_name ORDER BY pos) AS i
+           FROM (SELECT *, row_number() OVER (PARTITION BY file_name, pos ORDER BY dup) AS rn FROM fact_labels)
+           WHERE rn = 1) b
+  ON a.file_name = b.file_name AND a.i = b.i""",
+        "kept",
+        "fact_labels",
+    )
+    out["frames_equal"] = with_views(
+        """SELECT count(*) = 0 AS equal, CAST(count(*) AS BIGINT) AS n_diff
+FROM (SELECT file_name, paragraph, count(*) AS n FROM kept GROUP BY ALL) a
+FULL OUTER JOIN (SELECT file_name, paragraph, count(*) AS n FROM cons GROUP BY ALL) b
+  ON a.file_name IS NOT DISTINCT FROM b.file_name AND a.paragraph IS NOT DISTINCT FROM b.paragraph
+WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
+        "kept",
+        "cons",
+    )
+    out["consolidate_labels"] = with_views("SELECT * FROM cons", "cons")
+    out["new_main_text"] = with_views(
+        """SELECT file_name, gid AS ord, paragraph, 'numbered' AS source FROM numbered
+WHERE file_name IN (SELECT file_name FROM numbered GROUP BY file_name HAVING count(*) > 1)
+UNION ALL
+SELECT file_name, pos AS ord, paragraph, 'main' AS source FROM kept
+WHERE file_name NOT IN (SELECT file_name FROM numbered GROUP BY file_name HAVING count(*) > 1)""",
+        "kept",
+        "numbered",
+    )
+    split_case = """CASE WHEN rk < floor(CAST(0.7 AS DOUBLE) * n) THEN 'train'
+            WHEN rk < floor(CAST(0.7 AS DOUBLE) * n) + floor(CAST(0.15 AS DOUBLE) * n) THEN 'validation'
+            ELSE 'test' END"""
+    gsplit = f"""SELECT k.file_name, k.pos, {split_case} AS split
+FROM kept k JOIN (SELECT file_name, row_number() OVER (ORDER BY md5('42|' || file_name), file_name) - 1 AS rk,
+                         count(*) OVER () AS n
+                  FROM (SELECT DISTINCT file_name FROM kept)) r USING (file_name)"""
+    out["group_split"] = with_views(gsplit, "kept")
+    out["split_sizes"] = with_views(
+        f"""SELECT split, CAST(count(DISTINCT file_name) AS BIGINT) AS n_units, CAST(count(*) AS BIGINT) AS n_rows
+FROM ({gsplit}) GROUP BY split""",
+        "kept",
+    )
     return out

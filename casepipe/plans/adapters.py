@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS
+from casepipe.operators.segments import concat_by
+from casepipe.sources.akn import AKN_NS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,3 +160,157 @@ def body_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("paragraph"))
     )
     return p.select("file_name", "doc_id", "pos", text.alias("paragraph"))
+
+
+def _div(c, n: int) -> F.Column:
+    return F.floor(c / F.lit(n)).cast("long")
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat search results, one per page of ``pages``.
+
+    ``title`` = the page's ``<h1>`` (``'Case ' || page_id div 40`` for
+    ``page_id % 40`` in (0, 1): duplicate titles on one listing page);
+    ``citation`` in four shapes by ``page_id % 4`` (bracketed sub-court,
+    numeric, 3 parts with extra blanks, invalid); listing ``page`` =
+    ``page_id div 10 + 1``, ``item`` = ``page_id % 10``.
+    """
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    pid = F.col("page_id")
+    year = _s(pid % 24 + 2000)
+    m4 = pid % 4
+    citation = (
+        F.when(m4 == 0, F.concat(F.lit("["), year, F.lit("] EWHC "), _s(pid + 100), F.lit(" (Admin)")))
+        .when(m4 == 1, F.concat(F.lit("["), year, F.lit("] EWCA Civ "), _s(pid + 100)))
+        .when(m4 == 2, F.concat(F.lit("  ["), year, F.lit("]   UKSC "), _s(pid % 50 + 1), F.lit(" ")))
+        .otherwise(F.concat(F.lit("["), year, F.lit("] UKSC")))
+    )
+    h1 = F.regexp_extract(F.col("html"), r"<h1>(.*?)</h1>", 1)
+    title = F.when(pid % 40 <= 1, F.concat(F.lit("Case "), _s(_div(pid, 40)))).otherwise(h1)
+    court = F.when(m4 == 0, "High Court").when(m4 == 1, "Court of Appeal").otherwise("Supreme Court")
+    date = F.concat(year, F.lit("-"), F.lpad(_s(pid % 12 + 1), 2, "0"), F.lit("-15T00:00:00"))
+    return p.select(
+        "page_id",
+        (pid % 10).cast("int").alias("item"),
+        title.alias("title"),
+        court.alias("court"),
+        citation.alias("citation"),
+        date.alias("date"),
+        (_div(pid, 10) + 1).cast("int").alias("page"),
+    )
+
+
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, base, total_text)``: a results-intro line per page,
+    ``'N documents found'`` with ``N`` = 3 x the number of ``<p`` tags +
+    ``page_id % 10``, times 100 with thousands separators when
+    ``page_id % 5 = 0``."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n_p = _div(F.length("html") - F.length(F.regexp_replace("html", "<p", "")), 2)
+    n = n_p * 3 + F.col("page_id") % 10
+    text = F.when(F.col("page_id") % 5 == 0, F.format_number(n * 100, 0)).otherwise(_s(n))
+    return p.select(
+        "page_id",
+        F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("base"),
+        F.concat(text, F.lit(" documents found")).alias("total_text"),
+    )
+
+
+def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 50 words of every document with a tag from the md5 of the word."""
+    d = text_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = F.slice(F.filter(F.split("text", r"\s+", -1), lambda x: x != ""), 1, 50)
+    w = d.select("doc_id", F.posexplode(words).alias("idx", "word"))
+    b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("word"), 1, 1)) - 1
+    tags = F.array(*[F.lit(t) for t in TAGS])
+    tag = F.when(b < 11, F.get(tags, b)).otherwise(F.lit("O"))
+    return w.select("doc_id", F.col("idx").cast("int").alias("idx"), "word", b.alias("bucket"), tag.alias("tag"))
+
+
+def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IOB file as ``(file, line_no, line)``: per document a
+    ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare
+    ``word TAB`` every 13th word, a four-column line every 17th), a blank
+    line after every 10th word, and for ``doc_id % 9 = 0`` a second DOCSTART
+    at the end (an empty document)."""
+    w = _word_table(spark, sf_dir)
+    i = F.col("idx")
+    line = (
+        F.when(i % 13 == 12, F.concat("word", F.lit("\t")))
+        .when(i % 17 == 16, F.concat("word", F.lit("\t_\t_\t"), "tag"))
+        .otherwise(F.concat("word", F.lit("\t"), "tag"))
+    )
+    base = F.col("doc_id") * 1000
+    words = w.select("doc_id", (base + i * 2 + 1).alias("line_no"), line.alias("line"))
+    blanks = w.where(i % 10 == 9).select("doc_id", (base + i * 2 + 2).alias("line_no"), F.lit("").alias("line"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    starts = docs.select("doc_id", (F.col("doc_id") * 1000).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    extra = docs.where(F.col("doc_id") % 9 == 0).select(
+        "doc_id", (F.col("doc_id") * 1000 + 999).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line")
+    )
+    allv = words.unionByName(blanks).unionByName(starts).unionByName(extra)
+    return allv.select(F.lit("output-iob.tsv").alias("file"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token table ``(doc_id, idx, word, true_tag, pred_tag)``: the IOB words
+    with the tag the trainer reads (bare lines -> ``O``) and a prediction
+    that differs for words whose second md5 starts with 0, 1 or 2."""
+    w = _word_table(spark, sf_dir)
+    true_tag = F.when(F.col("idx") % 13 == 12, F.lit("O")).otherwise(F.col("tag"))
+    tags = F.array(*[F.lit(t) for t in TAGS])
+    flip = F.substring(F.md5(F.concat("word", F.lit("#"))), 1, 1).isin("0", "1", "2")
+    pred = F.when(flip, F.get(tags, (F.col("bucket") + 3) % 11)).otherwise(true_tag)
+    return w.select("doc_id", "idx", "word", true_tag.alias("true_tag"), pred.alias("pred_tag"))
+
+
+def ml_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-label predictions: truth ``[quality, toxic]`` from ``labels``,
+    logits ``[(n_chars % 1000) / 250 - 2, md5-digit(doc_id) / 4 - 2]``."""
+    lab = table(spark, sf_dir, "labels")
+    doc = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    j = lab.join(doc, "doc_id", "inner")
+    b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(_s(F.col("doc_id"))), 1, 1)) - 1
+    return j.select(
+        "doc_id",
+        F.array(F.col("quality").cast("int"), F.col("toxic").cast("int")).alias("y"),
+        F.array((F.col("n_chars") % 1000) / 250.0 - 2.0, b / 4.0 - 2.0).alias("logits"),
+    )
+
+
+def _xml_escape(c) -> F.Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def akn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content BINARY)``: one Akoma Ntoso judgment per document.
+
+    Header: ``<p>`` per line at ``pos`` < 2.  Body: every later line as a
+    ``<p>``, preceded by a styled ``<num>`` when ``pos % 7 = 0`` (text
+    ``(pos)`` when ``pos % 14 = 7``, else ``pos+1.``) and by an un-styled
+    ``<num>`` when ``pos % 7 = 3``; every ``</p>`` is followed by a newline.
+    Documents with ``doc_id % 50 = 7`` are truncated (malformed XML).
+    """
+    p = paras(spark, sf_dir)
+    pos = F.col("pos")
+    ptag = F.concat(F.lit("<p>"), _xml_escape(F.col("paragraph")), F.lit("</p>\n"))
+    num_text = F.when(pos % 14 == 7, F.concat(F.lit("("), _s(pos), F.lit(")"))).otherwise(F.concat(_s(pos + 1), F.lit(".")))
+    body = (
+        F.when(pos % 7 == 0, F.concat(F.lit('<num style="s">'), num_text, F.lit("</num>"), ptag))
+        .when(pos % 7 == 3, F.concat(F.lit("<num>"), _s(pos), F.lit("</num>"), ptag))
+        .otherwise(ptag)
+    )
+    frag = p.select("file_name", "doc_id", "pos", F.when(pos < 2, ptag).otherwise(body).alias("frag"), (pos < 2).alias("hdr"))
+    head = concat_by(frag.where("hdr"), "file_name", "pos", "frag", "", out="h").select("file_name", "h")
+    bod = concat_by(frag.where(~F.col("hdr")), "file_name", "pos", "frag", "", out="b").select("file_name", "b")
+    files = p.select("file_name", "doc_id").distinct()
+    j = files.join(head, "file_name", "left").join(bod, "file_name", "left")
+    xml = F.concat(
+        F.lit(f'<akomaNtoso xmlns="{AKN_NS}"><judgment><header>'),
+        F.coalesce("h", F.lit("")),
+        F.lit("</header><judgmentBody>"),
+        F.coalesce("b", F.lit("")),
+        F.lit("</judgmentBody></judgment></akomaNtoso>"),
+    )
+    xml = F.when(F.col("doc_id") % 50 == 7, F.substring(xml, 1, 60)).otherwise(xml)
+    return j.select(F.col("file_name").alias("path"), F.encode(xml, "UTF-8").alias("content"))

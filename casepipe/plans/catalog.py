@@ -302,3 +302,239 @@ def q_group_split(spark, sf):
 @register("split_sizes")
 def q_split_sizes(spark, sf):
     return splits.split_sizes(q_group_split(spark, sf), "file_name")
+
+
+# ------------------------------------------------------------ sources (A*)
+from casepipe.sources import akn, html, iob, search  # noqa: E402
+from casepipe.operators import labelling, metrics  # noqa: E402
+from casepipe.functions.tags import align_labels, argmax, sigmoid_threshold, tag_id, tag_name  # noqa: E402
+
+# --- fixed values: must equal the reference's for identical results -------
+SEARCH_QUERY = '"planning+court"'
+RESULTS_PER_PAGE = 10
+# ---------------------------------------------------------------------------
+NAV_LIST = r"(?s)<nav>\s*<ul>(.*?)</ul>"
+NAV_FIELDS = {"title": r"(?s)<a[^>]*>(.*?)</a>", "href": r'href="([^"]*)"'}
+
+
+@register("listing_items")
+def q_listing_items(spark, sf):
+    pages = A.table(spark, sf, "pages").select("page_id", "html")
+    return html.listing_items(pages, NAV_LIST, NAV_FIELDS)
+
+
+@register("page_plan")
+def q_page_plan(spark, sf):
+    t = A.page_totals(spark, sf).withColumn("total", html.total_documents(F.col("total_text")))
+    return html.page_plan(t, "total", "base", SEARCH_QUERY, RESULTS_PER_PAGE)
+
+
+@register("feed_title_id")
+def q_feed_title_id(spark, sf):
+    r = A.search_results(spark, sf).select("title", F.concat(F.lit("id-"), F.col("page_id").cast("string")).alias("entry_id"), F.col("page_id").alias("pos"))
+    return html.feed_title_id(r)
+
+
+@register("search_results_flatten")
+def q_search_results_flatten(spark, sf):
+    return search.flatten_search_results(search.nest_results(A.search_results(spark, sf)))
+
+
+@register("citation_uri")
+def q_citation_uri(spark, sf):
+    return A.search_results(spark, sf).select("page_id", "citation", fn.citation_uri("citation").alias("uri"))
+
+
+@register("download_manifest")
+def q_download_manifest(spark, sf):
+    return search.download_manifest(A.search_results(spark, sf).withColumnRenamed("page_id", "item_order"))
+
+
+@register("page_folders")
+def q_page_folders(spark, sf):
+    return search.page_folders(A.search_results(spark, sf))
+
+
+@register("main_paragraphs")
+def q_main_paragraphs(spark, sf):
+    return html.html_paragraphs(A.text_table(spark, sf, "pages", "page_id", "html"))
+
+
+# ------------------------------------------------------------ AKN XML
+@register("akn_main_paragraphs")
+def q_akn_main_paragraphs(spark, sf):
+    return akn.akn_paragraphs(A.akn_xml(spark, sf))
+
+
+@register("akn_cover")
+def q_akn_cover(spark, sf):
+    return akn.akn_cover(A.akn_xml(spark, sf))
+
+
+def _akn_segments(spark, sf):
+    return segments.build_segments(akn.akn_events(A.akn_xml(spark, sf)).where(F.col("error").isNull()))
+
+
+@register("akn_segments")
+def q_akn_segments(spark, sf):
+    return _akn_segments(spark, sf)
+
+
+@register("akn_numbered")
+def q_akn_numbered(spark, sf):
+    s = _akn_segments(spark, sf).select("file_name", F.col("seg").alias("pos"), F.col("segment").alias("paragraph"))
+    return segments.merge_numbered(s)
+
+
+@register("xml_quarantine")
+def q_xml_quarantine(spark, sf):
+    return akn.quarantine(akn.akn_paragraph_texts(A.akn_xml(spark, sf))).select("file_name")
+
+
+@register("segments")
+def q_segments(spark, sf):
+    p = A.paras(spark, sf)
+    m = F.col("pos") % 7
+    ev = p.select(
+        "file_name",
+        F.col("pos").alias("ev"),
+        F.when(m.isin(0, 3), "num").otherwise("p").alias("tag"),
+        (m == 0).alias("has_style"),
+        F.col("paragraph").alias("text"),
+        F.when(F.col("pos") % 2 == 0, F.lit("\n")).alias("tail"),
+    )
+    return segments.build_segments(ev)
+
+
+# ------------------------------------------------------------ labelling (M1, K4)
+@register("batch_label")
+def q_batch_label(spark, sf):
+    return labelling.batch_label(A.kept(spark, sf), "paragraph", ["file_name", "pos"])
+
+
+@register("label_resume")
+def q_label_resume(spark, sf):
+    todo = A.kept(spark, sf).select("file_name", "pos", "paragraph")
+    return labelling.pending(todo, A.fact_labels(spark, sf), ["file_name", "pos"])
+
+
+# ------------------------------------------------------------ IOB / NER
+@register("iob_documents")
+def q_iob_documents(spark, sf):
+    return iob.iob_documents(A.iob_lines(spark, sf)).select("id", "tokens", "ner_tags")
+
+
+@register("iob_tokens")
+def q_iob_tokens(spark, sf):
+    return iob.iob_tokens(A.iob_lines(spark, sf)).select("line_no", "word", "tag")
+
+
+@register("entity_counts")
+def q_entity_counts(spark, sf):
+    return profile.entity_counts(iob.iob_tokens(A.iob_lines(spark, sf)), "tag")
+
+
+@register("tag_ids")
+def q_tag_ids(spark, sf):
+    lines = A.iob_lines(spark, sf)
+    s = fn.strip_ws(F.col("line"))
+    t = lines.where((s != "") & ~s.startswith("-DOCSTART-")).select("line_no", F.element_at(F.split(s, "\t", -1), -1).alias("tag"))
+    return t.select("line_no", "tag", tag_id("tag").alias("tag_id"), tag_name(tag_id("tag")).alias("tag_name"))
+
+
+def _doc_words(spark, sf):
+    w = A.ner_pred(spark, sf)
+    docs = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", tag_id("true_tag").alias("t")))).alias("_w"))
+    return docs.select(
+        "doc_id",
+        F.transform("_w", lambda x: x["word"]).alias("words"),
+        F.transform("_w", lambda x: x["t"]).alias("tags"),
+    )
+
+
+@register("align_labels")
+def q_align_labels(spark, sf):
+    d = _doc_words(spark, sf)
+    pieces = F.flatten(F.transform("words", lambda w, i: F.array_repeat(i, F.ceil(F.length(w) / 4).cast("int"))))
+    word_ids = F.concat(F.array(F.lit(None).cast("int")), pieces, F.array(F.lit(None).cast("int")))
+    d = d.select("doc_id", "tags", word_ids.alias("word_ids"))
+    return d.select(
+        "doc_id",
+        align_labels("word_ids", "tags", label_all=True).alias("labels"),
+        align_labels("word_ids", "tags", label_all=False).alias("labels_first"),
+    )
+
+
+@register("argmax_decode")
+def q_argmax_decode(spark, sf):
+    t = A.ner_pred(spark, sf).withColumn("_pid", tag_id("pred_tag"))
+    logits = F.transform(
+        F.sequence(F.lit(0), F.lit(10)),
+        lambda j: F.when(j == F.col("_pid"), F.lit(2.0))
+        .when((j == (F.col("_pid") + 5) % 11) & (F.col("idx") % 7 == 0), F.lit(2.0))
+        .otherwise((j % 3) * 0.5),
+    )
+    t = t.select("doc_id", "idx", logits.alias("logits"), F.when(F.col("idx") % 9 == 8, -100).otherwise(tag_id("true_tag")).alias("label"))
+    kept_ = t.where(F.col("label") != -100)
+    return kept_.select("doc_id", "idx", tag_name(argmax("logits")).alias("pred_tag"))
+
+
+@register("row_split")
+def q_row_split(spark, sf):
+    docs = iob.iob_documents(A.iob_lines(spark, sf)).select("id")
+    return splits.row_split(docs, "id")
+
+
+@register("ner_entity_scores")
+def q_ner_entity_scores(spark, sf):
+    return metrics.ner_entity_scores(A.ner_pred(spark, sf))
+
+
+@register("ner_auc_pr")
+def q_ner_auc_pr(spark, sf):
+    return metrics.ner_auc_pr(A.ner_pred(spark, sf))
+
+
+@register("tag_report")
+def q_tag_report(spark, sf):
+    return metrics.tag_report(A.ner_pred(spark, sf))
+
+
+@register("ner_metrics")
+def q_ner_metrics(spark, sf):
+    return metrics.ner_metrics(A.ner_pred(spark, sf))
+
+
+@register("token_features")
+def q_token_features(spark, sf):
+    from casepipe.operators import models
+
+    return models.token_features(A.ner_pred(spark, sf).select("doc_id", "idx", "word")).select(
+        "doc_id", "idx", "word", "prev_word", "next_word", "shape", "suffix"
+    )
+
+
+# ------------------------------------------------------------ multi-label metrics
+@register("sigmoid_threshold")
+def q_sigmoid_threshold(spark, sf):
+    return A.ml_pred(spark, sf).select("doc_id", sigmoid_threshold("logits").alias("pred"))
+
+
+@register("multilabel_f1")
+def q_multilabel_f1(spark, sf):
+    return metrics.multilabel_f1(A.ml_pred(spark, sf))
+
+
+@register("multilabel_roc_auc")
+def q_multilabel_roc_auc(spark, sf):
+    return metrics.multilabel_roc_auc(A.ml_pred(spark, sf))
+
+
+@register("multilabel_hamming")
+def q_multilabel_hamming(spark, sf):
+    return metrics.multilabel_hamming(A.ml_pred(spark, sf))
+
+
+@register("multilabel_metrics")
+def q_multilabel_metrics(spark, sf):
+    return metrics.multilabel_metrics(A.ml_pred(spark, sf))

@@ -176,6 +176,9 @@ def with_views(body: str, *names: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -407,3 +410,353 @@ FROM ({gsplit}) GROUP BY split""",
         "kept",
     )
     return out
+
+
+# ----------------------------------------------------------------- batch 3
+from casepipe.functions.tags import TAGS  # noqa: E402
+
+TAG_LIST = "[" + ", ".join(q(t) for t in TAGS) + "]"
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+def tag_id_sql(x: str) -> str:
+    return "CAST(CASE " + " ".join(f"WHEN {x} = {q(t)} THEN {i}" for i, t in enumerate(TAGS)) + " ELSE 0 END AS INTEGER)"
+
+
+def tag_type(x: str) -> str:
+    return f"CASE WHEN {x} = 'O' THEN NULL ELSE regexp_extract({x}, '([^-]*)$', 1) END"
+
+
+MORE_VIEWS = {
+    "search_results": (
+        (),
+        r"""
+SELECT page_id, CAST(page_id % 10 AS INTEGER) AS item,
+       CASE WHEN page_id % 40 <= 1 THEN 'Case ' || (page_id // 40) ELSE regexp_extract(html, '<h1>(.*?)</h1>', 1) END AS title,
+       CASE page_id % 4 WHEN 0 THEN 'High Court' WHEN 1 THEN 'Court of Appeal' ELSE 'Supreme Court' END AS court,
+       CASE page_id % 4
+         WHEN 0 THEN '[' || (2000 + page_id % 24) || '] EWHC ' || (page_id + 100) || ' (Admin)'
+         WHEN 1 THEN '[' || (2000 + page_id % 24) || '] EWCA Civ ' || (page_id + 100)
+         WHEN 2 THEN '  [' || (2000 + page_id % 24) || ']   UKSC ' || (page_id % 50 + 1) || ' '
+         ELSE '[' || (2000 + page_id % 24) || '] UKSC' END AS citation,
+       (2000 + page_id % 24) || '-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-15T00:00:00' AS date,
+       CAST(page_id // 10 + 1 AS INTEGER) AS page
+FROM pages
+""",
+    ),
+    "cit_uri": (
+        ("search_results",),
+        r"""
+SELECT *,
+  CASE WHEN len(parts) = 4 AND parts[4] LIKE '%)'
+         THEN lower(parts[2]) || '/' || lower(substr(parts[4], 2, length(parts[4]) - 2)) || '/' || substr(parts[1], 2, length(parts[1]) - 2) || '/' || parts[3]
+       WHEN len(parts) = 4 AND regexp_matches(parts[4], '^[0-9]+$')
+         THEN lower(parts[2]) || '/' || lower(parts[3]) || '/' || substr(parts[1], 2, length(parts[1]) - 2) || '/' || parts[4]
+       WHEN len(parts) = 3
+         THEN lower(parts[2]) || '/' || substr(parts[1], 2, length(parts[1]) - 2) || '/' || parts[3]
+       ELSE 'Invalid input format' END AS uri
+FROM (SELECT *, regexp_split_to_array(regexp_replace(citation, '^\s+|\s+$', '', 'g'), '\s+') AS parts FROM search_results)
+""",
+    ),
+    "page_totals": (
+        (),
+        r"""
+SELECT page_id, url,
+       CASE WHEN page_id % 5 = 0 THEN format('{:,}', n * 100) ELSE CAST(n AS VARCHAR) END || ' documents found' AS total_text
+FROM (SELECT page_id, url, ((length(html) - length(replace(html, '<p', ''))) // 2) * 3 + page_id % 10 AS n FROM pages)
+""",
+    ),
+    "words": (
+        (),
+        f"""
+SELECT doc_id, idx, word, b AS bucket, CASE WHEN b < 11 THEN {TAG_LIST}[b + 1] ELSE 'O' END AS tag
+FROM (SELECT doc_id, CAST(idx AS INTEGER) AS idx, word,
+             strpos('0123456789abcdef', substr(md5(word), 1, 1)) - 1 AS b
+      FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS idx
+            FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:50] AS w
+                  FROM documents)))
+""",
+    ),
+    "iob_lines": (
+        ("words",),
+        r"""
+SELECT 'output-iob.tsv' AS file, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT doc_id * 1000 + idx * 2 + 1 AS line_no,
+         CASE WHEN idx % 13 = 12 THEN word || chr(9)
+              WHEN idx % 17 = 16 THEN word || chr(9) || '_' || chr(9) || '_' || chr(9) || tag
+              ELSE word || chr(9) || tag END AS line FROM words
+  UNION ALL SELECT doc_id * 1000 + idx * 2 + 2, '' FROM words WHERE idx % 10 = 9
+  UNION ALL SELECT doc_id * 1000, '-DOCSTART- -X- O O' FROM documents
+  UNION ALL SELECT doc_id * 1000 + 999, '-DOCSTART- -X- O O' FROM documents WHERE doc_id % 9 = 0)
+""",
+    ),
+    "ner_pred": (
+        ("words",),
+        f"""
+SELECT doc_id, idx, word, true_tag,
+       CASE WHEN substr(md5(word || '#'), 1, 1) IN ('0', '1', '2') THEN {TAG_LIST}[(bucket + 3) % 11 + 1] ELSE true_tag END AS pred_tag
+FROM (SELECT *, CASE WHEN idx % 13 = 12 THEN 'O' ELSE tag END AS true_tag FROM words)
+""",
+    ),
+    "ml_pred": (
+        (),
+        r"""
+SELECT l.doc_id, [CAST(quality AS INTEGER), CAST(toxic AS INTEGER)] AS y,
+       [CAST((n_chars % 1000) AS DOUBLE) / 250.0 - 2.0,
+        CAST(strpos('0123456789abcdef', substr(md5(CAST(l.doc_id AS VARCHAR)), 1, 1)) - 1 AS DOUBLE) / 4.0 - 2.0] AS logits
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+""",
+    ),
+    "akn_good": (("paras",), "SELECT * FROM paras WHERE doc_id % 50 <> 7"),
+}
+
+
+def _chunks_sql(col: str) -> str:
+    start = (
+        f"tag <> 'O' AND (split_part(tag, '-', 1) = 'B' OR prev = 'O' OR "
+        f"({tag_type('tag')}) IS DISTINCT FROM ({tag_type('prev')}))"
+    )
+    return f"""
+SELECT doc_id, min(idx) AS s, max(idx) AS e, arg_min(typ, idx) AS typ FROM (
+  SELECT *, sum(CASE WHEN {start} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS ch,
+         {tag_type('tag')} AS typ
+  FROM (SELECT doc_id, idx, {col} AS tag, lag({col}, 1, 'O') OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM ner_pred))
+WHERE tag <> 'O' GROUP BY doc_id, ch"""
+
+
+def oracle_sql_more() -> dict[str, str]:
+    VIEWS.update(MORE_VIEWS)
+    out: dict[str, str] = {}
+    out["listing_items"] = f"""
+SELECT page_id, CAST(item AS INTEGER) AS item,
+       {strip("regexp_replace(regexp_extract(li, '(?s)<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')")} AS title,
+       {strip("regexp_replace(regexp_extract(li, 'href=\"([^\"]*)\"', 1), '<[^>]*>', '', 'g')")} AS href
+FROM (SELECT page_id, unnest(l) AS li, generate_subscripts(l, 1) - 1 AS item
+      FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>\\s*<ul>(.*?)</ul>', 1), '(?s)<li[^>]*>(.*?)</li>', 1) AS l
+            FROM pages))"""
+    out["page_plan"] = with_views(
+        """SELECT page_id, CAST(g AS INTEGER) AS page, base || '/search?query="planning+court"&page=' || g AS url
+FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS base,
+             CAST(replace(regexp_extract(total_text, '^(\\S+)', 1), ',', '') AS BIGINT) AS total FROM page_totals) t,
+     range(1, CAST(ceil(total / 10.0) AS BIGINT) + 1) r(g)""",
+        "page_totals",
+    )
+    out["feed_title_id"] = with_views(
+        "SELECT title, arg_max('id-' || page_id, page_id) AS entry_id FROM search_results GROUP BY title", "search_results"
+    )
+    out["search_results_flatten"] = with_views(
+        """SELECT CAST(row_number() OVER (PARTITION BY page ORDER BY item) - 1 AS INTEGER) AS page_item,
+       title, court, citation, date, page FROM search_results""",
+        "search_results",
+    )
+    out["citation_uri"] = with_views("SELECT page_id, citation, uri FROM cit_uri", "cit_uri")
+    out["download_manifest"] = with_views(
+        """SELECT arg_max(title, page_id) AS title, arg_max(citation, page_id) AS citation, arg_max(page, page_id) AS page,
+       arg_max(uri, page_id) AS uri, arg_max(url, page_id) AS url, target_path, CAST(count(*) AS BIGINT) AS collisions
+FROM (SELECT *, 'https://caselaw.nationalarchives.gov.uk/' || uri || '/data.xml' AS url,
+             './data/xml_data/xml_page_' || page || '/' || replace(title, '/', '_') || '.xml' AS target_path
+      FROM cit_uri)
+GROUP BY target_path""",
+        "cit_uri",
+    )
+    out["page_folders"] = with_views(
+        """SELECT CAST(g AS INTEGER) AS page, 'xml_page_' || g AS folder
+FROM range(1, (SELECT max(page) FROM search_results) + 1) r(g)""",
+        "search_results",
+    )
+    out["main_paragraphs"] = f"""
+SELECT page_id, CAST(i - 2 AS INTEGER) AS pos,
+       {strip("regexp_replace(regexp_replace(piece, '(?s)(</p>|</article>).*$', ''), '<[^>]*>', '', 'g')")} AS paragraph
+FROM (SELECT page_id, unnest(arr) AS piece, generate_subscripts(arr, 1) AS i
+      FROM (SELECT page_id, string_split_regex(html, '<p[^>]*>') AS arr FROM pages))
+WHERE i > 1"""
+    main_filter = r"""length(paragraph) - length(replace(paragraph, '-', '')) <= 2
+  AND regexp_matches(paragraph, '\S') AND regexp_matches(paragraph, '[\p{L}\p{N}]')"""
+    out["akn_main_paragraphs"] = with_views(
+        f"""SELECT file_name, CAST(pos - 2 AS INTEGER) AS pos, paragraph || chr(10) AS paragraph
+FROM akn_good WHERE pos >= 2 AND {main_filter}""",
+        "akn_good",
+    )
+    out["akn_cover"] = with_views(
+        r"""SELECT file_name,
+       coalesce(string_agg(paragraph || chr(10), '' ORDER BY pos)
+                FILTER (WHERE length(paragraph) - length(replace(paragraph, '-', '')) <= 2
+                          AND regexp_matches(paragraph || chr(10), '\S')), '') AS cover_text
+FROM akn_good WHERE pos < 2 GROUP BY file_name""",
+        "akn_good",
+    )
+    akn_seg = f"""SELECT file_name, CAST(seg AS INTEGER) AS seg, {strip("string_agg(v, ' ' ORDER BY pos, k)")} AS segment
+FROM (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY pos, k) AS seg
+      FROM (SELECT file_name, pos, 0 AS k,
+                   CASE WHEN pos % 14 = 7 THEN '(' || pos || ')' ELSE (pos + 1) || '.' END AS v
+            FROM akn_good WHERE pos >= 2 AND pos % 7 = 0
+            UNION ALL SELECT file_name, pos, 1, {strip("paragraph")} FROM akn_good WHERE pos >= 2 AND paragraph <> ''
+            UNION ALL SELECT file_name, pos, 2, '' FROM akn_good WHERE pos >= 2))
+WHERE seg >= 1 GROUP BY file_name, seg"""
+    out["akn_segments"] = with_views(akn_seg, "akn_good")
+    out["akn_numbered"] = with_views(
+        f"""SELECT file_name, CAST(gid AS INTEGER) AS gid, {strip("string_agg(segment, ' ' ORDER BY seg)")} AS paragraph
+FROM (SELECT *, sum(CASE WHEN regexp_matches(segment, '^\\d+\\.') THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY seg) AS gid
+      FROM ({akn_seg}))
+GROUP BY file_name, gid""",
+        "akn_good",
+    )
+    out["xml_quarantine"] = with_views("SELECT DISTINCT file_name FROM paras WHERE doc_id % 50 = 7", "paras")
+    out["segments"] = with_views(
+        f"""WITH ev AS (SELECT file_name, pos AS ev, CASE WHEN pos % 7 IN (0, 3) THEN 'num' ELSE 'p' END AS tag,
+                   pos % 7 = 0 AS styled, paragraph AS text, CASE WHEN pos % 2 = 0 THEN chr(10) END AS tail FROM paras),
+s AS (SELECT *, sum(CASE WHEN styled THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY ev) AS seg FROM ev),
+pcs AS (SELECT file_name, seg, ev, 0 AS k, {strip("text")} AS v FROM s
+        WHERE seg >= 1 AND text IS NOT NULL AND text <> '' AND (tag <> 'num' OR styled)
+        UNION ALL
+        SELECT file_name, seg, ev, 1, {strip("tail")} FROM s
+        WHERE seg >= 1 AND tail IS NOT NULL AND tail <> '' AND tag <> 'num'),
+heads AS (SELECT file_name, seg FROM s WHERE styled),
+j AS (SELECT file_name, seg, string_agg(v, ' ' ORDER BY ev, k) AS t FROM pcs GROUP BY file_name, seg),
+lst AS (SELECT file_name, max(seg) AS mx FROM heads GROUP BY file_name)
+SELECT h.file_name, CAST(h.seg AS INTEGER) AS seg, {strip("coalesce(j.t, '')")} AS segment
+FROM heads h JOIN lst USING (file_name) LEFT JOIN j ON h.file_name = j.file_name AND h.seg = j.seg
+WHERE j.t IS NOT NULL OR h.seg < lst.mx""",
+        "paras",
+    )
+    out["batch_label"] = with_views(
+        f"""SELECT file_name, pos, CASE WHEN regexp_matches(paragraph, {FACT}) THEN '1' ELSE '0' END AS output,
+       CAST(NULL AS VARCHAR) AS error FROM kept""",
+        "kept",
+    )
+    out["label_resume"] = with_views(
+        """SELECT file_name, pos, paragraph FROM kept k
+WHERE NOT EXISTS (SELECT 1 FROM fact_labels f WHERE f.file_name = k.file_name AND f.pos = k.pos)""",
+        "kept",
+        "fact_labels",
+    )
+    iob_docs = f"""SELECT CAST(row_number() OVER (ORDER BY doc) - 1 AS VARCHAR) AS id, tokens, ner_tags FROM (
+  SELECT doc, list(parts[1] ORDER BY line_no) AS tokens, list({tag_id_sql('parts[-1]')} ORDER BY line_no) AS ner_tags
+  FROM (SELECT doc, line_no, string_split(s, chr(9)) AS parts
+        FROM (SELECT *, sum(CASE WHEN starts_with(s, '-DOCSTART- -X-') THEN 1 ELSE 0 END) OVER (ORDER BY line_no) AS doc
+              FROM (SELECT line_no, {strip('line')} AS s FROM iob_lines))
+        WHERE s <> '' AND NOT starts_with(s, '-DOCSTART- -X-'))
+  GROUP BY doc)"""
+    out["iob_documents"] = with_views(iob_docs, "iob_lines")
+    iob_tok = f"""SELECT line_no, parts[1] AS word, parts[2] AS tag
+FROM (SELECT line_no, {strip('line')} AS s, regexp_split_to_array({strip('line')}, '\\s+') AS parts
+      FROM iob_lines WHERE NOT starts_with(line, '-DOCSTART-'))
+WHERE s <> '' AND len(parts) = 2"""
+    out["iob_tokens"] = with_views(iob_tok, "iob_lines")
+    out["entity_counts"] = with_views(
+        f"SELECT substr(tag, 3) AS entity, CAST(count(*) AS BIGINT) AS count FROM ({iob_tok}) WHERE starts_with(tag, 'B-') GROUP BY 1",
+        "iob_lines",
+    )
+    out["tag_ids"] = with_views(
+        f"""SELECT line_no, tag, {tag_id_sql('tag')} AS tag_id, {TAG_LIST}[{tag_id_sql('tag')} + 1] AS tag_name
+FROM (SELECT line_no, string_split(s, chr(9))[-1] AS tag
+      FROM (SELECT line_no, {strip('line')} AS s FROM iob_lines) WHERE s <> '' AND NOT starts_with(s, '-DOCSTART-'))""",
+        "iob_lines",
+    )
+    out["align_labels"] = with_views(
+        f"""SELECT doc_id,
+       [-100] || flatten(list(repeat([t], n) ORDER BY idx)) || [-100] AS labels,
+       [-100] || flatten(list([t] || repeat([-100], n - 1) ORDER BY idx)) || [-100] AS labels_first
+FROM (SELECT doc_id, idx, {tag_id_sql('true_tag')} AS t, CAST(ceil(length(word) / 4.0) AS INTEGER) AS n FROM ner_pred)
+GROUP BY doc_id""",
+        "ner_pred",
+    )
+    out["argmax_decode"] = with_views(
+        f"""SELECT doc_id, idx, {TAG_LIST}[(CASE WHEN idx % 7 = 0 THEN least(pid, (pid + 5) % 11) ELSE pid END) + 1] AS pred_tag
+FROM (SELECT doc_id, idx, {tag_id_sql('pred_tag')} AS pid FROM ner_pred WHERE idx % 9 <> 8)""",
+        "ner_pred",
+    )
+    out["row_split"] = with_views(
+        f"""SELECT id, CASE WHEN rk < n - m THEN 'train' WHEN rk < n - m + (m - ceil(0.5 * m)) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT id, rk, n, ceil((CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOUBLE)) * n) AS m
+      FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS rk, count(*) OVER () AS n FROM ({iob_docs})))""",
+        "iob_lines",
+    )
+    ent = f"""WITH tc AS ({_chunks_sql('true_tag')}), pc AS ({_chunks_sql('pred_tag')}),
+c AS (SELECT (SELECT count(*) FROM tc) AS n_true, (SELECT count(*) FROM pc) AS n_pred,
+             (SELECT count(*) FROM tc JOIN pc ON tc.doc_id = pc.doc_id AND tc.s = pc.s AND tc.e = pc.e AND tc.typ = pc.typ) AS tp,
+             (SELECT avg(CASE WHEN true_tag = pred_tag THEN 1.0 ELSE 0.0 END) FROM ner_pred) AS accuracy),
+m AS (SELECT *, CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS p, CASE WHEN n_true = 0 THEN 0.0 ELSE tp / n_true END AS r FROM c)"""
+    out["ner_entity_scores"] = with_views(
+        ent + """
+SELECT CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall,
+       CAST(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS DOUBLE) AS f1, CAST(accuracy AS DOUBLE) AS accuracy,
+       CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, CAST(tp AS BIGINT) AS tp FROM m""",
+        "ner_pred",
+    )
+    auc = """(SELECT CAST(CASE WHEN pp = 0 THEN (base + 1) / 2
+                 ELSE (1 - r1) * (base + p1) / 2 + r1 * (p1 + 1) / 2 END AS DOUBLE) AS auc_pr
+ FROM (SELECT pp, pos / n AS base, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p1, CASE WHEN pos = 0 THEN 0 ELSE tp / pos END AS r1
+       FROM (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN true_tag <> 'O' THEN 1 ELSE 0 END) AS pos,
+                    sum(CASE WHEN pred_tag <> 'O' THEN 1 ELSE 0 END) AS pp,
+                    sum(CASE WHEN true_tag <> 'O' AND pred_tag <> 'O' THEN 1 ELSE 0 END) AS tp FROM ner_pred)))"""
+    out["ner_auc_pr"] = with_views(f"SELECT * FROM {auc}", "ner_pred")
+    out["ner_metrics"] = with_views(
+        ent + f"""
+SELECT CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall,
+       CAST(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS DOUBLE) AS f1, CAST(accuracy AS DOUBLE) AS accuracy,
+       a.auc_pr, 'casepipe' AS method FROM m, {auc} a""",
+        "ner_pred",
+    )
+    out["tag_report"] = with_views(
+        f"""SELECT v.class,
+       CAST(CASE WHEN coalesce(p.n, 0) = 0 THEN 0.0 ELSE coalesce(t.n, 0) / p.n END AS DOUBLE) AS precision,
+       CAST(CASE WHEN coalesce(s.n, 0) = 0 THEN 0.0 ELSE coalesce(t.n, 0) / s.n END AS DOUBLE) AS recall,
+       CAST(CASE WHEN coalesce(t.n, 0) = 0 THEN 0.0 ELSE 2.0 * t.n / (coalesce(p.n, 0) + coalesce(s.n, 0)) END AS DOUBLE) AS f1,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS support
+FROM (SELECT unnest({TAG_LIST}) AS class) v
+LEFT JOIN (SELECT true_tag AS class, count(*) AS n FROM ner_pred GROUP BY 1) s USING (class)
+LEFT JOIN (SELECT pred_tag AS class, count(*) AS n FROM ner_pred GROUP BY 1) p USING (class)
+LEFT JOIN (SELECT true_tag AS class, count(*) AS n FROM ner_pred WHERE true_tag = pred_tag GROUP BY 1) t USING (class)""",
+        "ner_pred",
+    )
+    out["token_features"] = with_views(
+        r"""SELECT doc_id, idx, word,
+       lag(word) OVER (PARTITION BY doc_id ORDER BY idx) AS prev_word,
+       lead(word) OVER (PARTITION BY doc_id ORDER BY idx) AS next_word,
+       regexp_replace(regexp_replace(regexp_replace(word, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\d', 'd', 'g') AS shape,
+       right(word, 3) AS suffix
+FROM ner_pred""",
+        "ner_pred",
+    )
+    cells = """(SELECT doc_id, 0 AS label, y[1] AS y, CASE WHEN 1 / (1 + exp(-logits[1])) >= 0.3 THEN 1 ELSE 0 END AS p FROM ml_pred
+ UNION ALL
+ SELECT doc_id, 1 AS label, y[2] AS y, CASE WHEN 1 / (1 + exp(-logits[2])) >= 0.3 THEN 1 ELSE 0 END AS p FROM ml_pred)"""
+    per = f"""(SELECT label,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1,
+        CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS roc_auc,
+        (tp + fn = 0 OR tn + fp = 0) AS single_class
+ FROM (SELECT label, CAST(sum(y * p) AS DOUBLE) AS tp, CAST(sum((1 - y) * p) AS DOUBLE) AS fp,
+              CAST(sum(y * (1 - p)) AS DOUBLE) AS fn, CAST(sum((1 - y) * (1 - p)) AS DOUBLE) AS tn
+       FROM {cells} GROUP BY label))"""
+    out["sigmoid_threshold"] = with_views(
+        "SELECT doc_id, list_transform(logits, lambda x: CAST(CASE WHEN 1 / (1 + exp(-x)) >= 0.3 THEN 1 ELSE 0 END AS INTEGER)) AS pred FROM ml_pred",
+        "ml_pred",
+    )
+    out["multilabel_f1"] = with_views(f"SELECT CAST(avg(f1) AS DOUBLE) AS f1 FROM {per}", "ml_pred")
+    out["multilabel_roc_auc"] = with_views(
+        f"SELECT CAST(avg(roc_auc) AS DOUBLE) AS roc_auc, bool_or(single_class) AS undefined_label FROM {per}", "ml_pred"
+    )
+    out["multilabel_hamming"] = with_views(
+        f"SELECT CAST(avg(CASE WHEN y <> p THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS hamming_loss FROM {cells}", "ml_pred"
+    )
+    out["multilabel_metrics"] = with_views(
+        f"""SELECT a.roc_auc, h.hamming_loss, a.f1, 'casepipe' AS method
+FROM (SELECT CAST(avg(roc_auc) AS DOUBLE) AS roc_auc, CAST(avg(f1) AS DOUBLE) AS f1 FROM {per}) a,
+     (SELECT CAST(avg(CASE WHEN y <> p THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS hamming_loss FROM {cells}) h""",
+        "ml_pred",
+    )
+    return out
+
+
+_base_oracle_sql = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - extends the first batch
+    out = _base_oracle_sql()
+    out.update(oracle_sql_more())
+    return out

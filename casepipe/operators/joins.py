@@ -142,10 +142,11 @@ def consolidate_labels(
     ij1 = dedup_first(ij.select(*key, "pos", "introduction", "judgment"), key, ["pos"]).drop("pos")
     ci1 = dedup_first(citation.select(*key, "pos", "citation"), key, ["pos"]).drop("pos")
     fa1 = dedup_first(fact.select(*key, "pos", normalise_label("fact").alias("fact")), key, ["pos"]).drop("pos")
-    out = left_merge(base.select("file_name", "pos", "paragraph"), ij1, key)
+    # the ordinal depends on the base rows only: number them before the joins
+    out = add_paragraph_number(base.select("file_name", "pos", "paragraph"))
+    out = left_merge(out, ij1, key)
     out = left_merge(out, ci1, key)
     out = left_merge(out, fa1, key)
-    out = add_paragraph_number(out)
     return out.select(
         "file_name",
         "pos",

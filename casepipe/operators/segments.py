@@ -35,25 +35,30 @@ def running_count(
     flag: Column,
     out: str,
     block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add ``out`` = running sum of the 0/1 ``flag`` per ``keys`` in ``order``.
 
     Two-level prefix sum: flag totals per (key, block) -> exclusive running
     sum over blocks (a table ``block_rows`` times smaller than the input) ->
-    joined back as an offset -> running sum inside each block.  Equivalent to
+    joined back as an offset (broadcast when AQE measures it small) ->
+    running sum inside each block.  Equivalent to
     ``sum(flag).over(partitionBy(keys).orderBy(order))`` but bounded per task.
+    With ``keep_block`` the ``_blk`` column (blocks of ``order``) is kept, so a
+    following ``concat_by`` in the same order reuses the partitioning.
     """
     keys = _keys(keys)
-    b = with_block(df, order, block_rows).withColumn("_flag", flag.cast("long"))
+    b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows).withColumn("_flag", flag.cast("long"))
     per_block = b.groupBy(*keys, "_blk").agg(F.sum("_flag").alias("_bc"))
     w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*keys, "_blk", F.coalesce(F.sum("_bc").over(w_blocks), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    res = (
         b.join(offsets, [*keys, "_blk"], "inner")
         .withColumn(out, (F.col("_off") + F.sum("_flag").over(w_in)).cast("int"))
-        .drop("_flag", "_off", "_blk")
+        .drop("_flag", "_off")
     )
+    return res if keep_block else res.drop("_blk")
 
 
 def _ordered_join(order: str, value: str, sep: str) -> Column:
@@ -77,9 +82,10 @@ def concat_by(
     NULL values are skipped.  Also returns ``first_<order>`` (min order).
     """
     keys = _keys(keys)
+    src = df.where(F.col(value).isNotNull())
+    src = src if "_blk" in src.columns else with_block(src, order, block_rows)
     partial = (
-        with_block(df.where(F.col(value).isNotNull()), order, block_rows)
-        .groupBy(*keys, "_blk")
+        src.groupBy(*keys, "_blk")
         .agg(_ordered_join(order, value, sep).alias("_part"), F.min(order).alias("_first"))
     )
     return partial.groupBy(*keys).agg(
@@ -95,7 +101,7 @@ def merge_numbered(paragraphs: DataFrame, key: str = "file_name", order: str = "
     their own paragraph (``gid`` 0).  Result ``(file_name, gid, paragraph)``,
     each paragraph stripped at both ends.
     """
-    g = running_count(paragraphs, key, order, starts_with_number(F.col(text)).cast("int"), "gid")
+    g = running_count(paragraphs, key, order, starts_with_number(F.col(text)).cast("int"), "gid", keep_block=True)
     merged = concat_by(g, [key, "gid"], order, text, " ", out="_merged")
     return merged.select(key, "gid", strip_ws("_merged").alias(text))
 

@@ -90,26 +90,20 @@ def ij_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows of ``kept`` with ``(doc_id + pos) % 3 <> 0``; ``introduction`` is
     NULL when ``% 17 = 0``; rows with ``% 13 = 0`` appear twice, the copy
-    (``dup = 1``) with the judgment label flipped.
+    (``dup = 1``) with the judgment label flipped.  One pass: the copy is an
+    ``explode`` of the row, not a second scan.
     """
     k = kept(spark, sf_dir).where(_h() % 3 != 0)
-    base = k.select(
-        "file_name",
-        "paragraph",
-        "pos",
-        F.lit(0).alias("dup"),
-        F.when(_h() % 17 == 0, F.lit(None).cast("int")).when(F.col("pos") < 3, 1).otherwise(0).alias("introduction"),
-        F.when(_h() % 11 == 0, 1).otherwise(0).alias("judgment"),
-    )
-    copy = k.where(_h() % 13 == 0).select(
+    k = k.withColumn("dup", F.explode(F.when(_h() % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    judg = F.when(_h() % 11 == 0, 1).otherwise(0)
+    return k.select(
         "file_name",
         "paragraph",
         "pos",
-        F.lit(1).alias("dup"),
+        "dup",
         F.when(_h() % 17 == 0, F.lit(None).cast("int")).when(F.col("pos") < 3, 1).otherwise(0).alias("introduction"),
-        F.when(_h() % 11 == 0, 0).otherwise(1).alias("judgment"),
+        F.when(F.col("dup") == 1, 1 - judg).otherwise(judg).alias("judgment"),
     )
-    return base.unionByName(copy)
 
 
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +123,13 @@ def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     '10'`` or NULL by ``(doc_id + pos) % 6``; rows with ``% 5 = 1`` absent,
     rows with ``% 9 = 0`` answered twice (copy ``dup = 1`` says ``'0'``)."""
     k = kept(spark, sf_dir).where(_h() % 5 != 1)
+    k = k.withColumn("dup", F.explode(F.when(_h() % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     m = _h() % 6
     raw = (
         F.when(m == 0, "1").when(m == 1, "0").when(m == 2, "Output: 1").when(m == 3, "yes").when(m == 4, "10")
         .otherwise(F.lit(None).cast("string"))
     )
-    base = k.select("file_name", "paragraph", "pos", F.lit(0).alias("dup"), raw.alias("fact"))
-    copy = k.where(_h() % 9 == 0).select("file_name", "paragraph", "pos", F.lit(1).alias("dup"), F.lit("0").alias("fact"))
-    return base.unionByName(copy)
+    return k.select("file_name", "paragraph", "pos", "dup", F.when(F.col("dup") == 1, F.lit("0")).otherwise(raw).alias("fact"))
 
 
 def header_paras(spark: SparkSession, sf_dir: str) -> DataFrame:

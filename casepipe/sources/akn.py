@@ -71,7 +71,8 @@ def _paragraph_rows(section: str):
                     continue
                 for i, p in enumerate(sec.iterfind(f".//{p_tag}")):
                     rows.append((path, i, _full_text(p), None))
-            yield pd.DataFrame(rows, columns=["file_name", "pos", "paragraph", "error"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_name", "pos", "paragraph", "error"])
 
     return run
 
@@ -118,7 +119,8 @@ def _header_files(scan: DataFrame) -> DataFrame:
                     continue
                 if root.tag == hdr_tag or root.find(f".//{hdr_tag}") is not None:
                     keep.append(path)
-            yield pd.DataFrame({"file_name": keep})
+            if keep:
+                yield pd.DataFrame({"file_name": pd.Series(keep, dtype=object)})
 
     return scan.select("path", "content").mapInPandas(run, "file_name STRING")
 
@@ -146,9 +148,10 @@ def _event_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 return last
 
             walk(root, 0)
-        yield pd.DataFrame(
-            rows, columns=["file_name", "ev", "close_ev", "depth", "tag", "has_style", "text", "tail", "error"]
-        )
+        if rows:
+            yield pd.DataFrame(
+                rows, columns=["file_name", "ev", "close_ev", "depth", "tag", "has_style", "text", "tail", "error"]
+            )
 
 
 def akn_events(scan: DataFrame) -> DataFrame:

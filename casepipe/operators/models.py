@@ -37,8 +37,8 @@ def fit_multilabel(
     labels: Sequence[str],
     split: str = "split",
     threshold: float = 0.3,
-    reg_grid: Sequence[float] = (0.0, 0.01, 0.1),
-    num_features: int = 1 << 18,
+    reg_grid: Sequence[float] = (0.01, 0.1),
+    num_features: int = 1 << 16,
 ) -> DataFrame:
     """Binary-relevance classifier; returns test rows with ``y`` (true label
     array) and ``logits`` (one raw margin per label) for the metric set."""
@@ -55,7 +55,9 @@ def fit_multilabel(
     )
     train = df.where(F.col(split) == "train")
     fm = feats.fit(train)
-    data = fm.transform(df).select("*")
+    # cut the lineage once: every fit below iterates over these rows, and a
+    # reliable checkpoint (the shared spark.checkpoint.dir) survives executor loss
+    data = fm.transform(df).select(split, "_x", *labels).checkpoint()
     tr = data.where(F.col(split) == "train")
     va = data.where(F.col(split) == "validation")
     te = data.where(F.col(split) == "test")
@@ -64,7 +66,7 @@ def fit_multilabel(
     for lab in labels:
         best, best_f1 = None, -1.0
         for reg in reg_grid:
-            m = LogisticRegression(featuresCol="_x", labelCol=lab, regParam=reg, maxIter=50).fit(tr.withColumn(lab, F.col(lab).cast("double")))
+            m = LogisticRegression(featuresCol="_x", labelCol=lab, regParam=reg, maxIter=30).fit(tr.withColumn(lab, F.col(lab).cast("double")))
             pv = m.transform(va.withColumn(lab, F.col(lab).cast("double")))
             f1 = _val_f1(pv, lab, threshold)
             if f1 > best_f1:
@@ -87,7 +89,7 @@ def _val_f1(pred: DataFrame, lab: str, threshold: float) -> float:
     return 0.0 if (2 * tp + fp + fn) == 0 else 2 * tp / (2 * tp + fp + fn)
 
 
-def fit_tagger(tokens: DataFrame, split: str = "split", num_features: int = 1 << 18, reg_grid: Sequence[float] = (0.0, 0.01)) -> DataFrame:
+def fit_tagger(tokens: DataFrame, split: str = "split", num_features: int = 1 << 16, reg_grid: Sequence[float] = (0.01, 0.1)) -> DataFrame:
     """11-way token tagger over window features; returns test tokens with
     ``true_tag`` and ``pred_tag`` names (input for the NER metrics)."""
     from pyspark.ml import Pipeline
@@ -107,12 +109,13 @@ def fit_tagger(tokens: DataFrame, split: str = "split", num_features: int = 1 <<
     )
     f = f.withColumn("_feat", toks).withColumn("_y", tag_id("true_tag").cast("double"))
     hashed = Pipeline(stages=[HashingTF(inputCol="_feat", outputCol="_x", numFeatures=num_features)]).fit(f).transform(f)
+    hashed = hashed.select("doc_id", "idx", "true_tag", split, "_x", "_y").checkpoint()  # lineage cut once
     tr = hashed.where(F.col(split) == "train")
     va = hashed.where(F.col(split) == "validation")
     te = hashed.where(F.col(split) == "test")
     best, best_acc = None, -1.0
     for reg in reg_grid:
-        m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg, maxIter=50, family="multinomial").fit(tr)
+        m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg, maxIter=30, family="multinomial").fit(tr)
         acc = m.transform(va).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0] or 0.0
         if acc > best_acc:
             best, best_acc = m, acc

@@ -538,3 +538,64 @@ def q_multilabel_hamming(spark, sf):
 @register("multilabel_metrics")
 def q_multilabel_metrics(spark, sf):
     return metrics.multilabel_metrics(A.ml_pred(spark, sf))
+
+
+# ------------------------------------------------------------ files
+import uuid  # noqa: E402
+
+from casepipe import sinks  # noqa: E402
+from casepipe.session import ensure_checkpoint_dir  # noqa: E402
+from casepipe.sources import tabular  # noqa: E402
+
+ANNOTATED_SCHEMA = "file_name STRING, pos INT, paragraph STRING, introduction INT, fact INT, citation INT, judgment INT"
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/casepipe-{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    path = _scratch(spark, "csv")
+    sinks.write_csv(q_annotated_paragraphs(spark, sf), path)
+    return tabular.read_table_csv(spark, path, ANNOTATED_SCHEMA)
+
+
+def _exported(spark, sf):
+    root = _scratch(spark, "annotations")
+    sinks.export_cases(q_annotated_paragraphs(spark, sf), root)
+    return root
+
+
+@register("annotation_export_manifest")
+def q_annotation_export_manifest(spark, sf):
+    root = _exported(spark, sf)
+    back = spark.read.option("header", True).schema(ANNOTATED_SCHEMA + ", page STRING, `case` STRING").csv(root)
+    return back.groupBy("page", F.col("case").alias("case_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("annotation_read")
+def q_annotation_read(spark, sf):
+    return tabular.read_annotations(spark, _exported(spark, sf), ANNOTATED_SCHEMA)
+
+
+# ------------------------------------------------------------ models (M2, M3): rows-only checks
+@register("multilabel_train_predict")
+def q_multilabel_train_predict(spark, sf):
+    from casepipe.operators import models
+
+    data = splits.group_split(_consolidated(spark, sf), "file_name")
+    data = data.withColumn("model_text", fn.model_text("paragraph_number", "paragraph"))
+    pred = models.fit_multilabel(data, "model_text", list(joins.LABELS))
+    return metrics.multilabel_metrics(pred, method="mllib-logreg-tfidf")
+
+
+@register("token_tagger")
+def q_token_tagger(spark, sf):
+    from casepipe.operators import models
+
+    tokens = A.ner_pred(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
+    tokens = splits.row_split(tokens, "id")
+    pred = models.fit_tagger(tokens)
+    return metrics.ner_metrics(pred, method="mllib-logreg-window")

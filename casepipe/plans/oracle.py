@@ -760,3 +760,29 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811 - extends the first batch
     out = _base_oracle_sql()
     out.update(oracle_sql_more())
     return out
+
+
+_with_more = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the file round trips
+    out = _with_more()
+    annotated = out["annotated_paragraphs"]
+    out["csv_roundtrip"] = annotated
+    out["annotation_export_manifest"] = with_views(
+        f"""SELECT regexp_extract(regexp_extract(file_name, '([^/\\\\]*)[/\\\\][^/\\\\]*$', 1), '([^_]*)$', 1) AS page,
+       substr(regexp_extract(file_name, '([^/\\\\]*)$', 1), 1, length(regexp_extract(file_name, '([^/\\\\]*)$', 1)) - 4) AS case_name,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM kept GROUP BY 1, 2""",
+        "kept",
+    )
+    out["annotation_read"] = with_views(
+        f"""SELECT file_name, pos, paragraph, CAST(0 AS INTEGER) AS introduction,
+       CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,
+       CAST(regexp_matches(paragraph, {CIT}) AS INTEGER) AS citation,
+       CAST(0 AS INTEGER) AS judgment,
+       'The paragraph number is ' || row_number() OVER (PARTITION BY file_name ORDER BY pos) AS paragraph_number
+FROM kept""",
+        "kept",
+    )
+    return out

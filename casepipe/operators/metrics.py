@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS, THRESHOLD, sigmoid_threshold
-from casepipe.operators.segments import running_count
+from casepipe.operators.segments import running_count, running_counts
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -50,17 +50,50 @@ def chunks(tokens: DataFrame, tag: str, doc: str = "doc_id", idx: str = "idx") -
     ).drop("_chunk")
 
 
+def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
+    """Entities of both tag columns in one pass: ``(doc, side, type, start,
+    end)`` with ``side`` 't' (true) or 'p' (predicted)."""
+    t = tokens.select(doc, idx, "true_tag", "pred_tag")
+    prev = t.select(doc, (F.col(idx) + 1).alias(idx), F.col("true_tag").alias("_pt"), F.col("pred_tag").alias("_pp"))
+    j = t.join(prev, [doc, idx], "left")
+
+    def start(tag: str, prev_tag: str) -> Column:
+        tg, pv = F.col(tag), F.coalesce(F.col(prev_tag), F.lit("O"))
+        typ = F.when(tg == "O", F.lit(None)).otherwise(F.substring_index(tg, "-", -1))
+        ptyp = F.when(pv == "O", F.lit(None)).otherwise(F.substring_index(pv, "-", -1))
+        return ((tg != "O") & ((F.substring_index(tg, "-", 1) == "B") | (pv == "O") | ~typ.eqNullSafe(ptyp))).cast("int")
+
+    c = running_counts(j, doc, idx, {"_ct": start("true_tag", "_pt"), "_cp": start("pred_tag", "_pp")})
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit("t").alias("side"), F.col("true_tag").alias("tag"), F.col("_ct").alias("ch")),
+            F.struct(F.lit("p").alias("side"), F.col("pred_tag").alias("tag"), F.col("_cp").alias("ch")),
+        )
+    )
+    e = c.select(doc, idx, sides.alias("s")).select(doc, idx, "s.side", "s.tag", "s.ch").where(F.col("tag") != "O")
+    return e.groupBy(doc, "side", "ch").agg(
+        F.min_by(F.substring_index(F.col("tag"), "-", -1), F.col(idx)).alias("type"),
+        F.min(idx).alias("start"),
+        F.max(idx).alias("end"),
+    ).drop("ch")
+
+
 def ner_entity_scores(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
     """One row: entity-level precision, recall, F1 (micro over types) and
-    token accuracy; zero division -> 0."""
-    tc = chunks(tokens, "true_tag", doc, idx)
-    pc = chunks(tokens, "pred_tag", doc, idx)
-    keys = [doc, "type", "start", "end"]
-    n_true = tc.agg(F.count(F.lit(1)).alias("n_true"))
-    n_pred = pc.agg(F.count(F.lit(1)).alias("n_pred"))
-    tp = tc.join(pc, keys, "inner").agg(F.count(F.lit(1)).alias("tp"))
+    token accuracy; zero division -> 0.  True and predicted entities come
+    from one pass; a true positive is an entity present on both sides, found
+    by one more aggregate instead of a join."""
+    ent = _both_chunks(tokens, doc, idx)
+    per = ent.groupBy(doc, "type", "start", "end").agg(
+        F.max((F.col("side") == "t").cast("int")).alias("_t"), F.max((F.col("side") == "p").cast("int")).alias("_p")
+    )
+    counts = per.agg(
+        F.coalesce(F.sum("_t"), F.lit(0)).cast("long").alias("n_true"),
+        F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("n_pred"),
+        F.coalesce(F.sum(F.col("_t") * F.col("_p")), F.lit(0)).cast("long").alias("tp"),
+    )
     acc = tokens.agg(F.avg((F.col("true_tag") == F.col("pred_tag")).cast("double")).alias("accuracy"))
-    one = n_true.crossJoin(n_pred).crossJoin(tp).crossJoin(acc)  # four one-row frames
+    one = counts.crossJoin(acc)  # two one-row frames
     p = _safe_div(F.col("tp"), F.col("n_pred"))
     r = _safe_div(F.col("tp"), F.col("n_true"))
     return one.select(

@@ -61,6 +61,31 @@ def running_count(
     return res if keep_block else res.drop("_blk")
 
 
+def running_counts(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    order: str,
+    flags: dict[str, Column],
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``running_count`` for several flags in one pass (one block aggregate,
+    one offset join, one window); ``flags`` maps output name -> 0/1 flag."""
+    keys = _keys(keys)
+    names = list(flags)
+    b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
+    b = b.select("*", *[flags[n].cast("long").alias(f"_f_{n}") for n in names])
+    per_block = b.groupBy(*keys, "_blk").agg(*[F.sum(f"_f_{n}").alias(f"_bc_{n}") for n in names])
+    w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(
+        *keys, "_blk", *[F.coalesce(F.sum(f"_bc_{n}").over(w_blocks), F.lit(0)).alias(f"_off_{n}") for n in names]
+    )
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    res = b.join(offsets, [*keys, "_blk"], "inner").select(
+        "*", *[(F.col(f"_off_{n}") + F.sum(f"_f_{n}").over(w_in)).cast("int").alias(n) for n in names]
+    )
+    return res.drop("_blk", *[f"_f_{n}" for n in names], *[f"_off_{n}" for n in names])
+
+
 def _ordered_join(order: str, value: str, sep: str) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)

@@ -372,7 +372,7 @@ def q_akn_cover(spark, sf):
 
 
 def _akn_segments(spark, sf):
-    return segments.build_segments(akn.akn_events(A.akn_xml(spark, sf)).where(F.col("error").isNull()))
+    return segments.build_segments(akn.akn_events(A.akn_xml(spark, sf), materialize=True).where(F.col("error").isNull()))
 
 
 @register("akn_segments")

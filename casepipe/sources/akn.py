@@ -154,11 +154,18 @@ def _event_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def akn_events(scan: DataFrame) -> DataFrame:
+def akn_events(scan: DataFrame, materialize: bool = False) -> DataFrame:
     """One row per element in pre-order: ``(file_name, ev, close_ev, depth,
     tag, has_style, text, tail)``; ``close_ev`` is the pre-order number of
-    the element's last descendant (for document-order segments)."""
-    return scan.select("path", "content").mapInPandas(_event_rows, EVENT_SCHEMA)
+    the element's last descendant (for document-order segments).
+
+    With ``materialize`` the parsed events are written once to the shared
+    checkpoint folder (``checkpoint()``, eager): operators downstream read
+    the event table more than once, and the Python parse is the expensive
+    step, so it runs a single time and survives executor loss.
+    """
+    ev = scan.select("path", "content").mapInPandas(_event_rows, EVENT_SCHEMA)
+    return ev.checkpoint() if materialize else ev
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

@@ -128,7 +128,9 @@ def tag_report(tokens: DataFrame) -> DataFrame:
     tp = tokens.where(F.col("true_tag") == F.col("pred_tag")).groupBy(F.col("true_tag").alias("class")).agg(
         F.count(F.lit(1)).alias("tp")
     )
-    j = vocab.join(F.broadcast(sup), "class", "left").join(F.broadcast(pred), "class", "left").join(F.broadcast(tp), "class", "left")
+    # the per-tag aggregates are as many rows as distinct tag strings in the
+    # data (not a proven bound): AQE broadcasts them when measured small
+    j = vocab.join(sup, "class", "left").join(pred, "class", "left").join(tp, "class", "left")
     j = j.fillna(0, ["support", "predicted", "tp"])
     p = _safe_div(F.col("tp"), F.col("predicted"))
     r = _safe_div(F.col("tp"), F.col("support"))

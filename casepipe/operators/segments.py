@@ -104,17 +104,20 @@ def concat_by(
 
     Pre-aggregated per (group, block) so each first-level group is bounded by
     ``block_rows`` rows; the second level joins one partial string per block.
-    NULL values are skipped.  Also returns ``first_<order>`` (min order).
+    NULL values are skipped.  Also returns ``first_<order>`` and
+    ``last_<order>`` (min and max order of the group).
     """
     keys = _keys(keys)
     src = df.where(F.col(value).isNotNull())
     src = src if "_blk" in src.columns else with_block(src, order, block_rows)
     partial = (
         src.groupBy(*keys, "_blk")
-        .agg(_ordered_join(order, value, sep).alias("_part"), F.min(order).alias("_first"))
+        .agg(_ordered_join(order, value, sep).alias("_part"), F.min(order).alias("_first"), F.max(order).alias("_last"))
     )
     return partial.groupBy(*keys).agg(
-        _ordered_join("_first", "_part", sep).alias(out), F.min("_first").alias(f"first_{order}")
+        _ordered_join("_first", "_part", sep).alias(out),
+        F.min("_first").alias(f"first_{order}"),
+        F.max("_last").alias(f"last_{order}"),
     )
 
 

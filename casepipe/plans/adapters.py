@@ -225,7 +225,8 @@ def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare
     ``word TAB`` every 13th word, a four-column line every 17th), a blank
     line after every 10th word, and for ``doc_id % 9 = 0`` a second DOCSTART
-    at the end (an empty document)."""
+    at the end (an empty document).  Word and blank lines come from one pass
+    over the word table (an ``explode`` of one or two lines per word)."""
     w = _word_table(spark, sf_dir)
     i = F.col("idx")
     line = (
@@ -234,14 +235,17 @@ def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat("word", F.lit("\t"), "tag"))
     )
     base = F.col("doc_id") * 1000
-    words = w.select("doc_id", (base + i * 2 + 1).alias("line_no"), line.alias("line"))
-    blanks = w.where(i % 10 == 9).select("doc_id", (base + i * 2 + 2).alias("line_no"), F.lit("").alias("line"))
+    word_line = F.struct((base + i * 2 + 1).alias("line_no"), line.alias("line"))
+    blank_line = F.struct((base + i * 2 + 2).alias("line_no"), F.lit("").alias("line"))
+    both = F.when(i % 10 == 9, F.array(word_line, blank_line)).otherwise(F.array(word_line))
+    words = w.select("doc_id", F.explode(both).alias("l")).select("doc_id", "l.line_no", "l.line")
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    starts = docs.select("doc_id", (F.col("doc_id") * 1000).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
-    extra = docs.where(F.col("doc_id") % 9 == 0).select(
-        "doc_id", (F.col("doc_id") * 1000 + 999).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line")
-    )
-    allv = words.unionByName(blanks).unionByName(starts).unionByName(extra)
+    start = F.struct((F.col("doc_id") * 1000).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    extra = F.struct((F.col("doc_id") * 1000 + 999).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    starts = docs.select(
+        "doc_id", F.explode(F.when(F.col("doc_id") % 9 == 0, F.array(start, extra)).otherwise(F.array(start))).alias("l")
+    ).select("doc_id", "l.line_no", "l.line")
+    allv = words.unionByName(starts)
     return allv.select(F.lit("output-iob.tsv").alias("file"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -293,16 +297,16 @@ def akn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pos % 7 == 3, F.concat(F.lit("<num>"), _s(pos), F.lit("</num>"), ptag))
         .otherwise(ptag)
     )
-    frag = p.select("file_name", "doc_id", "pos", F.when(pos < 2, ptag).otherwise(body).alias("frag"), (pos < 2).alias("hdr"))
-    head = concat_by(frag.where("hdr"), "file_name", "pos", "frag", "", out="h").select("file_name", "h")
-    bod = concat_by(frag.where(~F.col("hdr")), "file_name", "pos", "frag", "", out="b").select("file_name", "b")
-    files = p.select("file_name", "doc_id").distinct()
-    j = files.join(head, "file_name", "left").join(bod, "file_name", "left")
+    # one ordered concat per document: the body opens right before the
+    # first body line (pos 2); documents without body lines get it at the end
+    opener = F.lit("</header><judgmentBody>")
+    frag = F.when(pos < 2, ptag).when(pos == 2, F.concat(opener, body)).otherwise(body)
+    docs = concat_by(p.select("file_name", "doc_id", "pos", frag.alias("frag")), ["file_name", "doc_id"], "pos", "frag", "", out="x")
+    j = docs
     xml = F.concat(
         F.lit(f'<akomaNtoso xmlns="{AKN_NS}"><judgment><header>'),
-        F.coalesce("h", F.lit("")),
-        F.lit("</header><judgmentBody>"),
-        F.coalesce("b", F.lit("")),
+        F.col("x"),
+        F.when(F.col("last_pos") < 2, opener).otherwise(F.lit("")),
         F.lit("</judgmentBody></judgment></akomaNtoso>"),
     )
     xml = F.when(F.col("doc_id") % 50 == 7, F.substring(xml, 1, 60)).otherwise(xml)

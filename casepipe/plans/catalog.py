@@ -421,7 +421,7 @@ def q_label_resume(spark, sf):
 # ------------------------------------------------------------ IOB / NER
 @register("iob_documents")
 def q_iob_documents(spark, sf):
-    return iob.iob_documents(A.iob_lines(spark, sf)).select("id", "tokens", "ner_tags")
+    return iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id", "tokens", "ner_tags")
 
 
 @register("iob_tokens")
@@ -481,7 +481,7 @@ def q_argmax_decode(spark, sf):
 
 @register("row_split")
 def q_row_split(spark, sf):
-    docs = iob.iob_documents(A.iob_lines(spark, sf)).select("id")
+    docs = iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id")
     return splits.row_split(docs, "id")
 
 

@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no") -> DataFrame:
+def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no", materialize: bool = False) -> DataFrame:
     """Trainer reader: documents ``(id, tokens, ner_tags)``.
 
     Each line is stripped; a line starting ``-DOCSTART- -X-`` ends the current
@@ -39,7 +39,9 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
     = first field, tag = last field, unknown tag -> 0.  Empty documents take
     no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` must be dense
     per file for the block split to stay balanced (or any increasing number:
-    results stay exact either way).
+    results stay exact either way).  With ``materialize`` the per-document
+    table is checkpointed once (eager, shared checkpoint folder) because the
+    id numbering reads it three times.
     """
     s = lines.select(file_col, order, strip_ws(F.col("line")).alias("_l"))
     start = F.col("_l").startswith(DOCSTART_TRAINER).cast("int")
@@ -62,6 +64,8 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
         F.transform("_x", lambda x: x["t"]).alias("tokens"),
         F.transform("_x", lambda x: x["g"]).alias("ner_tags"),
     )
+    if materialize:
+        docs = docs.checkpoint()
     # dense ids in (file, document) order: files ranked by name (one row per
     # file), then a running count over the document table (one row per
     # document), split in blocks -- never one window over all documents

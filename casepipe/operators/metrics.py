@@ -185,12 +185,21 @@ def multilabel_roc_auc(df: DataFrame, y: str = "y", score: str = "logits", thres
 
 
 def multilabel_hamming(df: DataFrame, y: str = "y", score: str = "logits", threshold: float = THRESHOLD) -> DataFrame:
-    cells = _cells(df, y, score, threshold)
-    return cells.agg(F.avg((F.col("y") != F.col("p")).cast("double")).alias("hamming_loss"))
+    """Mismatched cells / all cells (from the per-label confusion counts)."""
+    c = _per_label(_cells(df, y, score, threshold))
+    return c.agg((F.sum(F.col("fp") + F.col("fn")) / F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("hamming_loss"))
 
 
 def multilabel_metrics(df: DataFrame, y: str = "y", score: str = "logits", threshold: float = THRESHOLD, method: str = "casepipe") -> DataFrame:
-    """Metric set: macro ROC-AUC (thresholded), Hamming loss, macro F1, method."""
-    per = multilabel_per_label(df, y, score, threshold).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("f1").alias("f1"))
-    ham = multilabel_hamming(df, y, score, threshold)
-    return per.crossJoin(ham).select("roc_auc", "hamming_loss", "f1", F.lit(method).alias("method"))
+    """Metric set: macro ROC-AUC (thresholded), Hamming loss, macro F1, method.
+
+    One pass: cells -> per-label confusion counts -> every metric."""
+    c = _per_label(_cells(df, y, score, threshold))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    f1 = F.when((2 * tp + fp + fn) == 0, F.lit(0.0)).otherwise(2 * tp / (2 * tp + fp + fn))
+    auc = F.when(((tp + fn) == 0) | ((tn + fp) == 0), F.lit(None).cast("double")).otherwise((tp / (tp + fn) + tn / (tn + fp)) / 2)
+    return c.agg(
+        F.avg(auc).alias("roc_auc"),
+        (F.sum(fp + fn) / F.sum(tp + fp + fn + tn)).alias("hamming_loss"),
+        F.avg(f1).alias("f1"),
+    ).select("roc_auc", "hamming_loss", "f1", F.lit(method).alias("method"))

@@ -599,3 +599,19 @@ def q_token_tagger(spark, sf):
     tokens = splits.row_split(tokens, "id")
     pred = models.fit_tagger(tokens)
     return metrics.ner_metrics(pred, method="mllib-logreg-window")
+
+
+@register("xml_scan")
+def q_xml_scan(spark, sf):
+    """Materialise the generated judgments as ``xml_page_N/doc_M.xml`` files
+    in the shared scratch folder, then scan immediate sub-folders."""
+    root = _scratch(spark, "xml")
+    written = sinks.write_documents(A.akn_xml(spark, sf), root)
+    written.agg(F.count(F.lit(1))).collect()  # the write itself (one-row result)
+    scan = akn.scan_documents(spark, root)
+    parts = F.split(F.col("path"), "/")
+    return scan.select(
+        F.element_at(parts, -2).alias("folder"),
+        F.element_at(parts, -1).alias("name"),
+        (F.length("content") > 0).alias("has_content"),
+    )

@@ -786,3 +786,16 @@ FROM kept""",
         "kept",
     )
     return out
+
+
+_with_files = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the corpus scan
+    out = _with_files()
+    out["xml_scan"] = with_views(
+        """SELECT 'xml_page_' || (doc_id % 10 + 1) AS folder, 'doc_' || doc_id || '.xml' AS name, true AS has_content
+FROM (SELECT DISTINCT doc_id FROM paras)""",
+        "paras",
+    )
+    return out

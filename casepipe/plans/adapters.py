@@ -210,9 +210,9 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 50 words of every document with a tag from the md5 of the word."""
+    """Every word of every document (whole texts) with a tag from the md5 of the word."""
     d = text_table(spark, sf_dir, "documents", "doc_id", "text")
-    words = F.slice(F.filter(F.split("text", r"\s+", -1), lambda x: x != ""), 1, 50)
+    words = F.filter(F.split("text", r"\s+", -1), lambda x: x != "")
     w = d.select("doc_id", F.posexplode(words).alias("idx", "word"))
     b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("word"), 1, 1)) - 1
     tags = F.array(*[F.lit(t) for t in TAGS])
@@ -220,6 +220,9 @@ def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.col("idx").cast("int").alias("idx"), "word", b.alias("bucket"), tag.alias("tag"))
 
 
+LINE_STRIDE = 1_000_000  # line numbers per document: 2 lines per word, far above the longest text
+
+
 def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An IOB file as ``(file, line_no, line)``: per document a
     ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare
@@ -234,14 +237,14 @@ def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 17 == 16, F.concat("word", F.lit("\t_\t_\t"), "tag"))
         .otherwise(F.concat("word", F.lit("\t"), "tag"))
     )
-    base = F.col("doc_id") * 1000
+    base = F.col("doc_id") * LINE_STRIDE
     word_line = F.struct((base + i * 2 + 1).alias("line_no"), line.alias("line"))
     blank_line = F.struct((base + i * 2 + 2).alias("line_no"), F.lit("").alias("line"))
     both = F.when(i % 10 == 9, F.array(word_line, blank_line)).otherwise(F.array(word_line))
     words = w.select("doc_id", F.explode(both).alias("l")).select("doc_id", "l.line_no", "l.line")
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    start = F.struct((F.col("doc_id") * 1000).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
-    extra = F.struct((F.col("doc_id") * 1000 + 999).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    start = F.struct((F.col("doc_id") * LINE_STRIDE).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    extra = F.struct((F.col("doc_id") * LINE_STRIDE + LINE_STRIDE - 1).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
     starts = docs.select(
         "doc_id", F.explode(F.when(F.col("doc_id") % 9 == 0, F.array(start, extra)).otherwise(F.array(start))).alias("l")
     ).select("doc_id", "l.line_no", "l.line")

@@ -477,7 +477,7 @@ SELECT doc_id, idx, word, b AS bucket, CASE WHEN b < 11 THEN {TAG_LIST}[b + 1] E
 FROM (SELECT doc_id, CAST(idx AS INTEGER) AS idx, word,
              strpos('0123456789abcdef', substr(md5(word), 1, 1)) - 1 AS b
       FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS idx
-            FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:50] AS w
+            FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w
                   FROM documents)))
 """,
     ),
@@ -485,13 +485,13 @@ FROM (SELECT doc_id, CAST(idx AS INTEGER) AS idx, word,
         ("words",),
         r"""
 SELECT 'output-iob.tsv' AS file, CAST(line_no AS BIGINT) AS line_no, line FROM (
-  SELECT doc_id * 1000 + idx * 2 + 1 AS line_no,
+  SELECT doc_id * 1000000 + idx * 2 + 1 AS line_no,
          CASE WHEN idx % 13 = 12 THEN word || chr(9)
               WHEN idx % 17 = 16 THEN word || chr(9) || '_' || chr(9) || '_' || chr(9) || tag
               ELSE word || chr(9) || tag END AS line FROM words
-  UNION ALL SELECT doc_id * 1000 + idx * 2 + 2, '' FROM words WHERE idx % 10 = 9
-  UNION ALL SELECT doc_id * 1000, '-DOCSTART- -X- O O' FROM documents
-  UNION ALL SELECT doc_id * 1000 + 999, '-DOCSTART- -X- O O' FROM documents WHERE doc_id % 9 = 0)
+  UNION ALL SELECT doc_id * 1000000 + idx * 2 + 2, '' FROM words WHERE idx % 10 = 9
+  UNION ALL SELECT doc_id * 1000000, '-DOCSTART- -X- O O' FROM documents
+  UNION ALL SELECT doc_id * 1000000 + 999999, '-DOCSTART- -X- O O' FROM documents WHERE doc_id % 9 = 0)
 """,
     ),
     "ner_pred": (

@@ -78,28 +78,54 @@ def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
     ).drop("ch")
 
 
-def ner_entity_scores(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
-    """One row: entity-level precision, recall, F1 (micro over types) and
-    token accuracy; zero division -> 0.  True and predicted entities come
-    from one pass; a true positive is an entity present on both sides, found
-    by one more aggregate instead of a join."""
+def _ner_counts(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
+    """One aggregate over a union of entity rows and token rows: entity
+    counts (true, predicted, both) and token counts (correct, entity flags)."""
     ent = _both_chunks(tokens, doc, idx)
     per = ent.groupBy(doc, "type", "start", "end").agg(
-        F.max((F.col("side") == "t").cast("int")).alias("_t"), F.max((F.col("side") == "p").cast("int")).alias("_p")
+        F.max((F.col("side") == "t").cast("long")).alias("_t"), F.max((F.col("side") == "p").cast("long")).alias("_p")
+    )
+    nul = F.lit(None).cast("long")
+    ent_rows = per.select("_t", "_p", nul.alias("_ok"), nul.alias("_y"), nul.alias("_yh"))
+    tok_rows = tokens.select(
+        nul.alias("_t"),
+        nul.alias("_p"),
+        (F.col("true_tag") == F.col("pred_tag")).cast("long").alias("_ok"),
+        (F.col("true_tag") != "O").cast("long").alias("_y"),
+        (F.col("pred_tag") != "O").cast("long").alias("_yh"),
     )
-    counts = per.agg(
-        F.coalesce(F.sum("_t"), F.lit(0)).cast("long").alias("n_true"),
-        F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("n_pred"),
-        F.coalesce(F.sum(F.col("_t") * F.col("_p")), F.lit(0)).cast("long").alias("tp"),
+    z = F.lit(0)
+    return ent_rows.unionByName(tok_rows).agg(
+        F.coalesce(F.sum("_t"), z).cast("long").alias("n_true"),
+        F.coalesce(F.sum("_p"), z).cast("long").alias("n_pred"),
+        F.coalesce(F.sum(F.col("_t") * F.col("_p")), z).cast("long").alias("tp"),
+        F.avg("_ok").alias("accuracy"),
+        F.count("_ok").alias("n"),
+        F.coalesce(F.sum("_y"), z).alias("pos"),
+        F.coalesce(F.sum("_yh"), z).alias("pp"),
+        F.coalesce(F.sum(F.col("_y") * F.col("_yh")), z).alias("tpb"),
     )
-    acc = tokens.agg(F.avg((F.col("true_tag") == F.col("pred_tag")).cast("double")).alias("accuracy"))
-    one = counts.crossJoin(acc)  # two one-row frames
+
+
+def _entity_cols() -> list[Column]:
     p = _safe_div(F.col("tp"), F.col("n_pred"))
     r = _safe_div(F.col("tp"), F.col("n_true"))
-    return one.select(
-        p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"), F.col("accuracy"),
-        F.col("n_true"), F.col("n_pred"), F.col("tp"),
-    )
+    return [p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"), F.col("accuracy")]
+
+
+def _auc_col(tp: str = "tpb") -> Column:
+    base = _safe_div(F.col("pos"), F.col("n"))
+    p1 = _safe_div(F.col(tp), F.col("pp"))
+    r1 = _safe_div(F.col(tp), F.col("pos"))
+    return F.when(F.col("pp") == 0, (base + 1) / 2).otherwise((1 - r1) * (base + p1) / 2 + r1 * (p1 + 1) / 2)
+
+
+def ner_entity_scores(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
+    """One row: entity-level precision, recall, F1 (micro over types) and
+    token accuracy; zero division -> 0.  True and predicted entities come
+    from one pass; a true positive is an entity present on both sides, found
+    by one more aggregate instead of a join."""
+    return _ner_counts(tokens, doc, idx).select(*_entity_cols(), "n_true", "n_pred", "tp")
 
 
 def ner_auc_pr(tokens: DataFrame) -> DataFrame:
@@ -107,17 +133,8 @@ def ner_auc_pr(tokens: DataFrame) -> DataFrame:
     predictions (trapezoid over the curve points (1, base), (r, p), (0, 1))."""
     y = (F.col("true_tag") != "O").cast("long")
     yh = (F.col("pred_tag") != "O").cast("long")
-    c = tokens.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(y).alias("pos"),
-        F.sum(yh).alias("pp"),
-        F.sum(y * yh).alias("tp"),
-    )
-    base = _safe_div(F.col("pos"), F.col("n"))
-    p1 = _safe_div(F.col("tp"), F.col("pp"))
-    r1 = _safe_div(F.col("tp"), F.col("pos"))
-    auc = F.when(F.col("pp") == 0, (base + 1) / 2).otherwise((1 - r1) * (base + p1) / 2 + r1 * (p1 + 1) / 2)
-    return c.select(auc.alias("auc_pr"))
+    c = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"), F.sum(yh).alias("pp"), F.sum(y * yh).alias("tpb"))
+    return c.select(_auc_col().alias("auc_pr"))
 
 
 def tag_report(tokens: DataFrame) -> DataFrame:
@@ -138,9 +155,9 @@ def tag_report(tokens: DataFrame) -> DataFrame:
 
 
 def ner_metrics(tokens: DataFrame, method: str = "casepipe", doc: str = "doc_id", idx: str = "idx") -> DataFrame:
-    """Metric set: precision, recall, F1, accuracy, PR-AUC and ``method``."""
-    s = ner_entity_scores(tokens, doc, idx).select("precision", "recall", "f1", "accuracy")
-    return s.crossJoin(ner_auc_pr(tokens)).withColumn("method", F.lit(method))
+    """Metric set: precision, recall, F1, accuracy, PR-AUC and ``method``,
+    all from one aggregate."""
+    return _ner_counts(tokens, doc, idx).select(*_entity_cols(), _auc_col().alias("auc_pr"), F.lit(method).alias("method"))
 
 
 def _cells(df: DataFrame, y: str, score: str, threshold: float) -> DataFrame:

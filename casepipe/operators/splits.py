@@ -10,7 +10,7 @@ each unit lands in exactly one part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: must equal the reference's for identical results -------
@@ -21,8 +21,9 @@ FRACTIONS = (0.7, 0.15, 0.15)
 BUCKET_HEX = 4  # 16^4 = 65,536 hash buckets
 
 
-def unit_rank(units: DataFrame, key: str, seed: int = SEED) -> DataFrame:
-    """``(key, rank)``: 0-based rank of every distinct unit in hash order."""
+def unit_rank(units: DataFrame, key: str, seed: int = SEED) -> tuple[DataFrame, Column]:
+    """``(key, rank)`` -- 0-based rank of every distinct unit in hash order --
+    and the number of units as a scalar-subquery Column."""
     u = units.select(key).where(F.col(key).isNotNull()).distinct()
     u = u.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
     u = u.withColumn("_bk", F.substring("_h", 1, BUCKET_HEX))
@@ -31,17 +32,13 @@ def unit_rank(units: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     # at most 65,536 rows: the one global window here is over bucket totals
     off = per.select("_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy("_bk").orderBy("_h", key)
-    return (
-        u.join(F.broadcast(off), "_bk")
-        .select(key, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long").alias("rank"))
-    )
+    ranks = u.join(F.broadcast(off), "_bk").select(key, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long").alias("rank"))
+    n = per.agg(F.sum("_n").cast("long")).scalar()
+    return ranks, n
 
 
-def _sizes(units: DataFrame, fractions=FRACTIONS) -> DataFrame:
-    n = units.agg(F.count(F.lit(1)).alias("n"))
-    train = F.floor(F.lit(float(fractions[0])) * F.col("n")).cast("long")
-    val = F.floor(F.lit(float(fractions[1])) * F.col("n")).cast("long")
-    return n.select("n", train.alias("n_train"), val.alias("n_val"))
+def _label(rank: Column, n_train: Column, n_val: Column) -> Column:
+    return F.when(rank < n_train, "train").when(rank < n_train + n_val, "validation").otherwise("test")
 
 
 def group_split(df: DataFrame, key: str = "file_name", fractions=FRACTIONS, seed: int = SEED) -> DataFrame:
@@ -49,19 +46,12 @@ def group_split(df: DataFrame, key: str = "file_name", fractions=FRACTIONS, seed
 
     Sizes follow Python's double arithmetic: ``int(0.7 * n)`` train,
     ``int(0.15 * n)`` validation, the rest test (``n`` distinct units).
+    ``n`` is a scalar subquery over the bucket totals (no cross join).
     """
-    ranks = unit_rank(df, key, seed)
-    sizes = _sizes(ranks, fractions)
-    part = (
-        ranks.crossJoin(F.broadcast(sizes))  # one-row side
-        .select(
-            key,
-            F.when(F.col("rank") < F.col("n_train"), "train")
-            .when(F.col("rank") < F.col("n_train") + F.col("n_val"), "validation")
-            .otherwise("test")
-            .alias("split"),
-        )
-    )
+    ranks, n = unit_rank(df, key, seed)
+    n_train = F.floor(F.lit(float(fractions[0])) * n)
+    n_val = F.floor(F.lit(float(fractions[1])) * n)
+    part = ranks.select(key, _label(F.col("rank"), n_train, n_val).alias("split"))
     return df.join(part, key, "inner")
 
 
@@ -80,16 +70,9 @@ def row_split(df: DataFrame, key: str = "id", train: float = 0.7, seed: int = SE
     in double arithmetic (so ``1 - 0.7`` is ``0.30000000000000004``);
     validation is the rest of the held-out part.
     """
-    ranks = unit_rank(df, key, seed)
-    n = ranks.agg(F.count(F.lit(1)).alias("n"))
-    sizes = n.select(
-        "n", F.ceil(F.lit(1.0 - train) * F.col("n")).cast("long").alias("m")
-    ).select("n", "m", (F.col("n") - F.col("m")).alias("n_train"), (F.col("m") - F.ceil(F.lit(0.5) * F.col("m")).cast("long")).alias("n_val"))
-    part = ranks.crossJoin(F.broadcast(sizes)).select(
-        key,
-        F.when(F.col("rank") < F.col("n_train"), "train")
-        .when(F.col("rank") < F.col("n_train") + F.col("n_val"), "validation")
-        .otherwise("test")
-        .alias("split"),
-    )
+    ranks, n = unit_rank(df, key, seed)
+    m = F.ceil(F.lit(1.0 - train) * n)
+    n_train = n - m
+    n_val = m - F.ceil(F.lit(0.5) * m)
+    part = ranks.select(key, _label(F.col("rank"), n_train, n_val).alias("split"))
     return df.join(part, key, "inner")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS, THRESHOLD, sigmoid_threshold
-from casepipe.operators.segments import running_count, running_counts
+from casepipe.operators.segments import neighbours, running_count, running_counts
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -33,8 +33,7 @@ def chunks(tokens: DataFrame, tag: str, doc: str = "doc_id", idx: str = "idx") -
     tokens up to the next ``O`` or chunk start.
     """
     t = tokens.select(doc, idx, F.col(tag).alias("_tag"))
-    prev = t.select(doc, (F.col(idx) + 1).alias(idx), F.col("_tag").alias("_prev"))
-    j = t.join(prev, [doc, idx], "left")
+    j = neighbours(t, doc, idx, ["_tag"]).withColumnRenamed("prev__tag", "_prev")
     typ = F.when(F.col("_tag") == "O", F.lit(None)).otherwise(F.substring_index(F.col("_tag"), "-", -1))
     prev_typ = F.when(F.coalesce(F.col("_prev"), F.lit("O")) == "O", F.lit(None)).otherwise(
         F.substring_index(F.col("_prev"), "-", -1)
@@ -54,8 +53,8 @@ def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
     """Entities of both tag columns in one pass: ``(doc, side, type, start,
     end)`` with ``side`` 't' (true) or 'p' (predicted)."""
     t = tokens.select(doc, idx, "true_tag", "pred_tag")
-    prev = t.select(doc, (F.col(idx) + 1).alias(idx), F.col("true_tag").alias("_pt"), F.col("pred_tag").alias("_pp"))
-    j = t.join(prev, [doc, idx], "left")
+    j = neighbours(t, doc, idx, ["true_tag", "pred_tag"], keep_block=True)
+    j = j.withColumnRenamed("prev_true_tag", "_pt").withColumnRenamed("prev_pred_tag", "_pp")
 
     def start(tag: str, prev_tag: str) -> Column:
         tg, pv = F.col(tag), F.coalesce(F.col(prev_tag), F.lit("O"))
@@ -63,7 +62,7 @@ def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
         ptyp = F.when(pv == "O", F.lit(None)).otherwise(F.substring_index(pv, "-", -1))
         return ((tg != "O") & ((F.substring_index(tg, "-", 1) == "B") | (pv == "O") | ~typ.eqNullSafe(ptyp))).cast("int")
 
-    c = running_counts(j, doc, idx, {"_ct": start("true_tag", "_pt"), "_cp": start("pred_tag", "_pp")})
+    c = running_counts(j, doc, idx, {"_ct": start("true_tag", "_pt"), "_cp": start("pred_tag", "_pp")}, reuse_block=True)
     sides = F.explode(
         F.array(
             F.struct(F.lit("t").alias("side"), F.col("true_tag").alias("tag"), F.col("_ct").alias("ch")),

@@ -15,19 +15,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casepipe.operators.segments import neighbours
+
 
 def token_features(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx", word: str = "word") -> DataFrame:
     """Previous / next word, word shape (``X`` upper, ``x`` lower, ``d``
-    digit) and 3-character suffix.  Neighbours come from equi-joins on
-    ``(doc, idx +- 1)`` -- hash-partitioned, so a long document is not one task."""
-    t = tokens.select(doc, idx, word)
-    prev = t.select(doc, (F.col(idx) + 1).alias(idx), F.col(word).alias("prev_word"))
-    nxt = t.select(doc, (F.col(idx) - 1).alias(idx), F.col(word).alias("next_word"))
+    digit) and 3-character suffix.  Neighbours come from block windows
+    (``segments.neighbours``), so a long document is not one task."""
+    t = neighbours(tokens.select(doc, idx, word), doc, idx, [word])
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(word), r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\d", "d")
-    return (
-        t.join(prev, [doc, idx], "left")
-        .join(nxt, [doc, idx], "left")
-        .select(doc, idx, word, "prev_word", "next_word", shape.alias("shape"), F.substring(F.col(word), -3, 3).alias("suffix"))
+    return t.select(
+        doc, idx, word, F.col(f"prev_{word}").alias("prev_word"), F.col(f"next_{word}").alias("next_word"),
+        shape.alias("shape"), F.substring(F.col(word), -3, 3).alias("suffix"),
     )
 
 

@@ -67,12 +67,18 @@ def running_counts(
     order: str,
     flags: dict[str, Column],
     block_rows: int = BLOCK_ROWS,
+    reuse_block: bool = False,
 ) -> DataFrame:
     """``running_count`` for several flags in one pass (one block aggregate,
-    one offset join, one window); ``flags`` maps output name -> 0/1 flag."""
+    one offset join, one window); ``flags`` maps output name -> 0/1 flag.
+    ``reuse_block``: ``df`` already carries ``_blk`` (blocks of the same
+    ``order``, e.g. from ``neighbours``), so its partitioning is reused."""
     keys = _keys(keys)
     names = list(flags)
-    b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
+    if reuse_block:
+        b = df
+    else:
+        b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
     b = b.select("*", *[flags[n].cast("long").alias(f"_f_{n}") for n in names])
     per_block = b.groupBy(*keys, "_blk").agg(*[F.sum(f"_f_{n}").alias(f"_bc_{n}") for n in names])
     w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,6 +92,53 @@ def running_counts(
     return res.drop("_blk", *[f"_f_{n}" for n in names], *[f"_off_{n}" for n in names])
 
 
+def neighbours(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    order: str,
+    cols: Sequence[str],
+    block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
+) -> DataFrame:
+    """Add ``prev_<c>`` / ``next_<c>``: the values of the previous / next row
+    of the same key in ``order`` (NULL at the ends).
+
+    ``lag`` / ``lead`` run inside (key, block) windows; rows at a block edge
+    take their neighbour from a per-block boundary table (first and last row
+    of every block, one row per block) joined on (key, block).  The big side
+    is shuffled once, by (key, block), so a hot key spreads over its blocks.
+    """
+    keys = _keys(keys)
+    cols = list(cols)
+    b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
+    w = Window.partitionBy(*keys, "_blk").orderBy(order)
+    b = b.select(
+        "*",
+        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols],
+        *[F.lead(c).over(w).alias(f"_lead_{c}") for c in cols],
+        F.lag(F.lit(1)).over(w).isNull().alias("_is_first"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_is_last"),
+    )
+    row = F.struct(*[F.col(c) for c in cols])
+    bounds = b.groupBy(*keys, "_blk").agg(
+        F.min_by(row, F.col(order)).alias("_first_row"), F.max_by(row, F.col(order)).alias("_last_row")
+    )
+    wb = Window.partitionBy(*keys).orderBy("_blk")
+    bounds = bounds.select(
+        *keys,
+        "_blk",
+        F.lag("_last_row").over(wb).alias("_before"),
+        F.lead("_first_row").over(wb).alias("_after"),
+    )
+    j = b.join(bounds, [*keys, "_blk"], "inner")
+    out = j.select(
+        *[c for c in b.columns if not c.startswith(("_lag_", "_lead_")) and c not in ("_is_first", "_is_last")],
+        *[F.when(F.col("_is_first"), F.col("_before")[c]).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}") for c in cols],
+        *[F.when(F.col("_is_last"), F.col("_after")[c]).otherwise(F.col(f"_lead_{c}")).alias(f"next_{c}") for c in cols],
+    )
+    return out if keep_block else out.drop("_blk")
+
+
 def _ordered_join(order: str, value: str, sep: str) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)

@@ -421,7 +421,8 @@ def q_label_resume(spark, sf):
 # ------------------------------------------------------------ IOB / NER
 @register("iob_documents")
 def q_iob_documents(spark, sf):
-    return iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id", "tokens", "ner_tags")
+    # the lines are read twice by the document cut: materialise them once
+    return iob.iob_documents(A.iob_lines(spark, sf).checkpoint(), materialize=True).select("id", "tokens", "ner_tags")
 
 
 @register("iob_tokens")
@@ -442,6 +443,13 @@ def q_tag_ids(spark, sf):
     return t.select("line_no", "tag", tag_id("tag").alias("tag_id"), tag_name(tag_id("tag")).alias("tag_name"))
 
 
+def _tokens(spark, sf):
+    """The NER token table, checkpointed once (eager, shared checkpoint
+    folder): the metric queries read it four to five times, and each read
+    would otherwise split every document again."""
+    return A.ner_pred(spark, sf).checkpoint()
+
+
 def _doc_words(spark, sf):
     w = A.ner_pred(spark, sf)
     docs = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", tag_id("true_tag").alias("t")))).alias("_w"))
@@ -487,22 +495,22 @@ def q_row_split(spark, sf):
 
 @register("ner_entity_scores")
 def q_ner_entity_scores(spark, sf):
-    return metrics.ner_entity_scores(A.ner_pred(spark, sf))
+    return metrics.ner_entity_scores(_tokens(spark, sf))
 
 
 @register("ner_auc_pr")
 def q_ner_auc_pr(spark, sf):
-    return metrics.ner_auc_pr(A.ner_pred(spark, sf))
+    return metrics.ner_auc_pr(_tokens(spark, sf))
 
 
 @register("tag_report")
 def q_tag_report(spark, sf):
-    return metrics.tag_report(A.ner_pred(spark, sf))
+    return metrics.tag_report(_tokens(spark, sf))
 
 
 @register("ner_metrics")
 def q_ner_metrics(spark, sf):
-    return metrics.ner_metrics(A.ner_pred(spark, sf))
+    return metrics.ner_metrics(_tokens(spark, sf))
 
 
 @register("token_features")

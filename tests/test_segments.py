@@ -45,3 +45,12 @@ def test_prefix_until_marker(spark):
     df = spark.createDataFrame(rows, "file_name STRING, pos INT, paragraph STRING")
     got = {r.file_name: r.prefix_text for r in segments.prefix_until_marker(df).collect()}
     assert got == {"a": "x\nJUDGMENT\ny\nHearing date: 1", "b": "x\nJudgment", "c": "x\ny"}
+
+
+def test_neighbours_across_blocks(spark):
+    rows = [("hot", i, f"w{i}") for i in range(60)] + [("k", 0, "a"), ("k", 1, "b")]
+    df = spark.createDataFrame(rows, "k STRING, pos INT, v STRING")
+    got = {(r.k, r.pos): (r.prev_v, r.next_v) for r in segments.neighbours(df, "k", "pos", ["v"], block_rows=7).collect()}
+    for i in range(60):
+        assert got[("hot", i)] == (f"w{i-1}" if i else None, f"w{i+1}" if i < 59 else None)
+    assert got[("k", 0)] == (None, "b") and got[("k", 1)] == ("a", None)

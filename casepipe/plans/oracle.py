@@ -703,15 +703,16 @@ SELECT CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall,
         "ner_pred",
     )
     out["tag_report"] = with_views(
-        f"""SELECT v.class,
+        f"""SELECT class, precision, recall,
+       CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1, support
+FROM (SELECT v.class,
        CAST(CASE WHEN coalesce(p.n, 0) = 0 THEN 0.0 ELSE coalesce(t.n, 0) / p.n END AS DOUBLE) AS precision,
        CAST(CASE WHEN coalesce(s.n, 0) = 0 THEN 0.0 ELSE coalesce(t.n, 0) / s.n END AS DOUBLE) AS recall,
-       CAST(CASE WHEN coalesce(t.n, 0) = 0 THEN 0.0 ELSE 2.0 * t.n / (coalesce(p.n, 0) + coalesce(s.n, 0)) END AS DOUBLE) AS f1,
        CAST(coalesce(s.n, 0) AS BIGINT) AS support
 FROM (SELECT unnest({TAG_LIST}) AS class) v
 LEFT JOIN (SELECT true_tag AS class, count(*) AS n FROM ner_pred GROUP BY 1) s USING (class)
 LEFT JOIN (SELECT pred_tag AS class, count(*) AS n FROM ner_pred GROUP BY 1) p USING (class)
-LEFT JOIN (SELECT true_tag AS class, count(*) AS n FROM ner_pred WHERE true_tag = pred_tag GROUP BY 1) t USING (class)""",
+LEFT JOIN (SELECT true_tag AS class, count(*) AS n FROM ner_pred WHERE true_tag = pred_tag GROUP BY 1) t USING (class))""",
         "ner_pred",
     )
     out["token_features"] = with_views(

@@ -49,8 +49,10 @@ def group_split(df: DataFrame, key: str = "file_name", fractions=FRACTIONS, seed
     ``n`` is a scalar subquery over the bucket totals (no cross join).
     """
     ranks, n = unit_rank(df, key, seed)
-    n_train = F.floor(F.lit(float(fractions[0])) * n)
-    n_val = F.floor(F.lit(float(fractions[1])) * n)
+    # bind the scalar subquery to one column so the plan evaluates it once
+    ranks = ranks.withColumn("_n", n)
+    n_train = F.floor(F.lit(float(fractions[0])) * F.col("_n"))
+    n_val = F.floor(F.lit(float(fractions[1])) * F.col("_n"))
     part = ranks.select(key, _label(F.col("rank"), n_train, n_val).alias("split"))
     return df.join(part, key, "inner")
 
@@ -71,8 +73,8 @@ def row_split(df: DataFrame, key: str = "id", train: float = 0.7, seed: int = SE
     validation is the rest of the held-out part.
     """
     ranks, n = unit_rank(df, key, seed)
-    m = F.ceil(F.lit(1.0 - train) * n)
-    n_train = n - m
-    n_val = m - F.ceil(F.lit(0.5) * m)
+    ranks = ranks.withColumn("_n", n).withColumn("_m", F.ceil(F.lit(1.0 - train) * F.col("_n")))
+    n_train = F.col("_n") - F.col("_m")
+    n_val = F.col("_m") - F.ceil(F.lit(0.5) * F.col("_m"))
     part = ranks.select(key, _label(F.col("rank"), n_train, n_val).alias("split"))
     return df.join(part, key, "inner")

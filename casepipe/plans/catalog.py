@@ -488,7 +488,9 @@ def q_argmax_decode(spark, sf):
 
 @register("row_split")
 def q_row_split(spark, sf):
-    docs = iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id")
+    # the document ids are read by the ranking, the size subquery and the join
+    # back: materialise the one-column table once
+    docs = iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id").checkpoint()
     return splits.row_split(docs, "id")
 
 

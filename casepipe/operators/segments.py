@@ -152,16 +152,20 @@ def concat_by(
     sep: str,
     out: str = "text",
     block_rows: int = BLOCK_ROWS,
+    keep_empty_groups: bool = False,
 ) -> DataFrame:
     """Ordered string concat per group: ``sep.join(values sorted by order)``.
 
     Pre-aggregated per (group, block) so each first-level group is bounded by
     ``block_rows`` rows; the second level joins one partial string per block.
-    NULL values are skipped.  Also returns ``first_<order>`` and
+    NULL values are skipped (groups with only NULLs give no row unless
+    ``keep_empty_groups``, then ``''``).  Also returns ``first_<order>`` and
     ``last_<order>`` (min and max order of the group).
     """
     keys = _keys(keys)
-    src = df.where(F.col(value).isNotNull())
+    # NULL values are skipped by array_join; with keep_empty_groups a group
+    # whose values are all NULL still yields a row (with '')
+    src = df if keep_empty_groups else df.where(F.col(value).isNotNull())
     src = src if "_blk" in src.columns else with_block(src, order, block_rows)
     partial = (
         src.groupBy(*keys, "_blk")

@@ -69,6 +69,7 @@ def _paragraph_rows(section: str):
                 sec = root if root.tag == sec_tag else root.find(f".//{sec_tag}")
                 if sec is None:
                     continue
+                rows.append((path, -1, None, None))  # marker: the section exists
                 for i, p in enumerate(sec.iterfind(f".//{p_tag}")):
                     rows.append((path, i, _full_text(p), None))
             if rows:
@@ -77,10 +78,13 @@ def _paragraph_rows(section: str):
     return run
 
 
-def akn_paragraph_texts(scan: DataFrame, section: str = "judgmentBody") -> DataFrame:
+def akn_paragraph_texts(scan: DataFrame, section: str = "judgmentBody", markers: bool = False) -> DataFrame:
     """Raw ``p`` texts under the first ``section`` element, document order,
-    nested ``p`` included; a row with ``error`` set for unparsable files."""
-    return scan.select("path", "content").mapInPandas(_paragraph_rows(section), PARA_SCHEMA)
+    nested ``p`` included; a row with ``error`` set for unparsable files.
+    With ``markers`` each file whose section exists also has a row with
+    ``pos = -1`` and a NULL paragraph (so an empty section is visible)."""
+    raw = scan.select("path", "content").mapInPandas(_paragraph_rows(section), PARA_SCHEMA)
+    return raw if markers else raw.where(F.col("pos").isNull() | (F.col("pos") >= 0))
 
 
 def akn_paragraphs(scan: DataFrame, section: str = "judgmentBody") -> DataFrame:
@@ -92,37 +96,12 @@ def akn_paragraphs(scan: DataFrame, section: str = "judgmentBody") -> DataFrame:
 
 def akn_cover(scan: DataFrame) -> DataFrame:
     """Cover text per file with a ``header``: header ``p`` texts after the
-    cover filter, joined with ``''``; files without a header give no row."""
-    raw = akn_paragraph_texts(scan, "header").where(F.col("error").isNull())
-    files = raw.select("file_name").distinct()
-    # a header without p elements still yields a row (empty cover)
-    hdr = _header_files(scan)
-    ok = raw.where(paragraph_ok("paragraph", need_alnum=False))
-    cov = concat_by(ok, "file_name", "pos", "paragraph", "", out="cover_text").select("file_name", "cover_text")
-    return (
-        hdr.unionByName(files).distinct()
-        .join(cov, "file_name", "left")
-        .select("file_name", F.coalesce("cover_text", F.lit("")).alias("cover_text"))
-    )
-
-
-def _header_files(scan: DataFrame) -> DataFrame:
-    hdr_tag = f"{{{AKN_NS}}}header"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    root = ET.fromstring(bytes(content))
-                except ET.ParseError:
-                    continue
-                if root.tag == hdr_tag or root.find(f".//{hdr_tag}") is not None:
-                    keep.append(path)
-            if keep:
-                yield pd.DataFrame({"file_name": pd.Series(keep, dtype=object)})
-
-    return scan.select("path", "content").mapInPandas(run, "file_name STRING")
+    cover filter, joined with ``''``; files without a header give no row,
+    files whose header has no surviving paragraph give ``''``.  One parse,
+    one ordered concat."""
+    raw = akn_paragraph_texts(scan, "header", markers=True).where(F.col("error").isNull())
+    kept = raw.select("file_name", "pos", F.when(paragraph_ok("paragraph", need_alnum=False), F.col("paragraph")).alias("v"))
+    return concat_by(kept, "file_name", "pos", "v", "", out="cover_text", keep_empty_groups=True).select("file_name", "cover_text")
 
 
 def _event_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

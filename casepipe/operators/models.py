@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from casepipe.session import checkpoint
 
 from casepipe.operators.segments import neighbours
 
@@ -56,7 +57,7 @@ def fit_multilabel(
     fm = feats.fit(train)
     # cut the lineage once: every fit below iterates over these rows, and a
     # reliable checkpoint (the shared spark.checkpoint.dir) survives executor loss
-    data = fm.transform(df).select(split, "_x", *labels).checkpoint()
+    data = checkpoint(fm.transform(df).select(split, "_x", *labels))
     tr = data.where(F.col(split) == "train")
     va = data.where(F.col(split) == "validation")
     te = data.where(F.col(split) == "test")
@@ -108,7 +109,7 @@ def fit_tagger(tokens: DataFrame, split: str = "split", num_features: int = 1 <<
     )
     f = f.withColumn("_feat", toks).withColumn("_y", tag_id("true_tag").cast("double"))
     hashed = Pipeline(stages=[HashingTF(inputCol="_feat", outputCol="_x", numFeatures=num_features)]).fit(f).transform(f)
-    hashed = hashed.select("doc_id", "idx", "true_tag", split, "_x", "_y").checkpoint()  # lineage cut once
+    hashed = checkpoint(hashed.select("doc_id", "idx", "true_tag", split, "_x", "_y"))  # lineage cut once
     tr = hashed.where(F.col(split) == "train")
     va = hashed.where(F.col(split) == "validation")
     te = hashed.where(F.col(split) == "test")

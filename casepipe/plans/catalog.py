@@ -32,6 +32,7 @@ def q_case_summary(spark, sf):
 
 # ---------------------------------------------------------------- scalars (P*)
 from pyspark.sql import functions as F  # noqa: E402
+from casepipe.session import checkpoint
 
 from casepipe import functions as fn  # noqa: E402
 from casepipe.operators import joins, ordering, segments, splits  # noqa: E402
@@ -446,7 +447,7 @@ def _tokens(spark, sf):
     """The NER token table, checkpointed once (eager, shared checkpoint
     folder): the metric queries read it four to five times, and each read
     would otherwise split every document again."""
-    return A.ner_pred(spark, sf).checkpoint()
+    return checkpoint(A.ner_pred(spark, sf))
 
 
 def _doc_words(spark, sf):
@@ -490,7 +491,7 @@ def q_argmax_decode(spark, sf):
 def q_row_split(spark, sf):
     # the document ids are read by the ranking, the size subquery and the join
     # back: materialise the one-column table once
-    docs = iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id").checkpoint()
+    docs = checkpoint(iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id"))
     return splits.row_split(docs, "id")
 
 

@@ -47,3 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def checkpoint(df):
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (resolved
+    from the session first, so it works in any session)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from casepipe.session import checkpoint
 
 from casepipe.functions.text import paragraph_ok
 from casepipe.operators.segments import concat_by
@@ -144,7 +145,7 @@ def akn_events(scan: DataFrame, materialize: bool = False) -> DataFrame:
     step, so it runs a single time and survives executor loss.
     """
     ev = scan.select("path", "content").mapInPandas(_event_rows, EVENT_SCHEMA)
-    return ev.checkpoint() if materialize else ev
+    return checkpoint(ev) if materialize else ev
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

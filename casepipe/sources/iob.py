@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from casepipe.session import checkpoint
 
 from casepipe.functions.tags import tag_id
 from casepipe.functions.text import strip_ws
@@ -65,7 +66,7 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
         F.transform("_x", lambda x: x["g"]).alias("ner_tags"),
     )
     if materialize:
-        docs = docs.checkpoint()
+        docs = checkpoint(docs)
     # dense ids in (file, document) order: files ranked by name (one row per
     # file), then a running count over the document table (one row per
     # document), split in blocks -- never one window over all documents

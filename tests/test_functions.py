@@ -4,7 +4,6 @@ import math
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from casepipe import functions as fn
 from casepipe.functions.text import CITATION_PATTERN_REFERENCE, FACT_PATTERN_REFERENCE

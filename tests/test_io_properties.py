@@ -1,6 +1,5 @@
 """File scan and sinks, plus property tests (survey §5.3)."""
 
-import json
 import os
 import random
 

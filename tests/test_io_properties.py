@@ -5,7 +5,6 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from casepipe.functions.text import normalise_label
 from casepipe.operators import segments, splits

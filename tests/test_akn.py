@@ -62,3 +62,13 @@ def test_prefix_fallback(spark):
     body = akn.akn_paragraph_texts(scan(spark)).where(F.col("file_name") == "p1/doc.xml")
     got = segments.prefix_until_marker(body).first().prefix_text
     assert got == "JUDGMENT\n"
+
+
+def test_nested_p_yields_outer_and_inner(spark):
+    doc = (
+        '<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><judgment><judgmentBody>'
+        "<p>outer <p>inner</p> tail</p>\n</judgmentBody></judgment></akomaNtoso>"
+    )
+    s = spark.createDataFrame([("p/n.xml", bytearray(doc.encode()))], "path STRING, content BINARY")
+    got = [r.paragraph for r in akn.akn_paragraph_texts(s).orderBy("pos").collect()]
+    assert got == ["outer inner tail\n", "inner tail"]

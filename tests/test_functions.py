@@ -66,8 +66,9 @@ def test_linear_citation_pattern_equals_reference_pattern():
 def test_citation_flag_long_single_line(spark):
     # R1 regression: the reference pattern overflows java.util.regex on long
     # single-line texts; the linear one must not
-    text = " ".join(["word"] * 20000) + " [2020] EWHC 123 (Admin)"
+    text = " ".join(["word"] * 20000) + " [2020] EWHC 123 (Admin) under s.288"
     assert one(spark, [(text,)], "t STRING", fn.citation_flag("t")) == [1]
+    assert one(spark, [(text,)], "t STRING", fn.fact_flag("t")) == [1]
 
 
 def test_citation_uri(spark):

@@ -85,7 +85,7 @@ def _h(c: str = "pos") -> F.Column:
     return F.col("doc_id") + F.col(c)
 
 
-def ij_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ij_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
     """Introduction / judgment annotation rows (a workbook stand-in).
 
     Rows of ``kept`` with ``(doc_id + pos) % 3 <> 0``; ``introduction`` is
@@ -93,7 +93,7 @@ def ij_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     (``dup = 1``) with the judgment label flipped.  One pass: the copy is an
     ``explode`` of the row, not a second scan.
     """
-    k = kept(spark, sf_dir).where(_h() % 3 != 0)
+    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 3 != 0)
     k = k.withColumn("dup", F.explode(F.when(_h() % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     judg = F.when(_h() % 11 == 0, 1).otherwise(0)
     return k.select(
@@ -106,10 +106,10 @@ def ij_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def citation_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
     """Citation labels: even ``(doc_id + pos)`` rows of ``kept``; 1 on the
     citation-decorated lines, NULL when ``% 19 = 0``."""
-    k = kept(spark, sf_dir).where(_h() % 2 == 0)
+    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 2 == 0)
     return k.select(
         "file_name",
         "paragraph",
@@ -118,11 +118,11 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
     """Raw fact outputs of a batch labeller: ``'1' '0' 'Output: 1' 'yes'
     '10'`` or NULL by ``(doc_id + pos) % 6``; rows with ``% 5 = 1`` absent,
     rows with ``% 9 = 0`` answered twice (copy ``dup = 1`` says ``'0'``)."""
-    k = kept(spark, sf_dir).where(_h() % 5 != 1)
+    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 5 != 1)
     k = k.withColumn("dup", F.explode(F.when(_h() % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     m = _h() % 6
     raw = (

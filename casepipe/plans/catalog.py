@@ -273,11 +273,14 @@ def q_frames_equal(spark, sf):
 
 
 def _consolidated(spark, sf):
+    # the base table and the three label sources all derive from the kept
+    # paragraphs: materialise them once (eager checkpoint, shared folder)
+    k = checkpoint(A.kept(spark, sf))
     return joins.consolidate_labels(
-        A.kept(spark, sf).select("file_name", "pos", "paragraph"),
-        A.ij_labels(spark, sf).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "introduction", "judgment"),
-        A.citation_labels(spark, sf),
-        A.fact_labels(spark, sf).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "fact"),
+        k.select("file_name", "pos", "paragraph"),
+        A.ij_labels(spark, sf, k).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "introduction", "judgment"),
+        A.citation_labels(spark, sf, k),
+        A.fact_labels(spark, sf, k).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "fact"),
     )
 
 

@@ -628,3 +628,8 @@ def q_xml_scan(spark, sf):
         F.element_at(parts, -1).alias("name"),
         (F.length("content") > 0).alias("has_content"),
     )
+
+
+@register("xml_error_report")
+def q_xml_error_report(spark, sf):
+    return akn.error_report(akn.akn_paragraph_texts(A.akn_xml(spark, sf)))

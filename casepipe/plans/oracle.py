@@ -800,3 +800,15 @@ FROM (SELECT DISTINCT doc_id FROM paras)""",
         "paras",
     )
     return out
+
+
+_with_scan = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the error report
+    out = _with_scan()
+    out["xml_error_report"] = with_views(
+        "SELECT 'parse' AS error_kind, CAST(count(DISTINCT file_name) AS BIGINT) AS n_files FROM paras WHERE doc_id % 50 = 7",
+        "paras",
+    )
+    return out

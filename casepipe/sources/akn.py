@@ -151,3 +151,11 @@ def akn_events(scan: DataFrame, materialize: bool = False) -> DataFrame:
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Files that failed to parse ``(file_name, error)``."""
     return parsed.where(F.col("error").isNotNull()).select("file_name", "error").distinct()
+
+
+def error_report(parsed: DataFrame) -> DataFrame:
+    """``(error_kind, n_files)``: files per failure kind (text before ``:``)."""
+    q = quarantine(parsed)
+    return q.groupBy(F.substring_index(F.col("error"), ":", 1).alias("error_kind")).agg(
+        F.count_distinct("file_name").alias("n_files")
+    )

@@ -8,6 +8,7 @@ driver entry point.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,6 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Make ``casepipe`` importable in the Python workers (as ``--py-files``
+    would): zip the package once per SparkContext and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_casepipe_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = tempfile.mkdtemp(prefix="casepipe-pkg-")
+    sc.addPyFile(shutil.make_archive(os.path.join(base, "casepipe"), "zip", root_dir=root, base_dir="casepipe"))
+    sc._casepipe_shipped = True
+
+
 def checkpoint(df):
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (resolved
     from the session first, so it works in any session)."""

@@ -31,13 +31,35 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: the
-    lineage is cut, a lost executor costs nothing, and each reader prunes columns."""
+    lineage is cut, a lost executor costs nothing, and each reader prunes
+    columns.  The write's shuffle files go when it is done."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Remove folders that ``stored`` wrote and nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.debruijn import remove_copied
+
+    return remove_copied(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.lshforest import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casepipe.llm.automaton import contamination
 
@@ -79,9 +91,26 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.radix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_exact_dedup, op5_decontaminate, op6_language_id, op7_token_count, op8_wavelet_shards, op9_byte_bpe)
+    for f in (
+        op1_chat_format,
+        op2_exact_dedup,
+        op3_substring_dedup,
+        op4_near_dedup,
+        op5_decontaminate,
+        op6_language_id,
+        op7_token_count,
+        op8_wavelet_shards,
+        op9_byte_bpe,
+        op10_suffix_dedup,
+    )
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -155,7 +155,7 @@ def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[
         yield ids, words
 
 
-def _marker(shared, n_kept: int, schema_names: list[str]):
+def _marker(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, auto = shared.value
         for b in batches:
@@ -193,36 +193,36 @@ def _marker(shared, n_kept: int, schema_names: list[str]):
                             spans[d] += [int(begin[s + x]) - base, int(end[s + y - 1]) - base, s + x - int(first[d - lo]), s + y - int(first[d - lo])]
                         items[d] = sorted({*items[d], *(ids[i] for i in found)})
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(n_words), *(b.column(i) for i in range(4, 4 + n_kept))],
-                names=schema_names,
+                [b.column(0), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(n_words), b.column(4)],
+                names=b.schema.names,
             )
 
     return run
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns of ``docs`` behind ``_text``, ``_spans``, ``_items`` and
-    ``_n_words``: per document the text, spans inside item windows (flat: byte
-    start, byte end, first word, word after the last), the sorted ids of the
-    items found and the number of words."""
+    """``(text, spans, items, n_words, row)``: per document the text, spans
+    inside item windows (flat: byte start, byte end, first word, word after
+    the last), the sorted ids of the items found, the number of words, and the
+    other columns of ``docs`` as one struct."""
     spark = docs.sparkSession
     out = docs.select(
-        F.coalesce("text", F.lit("")).alias("_text"),
-        F.array().cast("array<bigint>").alias("_spans"),
-        F.array().cast("array<string>").alias("_items"),
-        F.lit(0).cast("long").alias("_n_words"),
-        "*",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.array().cast("array<bigint>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c) for c in docs.columns if c != "text"]).alias("row"),
     )
     passes = 0
     for ids, words in _item_blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast((ids, SuffixAutomaton(words, window)))
         if passes:
             out = stored(out, "contamination")
-        out = out.mapInArrow(_marker(shared, len(docs.columns), out.columns), out.schema)
+        out = out.mapInArrow(_marker(shared), out.schema)
         passes += 1
     if not passes:
         shared = spark.sparkContext.broadcast(([], SuffixAutomaton([], window)))
-        out = out.mapInArrow(_marker(shared, len(docs.columns), out.columns), out.schema)
+        out = out.mapInArrow(_marker(shared), out.schema)
     return out
 
 
@@ -241,7 +241,7 @@ def _merged(spans: list[int]) -> list[tuple[int, int, int, int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_hit, item_ids, spans)`` of each document; ``spans``
     are disjoint byte ranges ``(start, end)`` of hit words."""
-    marked = mark_contamination(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "_n_words", "_spans", "_items")
+    marked = mark_contamination(docs.select("doc_id", "text"), benchmark, window).select("row.doc_id", "n_words", "spans", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,26 +263,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     hit go.  Texts without a hit (null ones too) stay as they are."""
     columns = docs.columns
     marked = mark_contamination(docs, benchmark, window)
-    place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(1)
-            own = [b.column(i) for i in range(4, 4 + len(columns))]
-            hit = [i for i, s in enumerate(spans.to_pylist()) if s]
+            spans, texts = b.column(1).to_pylist(), b.column(0)
+            hit = [i for i, s in enumerate(spans) if s]
             if hit:
-                texts, keep = own[place].to_pylist(), np.ones(b.num_rows, bool)
+                texts, keep = texts.to_pylist(), np.ones(b.num_rows, bool)
                 for i in hit:
-                    merged = _merged(spans[i].as_py())
+                    merged = _merged(spans[i])
                     raw, parts, at = texts[i].encode(), [], 0
                     for x in merged:
                         parts.append(raw[at : x[0]])
                         at = x[1]
                     texts[i] = b"".join([*parts, raw[at:]]).decode()
                     keep[i] = sum(x[3] - x[2] for x in merged) <= max_coverage * b.column(3)[i].as_py()
-                own[place] = pa.array(texts, own[place].type)
-                rows = np.flatnonzero(keep)
-                own = [c.take(pa.array(rows)) for c in own]
-            yield pa.RecordBatch.from_arrays(own, names=columns)
+                b = pa.RecordBatch.from_arrays([pa.array(texts, b.column(0).type), *b.columns[1:]], names=b.schema.names).filter(pa.array(keep))
+            yield b
 
-    return marked.mapInArrow(run, docs.schema)
+    clean = marked.mapInArrow(run, marked.schema)
+    text = F.when(~F.col("row.no_text"), F.col("text")).alias("text")
+    return clean.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in columns])

@@ -179,8 +179,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_ambiguous``."""
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_ambiguous``
+    (columns of these names are replaced)."""
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
     shared = spark.sparkContext.broadcast(model)
     names = [*docs.columns, "lang_pred", "lang_score", "lang_ambiguous"]
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")

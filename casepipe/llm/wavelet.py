@@ -63,12 +63,12 @@ class WaveletMatrix:
         zeros = np.zeros(n_planes, np.int64)
         seq = ids
         for p in range(n_planes):
-            one = (seq >> (n_planes - 1 - p)) & 1 == 1
+            one = seq & seq.dtype.type(1 << (n_planes - 1 - p)) != 0
             packed = np.packbits(one, bitorder="little")
             bits[p, : len(packed)] = packed
-            low = seq[~one]
+            low = np.compress(~one, seq)
             zeros[p] = len(low)
-            seq = np.concatenate([low, seq[one]])
+            seq = np.concatenate([low, np.compress(one, seq)])
         ones = np.bitwise_count(bits.reshape(n_planes, blocks, -1)).sum(axis=2, dtype=np.uint32)
         ranks = np.zeros((n_planes, blocks + 1), np.uint32)
         np.cumsum(ones, axis=1, out=ranks[:, 1:])
@@ -151,8 +151,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[p])
             above = np.empty_like(out)
-            above[~one] = out[:z]
-            above[one] = out[z:] | out.dtype.type(1 << (self.n_planes - 1 - p))
+            above[np.flatnonzero(~one)] = out[:z]
+            above[np.flatnonzero(one)] = out[z:] | out.dtype.type(1 << (self.n_planes - 1 - p))
             out = above
         return out
 

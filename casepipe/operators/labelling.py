@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,10 @@ def batch_label(
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``todo`` without a result in ``done`` yet (left anti join)."""
+    """Rows of ``todo`` without a result in ``done`` yet (left anti join);
+    results with an ``error`` do not count, so failed rows are tried again."""
+    if "error" in done.columns:
+        done = done.where(F.col("error").isNull())
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
@@ -83,9 +87,16 @@ def label_incremental(todo: DataFrame, out_path: str, text_col: str, keys: Seque
     """
     spark = todo.sparkSession
     try:
-        done = spark.read.parquet(out_path)
-        todo = pending(todo, done, keys)
-    except Exception:  # noqa: BLE001 - first run: nothing written yet
-        pass
+        todo = pending(todo, spark.read.parquet(out_path), keys)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a first run has nothing to resume from
     batch_label(todo, text_col, keys, fn, batch_size).write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+    return latest_outputs(spark.read.parquet(out_path), keys)
+
+
+def latest_outputs(outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: its answer, or the error if no run has answered it."""
+    answered = F.struct(F.col("error").isNull(), F.col("output"), F.col("error"))
+    best = outputs.groupBy(*keys).agg(F.max_by(F.struct("output", "error"), answered).alias("_r"))
+    return best.select(*keys, "_r.output", "_r.error")

@@ -81,7 +81,7 @@ def entity_counts(tokens: DataFrame, tag: str = "tag") -> DataFrame:
     """``(entity, count)``: number of ``B-`` tags per entity type."""
     return (
         tokens.where(F.col(tag).startswith("B-"))
-        .groupBy(F.substring(F.col(tag), 3, 1 << 20).alias("entity"))
+        .groupBy(F.substr(F.col(tag), F.lit(3)).alias("entity"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
 

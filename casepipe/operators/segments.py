@@ -28,6 +28,25 @@ def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS, name: st
     return df.withColumn(name, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
 
 
+def _block_offsets(per_block: DataFrame, keys: list[str], names: Sequence[str], block_rows: int) -> DataFrame:
+    """``_off_<n>`` = sum of ``_bc_<n>`` over the earlier blocks of a key.
+
+    Blocks are themselves dealt to blocks of blocks, so no task holds more
+    than ``block_rows`` block rows of a key: only the totals of blocks of
+    blocks (``rows / block_rows**2``) of a key meet in one window.
+    """
+    upper = F.floor(F.col("_blk") / F.lit(block_rows)).cast("long")
+    b = per_block.withColumn("_up", upper)
+    tops = b.groupBy(*keys, "_up").agg(*[F.sum(f"_bc_{n}").alias(f"_bc_{n}") for n in names])
+    w_top = Window.partitionBy(*keys).orderBy("_up").rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*keys, "_up").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    z = F.lit(0)
+    tops = tops.select(*keys, "_up", *[F.coalesce(F.sum(f"_bc_{n}").over(w_top), z).alias(f"_top_{n}") for n in names])
+    return b.join(tops, [*keys, "_up"]).select(
+        *keys, "_blk", *[(F.col(f"_top_{n}") + F.coalesce(F.sum(f"_bc_{n}").over(w_in), z)).alias(f"_off_{n}") for n in names]
+    )
+
+
 def running_count(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -36,26 +55,26 @@ def running_count(
     out: str,
     block_rows: int = BLOCK_ROWS,
     keep_block: bool = False,
+    dtype: str = "int",
 ) -> DataFrame:
     """Add ``out`` = running sum of the 0/1 ``flag`` per ``keys`` in ``order``.
 
-    Two-level prefix sum: flag totals per (key, block) -> exclusive running
-    sum over blocks (a table ``block_rows`` times smaller than the input) ->
-    joined back as an offset (broadcast when AQE measures it small) ->
-    running sum inside each block.  Equivalent to
+    Prefix sum in levels: flag totals per (key, block) -> exclusive running
+    sum over blocks (a table ``block_rows`` times smaller than the input, again
+    in blocks) -> joined back as an offset (broadcast when AQE measures it
+    small) -> running sum inside each block.  Equivalent to
     ``sum(flag).over(partitionBy(keys).orderBy(order))`` but bounded per task.
     With ``keep_block`` the ``_blk`` column (blocks of ``order``) is kept, so a
     following ``concat_by`` in the same order reuses the partitioning.
     """
     keys = _keys(keys)
     b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows).withColumn("_flag", flag.cast("long"))
-    per_block = b.groupBy(*keys, "_blk").agg(F.sum("_flag").alias("_bc"))
-    w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*keys, "_blk", F.coalesce(F.sum("_bc").over(w_blocks), F.lit(0)).alias("_off"))
+    per_block = b.groupBy(*keys, "_blk").agg(F.sum("_flag").alias("_bc_0"))
+    offsets = _block_offsets(per_block, keys, ["0"], block_rows).withColumnRenamed("_off_0", "_off")
     w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     res = (
         b.join(offsets, [*keys, "_blk"], "inner")
-        .withColumn(out, (F.col("_off") + F.sum("_flag").over(w_in)).cast("int"))
+        .withColumn(out, (F.col("_off") + F.sum("_flag").over(w_in)).cast(dtype))
         .drop("_flag", "_off")
     )
     return res if keep_block else res.drop("_blk")
@@ -81,10 +100,7 @@ def running_counts(
         b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
     b = b.select("*", *[flags[n].cast("long").alias(f"_f_{n}") for n in names])
     per_block = b.groupBy(*keys, "_blk").agg(*[F.sum(f"_f_{n}").alias(f"_bc_{n}") for n in names])
-    w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        *keys, "_blk", *[F.coalesce(F.sum(f"_bc_{n}").over(w_blocks), F.lit(0)).alias(f"_off_{n}") for n in names]
-    )
+    offsets = _block_offsets(per_block, keys, names, block_rows)
     w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     res = b.join(offsets, [*keys, "_blk"], "inner").select(
         "*", *[(F.col(f"_off_{n}") + F.sum(f"_f_{n}").over(w_in)).cast("int").alias(n) for n in names]
@@ -209,12 +225,6 @@ def islands_aggs(order: str = "pos", text: str = "paragraph") -> tuple[list[Colu
     return aggs, (F.col("_n_open") + lead).cast("long").alias("n_numbered")
 
 
-def islands_summary(paragraphs: DataFrame, key: str = "file_name", order: str = "pos", text: str = "paragraph") -> DataFrame:
-    """``(file_name, n_numbered)``: merged paragraph count per file."""
-    aggs, final = islands_aggs(order, text)
-    return paragraphs.groupBy(key).agg(*aggs).select(key, final)
-
-
 # --- fixed values: markers that end the fallback cover prefix, by priority --
 PREFIX_MARKERS = ("hearing date", "judgment")
 # ---------------------------------------------------------------------------
@@ -260,7 +270,8 @@ def build_segments(events: DataFrame, order: str = "reference", key: str = "file
     """
     is_num = F.col("tag") == F.lit("num")
     styled = is_num & F.coalesce(F.col("has_style"), F.lit(False))
-    ev = running_count(events, key, "ev", styled.cast("int"), "seg")
+    # a parser that walks a document in order numbers the segments itself
+    ev = events if "seg" in events.columns else running_count(events, key, "ev", styled.cast("int"), "seg")
     ev = ev.where(F.col("seg") >= 1)
     text_ok = F.col("text").isNotNull() & (F.length("text") > 0)
     tail_ok = F.col("tail").isNotNull() & (F.length("tail") > 0)
@@ -281,6 +292,8 @@ def build_segments(events: DataFrame, order: str = "reference", key: str = "file
             F.array(
                 F.when(take_text, F.struct(k_text.alias("k"), strip_ws("text").alias("v"))),
                 F.when(take_tail, F.struct(k_tail.alias("k"), strip_ws("tail").alias("v"))),
+                # a head without text still names its segment
+                F.when(styled & ~take_text, F.struct(k_text.alias("k"), F.lit(None).cast("string").alias("v"))),
             )
         ).alias("pc"),
     ).where(F.col("pc").isNotNull())
@@ -292,16 +305,15 @@ def build_segments(events: DataFrame, order: str = "reference", key: str = "file
         .agg(
             F.array_sort(F.collect_list(F.struct(F.col("k").alias("o"), F.col("v").alias("v")))).alias("_pcs"),
         )
-        .select(key, "seg", "_blk", F.col("_pcs")[0]["o"].alias("_first"), F.array_join(F.transform("_pcs", lambda x: x["v"]), " ").alias("_part"))
-    )
-    joined = partial.groupBy(key, "seg").agg(_ordered_join("_first", "_part", " ").alias("_joined"))
-    heads = ev.where(styled).select(key, "seg")
-    last = heads.groupBy(key).agg(F.max("seg").alias("_last"))
-    seg = (
-        heads.join(joined, [key, "seg"], "left")
-        .join(last, key, "inner")
-        .where(F.col("_joined").isNotNull() | (F.col("seg") < F.col("_last")))
+        .select(key, "seg", "_blk", F.col("_pcs")[0]["o"].alias("_first"), 
+            F.when(F.exists("_pcs", lambda x: x["v"].isNotNull()), F.array_join(F.transform("_pcs", lambda x: x["v"]), " ")).alias("_part"))
     )
+    # NULL parts are skipped by array_join; a segment of NULL parts alone has no piece
+    joined = partial.groupBy(key, "seg").agg(_ordered_join("_first", "_part", " ").alias("_j"), F.count("_part").alias("_n"))
+    joined = joined.select(key, "seg", F.when(F.col("_n") > 0, F.col("_j")).alias("_joined"))
+    # one row per segment: a file's segments are at most its own elements
+    last = F.max("seg").over(Window.partitionBy(key))
+    seg = joined.withColumn("_last", last).where(F.col("_joined").isNotNull() | (F.col("seg") < F.col("_last")))
     return seg.select(key, "seg", strip_ws(F.coalesce(F.col("_joined"), F.lit(""))).alias("segment"))
 
 

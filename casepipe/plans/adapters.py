@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS
-from casepipe.operators.segments import concat_by
+from casepipe.operators.segments import concat_by, running_count
 from casepipe.sources.akn import AKN_NS
 
 
@@ -21,27 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cluster when it has fewer splits than cores.
-
-    Text tables here are single row groups (one scan task); the regex work on
-    them is CPU-bound, so it is spread before the per-row work.  On a real
-    corpus (many files / row groups) the scan already has more splits than
-    cores and no shuffle is added.  The check reads split metadata only.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+#: Session setting: number of tasks that text tables of a single row group
+#: are dealt out to before the per-row work.  Unset: no extra shuffle (the
+#: right choice for a corpus of many files).
+SPREAD = "casepipe.spread"
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """A text-heavy table, projected first (column pruning), then spread."""
+    """A text-heavy table, projected first (column pruning)."""
     df = table(spark, sf_dir, name)
     if cols:
         df = df.select(*cols)
-    return spread(df)
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _s(c) -> F.Column:
@@ -85,15 +77,17 @@ def _h(c: str = "pos") -> F.Column:
     return F.col("doc_id") + F.col(c)
 
 
-def ij_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
+def ij_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """Introduction / judgment annotation rows (a workbook stand-in).
 
-    Rows of ``kept`` with ``(doc_id + pos) % 3 <> 0``; ``introduction`` is
+    All rows of ``kept``, or (``partial``, a source that does not label every
+    paragraph) those with ``(doc_id + pos) % 3 <> 0``; ``introduction`` is
     NULL when ``% 17 = 0``; rows with ``% 13 = 0`` appear twice, the copy
     (``dup = 1``) with the judgment label flipped.  One pass: the copy is an
     ``explode`` of the row, not a second scan.
     """
-    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 3 != 0)
+    k = kept_df if kept_df is not None else kept(spark, sf_dir)
+    k = k.where(_h() % 3 != 0) if partial else k
     k = k.withColumn("dup", F.explode(F.when(_h() % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     judg = F.when(_h() % 11 == 0, 1).otherwise(0)
     return k.select(
@@ -106,10 +100,11 @@ def ij_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None
     )
 
 
-def citation_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
-    """Citation labels: even ``(doc_id + pos)`` rows of ``kept``; 1 on the
-    citation-decorated lines, NULL when ``% 19 = 0``."""
-    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 2 == 0)
+def citation_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None, partial: bool = False) -> DataFrame:
+    """Citation labels of all rows of ``kept`` (``partial``: of the rows with
+    even ``doc_id + pos``); 1 on the citation-decorated lines, NULL when ``% 19 = 0``."""
+    k = kept_df if kept_df is not None else kept(spark, sf_dir)
+    k = k.where(_h() % 2 == 0) if partial else k
     return k.select(
         "file_name",
         "paragraph",
@@ -118,11 +113,12 @@ def citation_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None
     )
 
 
-def fact_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None) -> DataFrame:
+def fact_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """Raw fact outputs of a batch labeller: ``'1' '0' 'Output: 1' 'yes'
-    '10'`` or NULL by ``(doc_id + pos) % 6``; rows with ``% 5 = 1`` absent,
-    rows with ``% 9 = 0`` answered twice (copy ``dup = 1`` says ``'0'``)."""
-    k = (kept_df if kept_df is not None else kept(spark, sf_dir)).where(_h() % 5 != 1)
+    '10'`` or NULL by ``(doc_id + pos) % 6``; ``partial``: rows with ``% 5 = 1``
+    not answered yet; rows with ``% 9 = 0`` answered twice (copy ``dup = 1`` says ``'0'``)."""
+    k = kept_df if kept_df is not None else kept(spark, sf_dir)
+    k = k.where(_h() % 5 != 1) if partial else k
     k = k.withColumn("dup", F.explode(F.when(_h() % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     m = _h() % 6
     raw = (
@@ -132,20 +128,26 @@ def fact_labels(spark: SparkSession, sf_dir: str, kept_df: DataFrame | None = No
     return k.select("file_name", "paragraph", "pos", "dup", F.when(F.col("dup") == 1, F.lit("0")).otherwise(raw).alias("fact"))
 
 
+def _in_header() -> F.Column:
+    """Structure of the stand-in judgments: decorated lines are body, and so
+    are lines that end a sentence."""
+    return ~F.col("paragraph").endswith(".") & ~(F.col("pos") % 7).isin(4, 5)
+
+
 def header_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header ``p`` texts (with their newline tail) of every file except
-    ``doc_id % 7 = 3`` (no header at all): the first three lines; for
-    ``doc_id % 5 = 0`` the header is present but blank."""
-    p = paras(spark, sf_dir).where((F.col("pos") < 3) & (F.col("doc_id") % 7 != 3))
+    ``doc_id % 7 = 3`` (no header at all): every line without a full stop at
+    its end; for ``doc_id % 5 = 0`` the header is present but blank."""
+    p = paras(spark, sf_dir).where(_in_header() & (F.col("doc_id") % 7 != 3))
     text = F.when(F.col("doc_id") % 5 == 0, F.lit("\n")).otherwise(F.concat(F.col("paragraph"), F.lit("\n")))
     return p.select("file_name", "doc_id", "pos", text.alias("paragraph"))
 
 
 def body_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Body ``p`` texts (unfiltered): lines from ``pos`` 3 on, with marker
+    """Body ``p`` texts (unfiltered): all other lines, with marker
     lines: ``JUDGMENT`` at ``pos`` 4 unless ``doc_id % 3 = 2``, and a
     ``Hearing date:`` line at ``pos`` 6 when ``doc_id % 3 = 0``."""
-    p = paras(spark, sf_dir).where(F.col("pos") >= 3)
+    p = paras(spark, sf_dir).where(~_in_header())
     d3 = F.col("doc_id") % 3
     text = (
         F.when((d3 == 0) & (F.col("pos") == 6), F.concat(F.lit("Hearing date: "), F.col("paragraph")))
@@ -220,32 +222,35 @@ def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.col("idx").cast("int").alias("idx"), "word", b.alias("bucket"), tag.alias("tag"))
 
 
-LINE_STRIDE = 1_000_000  # line numbers per document: 2 lines per word, far above the longest text
-
-
 def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An IOB file as ``(file, line_no, line)``: per document a
     ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare
     ``word TAB`` every 13th word, a four-column line every 17th), a blank
     line after every 10th word, and for ``doc_id % 9 = 0`` a second DOCSTART
-    at the end (an empty document).  Word and blank lines come from one pass
-    over the word table (an ``explode`` of one or two lines per word)."""
-    w = _word_table(spark, sf_dir)
+    at the end (an empty document).  Line numbers are dense: a document's
+    first line follows the last one of the document before it (cumulative line
+    counts).  Word and blank lines come from one pass over the word table (an
+    ``explode`` of one or two lines per word)."""
+    d = text_table(spark, sf_dir, "documents", "doc_id", "text")
+    n_words = F.size(F.filter(F.split("text", r"\s+", -1), lambda x: x != ""))
+    n = n_words + F.floor(n_words / 10) + 1 + (F.col("doc_id") % 9 == 0).cast("int")
+    sizes = d.select("doc_id", n.cast("long").alias("n"), F.lit("output-iob.tsv").alias("file"))
+    ends = running_count(sizes, "file", "doc_id", F.col("n"), "end", dtype="long").select("doc_id", (F.col("end") - F.col("n")).alias("base"), "end")
+    w = _word_table(spark, sf_dir).join(ends.select("doc_id", "base"), "doc_id")
     i = F.col("idx")
     line = (
         F.when(i % 13 == 12, F.concat("word", F.lit("\t")))
         .when(i % 17 == 16, F.concat("word", F.lit("\t_\t_\t"), "tag"))
         .otherwise(F.concat("word", F.lit("\t"), "tag"))
     )
-    base = F.col("doc_id") * LINE_STRIDE
-    word_line = F.struct((base + i * 2 + 1).alias("line_no"), line.alias("line"))
-    blank_line = F.struct((base + i * 2 + 2).alias("line_no"), F.lit("").alias("line"))
+    at = F.col("base") + i + F.floor(i / 10) + 1
+    word_line = F.struct(at.alias("line_no"), line.alias("line"))
+    blank_line = F.struct((at + 1).alias("line_no"), F.lit("").alias("line"))
     both = F.when(i % 10 == 9, F.array(word_line, blank_line)).otherwise(F.array(word_line))
     words = w.select("doc_id", F.explode(both).alias("l")).select("doc_id", "l.line_no", "l.line")
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    start = F.struct((F.col("doc_id") * LINE_STRIDE).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
-    extra = F.struct((F.col("doc_id") * LINE_STRIDE + LINE_STRIDE - 1).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
-    starts = docs.select(
+    start = F.struct(F.col("base").alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    extra = F.struct((F.col("end") - 1).alias("line_no"), F.lit("-DOCSTART- -X- O O").alias("line"))
+    starts = ends.select(
         "doc_id", F.explode(F.when(F.col("doc_id") % 9 == 0, F.array(start, extra)).otherwise(F.array(start))).alias("l")
     ).select("doc_id", "l.line_no", "l.line")
     allv = words.unionByName(starts)
@@ -282,14 +287,15 @@ def _xml_escape(c) -> F.Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def akn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, content BINARY)``: one Akoma Ntoso judgment per document.
+def akn_xml(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """``(path, content BINARY)``: one well-formed Akoma Ntoso judgment per document.
 
     Header: ``<p>`` per line at ``pos`` < 2.  Body: every later line as a
     ``<p>``, preceded by a styled ``<num>`` when ``pos % 7 = 0`` (text
     ``(pos)`` when ``pos % 14 = 7``, else ``pos+1.``) and by an un-styled
     ``<num>`` when ``pos % 7 = 3``; every ``</p>`` is followed by a newline.
-    Documents with ``doc_id % 50 = 7`` are truncated (malformed XML).
+    With ``broken`` the documents with ``doc_id % 50 = 7`` close with a wrong
+    tag and those with ``doc_id % 50 = 8`` declare an unknown encoding (whole texts all the same).
     """
     p = paras(spark, sf_dir)
     pos = F.col("pos")
@@ -312,5 +318,10 @@ def akn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("last_pos") < 2, opener).otherwise(F.lit("")),
         F.lit("</judgmentBody></judgment></akomaNtoso>"),
     )
-    xml = F.when(F.col("doc_id") % 50 == 7, F.substring(xml, 1, 60)).otherwise(xml)
+    if broken:
+        xml = (
+            F.when(F.col("doc_id") % 50 == 7, F.replace(xml, F.lit("</judgmentBody>"), F.lit("</body>")))
+            .when(F.col("doc_id") % 50 == 8, F.concat(F.lit('<?xml version="1.0" encoding="x-none"?>'), xml))
+            .otherwise(xml)
+        )
     return j.select(F.col("file_name").alias("path"), F.encode(xml, "UTF-8").alias("content"))

@@ -107,7 +107,7 @@ def q_truncate_text(spark, sf):
 @register("render_prompts")
 def q_render_prompts(spark, sf):
     return A.kept(spark, sf).select(
-        "file_name", "pos", fn.render_prompt(fn.truncate("paragraph", TRUNCATE_CHARS), PROMPT_HEAD, PROMPT_TAIL).alias("prompt")
+        "file_name", "pos", fn.render_prompt("paragraph", PROMPT_HEAD, PROMPT_TAIL).alias("prompt")
     )
 
 
@@ -235,7 +235,7 @@ def q_union_by_name(spark, sf):
 
 # ------------------------------------------------------------------ joins (J*)
 def _labelled_files(spark, sf):
-    return A.citation_labels(spark, sf).where(F.col("citation") == 1).select("file_name").distinct()
+    return A.citation_labels(spark, sf, partial=True).where(F.col("citation") == 1).select("file_name").distinct()
 
 
 @register("files_semi")
@@ -250,20 +250,20 @@ def q_files_anti(spark, sf):
 
 @register("left_merge")
 def q_left_merge(spark, sf):
-    right = ordering.dedup_first(A.citation_labels(spark, sf), ["file_name", "paragraph"], ["pos"])
+    right = ordering.dedup_first(A.citation_labels(spark, sf, partial=True), ["file_name", "paragraph"], ["pos"])
     left = A.kept(spark, sf).select("file_name", "pos", "paragraph")
     return joins.left_merge(left, right, ["paragraph", "file_name"])
 
 
 @register("natural_left_merge")
 def q_natural_left_merge(spark, sf):
-    return joins.natural_left_merge(A.kept(spark, sf).select("file_name", "pos", "paragraph"), A.citation_labels(spark, sf))
+    return joins.natural_left_merge(A.kept(spark, sf).select("file_name", "pos", "paragraph"), A.citation_labels(spark, sf, partial=True))
 
 
 @register("positional_join")
 def q_positional_join(spark, sf):
     a = A.kept(spark, sf).select("file_name", "pos", "paragraph")
-    b = ordering.dedup_first(A.fact_labels(spark, sf), ["file_name", "pos"], ["dup"])
+    b = ordering.dedup_first(A.fact_labels(spark, sf, partial=True), ["file_name", "pos"], ["dup"])
     return joins.positional_join(a, b, "file_name", "pos", "pos", ["fact"])
 
 
@@ -278,9 +278,9 @@ def _consolidated(spark, sf):
     k = checkpoint(A.kept(spark, sf))
     return joins.consolidate_labels(
         k.select("file_name", "pos", "paragraph"),
-        A.ij_labels(spark, sf, k).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "introduction", "judgment"),
-        A.citation_labels(spark, sf, k),
-        A.fact_labels(spark, sf, k).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "fact"),
+        A.ij_labels(spark, sf, k, partial=True).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "introduction", "judgment"),
+        A.citation_labels(spark, sf, k, partial=True),
+        A.fact_labels(spark, sf, k, partial=True).select("file_name", "paragraph", F.struct("pos", "dup").alias("pos"), "fact"),
     )
 
 
@@ -376,7 +376,7 @@ def q_akn_cover(spark, sf):
 
 
 def _akn_segments(spark, sf):
-    return segments.build_segments(akn.akn_events(A.akn_xml(spark, sf), materialize=True).where(F.col("error").isNull()))
+    return segments.build_segments(akn.akn_events(A.akn_xml(spark, sf)).where(F.col("error").isNull()))
 
 
 @register("akn_segments")
@@ -392,7 +392,7 @@ def q_akn_numbered(spark, sf):
 
 @register("xml_quarantine")
 def q_xml_quarantine(spark, sf):
-    return akn.quarantine(akn.akn_paragraph_texts(A.akn_xml(spark, sf))).select("file_name")
+    return akn.quarantine(akn.akn_paragraph_texts(A.akn_xml(spark, sf, broken=True))).select("file_name")
 
 
 @register("segments")
@@ -419,7 +419,7 @@ def q_batch_label(spark, sf):
 @register("label_resume")
 def q_label_resume(spark, sf):
     todo = A.kept(spark, sf).select("file_name", "pos", "paragraph")
-    return labelling.pending(todo, A.fact_labels(spark, sf), ["file_name", "pos"])
+    return labelling.pending(todo, A.fact_labels(spark, sf, partial=True), ["file_name", "pos"])
 
 
 # ------------------------------------------------------------ IOB / NER
@@ -621,15 +621,15 @@ def q_xml_scan(spark, sf):
     root = _scratch(spark, "xml")
     written = sinks.write_documents(A.akn_xml(spark, sf), root)
     written.agg(F.count(F.lit(1))).collect()  # the write itself (one-row result)
-    scan = akn.scan_documents(spark, root)
+    scan = akn.scan_sizes(spark, root)
     parts = F.split(F.col("path"), "/")
     return scan.select(
         F.element_at(parts, -2).alias("folder"),
         F.element_at(parts, -1).alias("name"),
-        (F.length("content") > 0).alias("has_content"),
+        (F.col("size") > 0).alias("has_content"),
     )
 
 
 @register("xml_error_report")
 def q_xml_error_report(spark, sf):
-    return akn.error_report(akn.akn_paragraph_texts(A.akn_xml(spark, sf)))
+    return akn.error_report(akn.akn_paragraph_texts(A.akn_xml(spark, sf, broken=True)))

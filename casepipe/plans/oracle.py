@@ -12,7 +12,7 @@ from casepipe.functions.text import CITATION_PATTERN_REFERENCE, FACT_PATTERN_REF
 NUM_RE = r"^\d+\."
 PROMPT_HEAD = "Label the paragraph below with 1 if it states a fact of the case, else 0.\nParagraph: "
 PROMPT_TAIL = "\nAnswer:"
-TRUNCATE_CHARS = 2000
+TRUNCATE_CHARS = 2000  # of truncate_text, whose feature the cut is
 
 # name -> (dependencies, SELECT body)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -47,43 +47,46 @@ WHERE paragraph IS NOT NULL
     "ij_labels": (
         ("kept",),
         r"""
-SELECT file_name, paragraph, pos, 0 AS dup,
+SELECT file_name, doc_id, paragraph, pos, 0 AS dup,
        CAST(CASE WHEN (doc_id + pos) % 17 = 0 THEN NULL WHEN pos < 3 THEN 1 ELSE 0 END AS INTEGER) AS introduction,
        CAST(CASE WHEN (doc_id + pos) % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS judgment
-FROM kept WHERE (doc_id + pos) % 3 <> 0
+FROM kept
 UNION ALL
-SELECT file_name, paragraph, pos, 1 AS dup,
+SELECT file_name, doc_id, paragraph, pos, 1 AS dup,
        CAST(CASE WHEN (doc_id + pos) % 17 = 0 THEN NULL WHEN pos < 3 THEN 1 ELSE 0 END AS INTEGER),
        CAST(CASE WHEN (doc_id + pos) % 11 = 0 THEN 0 ELSE 1 END AS INTEGER)
-FROM kept WHERE (doc_id + pos) % 3 <> 0 AND (doc_id + pos) % 13 = 0
+FROM kept WHERE (doc_id + pos) % 13 = 0
 """,
     ),
+    "ij_part": (("ij_labels",), "SELECT * FROM ij_labels WHERE (doc_id + pos) % 3 <> 0"),
     "citation_labels": (
         ("kept",),
         r"""
-SELECT file_name, paragraph, pos,
+SELECT file_name, doc_id, paragraph, pos,
        CAST(CASE WHEN (doc_id + pos) % 19 = 0 THEN NULL WHEN pos % 7 = 1 THEN 1 ELSE 0 END AS INTEGER) AS citation
-FROM kept WHERE (doc_id + pos) % 2 = 0
+FROM kept
 """,
     ),
+    "citation_part": (("citation_labels",), "SELECT * FROM citation_labels WHERE (doc_id + pos) % 2 = 0"),
     "fact_labels": (
         ("kept",),
         r"""
-SELECT file_name, paragraph, pos, 0 AS dup,
+SELECT file_name, doc_id, paragraph, pos, 0 AS dup,
        CASE (doc_id + pos) % 6 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'Output: 1'
             WHEN 3 THEN 'yes' WHEN 4 THEN '10' ELSE NULL END AS fact
-FROM kept WHERE (doc_id + pos) % 5 <> 1
+FROM kept
 UNION ALL
-SELECT file_name, paragraph, pos, 1 AS dup, '0' AS fact
-FROM kept WHERE (doc_id + pos) % 5 <> 1 AND (doc_id + pos) % 9 = 0
+SELECT file_name, doc_id, paragraph, pos, 1 AS dup, '0' AS fact
+FROM kept WHERE (doc_id + pos) % 9 = 0
 """,
     ),
+    "fact_part": (("fact_labels",), "SELECT * FROM fact_labels WHERE (doc_id + pos) % 5 <> 1"),
     "header_paras": (
         ("paras",),
         r"""
 SELECT file_name, doc_id, pos,
        CASE WHEN doc_id % 5 = 0 THEN chr(10) ELSE paragraph || chr(10) END AS paragraph
-FROM paras WHERE pos < 3 AND doc_id % 7 <> 3
+FROM paras WHERE NOT ends_with(paragraph, '.') AND pos % 7 NOT IN (4, 5) AND doc_id % 7 <> 3
 """,
     ),
     "body_paras": (
@@ -93,7 +96,7 @@ SELECT file_name, doc_id, pos,
        CASE WHEN doc_id % 3 = 0 AND pos = 6 THEN 'Hearing date: ' || paragraph
             WHEN doc_id % 3 <> 2 AND pos = 4 THEN 'JUDGMENT'
             ELSE paragraph END AS paragraph
-FROM paras WHERE pos >= 3
+FROM paras WHERE ends_with(paragraph, '.') OR pos % 7 IN (4, 5)
 """,
     ),
 
@@ -108,7 +111,7 @@ GROUP BY file_name, gid
 """,
     ),
     "cons": (
-        ("kept", "ij_labels", "citation_labels", "fact_labels"),
+        ("kept", "ij_part", "citation_part", "fact_part"),
         r"""
 SELECT k.file_name, k.pos,
        'The paragraph number is ' || row_number() OVER (PARTITION BY k.file_name ORDER BY k.pos) AS paragraph_number,
@@ -119,15 +122,15 @@ SELECT k.file_name, k.pos,
        CAST(coalesce(ij.judgment, 0) AS INTEGER) AS judgment
 FROM kept k
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos, dup) AS rn
-                          FROM ij_labels) WHERE rn = 1) ij
+                          FROM ij_part) WHERE rn = 1) ij
   ON k.file_name IS NOT DISTINCT FROM ij.file_name AND k.paragraph IS NOT DISTINCT FROM ij.paragraph
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos) AS rn
-                          FROM citation_labels) WHERE rn = 1) ci
+                          FROM citation_part) WHERE rn = 1) ci
   ON k.file_name IS NOT DISTINCT FROM ci.file_name AND k.paragraph IS NOT DISTINCT FROM ci.paragraph
 LEFT JOIN (SELECT file_name, paragraph,
                   CASE WHEN fact LIKE '%0%' THEN 0 WHEN fact LIKE '%1%' THEN 1 END AS fact
            FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos, dup) AS rn
-                 FROM fact_labels) WHERE rn = 1) fa
+                 FROM fact_part) WHERE rn = 1) fa
   ON k.file_name IS NOT DISTINCT FROM fa.file_name AND k.paragraph IS NOT DISTINCT FROM fa.paragraph
 """,
     ),
@@ -192,7 +195,7 @@ FACT = q(FACT_PATTERN_REFERENCE)
 NUM = q(NUM_RE)
 
 
-def oracle_sql() -> dict[str, str]:
+def _base_sql() -> dict[str, str]:
     out: dict[str, str] = {}
 
     out["case_summary"] = with_views(
@@ -256,7 +259,7 @@ FROM kept""",
     )
     out["truncate_text"] = with_views(f"SELECT file_name, pos, substr(paragraph, 1, {TRUNCATE_CHARS}) AS text FROM paras", "paras")
     out["render_prompts"] = with_views(
-        f"SELECT file_name, pos, {q(PROMPT_HEAD)} || substr(paragraph, 1, {TRUNCATE_CHARS}) || {q(PROMPT_TAIL)} AS prompt FROM kept",
+        f"SELECT file_name, pos, {q(PROMPT_HEAD)} || paragraph || {q(PROMPT_TAIL)} AS prompt FROM kept",
         "kept",
     )
     out["normalise_label"] = with_views(
@@ -340,42 +343,42 @@ UNION ALL SELECT file_name, pos, CAST(NULL AS INTEGER), fact FROM fact_labels"""
     )
     out["files_semi"] = with_views(
         """SELECT file_name, pos, paragraph FROM kept
-WHERE file_name IN (SELECT file_name FROM citation_labels WHERE citation = 1)""",
+WHERE file_name IN (SELECT file_name FROM citation_part WHERE citation = 1)""",
         "kept",
-        "citation_labels",
+        "citation_part",
     )
     out["files_anti"] = with_views(
         """SELECT file_name, pos, paragraph FROM kept k
-WHERE NOT EXISTS (SELECT 1 FROM citation_labels c WHERE c.citation = 1 AND c.file_name = k.file_name)""",
+WHERE NOT EXISTS (SELECT 1 FROM citation_part c WHERE c.citation = 1 AND c.file_name = k.file_name)""",
         "kept",
-        "citation_labels",
+        "citation_part",
     )
     out["left_merge"] = with_views(
         """SELECT k.file_name, k.pos AS pos_x, k.paragraph, c.pos AS pos_y, c.citation
 FROM kept k LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, paragraph ORDER BY pos) AS rn
-                 FROM citation_labels) WHERE rn = 1) c
+                 FROM citation_part) WHERE rn = 1) c
   ON k.paragraph IS NOT DISTINCT FROM c.paragraph AND k.file_name IS NOT DISTINCT FROM c.file_name""",
         "kept",
-        "citation_labels",
+        "citation_part",
     )
     out["natural_left_merge"] = with_views(
         """SELECT k.file_name, k.pos, k.paragraph, c.citation
-FROM kept k LEFT JOIN citation_labels c
+FROM kept k LEFT JOIN citation_part c
   ON k.file_name IS NOT DISTINCT FROM c.file_name AND k.pos IS NOT DISTINCT FROM c.pos
  AND k.paragraph IS NOT DISTINCT FROM c.paragraph""",
         "kept",
-        "citation_labels",
+        "citation_part",
     )
     out["positional_join"] = with_views(
         """SELECT a.file_name, a.pos, a.paragraph, b.fact
 FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY pos) AS i FROM kept) a
 LEFT JOIN (SELECT file_name, fact, row_number() OVER (PARTITION BY file_name ORDER BY pos) AS i
-           FROM (SELECT *, row_number() OVER (PARTITION BY file_name, pos ORDER BY dup) AS rn FROM fact_labels)
+           FROM (SELECT *, row_number() OVER (PARTITION BY file_name, pos ORDER BY dup) AS rn FROM fact_part)
            WHERE rn = 1) b
   ON a.file_name = b.file_name AND a.i = b.i""",
         "kept",
-        "fact_labels",
+        "fact_part",
     )
     out["frames_equal"] = with_views(
         """SELECT count(*) = 0 AS equal, CAST(count(*) AS BIGINT) AS n_diff
@@ -481,17 +484,25 @@ FROM (SELECT doc_id, CAST(idx AS INTEGER) AS idx, word,
                   FROM documents)))
 """,
     ),
-    "iob_lines": (
+    "doc_lines": (
         ("words",),
         r"""
+SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS base, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS "end" FROM (
+  SELECT d.doc_id, coalesce(w.n, 0) + coalesce(w.n, 0) // 10 + 1 + CASE WHEN d.doc_id % 9 = 0 THEN 1 ELSE 0 END AS n
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id) w ON d.doc_id = w.doc_id)
+""",
+    ),
+    "iob_lines": (
+        ("words", "doc_lines"),
+        r"""
 SELECT 'output-iob.tsv' AS file, CAST(line_no AS BIGINT) AS line_no, line FROM (
-  SELECT doc_id * 1000000 + idx * 2 + 1 AS line_no,
+  SELECT base + idx + idx // 10 + 1 AS line_no,
          CASE WHEN idx % 13 = 12 THEN word || chr(9)
               WHEN idx % 17 = 16 THEN word || chr(9) || '_' || chr(9) || '_' || chr(9) || tag
-              ELSE word || chr(9) || tag END AS line FROM words
-  UNION ALL SELECT doc_id * 1000000 + idx * 2 + 2, '' FROM words WHERE idx % 10 = 9
-  UNION ALL SELECT doc_id * 1000000, '-DOCSTART- -X- O O' FROM documents
-  UNION ALL SELECT doc_id * 1000000 + 999999, '-DOCSTART- -X- O O' FROM documents WHERE doc_id % 9 = 0)
+              ELSE word || chr(9) || tag END AS line FROM words JOIN doc_lines USING (doc_id)
+  UNION ALL SELECT base + idx + idx // 10 + 2, '' FROM words JOIN doc_lines USING (doc_id) WHERE idx % 10 = 9
+  UNION ALL SELECT base, '-DOCSTART- -X- O O' FROM doc_lines
+  UNION ALL SELECT "end" - 1, '-DOCSTART- -X- O O' FROM doc_lines WHERE doc_id % 9 = 0)
 """,
     ),
     "ner_pred": (
@@ -511,7 +522,6 @@ SELECT l.doc_id, [CAST(quality AS INTEGER), CAST(toxic AS INTEGER)] AS y,
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """,
     ),
-    "akn_good": (("paras",), "SELECT * FROM paras WHERE doc_id % 50 <> 7"),
 }
 
 
@@ -578,34 +588,34 @@ WHERE i > 1"""
   AND regexp_matches(paragraph, '\S') AND regexp_matches(paragraph, '[\p{L}\p{N}]')"""
     out["akn_main_paragraphs"] = with_views(
         f"""SELECT file_name, CAST(pos - 2 AS INTEGER) AS pos, paragraph || chr(10) AS paragraph
-FROM akn_good WHERE pos >= 2 AND {main_filter}""",
-        "akn_good",
+FROM paras WHERE pos >= 2 AND {main_filter}""",
+        "paras",
     )
     out["akn_cover"] = with_views(
         r"""SELECT file_name,
        coalesce(string_agg(paragraph || chr(10), '' ORDER BY pos)
                 FILTER (WHERE length(paragraph) - length(replace(paragraph, '-', '')) <= 2
                           AND regexp_matches(paragraph || chr(10), '\S')), '') AS cover_text
-FROM akn_good WHERE pos < 2 GROUP BY file_name""",
-        "akn_good",
+FROM paras WHERE pos < 2 GROUP BY file_name""",
+        "paras",
     )
     akn_seg = f"""SELECT file_name, CAST(seg AS INTEGER) AS seg, {strip("string_agg(v, ' ' ORDER BY pos, k)")} AS segment
 FROM (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY pos, k) AS seg
       FROM (SELECT file_name, pos, 0 AS k,
                    CASE WHEN pos % 14 = 7 THEN '(' || pos || ')' ELSE (pos + 1) || '.' END AS v
-            FROM akn_good WHERE pos >= 2 AND pos % 7 = 0
-            UNION ALL SELECT file_name, pos, 1, {strip("paragraph")} FROM akn_good WHERE pos >= 2 AND paragraph <> ''
-            UNION ALL SELECT file_name, pos, 2, '' FROM akn_good WHERE pos >= 2))
+            FROM paras WHERE pos >= 2 AND pos % 7 = 0
+            UNION ALL SELECT file_name, pos, 1, {strip("paragraph")} FROM paras WHERE pos >= 2 AND paragraph <> ''
+            UNION ALL SELECT file_name, pos, 2, '' FROM paras WHERE pos >= 2))
 WHERE seg >= 1 GROUP BY file_name, seg"""
-    out["akn_segments"] = with_views(akn_seg, "akn_good")
+    out["akn_segments"] = with_views(akn_seg, "paras")
     out["akn_numbered"] = with_views(
         f"""SELECT file_name, CAST(gid AS INTEGER) AS gid, {strip("string_agg(segment, ' ' ORDER BY seg)")} AS paragraph
 FROM (SELECT *, sum(CASE WHEN regexp_matches(segment, '^\\d+\\.') THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY seg) AS gid
       FROM ({akn_seg}))
 GROUP BY file_name, gid""",
-        "akn_good",
+        "paras",
     )
-    out["xml_quarantine"] = with_views("SELECT DISTINCT file_name FROM paras WHERE doc_id % 50 = 7", "paras")
+    out["xml_quarantine"] = with_views("SELECT DISTINCT file_name FROM paras WHERE doc_id % 50 IN (7, 8)", "paras")
     out["segments"] = with_views(
         f"""WITH ev AS (SELECT file_name, pos AS ev, CASE WHEN pos % 7 IN (0, 3) THEN 'num' ELSE 'p' END AS tag,
                    pos % 7 = 0 AS styled, paragraph AS text, CASE WHEN pos % 2 = 0 THEN chr(10) END AS tail FROM paras),
@@ -630,9 +640,9 @@ WHERE j.t IS NOT NULL OR h.seg < lst.mx""",
     )
     out["label_resume"] = with_views(
         """SELECT file_name, pos, paragraph FROM kept k
-WHERE NOT EXISTS (SELECT 1 FROM fact_labels f WHERE f.file_name = k.file_name AND f.pos = k.pos)""",
+WHERE NOT EXISTS (SELECT 1 FROM fact_part f WHERE f.file_name = k.file_name AND f.pos = k.pos)""",
         "kept",
-        "fact_labels",
+        "fact_part",
     )
     iob_docs = f"""SELECT CAST(row_number() OVER (ORDER BY doc) - 1 AS VARCHAR) AS id, tokens, ner_tags FROM (
   SELECT doc, list(parts[1] ORDER BY line_no) AS tokens, list({tag_id_sql('parts[-1]')} ORDER BY line_no) AS ner_tags
@@ -754,20 +764,8 @@ FROM (SELECT CAST(avg(roc_auc) AS DOUBLE) AS roc_auc, CAST(avg(f1) AS DOUBLE) AS
     return out
 
 
-_base_oracle_sql = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - extends the first batch
-    out = _base_oracle_sql()
-    out.update(oracle_sql_more())
-    return out
-
-
-_with_more = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the file round trips
-    out = _with_more()
+def oracle_sql() -> dict[str, str]:
+    out = _base_sql() | oracle_sql_more()
     annotated = out["annotated_paragraphs"]
     out["csv_roundtrip"] = annotated
     out["annotation_export_manifest"] = with_views(
@@ -786,29 +784,14 @@ FROM kept GROUP BY 1, 2""",
 FROM kept""",
         "kept",
     )
-    return out
-
-
-_with_files = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the corpus scan
-    out = _with_files()
     out["xml_scan"] = with_views(
         """SELECT 'xml_page_' || (doc_id % 10 + 1) AS folder, 'doc_' || doc_id || '.xml' AS name, true AS has_content
 FROM (SELECT DISTINCT doc_id FROM paras)""",
         "paras",
     )
-    return out
-
-
-_with_scan = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - adds the error report
-    out = _with_scan()
     out["xml_error_report"] = with_views(
-        "SELECT 'parse' AS error_kind, CAST(count(DISTINCT file_name) AS BIGINT) AS n_files FROM paras WHERE doc_id % 50 = 7",
+        """SELECT CASE WHEN doc_id % 50 = 7 THEN 'parse' ELSE 'encoding' END AS error_kind, CAST(count(DISTINCT file_name) AS BIGINT) AS n_files
+FROM paras WHERE doc_id % 50 IN (7, 8) GROUP BY 1""",
         "paras",
     )
     return out

@@ -39,14 +39,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a fresh scratch folder is created and set.
+    On a cluster that setting names a shared folder and is used as is; a
+    folder that the application has given to ``setCheckpointDir`` is kept.
+    Only a local master without either gets a fresh scratch folder (tests);
+    elsewhere a missing setting is an error, since executors would write to
+    their own disks.
     """
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="casepipe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    if conf_dir:
+        if getattr(sc, "_casepipe_checkpoints", None) != conf_dir:
+            sc.setCheckpointDir(conf_dir)
+            sc._casepipe_checkpoints = conf_dir
+        return conf_dir
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    conf_dir = tempfile.mkdtemp(prefix="casepipe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", conf_dir)
+    sc.setCheckpointDir(conf_dir)
+    sc._casepipe_checkpoints = conf_dir
     return conf_dir
 
 

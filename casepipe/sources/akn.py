@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from casepipe.session import checkpoint
 
 from casepipe.functions.text import paragraph_ok
 from casepipe.operators.segments import concat_by
@@ -30,8 +29,10 @@ AKN_NS = "http://docs.oasis-open.org/legaldocml/ns/akn/3.0"
 
 PARA_SCHEMA = "file_name STRING, pos INT, paragraph STRING, error STRING"
 EVENT_SCHEMA = (
-    "file_name STRING, ev INT, close_ev INT, depth INT, tag STRING, has_style BOOLEAN, text STRING, tail STRING, error STRING"
+    "file_name STRING, ev INT, close_ev INT, depth INT, tag STRING, has_style BOOLEAN, text STRING, tail STRING, seg INT, error STRING"
 )
+#: Rows that a task holds before it hands them on.
+YIELD_ROWS = 5000
 
 
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -41,40 +42,56 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _full_text(el: ET.Element) -> str:
-    # text of the element, of all its descendants, and the element's own tail
-    out = [el.text or ""]
-    for child in el:
-        out.append(_full_text(child))
-    out.append(el.tail or "")
-    return "".join(out)
+def scan_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, size)`` of the same files, without reading their contents."""
+    return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.xml").select("path", F.col("length").alias("size"))
+
+
+def _failure(e: Exception) -> str:
+    """``kind: message`` of anything that can go wrong with one document."""
+    kind = "parse" if isinstance(e, ET.ParseError) else "encoding" if isinstance(e, (LookupError, UnicodeError)) else type(e).__name__
+    return f"{kind}: {e}"
+
+
+def _chunks(documents: Iterator[list[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of documents as frames of about ``YIELD_ROWS`` rows."""
+    rows: list[tuple] = []
+    for own in documents:
+        rows += own
+        if len(rows) >= YIELD_ROWS:
+            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+    """Local name of an element of the judgment namespace; other elements keep
+    their qualified name, so they are never taken for one of ours."""
+    own = f"{{{AKN_NS}}}"
+    return tag.removeprefix(own) if isinstance(tag, str) else ""
 
 
 def _paragraph_rows(section: str):
     sec_tag = f"{{{AKN_NS}}}{section}"
     p_tag = f"{{{AKN_NS}}}p"
 
+    def of(path: str, content: bytes) -> list[tuple]:
+        try:
+            root = ET.fromstring(bytes(content))
+            sec = root if root.tag == sec_tag else root.find(f".//{sec_tag}")
+            if sec is None:
+                return []
+            rows: list[tuple] = [(path, -1, None, None)]  # marker: the section exists
+            for i, p in enumerate(sec.iterfind(f".//{p_tag}")):
+                rows.append((path, i, "".join(p.itertext()) + (p.tail or ""), None))
+            return rows
+        except Exception as e:  # noqa: BLE001 - one document must not fail the job
+            return [(path, None, None, _failure(e))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    root = ET.fromstring(bytes(content))
-                except ET.ParseError as e:
-                    rows.append((path, None, None, f"parse: {e}"))
-                    continue
-                sec = root if root.tag == sec_tag else root.find(f".//{sec_tag}")
-                if sec is None:
-                    continue
-                rows.append((path, -1, None, None))  # marker: the section exists
-                for i, p in enumerate(sec.iterfind(f".//{p_tag}")):
-                    rows.append((path, i, _full_text(p), None))
-            if rows:
-                yield pd.DataFrame(rows, columns=["file_name", "pos", "paragraph", "error"])
+        documents = (of(path, content) for b in batches for path, content in zip(b["path"], b["content"]))
+        yield from _chunks(documents, ["file_name", "pos", "paragraph", "error"])
 
     return run
 
@@ -105,47 +122,39 @@ def akn_cover(scan: DataFrame) -> DataFrame:
     return concat_by(kept, "file_name", "pos", "v", "", out="cover_text", keep_empty_groups=True).select("file_name", "cover_text")
 
 
-def _event_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for path, content in zip(b["path"], b["content"]):
-            try:
-                root = ET.fromstring(bytes(content))
-            except ET.ParseError as e:
-                rows.append((path, None, None, None, None, None, None, None, f"parse: {e}"))
+def _events_of(path: str, content: bytes) -> list[tuple]:
+    """Events of one document, by an iterative walk: any depth of nesting."""
+    try:
+        root = ET.fromstring(bytes(content))
+        rows: list[list] = []
+        seg = 0
+        stack: list[tuple[ET.Element | None, int]] = [(root, 0)]
+        while stack:
+            el, at = stack.pop()
+            if el is None:  # the element of row ``at`` ends: its last descendant is the last row so far
+                rows[at][2] = len(rows) - 1
                 continue
-            counter = [0]
-
-            def walk(el: ET.Element, depth: int) -> int:
-                ev = counter[0]
-                counter[0] += 1
-                slot = len(rows)
-                rows.append(None)
-                last = ev
-                for child in el:
-                    last = walk(child, depth + 1)
-                rows[slot] = (path, ev, last, depth, _local(el.tag), "style" in el.attrib, el.text, el.tail, None)
-                return last
-
-            walk(root, 0)
-        if rows:
-            yield pd.DataFrame(
-                rows, columns=["file_name", "ev", "close_ev", "depth", "tag", "has_style", "text", "tail", "error"]
-            )
-
-
-def akn_events(scan: DataFrame, materialize: bool = False) -> DataFrame:
+            tag, style = _local(el.tag), "style" in el.attrib
+            seg += tag == "num" and style
+            stack.append((None, len(rows)))
+            rows.append([path, len(rows), None, at, tag, style, el.text, el.tail, seg, None])
+            stack.extend((child, at + 1) for child in reversed(el))
+        return [tuple(r) for r in rows]
+    except Exception as e:  # noqa: BLE001 - one document must not fail the job
+        return [(path, None, None, None, None, None, None, None, None, _failure(e))]
+
+
+def _event_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    yield from _chunks((_events_of(path, content) for b in batches for path, content in zip(b["path"], b["content"])), columns)
+
+
+def akn_events(scan: DataFrame) -> DataFrame:
     """One row per element in pre-order: ``(file_name, ev, close_ev, depth,
-    tag, has_style, text, tail)``; ``close_ev`` is the pre-order number of
-    the element's last descendant (for document-order segments).
-
-    With ``materialize`` the parsed events are written once to the shared
-    checkpoint folder (``checkpoint()``, eager): operators downstream read
-    the event table more than once, and the Python parse is the expensive
-    step, so it runs a single time and survives executor loss.
-    """
-    ev = scan.select("path", "content").mapInPandas(_event_rows, EVENT_SCHEMA)
-    return checkpoint(ev) if materialize else ev
+    tag, has_style, text, tail, seg)``; ``close_ev`` is the pre-order number of
+    the element's last descendant (for document-order segments), ``seg`` the
+    number of styled ``num`` elements so far."""
+    return scan.select("path", "content").mapInPandas(_event_rows, EVENT_SCHEMA)
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from casepipe.functions.text import citation_flag, fact_flag, paragraph_ok
-from casepipe.session import ensure_checkpoint_dir
 
 PARAGRAPH_SCHEMA = "file_name STRING, pos INT, paragraph STRING"
 
@@ -25,7 +24,7 @@ def annotate_stream(
     spark: SparkSession,
     source_dir: str,
     sink_dir: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     available_now: bool = True,
     max_files_per_trigger: int = 1000,
 ):
@@ -33,8 +32,6 @@ def annotate_stream(
     annotated rows (main filter, introduction/fact/citation/judgment flags)
     appended to ``sink_dir``.  Returns the ``StreamingQuery``; with
     ``available_now`` it processes what is there and stops."""
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/annotate-stream"
     src = (
         spark.readStream.schema(PARAGRAPH_SCHEMA)
         .option("maxFilesPerTrigger", max_files_per_trigger)

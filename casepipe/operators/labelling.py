@@ -32,6 +32,26 @@ def rule_labeller(texts: list[str]) -> list[str | None]:
     return [None if t is None else ("1" if _FACT_RE.search(t) else "0") for t in texts]
 
 
+def prompt_labeller(head: str, tail: str) -> Labeller:
+    """Labeller of rendered prompts: the stand-in rule on the text between ``head`` and ``tail``."""
+
+    def fn(prompts: list[str]) -> list[str | None]:
+        return rule_labeller([None if p is None else p.removeprefix(head).removesuffix(tail) for p in prompts])
+
+    return fn
+
+
+def failing_on(word: str, fn: Labeller) -> Labeller:
+    """``fn``, but a batch with ``word`` in a text fails (a service's outage, for tests of resuming)."""
+
+    def failing(texts: list[str]) -> list[str | None]:
+        if any(word in (t or "") for t in texts):
+            raise RuntimeError("service failed")
+        return fn(texts)
+
+    return failing
+
+
 def batch_label(
     df: DataFrame,
     text_col: str,

@@ -10,11 +10,12 @@ count, so no document or label meets in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS, THRESHOLD, sigmoid_threshold
-from casepipe.operators.segments import neighbours, running_count, running_counts
+from casepipe.operators.segments import neighbours, running_counts
+from casepipe.session import checkpoint
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -25,30 +26,6 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when((p + r) == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def chunks(tokens: DataFrame, tag: str, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
-    """Entities ``(doc, type, start, end)`` by the CoNLL chunk rules.
-
-    A chunk starts at a non-``O`` token that is ``B-``, or follows ``O`` /
-    the document start, or changes entity type; it runs over the following
-    tokens up to the next ``O`` or chunk start.
-    """
-    t = tokens.select(doc, idx, F.col(tag).alias("_tag"))
-    j = neighbours(t, doc, idx, ["_tag"]).withColumnRenamed("prev__tag", "_prev")
-    typ = F.when(F.col("_tag") == "O", F.lit(None)).otherwise(F.substring_index(F.col("_tag"), "-", -1))
-    prev_typ = F.when(F.coalesce(F.col("_prev"), F.lit("O")) == "O", F.lit(None)).otherwise(
-        F.substring_index(F.col("_prev"), "-", -1)
-    )
-    prefix = F.substring_index(F.col("_tag"), "-", 1)
-    is_start = (F.col("_tag") != "O") & (
-        (prefix == "B") | (F.coalesce(F.col("_prev"), F.lit("O")) == "O") | ~typ.eqNullSafe(prev_typ)
-    )
-    j = j.select(doc, idx, "_tag", typ.alias("_type"), is_start.cast("int").alias("_start"))
-    c = running_count(j, doc, idx, F.col("_start"), "_chunk").where(F.col("_tag") != "O")
-    return c.groupBy(doc, "_chunk").agg(
-        F.min_by("_type", idx).alias("type"), F.min(idx).alias("start"), F.max(idx).alias("end")
-    ).drop("_chunk")
-
-
 def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
     """Entities of both tag columns in one pass: ``(doc, side, type, start,
     end)`` with ``side`` 't' (true) or 'p' (predicted)."""
@@ -137,17 +114,16 @@ def ner_auc_pr(tokens: DataFrame) -> DataFrame:
 
 
 def tag_report(tokens: DataFrame) -> DataFrame:
-    """Per tag of the vocabulary: precision, recall, F1 and support (token level)."""
-    vocab = tokens.sparkSession.createDataFrame([(t,) for t in TAGS], "class STRING")  # fixed 11 rows
-    sup = tokens.groupBy(F.col("true_tag").alias("class")).agg(F.count(F.lit(1)).alias("support"))
-    pred = tokens.groupBy(F.col("pred_tag").alias("class")).agg(F.count(F.lit(1)).alias("predicted"))
-    tp = tokens.where(F.col("true_tag") == F.col("pred_tag")).groupBy(F.col("true_tag").alias("class")).agg(
-        F.count(F.lit(1)).alias("tp")
-    )
-    # the per-tag aggregates are as many rows as distinct tag strings in the
-    # data (not a proven bound): AQE broadcasts them when measured small
-    j = vocab.join(sup, "class", "left").join(pred, "class", "left").join(tp, "class", "left")
-    j = j.fillna(0, ["support", "predicted", "tp"])
+    """Per tag of the vocabulary: precision, recall, F1 and support (token
+    level), all from one count of (true, predicted) pairs."""
+    pairs = tokens.groupBy("true_tag", "pred_tag").agg(F.count(F.lit(1)).alias("n"))
+    is_true, is_pred = F.col("class") == F.col("true_tag"), F.col("class") == F.col("pred_tag")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    # every pair meets every tag of the fixed vocabulary; the vocabulary's own rows carry no count
+    vocabulary = F.array(*[F.lit(t) for t in TAGS])
+    none = tokens.sparkSession.range(1).select(F.lit(None).cast("string").alias("true_tag"), F.lit(None).cast("string").alias("pred_tag"), F.lit(0).cast("long").alias("n"))
+    j = pairs.unionByName(none).select("*", F.explode(vocabulary).alias("class"))
+    j = j.groupBy("class").agg(n(is_true).alias("support"), n(is_pred).alias("predicted"), n(is_true & is_pred).alias("tp"))
     p = _safe_div(F.col("tp"), F.col("predicted"))
     r = _safe_div(F.col("tp"), F.col("support"))
     return j.select("class", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"), F.col("support").cast("long"))
@@ -161,8 +137,8 @@ def ner_metrics(tokens: DataFrame, method: str = "casepipe", doc: str = "doc_id"
 
 def _cells(df: DataFrame, y: str, score: str, threshold: float) -> DataFrame:
     pred = sigmoid_threshold(F.col(score), threshold)
-    z = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), pred.alias("p"), F.col(score).alias("s"))).alias("label", "c"))
-    return z.select("label", F.col("c.y").alias("y"), F.col("c.p").alias("p"), F.col("c.s").alias("s"))
+    z = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), pred.alias("p"))).alias("label", "c"))
+    return z.select("label", F.col("c.y").alias("y"), F.col("c.p").alias("p"))
 
 
 def _per_label(cells: DataFrame) -> DataFrame:
@@ -200,6 +176,28 @@ def multilabel_roc_auc(df: DataFrame, y: str = "y", score: str = "logits", thres
     )
 
 
+def roc_auc_prob(df: DataFrame, y: str = "y", score: str = "logits") -> DataFrame:
+    """Macro rank ROC-AUC of the scores (ties count half; labels with one class
+    are left out): per label, the mean rank of the positives.
+
+    Rows are first counted by (label, score), so equal scores meet before any
+    window; the cumulative counts run in blocks over the ranked distinct scores.
+    """
+    cells = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(score).alias("s"))).alias("label", "c"))
+    counts = cells.groupBy("label", F.col("c.s").alias("s")).agg(
+        F.sum(F.col("c.y").cast("long")).alias("pos"), F.sum(1 - F.col("c.y").cast("long")).alias("neg")
+    )
+    # negatives below each score: ranges of scores, then inside a range
+    w = Window.partitionBy("label", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = checkpoint(counts.repartitionByRange("label", "s").select("*", F.spark_partition_id().alias("part")))
+    parts = ranged.groupBy("label", "part").agg(F.sum("neg").alias("part_neg"))
+    below = F.coalesce(F.sum("part_neg").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranged.join(parts.select("label", "part", below.alias("before")), ["label", "part"])
+    wins = F.col("pos") * (F.col("before") + F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2.0)
+    per = ranked.select("label", "pos", "neg", wins.alias("wins")).groupBy("label").agg(F.sum("wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return per.agg(F.avg(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n")))).alias("roc_auc_prob"))
+
+
 def multilabel_hamming(df: DataFrame, y: str = "y", score: str = "logits", threshold: float = THRESHOLD) -> DataFrame:
     """Mismatched cells / all cells (from the per-label confusion counts)."""
     c = _per_label(_cells(df, y, score, threshold))

@@ -66,6 +66,22 @@ def paras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(file_name.alias("file_name"), doc.alias("doc_id"), pos.cast("int").alias("pos"), paragraph.alias("paragraph"))
 
 
+def odd_cells(df: DataFrame) -> DataFrame:
+    """Annotated paragraphs with texts that careless CSV code changes: blanks
+    and line ends at either end, quotes, commas, the empty text and NULL, by ``pos % 12``."""
+    p, m = F.col("paragraph"), F.col("pos") % 12
+    odd = (
+        F.when(m == 0, F.concat(F.lit("  \t"), p))
+        .when(m == 1, F.concat(p, F.lit(" \n")))
+        .when(m == 2, F.concat(F.lit('"a", "b"\nline two, '), p))
+        .when(m == 8, F.lit(""))
+        .when(m == 9, F.lit(None).cast("string"))
+        .when(m == 10, F.lit("null"))
+        .otherwise(p)
+    )
+    return df.withColumn("paragraph", odd)
+
+
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``paras`` after the main-text quality filter."""
     from casepipe.functions.text import paragraph_ok
@@ -211,6 +227,17 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def words_of(text: str) -> F.Column:
+    return F.filter(F.split(text, r"\s+", -1), lambda x: x != "")
+
+
+def true_tag_of(word: F.Column, idx: F.Column) -> F.Column:
+    """The tag that the trainer reads for the word at ``idx``."""
+    b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(word), 1, 1)) - 1
+    tags = F.array(*[F.lit(t) for t in TAGS])
+    return F.when((idx % 13 == 12) | (b >= len(TAGS)), F.lit("O")).otherwise(F.get(tags, b))
+
+
 def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document (whole texts) with a tag from the md5 of the word."""
     d = text_table(spark, sf_dir, "documents", "doc_id", "text")

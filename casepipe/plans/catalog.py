@@ -416,6 +416,17 @@ def q_batch_label(spark, sf):
     return labelling.batch_label(A.kept(spark, sf), "paragraph", ["file_name", "pos"])
 
 
+@register("label_path")
+def q_label_path(spark, sf):
+    """Prompt -> labeller -> append -> resume: the labeller fails on prompts of
+    some rows in the first run, and the second run completes them."""
+    path = _scratch(spark, "labels")
+    todo = A.kept(spark, sf).select("file_name", "pos", fn.render_prompt("paragraph", PROMPT_HEAD, PROMPT_TAIL).alias("prompt"))
+    keys = ["file_name", "pos"]
+    labelling.label_incremental(todo, path, "prompt", keys, labelling.failing_on("EWHC", labelling.prompt_labeller(PROMPT_HEAD, PROMPT_TAIL)), batch_size=1)
+    return labelling.label_incremental(todo, path, "prompt", keys, labelling.prompt_labeller(PROMPT_HEAD, PROMPT_TAIL))
+
+
 @register("label_resume")
 def q_label_resume(spark, sf):
     todo = A.kept(spark, sf).select("file_name", "pos", "paragraph")
@@ -450,17 +461,13 @@ def _tokens(spark, sf):
     """The NER token table, checkpointed once (eager, shared checkpoint
     folder): the metric queries read it four to five times, and each read
     would otherwise split every document again."""
-    return checkpoint(A.ner_pred(spark, sf))
+    return checkpoint(A.ner_pred(spark, sf).drop("word"))
 
 
 def _doc_words(spark, sf):
-    w = A.ner_pred(spark, sf)
-    docs = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", tag_id("true_tag").alias("t")))).alias("_w"))
-    return docs.select(
-        "doc_id",
-        F.transform("_w", lambda x: x["word"]).alias("words"),
-        F.transform("_w", lambda x: x["t"]).alias("tags"),
-    )
+    """Words and tag ids of a document as arrays, built in the row (no shuffle)."""
+    d = A.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", A.words_of("text").alias("words")).where(F.size("words") > 0)
+    return d.select("doc_id", "words", F.transform("words", lambda w, i: tag_id(A.true_tag_of(w, i))).alias("tags"))
 
 
 @register("align_labels")
@@ -505,12 +512,12 @@ def q_ner_entity_scores(spark, sf):
 
 @register("ner_auc_pr")
 def q_ner_auc_pr(spark, sf):
-    return metrics.ner_auc_pr(_tokens(spark, sf))
+    return metrics.ner_auc_pr(A.ner_pred(spark, sf))  # read once: nothing to store
 
 
 @register("tag_report")
 def q_tag_report(spark, sf):
-    return metrics.tag_report(_tokens(spark, sf))
+    return metrics.tag_report(A.ner_pred(spark, sf))
 
 
 @register("ner_metrics")
@@ -543,6 +550,11 @@ def q_multilabel_roc_auc(spark, sf):
     return metrics.multilabel_roc_auc(A.ml_pred(spark, sf))
 
 
+@register("roc_auc_prob")
+def q_roc_auc_prob(spark, sf):
+    return metrics.roc_auc_prob(A.ml_pred(spark, sf))
+
+
 @register("multilabel_hamming")
 def q_multilabel_hamming(spark, sf):
     return metrics.multilabel_hamming(A.ml_pred(spark, sf))
@@ -571,26 +583,29 @@ def _scratch(spark, name: str) -> str:
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf):
     path = _scratch(spark, "csv")
-    sinks.write_csv(q_annotated_paragraphs(spark, sf), path)
+    sinks.write_csv(A.odd_cells(q_annotated_paragraphs(spark, sf)), path)
     return tabular.read_table_csv(spark, path, ANNOTATED_SCHEMA)
 
 
-def _exported(spark, sf):
-    root = _scratch(spark, "annotations")
-    sinks.export_cases(q_annotated_paragraphs(spark, sf), root)
-    return root
-
-
 @register("annotation_export_manifest")
 def q_annotation_export_manifest(spark, sf):
-    root = _exported(spark, sf)
-    back = spark.read.option("header", True).schema(ANNOTATED_SCHEMA + ", page STRING, `case` STRING").csv(root)
+    root = _scratch(spark, "annotations")
+    sinks.export_cases(A.odd_cells(q_annotated_paragraphs(spark, sf)), root)
+    back = spark.read.options(**sinks.CSV_OPTIONS).option("multiLine", True).schema(ANNOTATED_SCHEMA + ", page STRING, `case` STRING").csv(root)
     return back.groupBy("page", F.col("case").alias("case_name")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("annotation_read")
 def q_annotation_read(spark, sf):
-    return tabular.read_annotations(spark, _exported(spark, sf), ANNOTATED_SCHEMA)
+    """Annotation files of three layouts under one root: the export's own, one
+    with other column order, one with ``judgement`` and without ``introduction``."""
+    root = _scratch(spark, "annotations")
+    rows = A.odd_cells(q_annotated_paragraphs(spark, sf))
+    layout = F.regexp_extract("file_name", r"doc_(\d+)", 1).cast("long") % 3
+    sinks.export_cases(rows.where(layout == 0), f"{root}/a")
+    sinks.export_cases(rows.where(layout == 1).select("judgment", "citation", "fact", "paragraph", "pos", "introduction", "file_name"), f"{root}/b")
+    sinks.export_cases(rows.where(layout == 2).drop("introduction").withColumnRenamed("judgment", "judgement"), f"{root}/c")
+    return tabular.read_annotations(spark, root, ANNOTATED_SCHEMA)
 
 
 # ------------------------------------------------------------ models (M2, M3): rows-only checks

@@ -752,6 +752,15 @@ FROM ner_pred""",
     out["multilabel_roc_auc"] = with_views(
         f"SELECT CAST(avg(roc_auc) AS DOUBLE) AS roc_auc, bool_or(single_class) AS undefined_label FROM {per}", "ml_pred"
     )
+    out["roc_auc_prob"] = with_views(
+        """SELECT CAST(avg(auc) AS DOUBLE) AS roc_auc_prob FROM (
+  SELECT label, CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN sum(CASE WHEN y = 1 THEN below + same / 2.0 END) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) END AS auc
+  FROM (SELECT label, y, sum(1 - y) OVER (PARTITION BY label ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(1 - y) OVER (PARTITION BY label, s) AS below,
+               sum(1 - y) OVER (PARTITION BY label, s) AS same
+        FROM (SELECT 0 AS label, y[1] AS y, logits[1] AS s FROM ml_pred UNION ALL SELECT 1, y[2], logits[2] FROM ml_pred))
+  GROUP BY label)""",
+        "ml_pred",
+    )
     out["multilabel_hamming"] = with_views(
         f"SELECT CAST(avg(CASE WHEN y <> p THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS hamming_loss FROM {cells}", "ml_pred"
     )
@@ -766,8 +775,17 @@ FROM (SELECT CAST(avg(roc_auc) AS DOUBLE) AS roc_auc, CAST(avg(f1) AS DOUBLE) AS
 
 def oracle_sql() -> dict[str, str]:
     out = _base_sql() | oracle_sql_more()
-    annotated = out["annotated_paragraphs"]
-    out["csv_roundtrip"] = annotated
+    odd = """CASE pos % 12 WHEN 0 THEN '  ' || chr(9) || paragraph WHEN 1 THEN paragraph || ' ' || chr(10)
+            WHEN 2 THEN '"a", "b"' || chr(10) || 'line two, ' || paragraph
+            WHEN 8 THEN '' WHEN 9 THEN NULL WHEN 10 THEN 'null' ELSE paragraph END"""
+    out["csv_roundtrip"] = with_views(
+        f"""SELECT file_name, pos, {odd} AS paragraph, CAST(0 AS INTEGER) AS introduction,
+       CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,
+       CAST(regexp_matches(paragraph, {CIT}) AS INTEGER) AS citation,
+       CAST(0 AS INTEGER) AS judgment
+FROM kept""",
+        "kept",
+    )
     out["annotation_export_manifest"] = with_views(
         f"""SELECT regexp_extract(regexp_extract(file_name, '([^/\\\\]*)[/\\\\][^/\\\\]*$', 1), '([^_]*)$', 1) AS page,
        substr(regexp_extract(file_name, '([^/\\\\]*)$', 1), 1, length(regexp_extract(file_name, '([^/\\\\]*)$', 1)) - 4) AS case_name,
@@ -776,14 +794,15 @@ FROM kept GROUP BY 1, 2""",
         "kept",
     )
     out["annotation_read"] = with_views(
-        f"""SELECT file_name, pos, paragraph, CAST(0 AS INTEGER) AS introduction,
+        f"""SELECT file_name, pos, {odd} AS paragraph, introduction,
        CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,
        CAST(regexp_matches(paragraph, {CIT}) AS INTEGER) AS citation,
        CAST(0 AS INTEGER) AS judgment,
        'The paragraph number is ' || row_number() OVER (PARTITION BY file_name ORDER BY pos) AS paragraph_number
-FROM kept""",
+FROM (SELECT *, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(0 AS INTEGER) END AS introduction FROM kept)""",
         "kept",
     )
+    out["label_path"] = out["batch_label"]
     out["xml_scan"] = with_views(
         """SELECT 'xml_page_' || (doc_id % 10 + 1) AS folder, 'doc_' || doc_id || '.xml' AS name, true AS has_content
 FROM (SELECT DISTINCT doc_id FROM paras)""",

@@ -1,5 +1,6 @@
 """Sinks: JSON / CSV / Parquet writes, per-case annotation export and
-metric rows.  All writes go through Spark's commit protocol (atomic per job)."""
+metric rows.  Table writes go through Spark's commit protocol (atomic per
+job); ``write_documents`` writes single files, idempotently."""
 
 from __future__ import annotations
 
@@ -13,10 +14,25 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+#: What stands for NULL in CSV files (a private-use character: no text holds it).
+CSV_NULL = "\ue000"
+#: Options that make CSV lossless: every field quoted, quotes doubled, blanks
+#: at either end kept, and NULL told from the empty text.
+CSV_OPTIONS = {
+    "header": "true",
+    "quoteAll": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": CSV_NULL,
+    "emptyValue": "",
+}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header, every field quoted, quotes escaped by doubling, so
-    any text (commas, quotes, newlines) reads back verbatim."""
-    df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """CSV with header that ``read_table_csv`` reads back verbatim: commas,
+    quotes, newlines, blanks at the ends, empty texts and NULL."""
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def export_cases(df: DataFrame, root: str, mode: str = "overwrite") -> None:
@@ -31,15 +47,13 @@ def export_cases(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     (
         out.write.mode(mode)
         .partitionBy("page", "case")
-        .option("header", True)
-        .option("quoteAll", True)
-        .option("escape", '"')
+        .options(**CSV_OPTIONS)
         .csv(root)
     )
 
 
 def write_metrics(df: DataFrame, path: str, method: str, mode: str = "overwrite") -> None:
-    """A metric row with its ``method`` column, as one CSV file."""
+    """A metric row (one-row frames only) with its ``method`` column, as one CSV file."""
     df.withColumn("method", F.lit(method)).coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
@@ -54,10 +68,17 @@ def write_documents(df: DataFrame, root: str, path_col: str = "path", content_co
     """
     import pandas as pd
 
+    # the same meaning that spark.read gives the path: the default file system's, if it names none
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    target_root = path.getFileSystem(conf).makeQualified(path).toString()
+    if target_root.startswith("file:/") and not target_root.startswith("file://"):
+        target_root = "file://" + target_root[5:]
+
     def run(batches):
         from pyarrow import fs as pafs
 
-        filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        filesystem, base = pafs.FileSystem.from_uri(target_root)
         made: set[str] = set()
         for b in batches:
             sizes = []

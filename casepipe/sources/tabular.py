@@ -3,44 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from casepipe.operators.ordering import add_paragraph_number
+from casepipe.sinks import CSV_NULL, CSV_OPTIONS
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header; text kept verbatim (no ``NA``/``null`` -> NULL), quoted
-    fields may span lines.  Pass ``schema`` to avoid inference at scale."""
-    r = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("nullValue", None)
-        .option("emptyValue", "")
-    )
-    if schema:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", True)
+    """CSV with header as ``write_csv`` writes it: text kept verbatim, quoted
+    fields may span lines (so a file is one task: write many files, not large
+    ones).  Pass ``schema`` to avoid inference at scale."""
+    r = spark.read.options(**CSV_OPTIONS).option("multiLine", True)
+    r = r.schema(schema) if schema else r.option("inferSchema", True)
     return r.csv(path)
 
 
+#: Column names of annotation files that mean another column.
+RENAMED = {"judgement": "judgment"}
+
+
 def read_annotations(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Every annotation CSV under ``root`` at any depth, unioned by name, with
-    ``paragraph_number`` = 1-based ordinal of the row in its file (by ``pos``).
+    """Every annotation CSV under ``root`` at any depth, unioned by column name.
+
+    ``schema`` lists the columns to return; each file has its own header, with
+    the columns in any order.  A column that a file lacks is NULL, further ones
+    are dropped, and ``judgement`` is read as ``judgment``.
+    ``paragraph_number`` is the 1-based ordinal of a row in its source file (by ``pos``).
 
-    A ``judgement`` column is renamed ``judgment``.
+    The files are parsed once, by position and as texts; the header rows, one
+    per file, then say where each file has each column.
     """
-    df = (
-        spark.read.option("header", True)
+    want = spark.createDataFrame([], schema).schema
+    widest = spark.read.option("recursiveFileLookup", True).text(root)
+    width = widest.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or len(want)
+    names = [f"c{i}" for i in range(max(width, len(want)))]
+    cells = (
+        spark.read.options(**CSV_OPTIONS | {"header": "false"})
         .option("multiLine", True)
-        .option("escape", '"')
         .option("recursiveFileLookup", True)
-        .schema(schema)
+        .schema(", ".join(f"{n} STRING" for n in names))
         .csv(root)
+        .select(F.col("_metadata.file_path").alias("_source"), F.array(*names).alias("_cells"))
     )
-    if "judgement" in df.columns:
-        df = df.withColumnRenamed("judgement", "judgment")
-    return add_paragraph_number(df, "file_name", "pos")
-
-
+    known = [f.name for f in want] + list(RENAMED)
+    named = F.filter("_cells", lambda c: c.isNotNull())
+    is_header = (F.size(named) > 0) & F.forall(named, lambda c: c.isin(*known)) & F.array_contains("_cells", "file_name")
+    headers = cells.where(is_header).groupBy("_source").agg(F.first("_cells").alias("_names"))
+    rows = cells.where(~F.coalesce(is_header, F.lit(False))).join(headers, "_source")
+
+    def value(name: str, kind) -> F.Column:
+        at = F.array_position("_names", name)
+        for other, meant in RENAMED.items():
+            if meant == name:
+                at = F.when(at > 0, at).otherwise(F.array_position("_names", other))
+        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).cast(kind).alias(name)
+
+    out = rows.select("_source", *[value(f.name, f.dataType) for f in want])
+    return add_paragraph_number(out, "_source", "pos").drop("_source")

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from casepipe.operators import metrics, profile
 from casepipe.sources import iob
@@ -69,5 +70,6 @@ def test_chunk_rules(spark):
     # I- after O starts a chunk; type change starts a chunk
     tags = "I-DATE I-DATE O I-JUDGE B-JUDGE I-COURT".split()
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(tags)], "doc_id INT, idx INT, tag STRING")
-    got = sorted((r.type, r.start, r.end) for r in metrics.chunks(df, "tag").collect())
+    both = metrics._both_chunks(df.select("doc_id", "idx", F.col("tag").alias("true_tag"), F.col("tag").alias("pred_tag")), "doc_id", "idx")
+    got = sorted((r.type, r.start, r.end) for r in both.where("side = 't'").collect())
     assert got == [("COURT", 5, 5), ("DATE", 0, 1), ("JUDGE", 3, 3), ("JUDGE", 4, 4)]

@@ -211,6 +211,30 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page, html, xml)``: the search results of a listing page as the
+    HTML list of a listing and as a feed."""
+    r = search_results(spark, sf_dir).select("page", "item", "page_id", *[_xml_escape(F.col(c)).alias(c) for c in ("title", "court", "citation", "date")])
+
+    def span(cls: str, c) -> F.Column:
+        return F.concat(F.lit(f'<span class="judgment-listing__{cls}">'), c, F.lit("</span>\n"))
+
+    li = F.concat(
+        F.lit("<li>\n"),
+        span("title", F.concat(F.lit('<a href="/x"> '), F.col("title"), F.lit(" </a>"))),
+        span("court", F.col("court")),
+        span("neutralcitation", F.col("citation")),
+        F.lit('<time class="judgment-listing__date" datetime="'), F.col("date"), F.lit('">a day</time></li>'),
+    )
+    entry = F.concat(F.lit("<entry><title>"), F.col("title"), F.lit("</title>\n<id> id-"), _s(F.col("page_id")), F.lit("</id></entry>"))
+    both = r.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("item", li.alias("li"), entry.alias("entry")))).alias("_a"))
+    return both.select(
+        "page",
+        F.concat(F.lit('<ul class="judgment-listing__list">'), F.array_join(F.transform("_a", lambda x: x["li"]), ""), F.lit("</ul>")).alias("html"),
+        F.concat(F.lit("<feed><title>all</title>"), F.array_join(F.transform("_a", lambda x: x["entry"]), ""), F.lit("</feed>")).alias("xml"),
+    )
+
+
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, base, total_text)``: a results-intro line per page,
     ``'N documents found'`` with ``N`` = 3 x the number of ``<p`` tags +
@@ -284,6 +308,23 @@ def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allv.select(F.lit("output-iob.tsv").alias("file"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+def ner_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of ``ner_pred`` as word pieces of up to four characters, each
+    with its word's tags: what is scored when all pieces carry labels."""
+    d = text_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", words_of("text").alias("w"))
+
+    def piece(w, i):
+        true_tag = true_tag_of(w, i)
+        tags = F.array(*[F.lit(t) for t in TAGS])
+        b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w), 1, 1)) - 1
+        flip = F.substring(F.md5(F.concat(w, F.lit("#"))), 1, 1).isin("0", "1", "2")
+        pred = F.when(flip, F.get(tags, (b + 3) % 11)).otherwise(true_tag)
+        return F.array_repeat(F.struct(true_tag.alias("t"), pred.alias("p")), F.ceil(F.length(w) / 4).cast("int"))
+
+    p = d.select("doc_id", F.posexplode(F.flatten(F.transform("w", piece))).alias("idx", "x"))
+    return p.select("doc_id", "idx", F.col("x.t").alias("true_tag"), F.col("x.p").alias("pred_tag"))
+
+
 def ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token table ``(doc_id, idx, word, true_tag, pred_tag)``: the IOB words
     with the tag the trainer reads (bare lines -> ``O``) and a prediction

@@ -197,7 +197,9 @@ def q_corpus_shape(spark, sf):
 
 @register("missing_files")
 def q_missing_files(spark, sf):
-    return profile.missing_files(A.paras(spark, sf), q_numbered_paragraphs(spark, sf))
+    """Scanned judgments without a main paragraph: broken XML and bodies that the filter empties."""
+    x = A.akn_xml(spark, sf, broken=True)
+    return profile.missing_files(x.select(F.col("path").alias("file_name")), akn.akn_paragraphs(x).select("file_name").distinct())
 
 
 # -------------------------------------------------- ordering / dedup / union (W*, U*)
@@ -294,6 +296,8 @@ def q_new_main_text(spark, sf):
     numbered = q_numbered_paragraphs(spark, sf)
     main = A.kept(spark, sf).select("file_name", "pos", "paragraph")
     scanned = A.paras(spark, sf).select("file_name")
+    # every third file has no numbered text at all: its rows come from the main text
+    numbered = numbered.where(F.regexp_extract("file_name", r"doc_(\d+)", 1).cast("long") % 3 != 1)
     return segments.new_main_text(numbered, main, scanned)
 
 
@@ -318,6 +322,13 @@ SEARCH_QUERY = '"planning+court"'
 RESULTS_PER_PAGE = 10
 # ---------------------------------------------------------------------------
 NAV_LIST = r"(?s)<nav>\s*<ul>(.*?)</ul>"
+LISTING = r'(?s)<ul[^>]*class="judgment-listing__list"[^>]*>(.*?)</ul>'
+LISTING_FIELDS = {
+    "title": r'(?s)<span class="judgment-listing__title">\s*<a[^>]*>(.*?)</a>',
+    "court": r'(?s)<span class="judgment-listing__court">(.*?)</span>',
+    "citation": r'(?s)<span class="judgment-listing__neutralcitation">(.*?)</span>',
+    "date": r'<time class="judgment-listing__date" datetime="([^"]*)"',
+}
 NAV_FIELDS = {"title": r"(?s)<a[^>]*>(.*?)</a>", "href": r'href="([^"]*)"'}
 
 
@@ -335,8 +346,27 @@ def q_page_plan(spark, sf):
 
 @register("feed_title_id")
 def q_feed_title_id(spark, sf):
-    r = A.search_results(spark, sf).select("title", F.concat(F.lit("id-"), F.col("page_id").cast("string")).alias("entry_id"), F.col("page_id").alias("pos"))
-    return html.feed_title_id(r)
+    entries = html.feed_entries(A.listing_pages(spark, sf).select("page", "xml"))
+    return html.feed_title_id(entries.withColumn("pos", F.struct("page", "pos")))
+
+
+@register("listing_fields")
+def q_listing_fields(spark, sf):
+    pages = A.listing_pages(spark, sf).select("page", "html")
+    return html.listing_items(pages, LISTING, LISTING_FIELDS, id_col="page")
+
+
+@register("search_file_roundtrip")
+def q_search_file_roundtrip(spark, sf):
+    path = _scratch(spark, "search")
+    pages = search.nest_results(A.search_results(spark, sf)).withColumn("page", F.get_json_object("json", "$[0].page").cast("int"))
+    search.write_results(pages, path, "page")
+    return search.flatten_search_results(search.read_results(spark, path))
+
+
+@register("pdf_manifest")
+def q_pdf_manifest(spark, sf):
+    return search.download_manifest(A.search_results(spark, sf).withColumnRenamed("page_id", "item_order"), ext="pdf")
 
 
 @register("search_results_flatten")
@@ -361,7 +391,7 @@ def q_page_folders(spark, sf):
 
 @register("main_paragraphs")
 def q_main_paragraphs(spark, sf):
-    return html.html_paragraphs(A.text_table(spark, sf, "pages", "page_id", "html"))
+    return html.html_paragraphs(A.text_table(spark, sf, "pages", "page_id", "html")).where(fn.paragraph_ok("paragraph"))
 
 
 # ------------------------------------------------------------ AKN XML
@@ -510,6 +540,11 @@ def q_ner_entity_scores(spark, sf):
     return metrics.ner_entity_scores(_tokens(spark, sf))
 
 
+@register("ner_piece_scores")
+def q_ner_piece_scores(spark, sf):
+    return metrics.ner_entity_scores(checkpoint(A.ner_pieces(spark, sf)))
+
+
 @register("ner_auc_pr")
 def q_ner_auc_pr(spark, sf):
     return metrics.ner_auc_pr(A.ner_pred(spark, sf))  # read once: nothing to store
@@ -619,6 +654,22 @@ def q_multilabel_train_predict(spark, sf):
     return metrics.multilabel_metrics(pred, method="mllib-logreg-tfidf")
 
 
+@register("multilabel_bayes")
+def q_multilabel_bayes(spark, sf):
+    from casepipe.operators import bayes
+
+    data = checkpoint(splits.group_split(_consolidated(spark, sf), "file_name"))
+    return metrics.multilabel_metrics(bayes.multilabel_bayes(data, "paragraph", list(joins.LABELS), ["file_name", "pos"]), method="bayes")
+
+
+@register("token_bayes")
+def q_token_bayes(spark, sf):
+    from casepipe.operators import bayes
+
+    tokens = checkpoint(splits.row_split(A.ner_pred(spark, sf).withColumn("id", F.col("doc_id").cast("string")), "id"))
+    return bayes.tag_counts(bayes.token_bayes(tokens))
+
+
 @register("token_tagger")
 def q_token_tagger(spark, sf):
     from casepipe.operators import models

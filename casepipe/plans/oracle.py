@@ -108,6 +108,13 @@ SELECT file_name, CAST(gid AS INTEGER) AS gid,
 FROM (SELECT *, sum(CASE WHEN regexp_matches(paragraph, '^\d+\.') THEN 1 ELSE 0 END)
                   OVER (PARTITION BY file_name ORDER BY pos) AS gid FROM kept)
 GROUP BY file_name, gid
+""",
+    ),
+    "several": (
+        ("numbered",),
+        r"""
+SELECT file_name FROM numbered WHERE CAST(regexp_extract(file_name, 'doc_([0-9]+)', 1) AS BIGINT) % 3 <> 1
+GROUP BY file_name HAVING count(*) > 1
 """,
     ),
     "cons": (
@@ -182,6 +189,8 @@ def with_views(body: str, *names: str) -> str:
     stripped = body.lstrip()
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
+    if stripped[:6].upper() != "SELECT":  # the body goes on with views of its own
+        return f"WITH {ctes},\n{stripped}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -321,9 +330,9 @@ FROM cover c LEFT JOIN prefix p USING (file_name)""",
     )
     out["missing_files"] = with_views(
         """SELECT DISTINCT file_name FROM paras p
-WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.file_name = p.file_name)""",
+WHERE doc_id % 50 IN (7, 8) OR NOT EXISTS (SELECT 1 FROM kept n WHERE n.file_name = p.file_name AND n.pos >= 2)""",
         "paras",
-        "numbered",
+        "kept",
     )
     out["sorted_paragraphs"] = with_views("SELECT file_name, pos, paragraph FROM kept", "kept")
     out["head_rows"] = with_views("SELECT file_name, pos, paragraph FROM kept ORDER BY file_name, pos LIMIT 5", "kept")
@@ -391,13 +400,14 @@ WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
     )
     out["consolidate_labels"] = with_views("SELECT * FROM cons", "cons")
     out["new_main_text"] = with_views(
-        """SELECT file_name, gid AS ord, paragraph, 'numbered' AS source FROM numbered
-WHERE file_name IN (SELECT file_name FROM numbered GROUP BY file_name HAVING count(*) > 1)
+        r"""SELECT file_name, gid AS ord, paragraph, 'numbered' AS source FROM numbered
+WHERE file_name IN (SELECT * FROM several)
 UNION ALL
 SELECT file_name, pos AS ord, paragraph, 'main' AS source FROM kept
-WHERE file_name NOT IN (SELECT file_name FROM numbered GROUP BY file_name HAVING count(*) > 1)""",
+WHERE file_name NOT IN (SELECT * FROM several)""",
         "kept",
         "numbered",
+        "several",
     )
     split_case = """CASE WHEN rk < floor(CAST(0.7 AS DOUBLE) * n) THEN 'train'
             WHEN rk < floor(CAST(0.7 AS DOUBLE) * n) + floor(CAST(0.15 AS DOUBLE) * n) THEN 'validation'
@@ -426,6 +436,14 @@ def strip(x: str) -> str:
     return STRIP.format(x=x)
 
 
+def decoded(x: str) -> str:
+    """The character references that occur in the pages, decoded (``&`` last)."""
+    out = f"regexp_replace({x}, '&amp;?', chr(1), 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return f"replace({out}, chr(1), '&')"
+
+
 def tag_id_sql(x: str) -> str:
     return "CAST(CASE " + " ".join(f"WHEN {x} = {q(t)} THEN {i}" for i, t in enumerate(TAGS)) + " ELSE 0 END AS INTEGER)"
 
@@ -525,7 +543,7 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 }
 
 
-def _chunks_sql(col: str) -> str:
+def _chunks_sql(col: str, table: str = "ner_pred") -> str:
     start = (
         f"tag <> 'O' AND (split_part(tag, '-', 1) = 'B' OR prev = 'O' OR "
         f"({tag_type('tag')}) IS DISTINCT FROM ({tag_type('prev')}))"
@@ -534,7 +552,7 @@ def _chunks_sql(col: str) -> str:
 SELECT doc_id, min(idx) AS s, max(idx) AS e, arg_min(typ, idx) AS typ FROM (
   SELECT *, sum(CASE WHEN {start} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS ch,
          {tag_type('tag')} AS typ
-  FROM (SELECT doc_id, idx, {col} AS tag, lag({col}, 1, 'O') OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM ner_pred))
+  FROM (SELECT doc_id, idx, {col} AS tag, lag({col}, 1, 'O') OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM {table}))
 WHERE tag <> 'O' GROUP BY doc_id, ch"""
 
 
@@ -543,8 +561,8 @@ def oracle_sql_more() -> dict[str, str]:
     out: dict[str, str] = {}
     out["listing_items"] = f"""
 SELECT page_id, CAST(item AS INTEGER) AS item,
-       {strip("regexp_replace(regexp_extract(li, '(?s)<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')")} AS title,
-       {strip("regexp_replace(regexp_extract(li, 'href=\"([^\"]*)\"', 1), '<[^>]*>', '', 'g')")} AS href
+       {strip(decoded("regexp_replace(regexp_extract(li, '(?s)<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')"))} AS title,
+       {strip(decoded("regexp_replace(regexp_extract(li, 'href=\"([^\"]*)\"', 1), '<[^>]*>', '', 'g')"))} AS href
 FROM (SELECT page_id, unnest(l) AS li, generate_subscripts(l, 1) - 1 AS item
       FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>\\s*<ul>(.*?)</ul>', 1), '(?s)<li[^>]*>(.*?)</li>', 1) AS l
             FROM pages))"""
@@ -556,13 +574,18 @@ FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS base,
         "page_totals",
     )
     out["feed_title_id"] = with_views(
-        "SELECT title, arg_max('id-' || page_id, page_id) AS entry_id FROM search_results GROUP BY title", "search_results"
+        f"SELECT {strip('title')} AS title, arg_max('id-' || page_id, page_id) AS entry_id FROM search_results GROUP BY 1", "search_results"
     )
     out["search_results_flatten"] = with_views(
         """SELECT CAST(row_number() OVER (PARTITION BY page ORDER BY item) - 1 AS INTEGER) AS page_item,
        title, court, citation, date, page FROM search_results""",
         "search_results",
     )
+    out["search_file_roundtrip"] = out["search_results_flatten"]
+    title, court, citation = (strip(c) for c in ("title", "court", "citation"))
+    out["listing_fields"] = with_views(
+        f"SELECT page, item, {title} AS title, {court} AS court, {citation} AS citation, date FROM search_results", "search_results"
+    )
     out["citation_uri"] = with_views("SELECT page_id, citation, uri FROM cit_uri", "cit_uri")
     out["download_manifest"] = with_views(
         """SELECT arg_max(title, page_id) AS title, arg_max(citation, page_id) AS citation, arg_max(page, page_id) AS page,
@@ -573,19 +596,22 @@ FROM (SELECT *, 'https://caselaw.nationalarchives.gov.uk/' || uri || '/data.xml'
 GROUP BY target_path""",
         "cit_uri",
     )
+    out["pdf_manifest"] = (
+        out["download_manifest"].replace("/data.xml", "/data.pdf").replace("./data/xml_data/xml_page_", "./data/pdf_data/pdf_page_").replace("'.xml'", "'.pdf'")
+    )
     out["page_folders"] = with_views(
         """SELECT CAST(g AS INTEGER) AS page, 'xml_page_' || g AS folder
 FROM range(1, (SELECT max(page) FROM search_results) + 1) r(g)""",
         "search_results",
     )
+    main_filter = r"""length(paragraph) - length(replace(paragraph, '-', '')) <= 2
+  AND regexp_matches(paragraph, '\S') AND regexp_matches(paragraph, '[\p{L}\p{N}]')"""
     out["main_paragraphs"] = f"""
-SELECT page_id, CAST(i - 2 AS INTEGER) AS pos,
-       {strip("regexp_replace(regexp_replace(piece, '(?s)(</p>|</article>).*$', ''), '<[^>]*>', '', 'g')")} AS paragraph
+SELECT * FROM (SELECT page_id, CAST(i - 2 AS INTEGER) AS pos,
+       {strip(decoded("regexp_replace(regexp_replace(piece, '(?s)(</p>|</article>).*$', ''), '<[^>]*>', '', 'g')"))} AS paragraph
 FROM (SELECT page_id, unnest(arr) AS piece, generate_subscripts(arr, 1) AS i
       FROM (SELECT page_id, string_split_regex(html, '<p[^>]*>') AS arr FROM pages))
-WHERE i > 1"""
-    main_filter = r"""length(paragraph) - length(replace(paragraph, '-', '')) <= 2
-  AND regexp_matches(paragraph, '\S') AND regexp_matches(paragraph, '[\p{L}\p{N}]')"""
+WHERE i > 1) WHERE {main_filter}"""
     out["akn_main_paragraphs"] = with_views(
         f"""SELECT file_name, CAST(pos - 2 AS INTEGER) AS pos, paragraph || chr(10) AS paragraph
 FROM paras WHERE pos >= 2 AND {main_filter}""",
@@ -698,6 +724,11 @@ SELECT CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall,
        CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, CAST(tp AS BIGINT) AS tp FROM m""",
         "ner_pred",
     )
+    pieces = out["ner_entity_scores"].replace("FROM ner_pred", "FROM ner_pieces")
+    view = """ner_pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) - 1 AS idx, true_tag, pred_tag
+FROM (SELECT doc_id, idx, true_tag, pred_tag, unnest(range(CAST(ceil(length(word) / 4.0) AS INTEGER))) AS k FROM ner_pred)),
+"""
+    out["ner_piece_scores"] = pieces.replace("tc AS (", view + "tc AS (", 1)
     auc = """(SELECT CAST(CASE WHEN pp = 0 THEN (base + 1) / 2
                  ELSE (1 - r1) * (base + p1) / 2 + r1 * (p1 + 1) / 2 END AS DOUBLE) AS auc_pr
  FROM (SELECT pp, pos / n AS base, CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p1, CASE WHEN pos = 0 THEN 0 ELSE tp / pos END AS r1
@@ -778,6 +809,53 @@ def oracle_sql() -> dict[str, str]:
     odd = """CASE pos % 12 WHEN 0 THEN '  ' || chr(9) || paragraph WHEN 1 THEN paragraph || ' ' || chr(10)
             WHEN 2 THEN '"a", "b"' || chr(10) || 'line two, ' || paragraph
             WHEN 8 THEN '' WHEN 9 THEN NULL WHEN 10 THEN 'null' ELSE paragraph END"""
+    gsplit = out["group_split"]
+    labels = ("introduction", "fact", "citation", "judgment")
+    words = "WORDS AS (SELECT c.*, s.split, unnest(string_split(lower(paragraph), ' ')) AS w FROM cons c JOIN SPLIT s ON c.file_name = s.file_name AND c.pos = s.pos)"
+    sums = ", ".join(f"sum({c}) AS p{i}" for i, c in enumerate(labels))
+    tots = ", ".join(f"sum(p{i}) AS t{i}" for i in range(4))
+    rows_ = ", ".join(f"sum({c}) AS r{i}" for i, c in enumerate(labels))
+    odds = ", ".join(
+        f"sum(ln((coalesce(p{i}, 0) + 1) / (t{i} + v)) - ln((coalesce(n - p{i}, 0) + 1) / (t - t{i} + v))) + max(ln((r{i} + 1) / (rws - r{i} + 1))) AS s{i}"
+        for i in range(4)
+    )
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS label, {c} AS y, CASE WHEN 1 / (1 + exp(-s{i})) >= 0.3 THEN 1 ELSE 0 END AS p FROM sc" for i, c in enumerate(labels)
+    )
+    bayes = with_views(
+        f"""{words.replace('WORDS', 'wrd').replace('SPLIT', 'spl')},
+cnt AS (SELECT w, count(*) AS n, {sums} FROM wrd WHERE split = 'train' GROUP BY w),
+tot AS (SELECT count(*) AS v, sum(n) AS t, {tots} FROM cnt),
+pri AS (SELECT count(*) AS rws, {rows_} FROM cons c JOIN spl s ON c.file_name = s.file_name AND c.pos = s.pos WHERE split = 'train'),
+sc AS (SELECT d.file_name, d.pos, {', '.join(f'max({c}) AS {c}' for c in labels)}, {odds}
+       FROM wrd d LEFT JOIN cnt ON d.w = cnt.w, tot, pri WHERE split = 'test' GROUP BY d.file_name, d.pos),
+cells AS ({cells}),
+per AS (SELECT label, CAST(sum(y * p) AS DOUBLE) AS tp, CAST(sum((1 - y) * p) AS DOUBLE) AS fp, CAST(sum(y * (1 - p)) AS DOUBLE) AS fn,
+               CAST(sum((1 - y) * (1 - p)) AS DOUBLE) AS tn FROM cells GROUP BY label)
+SELECT CAST(avg(CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END) AS DOUBLE) AS roc_auc,
+       CAST(sum(fp + fn) / sum(tp + fp + fn + tn) AS DOUBLE) AS hamming_loss,
+       CAST(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END) AS DOUBLE) AS f1, 'bayes' AS method FROM per""",
+        "cons",
+    )
+    body = gsplit[gsplit.index("SELECT k.file_name") :]
+    out["multilabel_bayes"] = bayes.replace("wrd AS (", f"spl AS ({body}),\nwrd AS (", 1)
+    out["token_bayes"] = with_views(
+        f"""ids AS (SELECT id, CASE WHEN rk < n - m THEN 'train' WHEN rk < n - m + (m - ceil(0.5 * m)) THEN 'validation' ELSE 'test' END AS split
+      FROM (SELECT id, rk, n, ceil((CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOUBLE)) * n) AS m
+            FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS rk, count(*) OVER () AS n
+                  FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM ner_pred)))),
+f AS (SELECT doc_id, idx, split, true_tag, {tag_id_sql('true_tag')} AS t, lower(word) AS w, right(lower(word), 3) AS x
+      FROM ner_pred JOIN ids ON CAST(doc_id AS VARCHAR) = id),
+tr AS (SELECT * FROM f WHERE split = 'train'),
+sz AS (SELECT g.t, count(tr.t) AS n FROM (SELECT unnest(range(11)) AS t) g LEFT JOIN tr ON tr.t = g.t GROUP BY g.t),
+cw AS (SELECT w, t, count(*) AS c FROM tr GROUP BY w, t), cx AS (SELECT x, t, count(*) AS c FROM tr GROUP BY x, t),
+v AS (SELECT (SELECT count(DISTINCT w) FROM tr) AS vw, (SELECT count(DISTINCT x) FROM tr) AS vx),
+sc AS (SELECT f.doc_id, f.idx, f.true_tag, sz.t, ln(sz.n + 1) + ln((coalesce(cw.c, 0) + 1) / (sz.n + vw)) + ln((coalesce(cx.c, 0) + 1) / (sz.n + vx)) AS s
+       FROM f JOIN sz ON true LEFT JOIN cw ON cw.w = f.w AND cw.t = sz.t LEFT JOIN cx ON cx.x = f.x AND cx.t = sz.t, v WHERE f.split = 'test'),
+best AS (SELECT doc_id, idx, true_tag, t FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY s DESC, t) = 1)
+SELECT true_tag, {TAG_LIST}[t + 1] AS pred_tag, CAST(count(*) AS BIGINT) AS n FROM best GROUP BY 1, 2""",
+        "ner_pred",
+    )
     out["csv_roundtrip"] = with_views(
         f"""SELECT file_name, pos, {odd} AS paragraph, CAST(0 AS INTEGER) AS introduction,
        CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,

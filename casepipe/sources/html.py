@@ -7,6 +7,7 @@ No HTML library: the pages are cut with regular expressions inside the JVM
 from __future__ import annotations
 
 from collections.abc import Mapping
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,36 @@ from casepipe.functions.text import strip_ws
 TAG_RE = r"<[^>]*>"
 
 
+#: A character reference: hexadecimal, decimal or by name, the end mark optional.
+ENTITY_RE = r"&(#[xX][0-9a-fA-F]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+def decode_entities(c) -> F.Column:
+    """Character references replaced by their characters, in expressions only.
+
+    Names come from the standard library's table: those of HTML 4 with ``;``,
+    and the few that HTML 5 knows without it; unknown ones stay as they are."""
+    names = {f"{n};": chr(v) for n, v in name2codepoint.items()} | {n: v for n, v in html5.items() if not n.endswith(";")}
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    pieces = F.split(c, ENTITY_RE, -1)
+
+    def char(ref: F.Column) -> F.Column:
+        digits = F.rtrim(ref, F.lit(";"))
+        hexa = F.when(ref.rlike("^#[xX]"), F.lpad(F.substr(digits, F.lit(3)), 8, "0")).otherwise(
+            F.lpad(F.hex(F.substr(digits, F.lit(2)).cast("long")), 8, "0")
+        )
+        number = F.decode(F.unhex(hexa), "UTF-32")
+        return F.when(ref.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(named, ref), F.concat(F.lit("&"), ref)))
+
+    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RE), 1), char)
+    rest = F.zip_with(found, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda x, y: F.concat(x, y))
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.concat(F.get(pieces, 0), F.array_join(rest, "")))
+
+
 def strip_tags(c) -> F.Column:
-    """Text of an HTML fragment: tags removed, then stripped (``get_text(strip=True)``)."""
-    return strip_ws(F.regexp_replace(c, TAG_RE, ""))
+    """Text of an HTML fragment: tags removed, character references decoded,
+    then stripped (``get_text(strip=True)``)."""
+    return strip_ws(decode_entities(F.regexp_replace(c, TAG_RE, "")))
 
 
 def listing_items(
@@ -61,6 +89,13 @@ def page_plan(df: DataFrame, total_col: str, base_col: str, query: str, page_siz
     )
 
 
+def feed_entries(feeds: DataFrame, id_col: str = "page", xml_col: str = "xml") -> DataFrame:
+    """``(id, pos, title, entry_id)``: title and id of every ``<entry>`` of a feed."""
+    items = feeds.select(id_col, F.posexplode(F.regexp_extract_all(F.col(xml_col), F.lit(r"(?s)<entry[^>]*>(.*?)</entry>"), 1)).alias("pos", "_e"))
+    text = lambda tag: strip_tags(F.regexp_extract("_e", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    return items.select(id_col, "pos", text("title").alias("title"), text("id").alias("entry_id"))
+
+
 def feed_title_id(entries: DataFrame, title: str = "title", id_col: str = "entry_id", order: str = "pos") -> DataFrame:
     """Title -> id dictionary; when a title repeats the last entry wins."""
     return entries.groupBy(title).agg(F.max_by(F.col(id_col), F.col(order)).alias(id_col))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casepipe.functions.text import citation_uri
@@ -10,8 +10,9 @@ from casepipe.functions.text import citation_uri
 # --- fixed values: must equal the reference's for identical results -------
 RESULT_FIELDS = ["Judgment Title", "Court Information", "Neutral Citation", "Date", "page"]
 DOCUMENT_BASE = "https://caselaw.nationalarchives.gov.uk"
-XML_ROOT = "./data/xml_data"
-XML_FOLDER = "xml_page_"
+#: Folders of downloads by file type.
+DOWNLOAD_ROOT = {"xml": "./data/xml_data", "pdf": "./data/pdf_data"}
+DOWNLOAD_FOLDER = {"xml": "xml_page_", "pdf": "pdf_page_"}
 # ---------------------------------------------------------------------------
 
 RESULT_SCHEMA = (
@@ -38,9 +39,8 @@ def flatten_search_results(json_pages: DataFrame, json_col: str = "json") -> Dat
     """Parse result pages (``ARRAY<STRUCT>`` JSON text) and flatten to rows
     ``(page_item, title, court, citation, date, page)``.
 
-    Reading a saved file is ``spark.read.json(path, multiLine=True)`` on the
-    outer array; each inner array is one row here, so the flatten is a
-    single ``posexplode`` per page -- no driver-side loops.
+    Each inner array of a saved file is one row here (``read_results``), so
+    the flatten is a single ``posexplode`` per page -- no driver-side loops.
     """
     parsed = json_pages.select(F.from_json(F.col(json_col), RESULT_SCHEMA).alias("_r"))
     ex = parsed.select(F.posexplode("_r").alias("page_item", "o"))
@@ -54,17 +54,31 @@ def flatten_search_results(json_pages: DataFrame, json_col: str = "json") -> Dat
     )
 
 
+def write_results(json_pages: DataFrame, path: str, order: str, json_col: str = "json") -> None:
+    """The saved search-results file: one JSON array of the pages' arrays.
+    The format is a single document, as large as the list of search results."""
+    pages = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(json_col).alias("j")))), lambda x: x["j"])
+    json_pages.agg(F.concat(F.lit("["), F.array_join(pages, ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """``(json)``: the inner arrays of saved search-results files."""
+    whole = spark.read.text(path, wholetext=True)
+    arrays = F.from_json("value", f"ARRAY<{RESULT_SCHEMA}>")
+    return whole.select(F.explode(arrays).alias("_p")).select(F.to_json("_p").alias("json"))
+
+
 def download_manifest(results: DataFrame, ext: str = "xml", order: str = "item_order") -> DataFrame:
     """Per result: URI, download URL and target path; keep-last per path.
 
-    ``title`` with ``/`` -> ``_``; path ``./data/xml_data/xml_page_{page}/
+    ``title`` with ``/`` -> ``_``; path ``./data/{ext}_data/{ext}_page_{page}/
     {title}.{ext}``.  Two results with the same path overwrite each other in
     the reference; here the last one (by ``order``) is kept and
     ``collisions`` counts the results that shared the path.
     """
     uri = citation_uri(F.col("citation"))
     safe = F.regexp_replace(F.col("title"), "/", "_")
-    path = F.concat(F.lit(f"{XML_ROOT}/{XML_FOLDER}"), F.col("page").cast("string"), F.lit("/"), safe, F.lit(f".{ext}"))
+    path = F.concat(F.lit(f"{DOWNLOAD_ROOT[ext]}/{DOWNLOAD_FOLDER[ext]}"), F.col("page").cast("string"), F.lit("/"), safe, F.lit(f".{ext}"))
     m = results.select(
         "title",
         "citation",
@@ -81,11 +95,11 @@ def download_manifest(results: DataFrame, ext: str = "xml", order: str = "item_o
     return last.select("_r.title", "_r.citation", "_r.page", "_r.uri", "_r.url", "target_path", "collisions")
 
 
-def page_folders(results: DataFrame) -> DataFrame:
+def page_folders(results: DataFrame, ext: str = "xml") -> DataFrame:
     """``xml_page_1 .. xml_page_{max(page)}``: one row per folder."""
     mx = results.agg(F.max(F.col("page").cast("int")).alias("m"))
     return mx.select(F.explode(F.sequence(F.lit(1), F.col("m"))).alias("page")).select(
-        "page", F.concat(F.lit(XML_FOLDER), F.col("page").cast("string")).alias("folder")
+        "page", F.concat(F.lit(DOWNLOAD_FOLDER[ext]), F.col("page").cast("string")).alias("folder")
     )
 
 

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casepipe.llm.common import text_or_empty
+from casepipe.llm.common import Rolling, flat, slabs, text_or_empty, word_bounds
 from casepipe.llm.tokencount import LETTERS, NUMBERS, UNCHECKED, byte_characters
 
 SHARD_TOKENS = 1 << 21
-CACHE_ENTRIES = 700_000
+#: Text that is encoded at once.
+BATCH_BYTES = 1 << 22
+CACHE_ENTRIES = 2_000_000
 BLOCK_BITS = 512
 SHARD_SCHEMA = (
     "shard long, n_tokens long, n_planes int, zeros array<long>, planes binary, ranks binary, doc_ids array<long>, doc_ends array<long>"
@@ -42,6 +44,15 @@ SHARD_SCHEMA = (
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
+#: Bytes that send a text to a closer look: control characters that some take
+#: for white space, the first character of special tokens, and first bytes of
+#: characters that may lie beyond the checked range.
+CLOSE = np.zeros(256, bool)
+CLOSE[[0x1C, 0x1D, 0x1E, 0x1F, 0x3C, 0x7F, 0xC2, 0xC4, *range(0xC6, 0x100)]] = True
+#: Characters of the checked range whose lower case has more bytes.
+_grows = re.compile("[\\u0130\\u023a\\u023e]")
+
+
 class WaveletMatrix:
     """Succinct sequence of ``n`` ids below ``2 ** n_planes``.
 
@@ -157,29 +168,91 @@ class WaveletMatrix:
         return out
 
 
-class WordIds(dict):
-    """Ids, as bytes, of a text part without white space; a miss runs the
-    library's merges on its pre-tokens."""
+class WordIds:
+    """Encoder of a lower-cased word vocabulary.
+
+    The ids of known words lie in one array; sorted 64-bit hashes of the words
+    tell where.  The distinct words of a batch are looked up by one sorted
+    search, and their ids are gathered by index, so no Python object is made
+    for a word that is known.  Misses run the library's merges.
+    """
 
     def __init__(self, tokenizer, kind: type = np.uint16, limit: int = CACHE_ENTRIES):
-        super().__init__()
         self.tokenizer, self.merge, self.kind, self.limit = tokenizer, tokenizer.model.tokenize, kind, limit
-        self.shown = byte_characters()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = [t.id for w in WORD.findall(part) for t in self.merge("".join(map(self.shown.__getitem__, w.encode())))]
-        out = np.array(ids, self.kind).tobytes()
-        if len(part) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[part] = out
-        return out
+        self.shown, self.hash = byte_characters(), Rolling(7)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def _merged(self, word: str) -> list[int]:
+        shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        return [t.id for t in self.merge(shown)]
+
+    def _word(self, part: str) -> list[int]:
+        """Ids of a text part without white space."""
+        if part.isalpha():
+            return self._merged(part)
+        return [i for w in WORD.findall(part) for i in self._merged(w)]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.known) + len(hashes) > max(self.limit, len(hashes)):
+            self._forget()
+        new = [self._word(w.decode()) for w in words]
+        size = np.array([len(x) for x in new], np.int64)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], self.kind)])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = (np.insert(old, at, x) for old, x in ((self.known, hashes), (self.start, start), (self.size, size)))
+
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each (sorted) hash among the known ones, and whether it is known."""
+        at = np.searchsorted(self.known, hashes)
+        return at, (self.known[np.minimum(at, len(self.known) - 1)] == hashes) & (at < len(self.known)) if len(self.known) else np.zeros(len(at), bool)
 
     def encode(self, text: str) -> bytes:
-        """Texts beyond the checked range go to the library as a whole."""
-        if UNCHECKED.search(text) or "İ" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_many(raw, np.array([0, len(raw)]))[0]
+
+    def _by_library(self, raw: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode_many(self, raw: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of each of the texts at ``at`` in ``raw``.  Words are told apart
+        by hash, so every distinct word of the batch is looked up once.  Texts
+        beyond the checked range go to the library as a whole."""
+        close = np.unique(np.searchsorted(at, np.flatnonzero(CLOSE[raw]), "right") - 1)
+        whole = [i for i in close.tolist() if UNCHECKED.search(t := raw[at[i] : at[i + 1]].tobytes().decode()) or _grows.search(t)]
+        if whole:
+            own = np.repeat(np.isin(np.arange(len(at) - 1), whole), np.diff(at))
+            plain = np.where(own, np.uint8(0x20), raw).tobytes()
+        else:
+            plain = raw.tobytes()
+        joined = plain.decode().lower().encode()  # lower case has the same number of bytes here
+        raw_low = np.frombuffer(joined, np.uint8)
+        lo, hi = word_bounds(raw_low, at)
+        h = self.hash.slices(self.hash.prefix(self.hash.symbol[raw_low]), lo, hi)
+        distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
+        at_known, known = self._found(distinct)
+        if not known.all():
+            miss = np.flatnonzero(~known)
+            self._learn(distinct[miss], [joined[x:y] for x, y in zip(lo[first[miss]].tolist(), hi[first[miss]].tolist(), strict=True)])
+            at_known, known = self._found(distinct)
+            if not known.all():  # the cache was started anew
+                self._forget()
+                self._learn(distinct, [joined[x:y] for x, y in zip(lo[first].tolist(), hi[first].tolist(), strict=True)])
+                at_known, _ = self._found(distinct)
+        n = self.size[at_known].astype(np.int32)[word]
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))
+        shift = (self.start[at_known][word] - ends[:-1]).astype(np.int64)
+        ids = self.ids[np.repeat(shift, n) + np.arange(ends[-1])].tobytes()
+        cut = (ends[np.searchsorted(lo, at)] * np.dtype(self.kind).itemsize).tolist()
+        out = [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        for i in whole:
+            out[i] = self._by_library(raw[at[i] : at[i + 1]].tobytes())
+        return out
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, n_planes: int = 16) -> None:
@@ -216,15 +289,17 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, n
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=cols)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = words.encode(text.as_py()) + end
-                ids.append(own)
-                total += len(own) // item
-                names.append(doc_id)
-                ends.append(total)
-                if total >= SHARD_TOKENS:
-                    yield full()
-                    shard, ids, names, ends, total = shard + 1, [], [], [], 0
+            raw, at = flat(b.column(1))
+            doc_ids = b.column(0).to_pylist()
+            for lo, hi in slabs(at, BATCH_BYTES):
+                for doc_id, own in zip(doc_ids[lo:hi], words.encode_many(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), strict=True):
+                    ids.append(own + end)
+                    total += len(own) // item + 1
+                    names.append(doc_id)
+                    ends.append(total)
+                    if total >= SHARD_TOKENS:
+                        yield full()
+                        shard, ids, names, ends, total = shard + 1, [], [], [], 0
         if ids:
             yield full()
 

@@ -38,8 +38,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or (HEADLINE if os.environ.get("BENCH_ALL") != "1" else None)
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    from casepipe.plans.adapters import SPREAD
     from casepipe.plans.catalog import QUERIES
 
+    spark.conf.set(SPREAD, str(spark.sparkContext.defaultParallelism))  # the tables are single row groups
+
     names = names or list(QUERIES)
     QUERIES["case_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times: dict[str, float] = {}

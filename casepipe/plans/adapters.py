@@ -273,7 +273,7 @@ def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.col("idx").cast("int").alias("idx"), "word", b.alias("bucket"), tag.alias("tag"))
 
 
-def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def iob_lines(spark: SparkSession, sf_dir: str, with_doc: bool = False) -> DataFrame:
     """An IOB file as ``(file, line_no, line)``: per document a
     ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare
     ``word TAB`` every 13th word, a four-column line every 17th), a blank
@@ -305,7 +305,7 @@ def iob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.explode(F.when(F.col("doc_id") % 9 == 0, F.array(start, extra)).otherwise(F.array(start))).alias("l")
     ).select("doc_id", "l.line_no", "l.line")
     allv = words.unionByName(starts)
-    return allv.select(F.lit("output-iob.tsv").alias("file"), F.col("line_no").cast("long").alias("line_no"), "line")
+    return allv.select(*["doc_id"] * with_doc, F.lit("output-iob.tsv").alias("file"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def ner_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -469,6 +469,15 @@ def q_iob_documents(spark, sf):
     return iob.iob_documents(A.iob_lines(spark, sf), materialize=True).select("id", "tokens", "ner_tags")
 
 
+@register("iob_file_roundtrip")
+def q_iob_file_roundtrip(spark, sf):
+    """The IOB lines written as text files of 100 documents each, read back and cut into documents."""
+    root = _scratch(spark, "iob")
+    lines = A.iob_lines(spark, sf, with_doc=True).withColumn("part", F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 12, "0"))
+    lines.repartition("part").sortWithinPartitions("part", "line_no").select("part", "line").write.partitionBy("part").text(root)
+    return iob.iob_documents(iob.read_lines(spark, root), materialize=True).select("id", "tokens", "ner_tags")
+
+
 @register("iob_tokens")
 def q_iob_tokens(spark, sf):
     return iob.iob_tokens(A.iob_lines(spark, sf)).select("line_no", "word", "tag")

@@ -678,6 +678,7 @@ WHERE NOT EXISTS (SELECT 1 FROM fact_part f WHERE f.file_name = k.file_name AND
         WHERE s <> '' AND NOT starts_with(s, '-DOCSTART- -X-'))
   GROUP BY doc)"""
     out["iob_documents"] = with_views(iob_docs, "iob_lines")
+    out["iob_file_roundtrip"] = out["iob_documents"]
     iob_tok = f"""SELECT line_no, parts[1] AS word, parts[2] AS tag
 FROM (SELECT line_no, {strip('line')} AS s, regexp_split_to_array({strip('line')}, '\\s+') AS parts
       FROM iob_lines WHERE NOT starts_with(line, '-DOCSTART-'))

@@ -1,9 +1,8 @@
 """IOB (CoNLL-style) token files.
 
-Lines are read with ``spark.read.text`` and numbered in file order (the id
-Spark assigns right after the scan grows with the file offset), so a file of
-any size splits over many tasks; documents are then cut by a skew-safe
-running count of ``-DOCSTART-`` lines.
+Lines are read with ``spark.read.text`` and numbered in file order, split by
+split, so a file of any size is read by many tasks; documents are then cut by
+a skew-safe running count of ``-DOCSTART-`` lines.
 """
 
 from __future__ import annotations
@@ -23,13 +22,36 @@ DOCSTART_EDA = "-DOCSTART-"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)`` of text files, ``line_no`` increasing in file order."""
-    df = spark.read.text(path)
-    return df.select(
-        F.input_file_name().alias("file"),
-        F.monotonically_increasing_id().alias("line_no"),
+    """``(file, line_no, line)`` of text files at any depth; ``line_no`` is the
+    line's number in its file, from 0.
+
+    A file of any size is read in splits.  Lines are numbered inside a split
+    in reading order, and a split's lines follow those of the splits that
+    begin before it (one row per split is summed up).
+    """
+    df = spark.read.option("recursiveFileLookup", True).text(path)
+    raw = df.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_m"),
         F.col("value").alias("line"),
     )
+    splits = raw.groupBy("file", "_at").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return raw.join(splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("line_no"), "line")
+
+
+def dense_ids(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``rows`` with ``out`` = 0, 1, ... in ``order``: sorted ranges number
+    their own rows, and the ranges' sizes (one row each) are summed up."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = checkpoint(ranged).withColumn("_part", F.shiftright("_m", 33))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(sizes, "_part").withColumn(out, F.col("_before") + inside).drop("_m", "_part", "_before")
 
 
 def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no", materialize: bool = False) -> DataFrame:
@@ -67,16 +89,9 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
     )
     if materialize:
         docs = checkpoint(docs)
-    # dense ids in (file, document) order: files ranked by name (one row per
-    # file), then a running count over the document table (one row per
-    # document), split in blocks -- never one window over all documents
-    files = docs.select(file_col).distinct()
-    files = files.select(file_col, (F.row_number().over(Window.orderBy(file_col)) - 1).cast("long").alias("_fr"))
-    keyed = docs.join(files, file_col).select(
-        "*", F.lit(0).alias("_all"), (F.col("_fr") * F.lit(1 << 32) + F.col("_doc")).alias("_ord")
-    )
-    numbered = running_count(keyed, "_all", "_ord", F.lit(1), "_id")
-    return numbered.select((F.col("_id") - 1).cast("string").alias("id"), "tokens", "ner_tags", file_col)
+    # dense ids in (file, document) order, from the slim table of names
+    ids = dense_ids(docs.select(file_col, "_doc"), [file_col, "_doc"], "_id")
+    return docs.join(ids, [file_col, "_doc"]).select(F.col("_id").cast("string").alias("id"), "tokens", "ner_tags", file_col)
 
 
 def iob_tokens(lines: DataFrame, file_col: str = "file", order: str = "line_no") -> DataFrame:

@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casepipe.llm.common import SEPARATOR, SLAB, Rolling, flat, slabs, text_or_empty, word_bounds
+from casepipe.llm.common import SEPARATOR, SLAB, Rolling, flat, slabs, stored, text_or_empty, word_bounds
 from casepipe.llm.sampling import pieces, segments
 
 NO_DOC = -(1 << 63)
-#: Groups of at most this many distinct segments are compared in one task;
+#: Groups of at most this many distinct segments (some 3 MB of text, and 100 MB
+#: while they are compared) are compared in one task;
 #: the windows of larger ones are dealt out by their own hash.
-GROUP_LIMIT = 1000
+GROUP_LIMIT = 10_000
 #: Segments that one numpy pass compares, about.
 COMPARED = 4000
 OCCURRENCE = "doc long, lo int, hi int, gram long, extent long"
@@ -110,7 +111,8 @@ def repeated_grams(occ: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("gram", (F.col("least") != F.col("most")).alias("mixed"))
     )
-    return occ.join(groups, "gram")
+    # written first: only a join of two plain exchanges can be split where a gram is hot
+    return occ.join(stored(groups, "grams").hint("merge"), "gram")
 
 
 def segment_texts(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:

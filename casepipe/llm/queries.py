@@ -134,6 +134,49 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(body + marks) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM d WHERE len(l) >= 50)),
+least_doc AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+flag AS (SELECT doc_id, i, CASE WHEN m < doc_id THEN 1 ELSE 0 END AS f FROM win JOIN least_doc USING (h)),
+cov AS (SELECT w.doc_id, w.i, w.w,
+          coalesce(max(f) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+        FROM w LEFT JOIN flag ON w.doc_id = flag.doc_id AND w.i = flag.i)
+SELECT d.doc_id, count(w) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN cov ON d.doc_id = cov.doc_id GROUP BY d.doc_id
+""",
+    "op4_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(l[i:i + 4], ' ')) AS g
+      FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 2))) AS i FROM d WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, c FROM r JOIN both_ways ON x = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
+FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+""",
+    "op5_decontaminate": r"""
+WITH norm AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+item AS (SELECT DISTINCT id, k, array_to_string(l[j:j + k - 1], ' ') AS s
+         FROM (SELECT id, l, least(10, len(l)) AS k, unnest(range(1, len(l) - least(10, len(l)) + 2)) AS j FROM norm WHERE side = 'b' AND len(l) > 0)),
+win AS (SELECT id, j, k, array_to_string(l[j:j + k - 1], ' ') AS s
+        FROM (SELECT id, l, k, unnest(range(1, len(l) - k + 2)) AS j FROM norm, (SELECT DISTINCT k FROM item) WHERE side = 'd' AND len(l) >= k)),
+hit AS (SELECT win.id, win.j, win.k, item.id AS item_id FROM win JOIN item ON win.k = item.k AND win.s = item.s),
+pos AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(j, j + k)) AS q FROM hit) GROUP BY id),
+its AS (SELECT id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY id)
+SELECT n.id AS doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM norm n LEFT JOIN pos ON pos.id = n.id LEFT JOIN its ON its.id = n.id WHERE side = 'd'
 """,
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

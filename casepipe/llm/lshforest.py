@@ -4,9 +4,10 @@ Every document's set of word shingles gets a MinHash signature.  The forest
 is ``TREES`` sorted orders of signature slices: documents next to each other
 in an order share the longest prefixes, and are candidates if they share at
 least ``DEPTH`` values.  The depth adapts to the region: every row is compared
-with the rows right before it and with the first row of the group that shares
-its prefix at each depth from ``DEPTH`` to ``DEEPEST``, so a crowded region is
-cut ever finer while each row keeps a bounded number of candidates.
+with the row right before it and with the first row of its group.  In a region
+of few rows the group is all that share the first ``DEPTH`` values; a crowded
+region is cut finer, to the rows that share as many values, up to ``DEEPEST``,
+as the row does with its neighbour.  Each row has two candidates an order at most.
 
 Documents with equal sets are one node beforehand.  The orders are dealt by
 ranges of the whole sort key, document included, so a prefix that a third of
@@ -15,7 +16,12 @@ first of the next are candidates too.
 
 Candidates are confirmed on the full sets, the most frequent ones first:
 links join components, and pairs inside one component need no confirmation
-any more.  Every pair across components is confirmed.
+any more.  Every candidate pair across components is confirmed.  The forest is
+then walked once more with the components known: each row is compared with
+those of the ``NEXT`` rows before it in its region that belong to other
+components, and pairs whose signatures agree in three fifths of their values are
+confirmed.  So rows at the rim of a crowded family, which few of its members
+are similar to, are met many times, and rows that are joined already cost nothing.
 
 Defined cases: null text and texts without words have empty sets and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -44,9 +50,15 @@ SIMILARITY = 75
 TREES = 32
 DEPTH = 4
 DEEPEST = 8
-#: Rows before a row that it is compared with.
-NEAR = 3
 VALUES = TREES * DEPTH
+#: Rows of a region that are compared with its first row.
+FEW = 16
+#: Rows before a row that it is compared with in the second walk.
+NEXT = 20
+#: Signature values, by their lowest byte, that travel with a row there, and how
+#: many must agree: pairs at the least similarity fail with probability 1e-5.
+SKETCH = VALUES
+AGREE = 75
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: Rolling, shingles: Rolling) -> list[np.ndarray]:
@@ -154,6 +166,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     heads = np.full(DEEPEST - DEPTH + 1, -1, np.int64)  # documents that lead the groups of the row before, by depth
+    place = 0  # of the row before in its region
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -168,12 +181,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depth = np.full(len(doc), -1)
         depth[1:] = np.where(same[1:], _shared_values(deeper[1:], deeper[:-1]), -1)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        group = np.cumsum(~same)
-        for k in range(1, NEAR + 1):
-            i = np.arange(max(carried, k), len(doc))
-            i = i[group[i] == group[i - k]]
-            pairs.append((doc[i - k], doc[i]))
         index = np.arange(len(doc))
+        i = index[carried:][same[carried:]]
+        pairs.append((doc[i - 1], doc[i]))
+        opens = np.maximum.accumulate(np.where(~same & (index >= carried), index, -1))
+        rank = np.where(opens >= 0, index - opens, place + 1 - carried + index)
+        level_of = np.where(rank < FEW, 0, depth)
+        level_of[depth < 0] = -1
+        place = int(rank[-1])
         for level in range(DEEPEST - DEPTH + 1):
             lead = np.maximum.accumulate(np.where(depth < level, index, 0))
             head = doc[lead]
@@ -181,7 +196,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # groups that began before this batch keep their head
                 opened = np.maximum.accumulate(np.where((depth < level) & (index >= carried), index, -1)) >= 0
                 head = np.where(opened, head, heads[level])
-            i = index[carried:][depth[carried:] >= level]
+            i = index[carried:][level_of[carried:] == level]
             pairs.append((head[i], doc[i]))
             heads[level] = head[-1]
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -190,7 +205,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(once):
             a, b = np.ascontiguousarray(once[:, 0]), np.ascontiguousarray(once[:, 1])
             yield rows(0, np.zeros(len(a), np.int8), np.zeros(len(a), np.int64), a, b)
-        rest = t.slice(max(0, len(doc) - NEAR))
+        rest = t.slice(len(doc) - 1)
         last = tree[-1:], prefix[-1:], doc[-1:], doc[-1:]
     if last is not None:
         yield rows(2, *last)
@@ -214,6 +229,50 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
 
 
+def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``a < b`` of rows of one region and different components, each row
+    with the ``NEXT`` rows before it, if their sketches agree in ``AGREE`` places."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        carried = 0 if rest is None else rest.num_rows
+        t = t if rest is None else pa.concat_tables([rest, t])
+        tree, prefix, doc, comp = (t.column(n).to_numpy() for n in ("tree", "prefix", "doc", "component"))
+        raw, at = flat(t.column("sketch"))
+        sketch = raw[at[0] : at[-1]].reshape(len(doc), -1)
+        found = []
+        for k in range(1, NEXT + 1):
+            i = np.arange(max(carried, k), len(doc))
+            i = i[(tree[i] == tree[i - k]) & (prefix[i] == prefix[i - k]) & (comp[i] != comp[i - k])]
+            i = i[(sketch[i] == sketch[i - k]).sum(axis=1) >= AGREE]
+            found.append(np.stack([np.minimum(doc[i], doc[i - k]), np.maximum(doc[i], doc[i - k])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        rest = t.slice(max(0, len(doc) - NEXT))
+
+
+def strangers(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of different components that are near each other in an order and
+    whose signatures agree in ``AGREE`` places or more, by their lowest bytes."""
+    named = comp.select(F.col("node").alias("doc"), "component").hint("merge")
+    # documents without links so far are components of their own
+    known = nodes.join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = flat(b.column(2))
+            sketch = raw[at[0] : at[-1]].reshape(-1, VALUES, 4)[:, :: VALUES // SKETCH, 0]
+            for rows in _forest_rows(iter([pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["doc", "signature"])])):
+                own = pa.array([x.tobytes() for x in sketch], pa.binary())
+                place = pa.array(np.tile(np.arange(b.num_rows), TREES))
+                cols = [*rows.columns, b.column(1).take(place), own.take(place)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, "component", "sketch"])
+
+    forest = known.mapInArrow(run, "tree byte, prefix long, deeper long, doc long, component long, sketch binary")
+    order = ["tree", "prefix", "deeper", "doc"]
+    return forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_strangers, "a long, b long").distinct()
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc, shingles)`` of the documents in ``wanted(doc)``."""
 
@@ -225,7 +284,8 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words, shingles)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
 
-    return named_texts(docs).join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles binary")
+    # both sides grow with the corpus: never broadcast
+    return named_texts(docs).join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(run, "doc long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -249,31 +309,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -
 
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def linked_components(docs: DataFrame, nodes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``(node, component)`` of the nodes with links."""
     pairs = stored(candidates(nodes), "pairs")
-    involved = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = stored(node_sets(docs, involved), "sets")
+    sets = stored(node_sets(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()), "sets")
+    # first the best candidate of each document, then all that are left across components
     best = F.max_by(F.struct("a", "b"), F.struct("trees", -F.col("b"), -F.col("a")))
-    # first the best candidate of each document, then of each two components, then all that are left
     chosen = pairs.groupBy("b").agg(best.alias("p")).select("p.a", "p.b")
     links = stored(confirmed(chosen, sets, similarity), "links")
-    for last in (False, True):
-        comp = components(links)
-        across = (
-            pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-            .where("ca <> cb")
-        )
-        if not last:
-            across = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(best.alias("p")).select("p.a", "p.b")
-        more = stored(confirmed(across, sets, similarity), "links")
-        links = links.unionByName(more)
-    out = components(links)
+    comp = components(links)
+    across = (
+        pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    )
+    links = links.unionByName(stored(confirmed(across, sets, similarity), "links"))
+    comp = components(links)
+    met = nodes.join(sets.select("doc").hint("merge"), "doc", "left_semi")  # the others share no region with any
+    far = strangers(met, comp).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    more = stored(confirmed(far, sets, similarity), "links")
+    out = components(links.unionByName(more))
     drop_stored(pairs, sets)
     return out
 
@@ -284,7 +342,7 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sigs = stored(signatures(docs), "signatures")
     full = sigs.where("n_shingles > 0")
     heads = stored(full.groupBy("digest").agg(F.min("doc").alias("node")), "set-heads")
-    nodes = full.join(heads.select(F.col("node").alias("doc")), "doc", "left_semi")
+    nodes = full.join(heads.select(F.col("node").alias("doc")).hint("merge"), "doc", "left_semi")
     comp = linked_components(docs, nodes, similarity)
     of_set = heads.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     rows = sigs.select("doc", "n_shingles", "digest").join(of_set, "digest", "left")

@@ -23,6 +23,11 @@ components, and pairs whose signatures agree in three fifths of their values are
 confirmed.  So rows at the rim of a crowded family, which few of its members
 are similar to, are met many times, and rows that are joined already cost nothing.
 
+Rows of a region longer than that walk, or cut by the border of a range, are
+then joined exactly (``prefix_pairs``): two sets that are similar enough share
+one of the rarest shingles of each, and every pair of different components that
+does is confirmed, however many rows the region has.
+
 Defined cases: null text and texts without words have empty sets and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
 ``doc_id`` names a document: rows that repeat one share its links; null ids
@@ -231,16 +236,32 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs ``a < b`` of rows of one region and different components, each row
-    with the ``NEXT`` rows before it, if their sketches agree in ``AGREE`` places."""
+    with the ``NEXT`` rows before it, if their sketches agree in ``AGREE`` places.
+    Rows that may have others of their region out of reach come as ``a = b``:
+    those of regions of more than ``NEXT`` rows, and of a range's first and last one."""
     rest: pa.Table | None = None
+    opening = True  # in the range's first region
     for batch in batches:
+        if not batch.num_rows:
+            continue
         t = pa.Table.from_batches([batch])
         carried = 0 if rest is None else rest.num_rows
         t = t if rest is None else pa.concat_tables([rest, t])
         tree, prefix, doc, comp = (t.column(n).to_numpy() for n in ("tree", "prefix", "doc", "component"))
         raw, at = flat(t.column("sketch"))
         sketch = raw[at[0] : at[-1]].reshape(len(doc), -1)
-        found = []
+        i = np.arange(max(carried, NEXT), len(doc))
+        i = i[(tree[i] == tree[i - NEXT]) & (prefix[i] == prefix[i - NEXT])]
+        ends = np.zeros(len(doc) + 1, np.int64)
+        np.add.at(ends, i - NEXT, 1)
+        np.add.at(ends, i + 1, -1)
+        crowded = ends.cumsum()[:-1] > 0
+        if opening:
+            first = (tree == tree[0]) & (prefix == prefix[0])
+            crowded |= first
+            opening = bool(first.all())
+        own = np.unique(doc[crowded])
+        found = [np.stack([own, own], axis=1)]
         for k in range(1, NEXT + 1):
             i = np.arange(max(carried, k), len(doc))
             i = i[(tree[i] == tree[i - k]) & (prefix[i] == prefix[i - k]) & (comp[i] != comp[i - k])]
@@ -249,11 +270,16 @@ def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
         rest = t.slice(max(0, len(doc) - NEXT))
+    if rest is not None:
+        tree, prefix, doc = (rest.column(n).to_numpy() for n in ("tree", "prefix", "doc"))
+        own = np.unique(doc[(tree == tree[-1]) & (prefix == prefix[-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own)], names=["a", "b"])
 
 
 def strangers(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs of different components that are near each other in an order and
-    whose signatures agree in ``AGREE`` places or more, by their lowest bytes."""
+    whose signatures agree in ``AGREE`` places or more, by their lowest bytes;
+    pairs ``a = b`` name the rows whose region reaches beyond the walk."""
     named = comp.select(F.col("node").alias("doc"), "component").hint("merge")
     # documents without links so far are components of their own
     known = nodes.join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "signature")
@@ -312,6 +338,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(sets: DataFrame, crowded: DataFrame, comp: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """All pairs ``a < b`` of ``crowded(doc)`` and different components that can
+    be similar enough: a prefix-filter join.
+
+    Shingles are ordered by how many of these sets have them, those of one
+    component first, since no pair needs them.  Sets of ``n`` and ``m`` shingles
+    are similar enough if they share ``s (n + m) / (100 + s)``; so many must be
+    left from their first common shingle on.  ``reach`` is the largest set a row
+    can meet so at that place.  The smaller set of a pair meets sets of its own
+    size at least, which leaves one seventh of its shingles at 75 hundredths.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = flat(b.column(2))
+            for lo, hi in slabs(at):
+                n = np.diff(at[lo : hi + 1]) // 8
+                of = [np.repeat(x, n) for x in (b.column(0).to_numpy()[lo:hi], b.column(1).to_numpy()[lo:hi], n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, of), pa.array(raw[at[lo] : at[hi]].view(np.int64))], names=["doc", "component", "n", "shingle"]
+                )
+
+    named = comp.select(F.col("node").alias("doc"), "component").hint("merge")
+    chosen = sets.join(crowded.hint("merge"), "doc", "left_semi").join(named, "doc", "left")
+    rows = chosen.select("doc", F.coalesce("component", "doc").alias("component"), "shingles")
+    rows = stored(rows.mapInArrow(run, "doc long, component long, n long, shingle long"), "shingles")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    held = held.where("lo <> hi").select("shingle", "holders")
+    common = rows.join(held.hint("merge"), "shingle")
+    of_doc = common.groupBy("doc", "component", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("l"))
+    # by place of the least shingle of ``l``: ``n`` less those of ``l``
+    spread = of_doc.select("doc", "component", "n", F.size("l").alias("k"), F.posexplode("l"))
+    left = F.col("k") - F.col("pos")
+    reach = F.floor(left * (100 + similarity) / similarity).cast("long") - F.col("n")
+    least = F.ceil(F.col("n") * similarity / 100)
+    front = stored(spread.select("doc", "component", "n", reach.alias("reach"), "col.shingle").where(F.col("reach") >= least), "front")
+    small = front.where("reach >= n").select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("doc", "component", "n", "reach")))
+    meet = (
+        (F.col("component") != F.col("component_s"))
+        & (F.struct("n", "doc") > F.struct("n_s", "doc_s"))
+        & (F.col("n") <= F.col("reach_s"))
+        & (F.col("n_s") <= F.col("reach"))
+    )
+    pairs = front.join(small.hint("merge"), "shingle").where(meet)
+    return pairs.select(F.least("doc", "doc_s").alias("a"), F.greatest("doc", "doc_s").alias("b")).distinct()
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``(node, component)`` of the nodes with links."""
     pairs = stored(candidates(nodes), "pairs")
@@ -329,9 +402,14 @@ def linked_components(docs: DataFrame, nodes: DataFrame, similarity: int = SIMIL
     links = links.unionByName(stored(confirmed(across, sets, similarity), "links"))
     comp = components(links)
     met = nodes.join(sets.select("doc").hint("merge"), "doc", "left_semi")  # the others share no region with any
-    far = strangers(met, comp).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    more = stored(confirmed(far, sets, similarity), "links")
-    out = components(links.unionByName(more))
+    walked = stored(strangers(met, comp), "strangers")
+    far = walked.where("a <> b").join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    links = links.unionByName(stored(confirmed(far, sets, similarity), "links"))
+    out = components(links)
+    crowded = walked.where("a = b").select(F.col("a").alias("doc"))
+    rest = stored(confirmed(prefix_pairs(sets, crowded, out, similarity), sets, similarity), "links")
+    if rest.limit(1).count():
+        out = components(links.unionByName(rest))
     drop_stored(pairs, sets)
     return out
 

@@ -114,3 +114,21 @@ def test_components_of_a_chain_and_a_star(shipped):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 50)]
     got = {r.node: r.component for r in components(shipped.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and all(got[100 + k] == 100 for k in range(50))
+
+
+def test_pairs_within_a_crowded_template(shipped):
+    # texts below the threshold with each other, and pairs above it: 200 shingles, a template
+    # of 166 (0.71) and own words; a pair shares 6 of these more (0.754)
+    template = [f"t{j}" for j in range(170)]
+    rows = []
+    for i in range(4000):
+        own = [f"o{i}x{j}" for j in range(34)]
+        if i % 40 == 1:
+            own[:6] = [f"o{i - 1}x{j}" for j in range(6)]
+        rows.append((i * 2654435761 % 4001, " ".join(template + own)))
+    at = [r[0] for r in rows]
+    want = {d: d for d in at} | {max(at[i - 1 : i + 1]): min(at[i - 1 : i + 1]) for i in range(1, 4000, 40)}
+    sets = [brute.shingles(rows[i][1]) for i in (0, 1, 2)]
+    assert 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 72 * len(sets[0] | sets[2])
+    df = shipped.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {d: v[1] for d, v in near(df).items()} == want

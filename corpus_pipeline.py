@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from casepipe.llm.common import stored, table  # noqa: E402
+from casepipe.llm.common import stored, table, text_or_empty  # noqa: E402
 from casepipe.session import ship  # noqa: E402
 
 
@@ -32,21 +32,32 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact de-duplication: of equal texts the largest ``doc_id`` stays."""
+    """Exact de-duplication: of equal texts the row with the largest ``doc_id``
+    stays, a null one only if there is no other; of rows that repeat both, the
+    one that is least in its further columns."""
     from casepipe.llm.cuckoo import exact_dedup
 
     ship(spark)
-    keep = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    kept = exact_dedup(docs).where("kept").groupBy("digest").agg(F.first("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty(), 256)))
+    mine = (rows["_digest"] == kept["digest"]) & rows["doc_id"].eqNullSafe(kept["_id"])
+    once = rows.join(kept.where("_n = 1"), mine, "left_semi").select(*docs.columns)
+    least = rows.join(kept.where("_n > 1"), mine, "left_semi").groupBy("_digest").agg(F.min(F.struct(*docs.columns)).alias("_r"))
+    return once.unionByName(least.select(*(F.col("_r").getField(c).alias(c) for c in docs.columns)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-de-duplication: the smallest ``doc_id`` of each component stays."""
+    """MinHash near-de-duplication: of each component the row with the smallest
+    ``doc_id`` stays, a null one only if there is no other.  Rows are told apart
+    by a key of their own, so ids may be null or repeat."""
     from casepipe.llm.lshforest import near_dedup
 
     ship(spark)
-    keep = near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_r")
+    keep = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(least).select("_r._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

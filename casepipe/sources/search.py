@@ -15,6 +15,9 @@ DOWNLOAD_ROOT = {"xml": "./data/xml_data", "pdf": "./data/pdf_data"}
 DOWNLOAD_FOLDER = {"xml": "xml_page_", "pdf": "pdf_page_"}
 # ---------------------------------------------------------------------------
 
+#: Listing pages of one saved file.
+PAGES_PER_FILE = 1000
+
 RESULT_SCHEMA = (
     "ARRAY<STRUCT<`Judgment Title`: STRING, `Court Information`: STRING, "
     "`Neutral Citation`: STRING, `Date`: STRING, page: INT>>"
@@ -55,10 +58,12 @@ def flatten_search_results(json_pages: DataFrame, json_col: str = "json") -> Dat
 
 
 def write_results(json_pages: DataFrame, path: str, order: str, json_col: str = "json") -> None:
-    """The saved search-results file: one JSON array of the pages' arrays.
-    The format is a single document, as large as the list of search results."""
+    """Saved search-results files, each one JSON array of the arrays of
+    ``PAGES_PER_FILE`` listing pages at most, by ranges of ``order`` (a number)."""
     pages = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(json_col).alias("j")))), lambda x: x["j"])
-    json_pages.agg(F.concat(F.lit("["), F.array_join(pages, ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    ranges = json_pages.groupBy(F.floor(F.col(order) / PAGES_PER_FILE).alias("_range"))
+    files = ranges.agg(F.concat(F.lit("["), F.array_join(pages, ",\n"), F.lit("]")).alias("value")).select("value")
+    files.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

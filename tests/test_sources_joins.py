@@ -1,5 +1,6 @@
 """Listing / search sources, joins, splits, sinks and labelling."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -110,3 +111,18 @@ def test_batch_label_and_resume(spark, scratch):
     labelling.label_incremental(df.where("pos < 30"), path, "paragraph", ["file_name", "pos"])
     res = labelling.label_incremental(df, path, "paragraph", ["file_name", "pos"])
     assert res.count() == 60 and res.select("pos").distinct().count() == 60
+
+
+def test_saved_results_are_bounded_files(spark, scratch):
+    flat = spark.range(25_000).selectExpr(
+        "cast(id % 10 as int) item", "concat('t', id) title", "'c' court", "'[2020] UKSC' citation", "'d' date", "cast(id div 10 + 1 as int) page"
+    )
+    pages = search.nest_results(flat).withColumn("page", F.get_json_object("json", "$[0].page").cast("int"))
+    path = f"{scratch}/saved"
+    search.write_results(pages, path, "page")
+    files = [json.loads(r.value) for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(files) == 3 and max(map(len, files)) <= 1000
+    back = search.flatten_search_results(search.read_results(spark, path))
+    assert {(r.page, r.page_item, r.title) for r in back.collect()} == {(i // 10 + 1, i % 10, f"t{i}") for i in range(25_000)}
+    search.write_results(pages.where("false"), f"{scratch}/none", "page")
+    assert search.read_results(spark, f"{scratch}/none").count() == 0

@@ -97,6 +97,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.licences import certainty, scan_licences
+
+    d = scan_licences(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["first_word"])
+    names = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")
+    return d.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("matches")).alias("labels"),
+        certainty(F.col("matches")).alias("score"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,9 +129,41 @@ QUERIES = {
         op8_wavelet_shards,
         op9_byte_bpe,
         op10_suffix_dedup,
+        op11_licence_scan,
     )
 }
 
+
+def _licence_sql() -> str:
+    """The templates as regular expressions over the words, each followed by a blank."""
+    from casepipe.llm.licences import TEMPLATES, Region, mandatory_words, parse
+
+    def regex(r: Region) -> str:
+        if r.kind == "word":
+            return f"{r.word} "
+        if r.kind == "any":
+            return f"(?:[^ ]+ ){{{r.low},{r.high}}}"
+        return "".join(map(regex, r.parts)) if r.kind == "all" else f"(?:{'|'.join(map(regex, r.parts))})"
+
+    found = [(t.label, mandatory_words(r), f"regexp_matches(s, ' {regex(r)}')") for t in TEMPLATES for r in [parse(t.markup)]]
+    labels = ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, _, test in found)
+    scores = ", ".join(f"CASE WHEN {test} THEN {m} ELSE 0 END" for _, m, test in found)
+    base = [(t.label, t.markup.split()) for t in TEMPLATES if t.base]
+    at = " OR ".join("(" + " AND ".join(f"l[i + {j}] = '{w}'" for j, w in enumerate(p)) + ")" for _, p in base)
+    base_labels = ", ".join(f"CASE WHEN contains(s, ' {' '.join(p)} ') THEN '{label}' END" for label, p in base)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+t AS (SELECT doc_id, l, ' ' || array_to_string(l, ' ') || ' ' AS s, list_filter(range(1, len(l) + 1), lambda i: {at}) AS p FROM w),
+r AS (SELECT doc_id, l, p, greatest({scores}) AS m, [{labels}] AS found, [{base_labels}] AS base FROM t)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
+  CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(list_filter(base, lambda x: x IS NOT NULL))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_filter(found, lambda x: x IS NOT NULL))), ',') AS labels,
+  m / (CASE WHEN m = 0 THEN 1.0 ELSE m + 4.0 END) AS score
+FROM r
+"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL = {
     "op1_chat_format": r"""
@@ -183,4 +234,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
+    "op11_licence_scan": _licence_sql(),
 }

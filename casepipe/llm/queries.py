@@ -116,6 +116,23 @@ def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.merkle import Manifest, tampered
+
+    m = Manifest(table(spark, sf_dir, "documents"), *tampered())
+    root = F.lit(m.root).cast("binary")
+    text = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return m.proofs().select(
+        "doc_id",
+        text(F.col("leaf"), "leaf"),
+        text(F.col("subroot"), "subroot"),
+        text(root, "root"),
+        text(F.col("proof_sha256"), "proof_sha256"),
+        text(F.col("folded_root"), "folded_root"),
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -130,6 +147,7 @@ QUERIES = {
         op9_byte_bpe,
         op10_suffix_dedup,
         op11_licence_scan,
+        op12_merkle_manifest,
     )
 }
 
@@ -235,4 +253,44 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
     "op11_licence_scan": _licence_sql(),
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [1000 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END) AS c
+  FROM documents),
+rows AS (SELECT doc_id, lang, CASE WHEN xor(c, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS f
+  FROM bits),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, lang, sha256(f || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(f || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM rows)),
+n1(level, lang, i, h) AS (
+  SELECT 0, lang, i, leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM n1) WHERE c > 1 GROUP BY level, lang, i // 8),
+sub AS (SELECT lang, arg_max(h, level) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM n1 GROUP BY lang),
+n2(level, i, h) AS (
+  SELECT 0, g, subroot FROM sub
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM n2) WHERE c > 1 GROUP BY level, i // 8),
+nodes AS (
+  SELECT 'l' AS tree, sub.g, level, i, h, count(*) OVER (PARTITION BY sub.g, level) AS c FROM n1 JOIN sub ON n1.lang IS NOT DISTINCT FROM sub.lang
+  UNION ALL SELECT 't', -1, level, i, h, count(*) OVER (PARTITION BY level) FROM n2),
+f1(doc_id, leaf, g, level, i, now, proof) AS (
+  SELECT doc_id, leaf, g, 0, i, changed, '' FROM leaves JOIN sub ON leaves.lang IS NOT DISTINCT FROM sub.lang
+  UNION ALL
+  SELECT f1.doc_id, f1.leaf, f1.g, f1.level + 1, f1.i // 8, sha256(string_agg(CASE WHEN n.i = f1.i THEN f1.now ELSE n.h END, '' ORDER BY n.i)),
+    f1.proof || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i <> f1.i), '')
+  FROM f1 JOIN nodes n ON n.tree = 'l' AND n.g = f1.g AND n.level = f1.level AND n.i // 8 = f1.i // 8 WHERE n.c > 1
+  GROUP BY f1.doc_id, f1.leaf, f1.g, f1.level, f1.i, f1.now, f1.proof),
+f2(doc_id, leaf, g, level, i, now, proof) AS (
+  SELECT doc_id, leaf, g, 0, g, arg_max(now, level), arg_max(proof, level) FROM f1 GROUP BY doc_id, leaf, g
+  UNION ALL
+  SELECT f2.doc_id, f2.leaf, f2.g, f2.level + 1, f2.i // 8, sha256(string_agg(CASE WHEN n.i = f2.i THEN f2.now ELSE n.h END, '' ORDER BY n.i)),
+    f2.proof || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i <> f2.i), '')
+  FROM f2 JOIN nodes n ON n.tree = 't' AND n.level = f2.level AND n.i // 8 = f2.i // 8 WHERE n.c > 1
+  GROUP BY f2.doc_id, f2.leaf, f2.g, f2.level, f2.i, f2.now, f2.proof),
+done AS (SELECT doc_id, leaf, g, arg_max(now, level) AS folded_root, arg_max(proof, level) AS proof FROM f2 GROUP BY doc_id, leaf, g)
+SELECT d.doc_id, d.leaf, sub.subroot, r.root, sha256(d.proof) AS proof_sha256, d.folded_root, d.folded_root = r.root AS verified
+FROM done d JOIN sub ON sub.g = d.g, (SELECT arg_max(h, level) AS root FROM n2) r
+""",
 }

@@ -133,6 +133,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casepipe.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -148,6 +154,7 @@ QUERIES = {
         op10_suffix_dedup,
         op11_licence_scan,
         op12_merkle_manifest,
+        op13_lexical_search,
     )
 }
 
@@ -292,5 +299,17 @@ f2(doc_id, leaf, g, level, i, now, proof) AS (
 done AS (SELECT doc_id, leaf, g, arg_max(now, level) AS folded_root, arg_max(proof, level) AS proof FROM f2 GROUP BY doc_id, leaf, g)
 SELECT d.doc_id, d.leaf, sub.subroot, r.root, sha256(d.proof) AS proof_sha256, d.folded_root, d.folded_root = r.root AS verified
 FROM done d JOIN sub ON sub.g = d.g, (SELECT arg_max(h, level) AS root FROM n2) r
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+i AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+c AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM c),
+p AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), a),
+s AS (SELECT item_id, p.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // l))))) AS BIGINT) AS score
+  FROM i JOIN p ON p.t = i.t JOIN w ON w.t = i.t JOIN c ON c.doc_id = p.doc_id, a GROUP BY item_id, p.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +98,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial hash modulo 2**64 over a sequence of 64-bit symbols, with an
     odd base: prefix sums give the hash of any slice by one subtraction and
-    one multiplication with an inverse power."""
+    one multiplication with an inverse power.  Only for slices of some hundred
+    symbols: from 512 on there are sequences that collide whatever the base
+    (words, which may be of any length, have ``hash_words``)."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         self.base = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1) + 0x1D8E4E27C47D124F) % (1 << 64) | 5)
         self.symbol = mix(np.arange(1, 257, dtype=np.uint64) * self.base)
         self.power = np.ones(1, np.uint64)
@@ -127,6 +131,32 @@ class Rolling:
         return mix((prefix[k:] - prefix[:n]) * self.inverse[:n]) if n else np.zeros(0, np.uint64)
 
 
+#: Places of a word that have random values of their own in the table of ``hash_words``.
+PLACES = 64
+
+
+@cache
+def _place_values(seed: int) -> np.ndarray:
+    return mix(mix(np.arange(PLACES * 256, dtype=np.uint64) + np.uint64((2 * seed + 1) << 32)) + np.uint64(seed))
+
+
+def hash_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of words at ``begin`` to ``end`` in ``raw``: the sum of a
+    random value for every (place, byte), with the length mixed in.  No power
+    of a base is involved, so no two words collide for every seed."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    place = np.zeros(len(raw), np.int64)
+    place[begin] = begin
+    np.subtract(np.arange(len(raw)), np.maximum.accumulate(place, out=place), out=place)
+    value = _place_values(seed)[np.minimum(place, PLACES - 1) << 8 | raw]
+    far = np.flatnonzero(place >= PLACES - 1)
+    value[far] = mix(value[far] ^ (place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value, out=prefix[1:])
+    return mix(prefix[end] - prefix[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each ``w`` consecutive values (block prefix / suffix minima)."""
     n = len(x)

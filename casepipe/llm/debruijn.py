@@ -14,9 +14,9 @@ same k-mer.  Their words are fetched at the source coordinates and compared
 window by window, so the result is exact.
 
 Defined cases: null text has no words; texts shorter than a window stay whole;
-``doc_id`` names a document: rows that repeat one share their verdicts; null
-ids are one name, smaller than all others; an empty table gives no row;
-further columns are ignored.
+rows that repeat a ``doc_id`` are each judged on their own text, and none of
+them is smaller than another; null ids are equal to each other and smaller than
+all others; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ GRAM = 12
 def linked_edges(hits: DataFrame) -> DataFrame:
     """Edges with the extents of the edges before and after them in their
     text; null where the text ends or the neighbour does not repeat."""
-    w = Window.partitionBy("doc").orderBy("lo")
+    w = Window.partitionBy("doc", "tag").orderBy("lo")
     before, after = F.lag(F.struct("hi", "extent")).over(w), F.lead(F.struct("lo", "extent")).over(w)
     return hits.select(
         "*",
@@ -55,37 +55,37 @@ def edge_table(edges: DataFrame) -> DataFrame:
     same = lambda c: (F.count(c) == n) & (F.min(c) == F.max(c))
     return edges.groupBy("gram", "extent").agg(
         n.alias("n"),
-        F.min(F.struct("doc", "lo", "hi")).alias("source"),
+        F.min(F.struct("doc", "tag", "lo", "hi")).alias("source"),
         same("before").alias("joined_left"),
         same("after").alias("joined_right"),
     )
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """Occurrences of compacted paths of repeated edges: ``(doc, lo, hi, source_doc)``."""
-    w = Window.partitionBy("doc").orderBy("lo")
+    """Occurrences of compacted paths of repeated edges: ``(doc, tag, lo, hi, source_doc)``."""
+    w = Window.partitionBy("doc", "tag").orderBy("lo")
     before = F.lag(F.struct("hi", "joined_right", "source")).over(w)
     follows = (before["hi"] + 1 == F.col("lo")) & before["joined_right"] & F.col("joined_left") & (before["source"]["doc"] == F.col("source")["doc"])
     numbered = edges.select("*", F.sum(F.when(follows, 0).otherwise(1)).over(w).alias("path"))
-    return numbered.groupBy("doc", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("source.doc").alias("source_doc"))
+    return numbered.groupBy("doc", "tag", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("source.doc").alias("source_doc"))
 
 
 def copied_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``(doc, lo, hi)``: starts, from ``lo`` to ``hi``, of windows of words that a smaller document has."""
+    """``(doc, tag, lo, hi)``: starts, from ``lo`` to ``hi``, of windows of words that a smaller document has."""
     scheme = Scheme(length, gram, words=True)
     occ = stored(occurrences(docs, scheme), "k-mers")
     hits = stored(linked_edges(repeated_grams(occ)), "edges")
     drop_stored(occ)
     table = stored(edge_table(hits), "edge-table")
-    repeated = hits.select("gram", "extent", "doc", "lo", "hi").join(table.where("n > 1"), ["gram", "extent"])
-    whole = paths(repeated).where("source_doc < doc").select("doc", "lo", "hi")
+    repeated = hits.select("gram", "extent", "doc", "tag", "lo", "hi").join(table.where("n > 1"), ["gram", "extent"])
+    whole = paths(repeated).where("source_doc < doc").select("doc", "tag", "lo", "hi")
     # branching nodes: distinct edges of one k-mer
     sizes = table.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     wanted = table.join(sizes, "gram").select("gram", "extent", "source.*", (F.col("members") > group_limit).alias("large"))
     parts = stored(segment_texts(docs, wanted, scheme), "segments")
-    runs = shared_windows(parts, scheme, by_rank=True).drop("lo")
-    at_source = hits.where("mixed").select("gram", "extent", "doc", "lo").join(runs, ["gram", "extent", "doc"])
-    fine = at_source.select("doc", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"))
+    runs = shared_windows(parts, scheme, by_rank=True).drop("lo", "tag")
+    at_source = hits.where("mixed").select("gram", "extent", "doc", "tag", "lo").join(runs, ["gram", "extent", "doc"])
+    fine = at_source.select("doc", "tag", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"))
     out = stored(whole.unionByName(fine), "spans")
     drop_stored(hits, table, parts)
     return out

@@ -15,9 +15,8 @@ that starts in several places.
    extent is enough, and its text is fetched from its document.
 
 Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes stay
-whole; ``doc_id`` names a document: rows that repeat one are documents whose
-spans are pooled; null ids are one name; an empty table gives no row; further
-columns are ignored.
+whole; rows that repeat a ``doc_id``, or have none, are each judged and cut on
+their own text; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +37,14 @@ GRAM = 50
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``(doc, lo, hi)``: starts, from ``lo`` to ``hi``, of windows that occur elsewhere."""
+    """``(doc, tag, lo, hi)``: starts, from ``lo`` to ``hi``, of windows that occur elsewhere."""
     scheme = Scheme(length, gram, words=False)
     occ = stored(occurrences(docs, scheme), "suffixes")
     first = stored(repeated_grams(occ), "first-digit")
     drop_stored(occ)
     mixed = first.where("mixed")
     second = stored(
-        mixed.groupBy("gram", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "lo", "hi")).alias("at")),
+        mixed.groupBy("gram", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "lo", "hi")).alias("at")),
         "second-digit",
     )
     sizes = second.groupBy("gram").agg(F.count(F.lit(1)).alias("members"))
@@ -54,9 +53,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     single = second.where("n = 1").select("gram", "extent")
     several = second.where("n > 1").select("gram", "extent")
     deep = shared_windows(parts, scheme, by_rank=False).join(single, ["gram", "extent"], "left_semi")
-    spans = first.where(~F.col("mixed")).select("doc", "lo", "hi")
-    spans = spans.unionByName(mixed.join(several, ["gram", "extent"], "left_semi").select("doc", "lo", "hi"))
-    spans = spans.unionByName(deep.select("doc", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")))
+    spans = first.where(~F.col("mixed")).select("doc", "tag", "lo", "hi")
+    spans = spans.unionByName(mixed.join(several, ["gram", "extent"], "left_semi").select("doc", "tag", "lo", "hi"))
+    spans = spans.unionByName(deep.select("doc", "tag", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")))
     out = stored(spans, "spans")
     drop_stored(first, second, parts)
     return out

@@ -1,7 +1,9 @@
 """What both repeat finders share: segments of texts as rows, the texts of
 chosen segments, and the comparison of their windows to full depth.
 
-A document is named by ``doc`` (its ``doc_id``, null as the least long).
+A row is named by ``doc`` (its ``doc_id``, null as the least long) and ``tag``
+(a hash of its text), so rows that repeat an id, or have none, keep to
+themselves; rows that repeat both have the same text and the same verdicts.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casepipe.llm.common import SEPARATOR, SLAB, Rolling, flat, slabs, stored, text_or_empty, word_bounds
+from casepipe.llm.common import SEPARATOR, SLAB, Rolling, flat, hash_words, slabs, stored, text_or_empty, word_bounds
 from casepipe.llm.sampling import pieces, segments
 
 NO_DOC = -(1 << 63)
@@ -24,8 +26,8 @@ NO_DOC = -(1 << 63)
 GROUP_LIMIT = 10_000
 #: Segments that one numpy pass compares, about.
 COMPARED = 4000
-OCCURRENCE = "doc long, lo int, hi int, gram long, extent long"
-WINDOWS = "gram long, extent long, doc long, lo int, first int, last int"
+OCCURRENCE = "doc long, tag long, lo int, hi int, gram long, extent long"
+WINDOWS = "gram long, extent long, doc long, tag long, lo int, first int, last int"
 
 
 class Scheme(NamedTuple):
@@ -40,22 +42,30 @@ def doc_name(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(NO_DOC))
 
 
+def text_tag() -> Column:
+    return F.xxhash64(text_or_empty(), F.octet_length(text_or_empty()))
+
+
 def named_texts(docs: DataFrame) -> DataFrame:
     return docs.select(doc_name().alias("doc"), text_or_empty().alias("text"))
 
 
+def tagged_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(doc_name().alias("doc"), text_tag().alias("tag"), text_or_empty().alias("text"))
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray, hashes: tuple[Rolling, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """The words of texts under each hash, and the texts' offsets in words.
     A long text is hashed chunk by chunk, each chunk up to a separator."""
     if len(at) > 2 or len(raw) <= 2 * SLAB:
         lo, hi = word_bounds(raw, at)
-        return [h.slices(h.prefix(h.symbol[raw]), lo, hi) for h in hashes], np.searchsorted(lo, at)
+        return [hash_words(raw, lo, hi, h.seed) for h in hashes], np.searchsorted(lo, at)
     gaps, out, lo = SEPARATOR[raw], [], 0
     while lo < len(raw):
         hi = lo + SLAB
         hi = hi + int(gaps[hi:].argmax()) if hi < len(raw) and gaps[hi:].any() else len(raw)
         begin, end = word_bounds(raw[lo:hi], np.array([0, hi - lo]))
-        out.append([h.slices(h.prefix(h.symbol[raw[lo:hi]]), begin, end) for h in hashes])
+        out.append([hash_words(raw[lo:hi], begin, end, h.seed) for h in hashes])
         lo = hi
     words = [np.concatenate(x) for x in zip(*out, strict=True)]
     return words, np.array([0, len(words[0])])
@@ -75,14 +85,14 @@ def _parts(scheme: Scheme, raw: np.ndarray, at: np.ndarray, hashes: tuple[Rollin
 
 
 def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """One row per segment of every text: ``doc``, the first and the last
+    """One row per segment of every text: its names, the first and the last
     window start, and the hashes of the anchor's gram and of the extent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Rolling(1), Rolling(2)
         for batch in batches:
-            raw, at = flat(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            raw, at = flat(batch.column(2))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in slabs(at):
                 for before, a, b, own in _parts(scheme, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], hashes):
                     s = segments(a, b, own, scheme.length, scheme.k, *hashes)
@@ -90,15 +100,16 @@ def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(ids[lo + s.text]),
+                                pa.array(tags[lo + s.text]),
                                 pa.array((s.lo + before).astype(np.int32)),
                                 pa.array((s.hi + before).astype(np.int32)),
                                 pa.array(s.gram.view(np.int64)),
                                 pa.array(s.extent.view(np.int64)),
                             ],
-                            names=["doc", "lo", "hi", "gram", "extent"],
+                            names=["doc", "tag", "lo", "hi", "gram", "extent"],
                         )
 
-    return named_texts(docs).mapInArrow(run, OCCURRENCE)
+    return tagged_texts(docs).mapInArrow(run, OCCURRENCE)
 
 
 def repeated_grams(occ: DataFrame) -> DataFrame:
@@ -116,16 +127,16 @@ def repeated_grams(occ: DataFrame) -> DataFrame:
 
 
 def segment_texts(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """The text of segments: ``wanted(gram, extent, doc, lo, hi, large)``
+    """The text of segments: ``wanted(gram, extent, doc, tag, lo, hi, large)``
     gets ``part``, the bytes from its first window's start to its last one's end."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "extent", "lo", "hi", "large")).alias("segs"))
+    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "extent", "lo", "hi", "large")).alias("segs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = flat(batch.column(1))
+            raw, at = flat(batch.column(2))
             for i in range(batch.num_rows):
                 own = raw[at[i] : at[i + 1]]
-                flat_segs = batch.column(2)[i].values
+                flat_segs = batch.column(3)[i].values
                 names = ["gram", "extent", "lo", "hi", "large"]
                 gram, extent, lo, hi, large = (flat_segs.field(n) for n in names)
                 first, last = lo.to_numpy(), hi.to_numpy() + scheme.length
@@ -139,10 +150,11 @@ def segment_texts(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFra
                 took = pa.array(keep)
                 parts = [own[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
                 cols = [x.filter(took) for x in (gram, extent, lo, hi, large)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=[*names, "doc", "part"])
+                name = [pa.array([batch.column(c)[i].as_py()] * len(parts), pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, *name, pa.array(parts, pa.binary())], names=[*names, "doc", "tag", "part"])
 
-    joined = named_texts(docs).join(lists, "doc").select("doc", "text", "segs")
-    return joined.mapInArrow(run, "gram long, extent long, lo int, hi int, large boolean, doc long, part binary")
+    joined = tagged_texts(docs).join(lists, ["doc", "tag"]).select("doc", "tag", "text", "segs")
+    return joined.mapInArrow(run, "gram long, extent long, lo int, hi int, large boolean, doc long, tag long, part binary")
 
 
 class _Windows(NamedTuple):
@@ -157,7 +169,7 @@ def _windows(parts: pa.Array, count: np.ndarray, scheme: Scheme, h: Rolling) ->
     raw, at = raw[at[0] : at[-1]], at - at[0]
     if scheme.words:
         lo, hi = word_bounds(raw, at)
-        symbols = h.slices(h.prefix(h.symbol[raw]), lo, hi)
+        symbols = hash_words(raw, lo, hi, h.seed)
         base = np.searchsorted(lo, at[:-1])
     else:
         symbols, base = h.symbol[raw], at[:-1]
@@ -194,7 +206,7 @@ def shared_windows(parts: DataFrame, scheme: Scheme, by_rank: bool) -> DataFrame
     Small groups are sorted to full depth inside one task, many groups at
     once.  The windows of large groups are rows, grouped by their own hash.
     """
-    names = ["gram", "extent", "doc", "lo", "first", "last"]
+    names = ["gram", "extent", "doc", "tag", "lo", "first", "last"]
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Rolling(3)
@@ -203,11 +215,11 @@ def shared_windows(parts: DataFrame, scheme: Scheme, by_rank: bool) -> DataFrame
         def compared(t: pa.Table) -> pa.RecordBatch:
             b = t.combine_chunks().to_batches()[0]
             gram, extent, lo, hi = (b.column(n).to_numpy() for n in ("gram", "extent", "lo", "hi"))
-            once = np.ones(len(gram), bool)  # rows that repeat a doc_id bring a segment twice
+            once = np.ones(len(gram), bool)  # rows that repeat id and text bring a segment twice
             once[1:] = (gram[1:] != gram[:-1]) | (extent[1:] != extent[:-1])
             b = b.filter(pa.array(once))
             gram, extent, lo, hi = gram[once], extent[once], lo[once], hi[once]
-            doc = b.column("doc").to_numpy()
+            doc, tag = b.column("doc").to_numpy(), b.column("tag").to_numpy()
             w = _windows(b.column("part"), hi - lo + 1, scheme, h)
             group = np.cumsum(np.append(0, gram[1:] != gram[:-1]))
             on = _flagged(w, group, doc if by_rank else None)
@@ -215,7 +227,7 @@ def shared_windows(parts: DataFrame, scheme: Scheme, by_rank: bool) -> DataFrame
             begin = on & (edge | np.append(True, ~on[:-1]))
             stop = on & np.append(edge[1:] | ~on[1:], True)
             s, first, last = w.segment[begin], w.offset[begin], w.offset[stop]
-            cols = [gram[s], extent[s], doc[s], lo[s], first.astype(np.int32), last.astype(np.int32)]
+            cols = [gram[s], extent[s], doc[s], tag[s], lo[s], first.astype(np.int32), last.astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
         for b in batches:
@@ -237,14 +249,14 @@ def shared_windows(parts: DataFrame, scheme: Scheme, by_rank: bool) -> DataFrame
                 p = b.slice(i, COMPARED)
                 w = _windows(p.column("part"), p.column("hi").to_numpy() - p.column("lo").to_numpy() + 1, scheme, h)
                 took = pa.array(w.segment)
-                cols = [p.column(n).take(took) for n in ("gram", "extent", "doc", "lo")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.offset.astype(np.int32)), pa.array(w.hash.view(np.int64))], names=[*names[:5], "window"])
+                cols = [p.column(n).take(took) for n in names[:5]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.offset.astype(np.int32)), pa.array(w.hash.view(np.int64))], names=[*names[:6], "window"])
 
     few = parts.where(~F.col("large")).drop("large").repartition("gram").sortWithinPartitions("gram", "extent").mapInArrow(small, WINDOWS)
-    rows = parts.where("large").dropDuplicates(["gram", "extent"]).mapInArrow(large, "gram long, extent long, doc long, lo int, first int, window long")
+    rows = parts.where("large").dropDuplicates(["gram", "extent"]).mapInArrow(large, "gram long, extent long, doc long, tag long, lo int, first int, window long")
     told = rows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
     own = rows.join(told, ["gram", "window"]).where(F.col("doc") > F.col("least") if by_rank else F.col("n") > 1)
-    return few.unionByName(own.select("gram", "extent", "doc", "lo", "first", F.col("first").alias("last")))
+    return few.unionByName(own.select("gram", "extent", "doc", "tag", "lo", "first", F.col("first").alias("last")))
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +270,7 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(doc_id, text, spans)`` of every row; ``spans(doc, lo, hi)`` are ranges of window starts."""
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    d = docs.select(doc_name().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return d.join(lists, "doc", "left").select("doc_id", "text", "spans")
+    """``(doc_id, text, spans)`` of every row; ``spans(doc, tag, lo, hi)`` are ranges of window starts."""
+    lists = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    d = docs.select(doc_name().alias("doc"), text_tag().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return d.join(lists, ["doc", "tag"], "left").select("doc_id", "text", "spans")

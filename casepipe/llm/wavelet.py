@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casepipe.llm.common import Rolling, flat, slabs, text_or_empty, word_bounds
+from casepipe.llm.common import flat, hash_words, slabs, text_or_empty, word_bounds
 from casepipe.llm.tokencount import LETTERS, NUMBERS, UNCHECKED, byte_characters
 
 SHARD_TOKENS = 1 << 21
@@ -179,7 +179,7 @@ class WordIds:
 
     def __init__(self, tokenizer, kind: type = np.uint16, limit: int = CACHE_ENTRIES):
         self.tokenizer, self.merge, self.kind, self.limit = tokenizer, tokenizer.model.tokenize, kind, limit
-        self.shown, self.hash = byte_characters(), Rolling(7)
+        self.shown = byte_characters()
         self._forget()
 
     def _forget(self) -> None:
@@ -233,7 +233,7 @@ class WordIds:
         joined = plain.decode().lower().encode()  # lower case has the same number of bytes here
         raw_low = np.frombuffer(joined, np.uint8)
         lo, hi = word_bounds(raw_low, at)
-        h = self.hash.slices(self.hash.prefix(self.hash.symbol[raw_low]), lo, hi)
+        h = hash_words(raw_low, lo, hi, 7)
         distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
         at_known, known = self._found(distinct)
         if not known.all():

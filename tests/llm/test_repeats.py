@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from casepipe.llm import debruijn, radix
+from casepipe.llm import common, debruijn, lshforest, radix
 from casepipe.llm.common import sliding_min
 
 
@@ -55,6 +55,43 @@ def test_words(shipped, limit):
     assert removed_words(df, group_limit=limit) == want
 
 
+def test_ids_that_repeat_or_lack(shipped):
+    """Rows of one id, or of none, are judged each on its own text."""
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    shared, other, third = words("s", 120), words("q", 90), words("c", 95)
+    rows = [(1, shared), (None, shared), (None, third), (5, shared), (5, other), (5, other), (None, third + " end"), (7, other + " x"), (6, None)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (str(x[0]), *x[1:])
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.copied_words(rows), strict=True)), key=key)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.remove_copied(df).collect()]
+    assert sorted(got, key=key) == want
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.repeated_bytes(rows), strict=True)), key=key)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in radix.remove_repeats(df).collect()]
+    assert sorted(got, key=key) == want
+
+
+def morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_alike_words_are_told_apart(shipped):
+    """Words that every polynomial hash modulo a power of two takes for one."""
+    for n in (9, 10, 12):
+        x, y = morse(n)
+        rest = [f"w{i}" for i in range(60)]
+        rows = [(1, " ".join([*rest[:30], x, *rest[30:]])), (2, " ".join([*rest[:30], y, *rest[30:]])), (3, " ".join([*rest[:30], y, *rest[30:], "z"]))]
+        df = shipped.createDataFrame(rows, "doc_id long, text string")
+        assert removed_words(df) == {(i, *x) for (i, _), x in zip(rows, brute.copied_words(rows), strict=True)}
+        short = [(1, " ".join([x, *rest[:9]])), (2, " ".join([y, *rest[:9]])), (3, f"{x} b"), (4, f"{y} b")]
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in lshforest.near_dedup(shipped.createDataFrame(short, "doc_id long, text string")).collect()}
+        assert got == {(i, *x[:2]) for (i, _), x in zip(short, brute.near_components(short), strict=True)}
+        sets = [lshforest.shingle_sets(raw, np.array([0, len(raw)]), common.Rolling(4), common.Rolling(5))[0] for raw in (np.frombuffer(t.encode(), np.uint8) for _, t in short)]
+        assert not set(sets[2].tolist()) & set(sets[3].tolist()) and len(set(sets[0].tolist()) ^ set(sets[1].tolist())) == 2
+
+
 def test_sample(sample_docs):
     rows = rows_of(sample_docs)
     assert removed_bytes(sample_docs) == {(i, *x) for (i, _), x in zip(rows, brute.repeated_bytes(rows), strict=True)}

@@ -99,9 +99,19 @@ class WordTable:
                 out[i] = self.long.get(low[begin[i] - lo : end[i] - lo].tobytes(), -1)
         return out
 
+    def located(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(numbers, begin, end, first)``: all words of the texts that meet
+        at ``at`` in order, their bytes, and each text's offset among them."""
+        ids, lo, hi, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(at), np.int64)
+        for begin, end in word_pieces(raw, at):
+            first += np.searchsorted(begin, at)
+            ids.append(self.lookup(raw, begin, end).astype(np.int32))
+            lo.append(begin)
+            hi.append(end)
+        return np.concatenate(ids), np.concatenate(lo), np.concatenate(hi), first
+
     def numbers(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(numbers, first)``: all words of the texts that meet at ``at`` in
-        order, and each text's offset among them."""
+        """``(numbers, first)`` of ``located``."""
         ids, first = [np.zeros(0, np.int32)], np.zeros(len(at), np.int64)
         for begin, end in word_pieces(raw, at):
             first += np.searchsorted(begin, at)

@@ -41,11 +41,46 @@ def test_automaton_against_plain_windows(shipped):
 
 def test_blocks_of_items_give_the_same(shipped):
     docs, items = planted(shipped)
-    whole = {r.row.doc_id: (r.spans, r['items']) for r in automaton.mark_contamination(docs, items).collect()}
-    blocks = {r.row.doc_id: (r.spans, r['items']) for r in automaton.mark_contamination(docs, items, block_words=60).collect()}
-    assert {k: v[1] for k, v in whole.items()} == {k: v[1] for k, v in blocks.items()}
-    covered = lambda s: {w for x in automaton._merged(s) for w in range(x[2], x[3])}
-    assert {k: covered(v[0]) for k, v in whole.items()} == {k: covered(v[0]) for k, v in blocks.items()}
+    assert marked(docs, items, block_words=60) == expected(docs, items)
+    spans = [{r.doc_id: r.spans for r in automaton.contamination(docs, items, block_words=n).collect()} for n in (60, 200_000)]
+    assert spans[0] == spans[1]
+    texts = [{r.doc_id: r.text for r in automaton.decontaminate(docs, items, block_words=n).collect()} for n in (60, 200_000)]
+    assert texts[0] == texts[1] and len(texts[0]) < docs.count()
+
+
+def test_alike_words_are_told_apart(shipped):
+    """Words that any polynomial hash modulo a power of two takes for one."""
+    docs, items = [], []
+    for i, n in enumerate((9, 10, 12)):
+        morse = "a"
+        for _ in range(n):
+            morse += morse.translate(str.maketrans("ab", "ba"))
+        docs.append((i, f"x {morse} y"))
+        items.append((i, morse.translate(str.maketrans("ab", "ba"))))
+    docs.append((9, f"x {items[0][1].upper()} y"))
+    d = shipped.createDataFrame(docs, "doc_id long, text string")
+    b = shipped.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in automaton.contamination(d, b).collect()} == {0: 0, 1: 0, 2: 0, 9: 1}
+
+
+def test_long_text_in_pieces(shipped, monkeypatch):
+    item = " ".join(f"q{i}" for i in range(12))
+    text = "filler words " * 60_000 + item + " more" * 100_000
+    d = shipped.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    b = shipped.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, [tuple(s) for s in r.spans]) for r in automaton.contamination(d, b).collect()}
+    at = text.index("q0")
+    assert got == {1: (220_012, 12, [(at, at + len(item))]), 2: (1, 0, [])}
+
+
+def test_clashing_columns_stay(shipped):
+    item = " ".join(f"q{i}" for i in range(12))
+    row = (1, f"a b c d e f g h i j k l m {item}", 2, "w", True, {"k": 1}, 3)
+    docs = shipped.createDataFrame([row], "doc_id long, text string, row int, spans string, no_text boolean, items map<string,int>, n_words int")
+    items = shipped.createDataFrame([(1, item), (2, item + " z")], "item_id long, text string")
+    for n in (5, 200_000):
+        out = automaton.decontaminate(docs, items, block_words=n)
+        assert out.columns == docs.columns and tuple(out.first()) == (1, "a b c d e f g h i j k l m ", *row[2:])
 
 
 def test_odd_rows(odd_docs, no_docs, benchmark):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from casepipe.operators import profile
@@ -457,6 +459,21 @@ def q_label_path(spark, sf):
     return labelling.label_incremental(todo, path, "prompt", keys, labelling.prompt_labeller(PROMPT_HEAD, PROMPT_TAIL))
 
 
+@register("label_chunks")
+def q_label_chunks(spark, sf):
+    """Chunked labelling killed in the middle: the first run ends at the prompts
+    of one case, the second one completes the chunks it left."""
+    root = _scratch(spark, "chunks")
+    todo = A.kept(spark, sf).select("file_name", "pos", fn.render_prompt("paragraph", PROMPT_HEAD, PROMPT_TAIL).alias("prompt"))
+    keys, label = ["file_name", "pos"], labelling.prompt_labeller(PROMPT_HEAD, PROMPT_TAIL)
+    rows = max(1, todo.count() // 6)
+    try:
+        labelling.label_in_chunks(todo, root, "prompt", keys, labelling.killed_on("EWHC 150 (Admin)", label), chunk_rows=rows)
+    except (PySparkException, Py4JJavaError):
+        pass  # the run was to be killed
+    return labelling.label_in_chunks(todo, root, "prompt", keys, label, chunk_rows=rows)
+
+
 @register("label_resume")
 def q_label_resume(spark, sf):
     todo = A.kept(spark, sf).select("file_name", "pos", "paragraph")
@@ -631,6 +648,14 @@ def q_csv_roundtrip(spark, sf):
     return tabular.read_table_csv(spark, path, ANNOTATED_SCHEMA)
 
 
+@register("csv_ranges")
+def q_csv_ranges(spark, sf):
+    """One CSV file, with line ends inside quoted cells, read by many tasks."""
+    path = _scratch(spark, "csv")
+    sinks.write_csv(A.odd_cells(q_annotated_paragraphs(spark, sf)).coalesce(1), path)
+    return tabular.read_table_csv(spark, path, ANNOTATED_SCHEMA, size=1 << 16)
+
+
 @register("annotation_export_manifest")
 def q_annotation_export_manifest(spark, sf):
     root = _scratch(spark, "annotations")
@@ -652,6 +677,26 @@ def q_annotation_read(spark, sf):
     return tabular.read_annotations(spark, root, ANNOTATED_SCHEMA)
 
 
+@register("annotation_layouts")
+def q_annotation_layouts(spark, sf):
+    """Annotation files with a further column, without ``file_name``, and with
+    rows of many more commas than the header."""
+    root = _scratch(spark, "annotations")
+    rows = A.odd_cells(q_annotated_paragraphs(spark, sf))
+    layout = F.regexp_extract("file_name", r"doc_(\d+)", 1).cast("long") % 3
+    sinks.export_cases(rows.where(layout == 0).withColumn("comment", F.lit("see, above")), f"{root}/a")
+    # one file a case: the case is the folder's, not a column's
+    case = rows.where(layout == 1).withColumn("case", F.regexp_replace("file_name", r"\W", "_")).drop("file_name")
+    case.repartition("case").sortWithinPartitions("case", "pos").write.partitionBy("case").options(**sinks.CSV_OPTIONS).csv(f"{root}/b")
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(f'"{sinks.CSV_NULL}"'))
+    cells = ["file_name", "pos", "fact", "citation", "judgment", "introduction", "paragraph"]
+    line = F.concat(F.concat_ws(",", *map(quoted, cells)), F.repeat(F.lit(","), F.when(F.col("pos") == 1, 10_000).otherwise(0)))
+    text = F.concat(F.lit(",".join(cells) + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n"))
+    files = rows.where(layout == 2).groupBy("file_name").agg(text.cast("binary").alias("content"))
+    sinks.write_documents(files.withColumn("path", F.concat(F.regexp_replace("file_name", r"\W", "_"), F.lit(".csv"))), f"{root}/c").write.format("noop").mode("overwrite").save()
+    return tabular.read_annotations(spark, root, ANNOTATED_SCHEMA)
+
+
 # ------------------------------------------------------------ models (M2, M3): rows-only checks
 @register("multilabel_train_predict")
 def q_multilabel_train_predict(spark, sf):

@@ -881,7 +881,13 @@ FROM kept GROUP BY 1, 2""",
 FROM (SELECT *, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(0 AS INTEGER) END AS introduction FROM kept)""",
         "kept",
     )
+    out["annotation_layouts"] = (
+        out["annotation_read"].replace("SELECT file_name, pos", "SELECT CASE WHEN doc_id % 3 = 1 THEN NULL ELSE file_name END AS file_name, pos", 1)
+        .replace("CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(0 AS INTEGER) END AS introduction", "CAST(0 AS INTEGER) AS introduction")
+    )
+    out["csv_ranges"] = out["csv_roundtrip"]
     out["label_path"] = out["batch_label"]
+    out["label_chunks"] = out["batch_label"]
     out["xml_scan"] = with_views(
         """SELECT 'xml_page_' || (doc_id % 10 + 1) AS folder, 'doc_' || doc_id || '.xml' AS name, true AS has_content
 FROM (SELECT DISTINCT doc_id FROM paras)""",

@@ -1,8 +1,8 @@
 """IOB (CoNLL-style) token files.
 
-Lines are read with ``spark.read.text`` and numbered in file order, split by
-split, so a file of any size is read by many tasks; documents are then cut by
-a skew-safe running count of ``-DOCSTART-`` lines.
+Lines are read in byte ranges and named by their byte offset, so a file of any
+size is read by many tasks; documents are then cut by a skew-safe running count
+of ``-DOCSTART-`` lines.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from casepipe.session import checkpoint
 from casepipe.functions.tags import tag_id
 from casepipe.functions.text import strip_ws
 from casepipe.operators.segments import running_count
+from casepipe.sources.ranges import RANGE, read_line_offsets
 
 # --- fixed values: must equal the reference's for identical results -------
 DOCSTART_TRAINER = "-DOCSTART- -X-"
@@ -21,25 +22,11 @@ DOCSTART_EDA = "-DOCSTART-"
 # ---------------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)`` of text files at any depth; ``line_no`` is the
-    line's number in its file, from 0.
-
-    A file of any size is read in splits.  Lines are numbered inside a split
-    in reading order, and a split's lines follow those of the splits that
-    begin before it (one row per split is summed up).
-    """
-    df = spark.read.option("recursiveFileLookup", True).text(path)
-    raw = df.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_m"),
-        F.col("value").alias("line"),
-    )
-    splits = raw.groupBy("file", "_at").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("file", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    return raw.join(splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("line_no"), "line")
+def read_lines(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """``(file, line_no, line)`` of text files at any depth, read in byte
+    ranges; ``line_no`` is the byte offset of the line in its file: increasing,
+    and the same in every run of a task."""
+    return read_line_offsets(spark, path, size).withColumnRenamed("at", "line_no")
 
 
 def dense_ids(rows: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -60,9 +47,8 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
     Each line is stripped; a line starting ``-DOCSTART- -X-`` ends the current
     document; blank lines are not boundaries; other lines split on TAB, token
     = first field, tag = last field, unknown tag -> 0.  Empty documents take
-    no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` must be dense
-    per file for the block split to stay balanced (or any increasing number:
-    results stay exact either way).  With ``materialize`` the per-document
+    no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` is any number
+    that increases along a file: the line's number, or its byte offset.  With ``materialize`` the per-document
     table is checkpointed once (eager, shared checkpoint folder) because the
     id numbering reads it three times.
     """

@@ -1,4 +1,4 @@
-"""CSV tables and recursive annotation folders."""
+"""CSV tables and recursive annotation folders, read in byte ranges."""
 
 from __future__ import annotations
 
@@ -7,56 +7,40 @@ from pyspark.sql import functions as F
 
 from casepipe.operators.ordering import add_paragraph_number
 from casepipe.sinks import CSV_NULL, CSV_OPTIONS
+from casepipe.sources.ranges import RANGE, read_csv_by_name, read_csv_records
 
 
-def read_table_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, schema: str | None = None, size: int = RANGE) -> DataFrame:
     """CSV with header as ``write_csv`` writes it: text kept verbatim, quoted
-    fields may span lines (so a file is one task: write many files, not large
-    ones).  Pass ``schema`` to avoid inference at scale."""
-    r = spark.read.options(**CSV_OPTIONS).option("multiLine", True)
-    r = r.schema(schema) if schema else r.option("inferSchema", True)
-    return r.csv(path)
+    fields may span lines.
+
+    With ``schema`` (by position) a file is read by as many tasks as it has
+    ranges of ``size`` bytes; a quote inside a field must be doubled and the
+    field quoted, as ``write_csv`` does.  Without it Spark infers the types,
+    and a file is one task.
+    """
+    if schema is None:
+        return spark.read.options(**CSV_OPTIONS).option("multiLine", True).option("inferSchema", True).csv(path)
+    records = read_csv_records(spark, path, size).where("at > 0")
+    options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "quoteAll")}
+    return records.select(F.from_csv("record", schema, options).alias("_r")).select("_r.*")
 
 
 #: Column names of annotation files that mean another column.
 RENAMED = {"judgement": "judgment"}
 
 
-def read_annotations(spark: SparkSession, root: str, schema: str) -> DataFrame:
+def read_annotations(spark: SparkSession, root: str, schema: str, size: int = RANGE) -> DataFrame:
     """Every annotation CSV under ``root`` at any depth, unioned by column name.
 
-    ``schema`` lists the columns to return; each file has its own header, with
-    the columns in any order.  A column that a file lacks is NULL, further ones
-    are dropped, and ``judgement`` is read as ``judgment``.
-    ``paragraph_number`` is the 1-based ordinal of a row in its source file (by ``pos``).
-
-    The files are parsed once, by position and as texts; the header rows, one
-    per file, then say where each file has each column.
+    ``schema`` lists the columns to return.  The first record of each file is
+    its header, with the columns in any order: a column that a file lacks is
+    NULL (``file_name`` too), further ones are dropped, cells beyond the header
+    as well, and ``judgement`` is read as ``judgment`` where there is no
+    ``judgment``.  No file is left out.  ``paragraph_number`` is the 1-based
+    ordinal of a row in its source file, in the file's own order.
     """
     want = spark.createDataFrame([], schema).schema
-    widest = spark.read.option("recursiveFileLookup", True).text(root)
-    width = widest.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or len(want)
-    names = [f"c{i}" for i in range(max(width, len(want)))]
-    cells = (
-        spark.read.options(**CSV_OPTIONS | {"header": "false"})
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .schema(", ".join(f"{n} STRING" for n in names))
-        .csv(root)
-        .select(F.col("_metadata.file_path").alias("_source"), F.array(*names).alias("_cells"))
-    )
-    known = [f.name for f in want] + list(RENAMED)
-    named = F.filter("_cells", lambda c: c.isNotNull())
-    is_header = (F.size(named) > 0) & F.forall(named, lambda c: c.isin(*known)) & F.array_contains("_cells", "file_name")
-    headers = cells.where(is_header).groupBy("_source").agg(F.first("_cells").alias("_names"))
-    rows = cells.where(~F.coalesce(is_header, F.lit(False))).join(headers, "_source")
-
-    def value(name: str, kind) -> F.Column:
-        at = F.array_position("_names", name)
-        for other, meant in RENAMED.items():
-            if meant == name:
-                at = F.when(at > 0, at).otherwise(F.array_position("_names", other))
-        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).cast(kind).alias(name)
-
-    out = rows.select("_source", *[value(f.name, f.dataType) for f in want])
-    return add_paragraph_number(out, "_source", "pos").drop("_source")
+    texts = read_csv_by_name(spark, root, [f.name for f in want], RENAMED, CSV_NULL, size)
+    out = texts.select(F.col("file").alias("_source"), F.col("at").alias("_at"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+    return add_paragraph_number(out, "_source", "_at").drop("_source", "_at")

@@ -235,6 +235,25 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page, html)``: the listing with a list of tags inside every item, a
+    menu before it and another list after it, attributes in other orders and
+    quotes, classes among others, and courts that end in ``'s`` as a reference."""
+    r = search_results(spark, sf_dir).select("page", "item", "page_id", *[_xml_escape(F.col(c)).alias(c) for c in ("title", "court", "citation", "date")])
+    li = F.concat(
+        F.lit("<LI data-x='1'>\n<ul class='tags'><li>t1</li><li><ol><li>deep</li></ol></li></ul>\n<span id=t class='big judgment-listing__title'><a href=\"/x\"> "),
+        F.col("title"),
+        F.lit(" </a></span>\n<span lang=en\n class=judgment-listing__court>"),
+        F.col("court"),
+        F.lit('&apos;s</span><span class="x">no</span><span data-a="1" class="judgment-listing__neutralcitation y">'),
+        F.col("citation"),
+        F.lit("</span><time datetime='"), F.col("date"), F.lit("' class='a judgment-listing__date'>a day</time></LI>"),
+    )
+    all_ = r.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("item", li.alias("li")))).alias("_a"))
+    head = F.lit("<ul><li>menu</li></ul><ul id='l' class='judgment-listing__list wide'>")
+    return all_.select("page", F.concat(head, F.array_join(F.transform("_a", lambda x: x["li"]), "\n"), F.lit("</ul><ul class='judgment-listing__list'><li>other</li></ul>")).alias("html"))
+
+
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, base, total_text)``: a results-intro line per page,
     ``'N documents found'`` with ``N`` = 3 x the number of ``<p`` tags +

@@ -324,6 +324,7 @@ SEARCH_QUERY = '"planning+court"'
 RESULTS_PER_PAGE = 10
 # ---------------------------------------------------------------------------
 NAV_LIST = r"(?s)<nav>\s*<ul>(.*?)</ul>"
+# --- fixed values: class names of the listing's elements --------------------
 LISTING = r'(?s)<ul[^>]*class="judgment-listing__list"[^>]*>(.*?)</ul>'
 LISTING_FIELDS = {
     "title": r'(?s)<span class="judgment-listing__title">\s*<a[^>]*>(.*?)</a>',
@@ -331,6 +332,13 @@ LISTING_FIELDS = {
     "citation": r'(?s)<span class="judgment-listing__neutralcitation">(.*?)</span>',
     "date": r'<time class="judgment-listing__date" datetime="([^"]*)"',
 }
+TREE_FIELDS = {
+    "title": html.Field("span", "judgment-listing__title"),
+    "court": html.Field("span", "judgment-listing__court"),
+    "citation": html.Field("span", "judgment-listing__neutralcitation"),
+    "date": html.Field("time", "judgment-listing__date", "datetime"),
+}
+# ---------------------------------------------------------------------------
 NAV_FIELDS = {"title": r"(?s)<a[^>]*>(.*?)</a>", "href": r'href="([^"]*)"'}
 
 
@@ -358,6 +366,11 @@ def q_listing_fields(spark, sf):
     return html.listing_items(pages, LISTING, LISTING_FIELDS, id_col="page")
 
 
+@register("listing_tree")
+def q_listing_tree(spark, sf):
+    return html.listing_tree(A.nested_listing_pages(spark, sf), "judgment-listing__list", TREE_FIELDS, id_col="page")
+
+
 @register("search_file_roundtrip")
 def q_search_file_roundtrip(spark, sf):
     path = _scratch(spark, "search")

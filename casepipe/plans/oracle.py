@@ -586,6 +586,9 @@ FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS base,
     out["listing_fields"] = with_views(
         f"SELECT page, item, {title} AS title, {court} AS court, {citation} AS citation, date FROM search_results", "search_results"
     )
+    out["listing_tree"] = with_views(
+        f"SELECT page, item, {title} AS title, {court} || chr(39) || 's' AS court, {citation} AS citation, date FROM search_results", "search_results"
+    )
     out["citation_uri"] = with_views("SELECT page_id, citation, uri FROM cit_uri", "cit_uri")
     out["download_manifest"] = with_views(
         """SELECT arg_max(title, page_id) AS title, arg_max(citation, page_id) AS citation, arg_max(page, page_id) AS page,

@@ -23,8 +23,8 @@ components, and pairs whose signatures agree in three fifths of their values are
 confirmed.  So rows at the rim of a crowded family, which few of its members
 are similar to, are met many times, and rows that are joined already cost nothing.
 
-Rows of a region longer than that walk, or cut by the border of a range, are
-then joined exactly (``prefix_pairs``): two sets that are similar enough share
+Rows of a region longer than that walk, or cut by the border of a range, that
+holds more than one component, are then joined exactly (``prefix_pairs``): two sets that are similar enough share
 one of the rarest shingles of each, and every pair of different components that
 does is confirmed, however many rows the region has.
 
@@ -234,13 +234,86 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
 
 
+WALKED = "kind byte, a long, b long, tree byte, prefix long, n long"
+#: Kinds of rows of the second walk: a pair, a row of a crowded region, a region at a range's border.
+PAIR, CROWDED, BORDER = range(3)
+
+
+def _walked(kind: int, a, b, tree=None, prefix=None, n=None) -> pa.RecordBatch:
+    size = len(a)
+    zero = np.zeros(size, np.int64)
+    cols = [np.full(size, kind, np.int8), a, b, zero.astype(np.int8) if tree is None else tree, zero if prefix is None else prefix, zero if n is None else n]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[x.split()[0] for x in WALKED.split(", ")])
+
+
+class _Regions:
+    """The regions of a sorted range: those of more than ``NEXT`` rows and of
+    more than one component tell their rows, the range's first and last one
+    only their extent, since they may go on in another range."""
+
+    def __init__(self):
+        self.first = True
+        self.docs: list[np.ndarray] = []  # of the region that the last batch ended in
+        self.name = self.least = self.most = None
+
+    def _closed(self) -> Iterator[pa.RecordBatch]:
+        n = sum(map(len, self.docs))
+        if self.first:
+            yield self._border(n)
+        elif n > NEXT and self.least != self.most:
+            own = np.unique(np.concatenate(self.docs))
+            yield _walked(CROWDED, own, own)
+        self.first, self.docs = False, []
+
+    def _border(self, n: int) -> pa.RecordBatch:
+        return _walked(BORDER, *(np.array([x], np.int64) for x in (self.least, self.most)), np.array([self.name[0]], np.int8), np.array([self.name[1]], np.int64), np.array([n], np.int64))
+
+    def add(self, tree: np.ndarray, prefix: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])))
+        least, most = np.minimum.reduceat(comp, start), np.maximum.reduceat(comp, start)
+        size = np.diff(np.append(start, len(doc)))
+        at = 0
+        if self.docs and self.name == (tree[0], prefix[0]):  # the region goes on
+            self.docs.append(doc[: size[0]])
+            self.least, self.most = min(self.least, least[0]), max(self.most, most[0])
+            at = 1
+        if at < len(start):
+            if self.docs:
+                yield from self._closed()
+            if self.first and at < len(start) - 1:  # the range's first region ends in this batch
+                self.name, self.least, self.most = (tree[start[at]], prefix[start[at]]), least[at], most[at]
+                self.docs = [doc[start[at] : start[at] + size[at]]]
+                yield from self._closed()
+                at += 1
+            inner = np.zeros(len(start), bool)
+            inner[at:-1] = (size[at:-1] > NEXT) & (least[at:-1] != most[at:-1])
+            own = np.unique(doc[np.repeat(inner, size)])
+            if len(own):
+                yield _walked(CROWDED, own, own)
+            self.name, self.least, self.most = (tree[start[-1]], prefix[start[-1]]), least[-1], most[-1]
+            self.docs = [doc[start[-1] :]]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.docs:
+            yield self._border(sum(map(len, self.docs)))
+
+
+def _first_of(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether a place holds the least ``order`` (the first of equal ones) of its ``(a, b)``."""
+    by = np.lexsort((order, b, a))
+    first = np.append(True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])) if len(by) else np.zeros(0, bool)
+    out = np.zeros(len(a), bool)
+    out[by[first]] = True
+    return out
+
+
 def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs ``a < b`` of rows of one region and different components, each row
-    with the ``NEXT`` rows before it, if their sketches agree in ``AGREE`` places.
-    Rows that may have others of their region out of reach come as ``a = b``:
-    those of regions of more than ``NEXT`` rows, and of a range's first and last one."""
+    with the ``NEXT`` rows before it, if their sketches agree in ``AGREE`` places
+    (in crowded regions the pair that agrees most, of a row and a component);
+    and the regions that reach beyond this walk."""
     rest: pa.Table | None = None
-    opening = True  # in the range's first region
+    regions = _Regions()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -248,38 +321,39 @@ def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = 0 if rest is None else rest.num_rows
         t = t if rest is None else pa.concat_tables([rest, t])
         tree, prefix, doc, comp = (t.column(n).to_numpy() for n in ("tree", "prefix", "doc", "component"))
+        yield from regions.add(tree[carried:], prefix[carried:], doc[carried:], comp[carried:])
         raw, at = flat(t.column("sketch"))
         sketch = raw[at[0] : at[-1]].reshape(len(doc), -1)
-        i = np.arange(max(carried, NEXT), len(doc))
-        i = i[(tree[i] == tree[i - NEXT]) & (prefix[i] == prefix[i - NEXT])]
-        ends = np.zeros(len(doc) + 1, np.int64)
-        np.add.at(ends, i - NEXT, 1)
-        np.add.at(ends, i + 1, -1)
-        crowded = ends.cumsum()[:-1] > 0
-        if opening:
-            first = (tree == tree[0]) & (prefix == prefix[0])
-            crowded |= first
-            opening = bool(first.all())
-        own = np.unique(doc[crowded])
-        found = [np.stack([own, own], axis=1)]
+        later, earlier, agree = [], [], []
         for k in range(1, NEXT + 1):
             i = np.arange(max(carried, k), len(doc))
             i = i[(tree[i] == tree[i - k]) & (prefix[i] == prefix[i - k]) & (comp[i] != comp[i - k])]
-            i = i[(sketch[i] == sketch[i - k]).sum(axis=1) >= AGREE]
-            found.append(np.stack([np.minimum(doc[i], doc[i - k]), np.maximum(doc[i], doc[i - k])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            n = (sketch[i] == sketch[i - k]).sum(axis=1)
+            i, n = i[n >= AGREE], n[n >= AGREE]
+            later.append(i)
+            earlier.append(i - k)
+            agree.append(n)
+        i, j, n = (np.concatenate(x) for x in (later, earlier, agree))
+        # rows of a region of more than NEXT rows are joined exactly afterwards: there the best pair of a row and a component will do
+        start = np.append(True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]))
+        size = np.diff(np.append(np.flatnonzero(start), len(doc)))[np.cumsum(start) - 1]
+        crowded = np.flatnonzero(size[i] > NEXT)
+        best = _first_of(doc[i[crowded]], comp[j[crowded]], -n[crowded]) & _first_of(doc[j[crowded]], comp[i[crowded]], -n[crowded])
+        keep = np.ones(len(i), bool)
+        keep[crowded] = best
+        i, j = i[keep], j[keep]
+        pairs = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
+        if len(pairs):
+            yield _walked(PAIR, pairs[:, 0], pairs[:, 1])
         rest = t.slice(max(0, len(doc) - NEXT))
-    if rest is not None:
-        tree, prefix, doc = (rest.column(n).to_numpy() for n in ("tree", "prefix", "doc"))
-        own = np.unique(doc[(tree == tree[-1]) & (prefix == prefix[-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own)], names=["a", "b"])
+    yield from regions.end()
 
 
 def strangers(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs of different components that are near each other in an order and
-    whose signatures agree in ``AGREE`` places or more, by their lowest bytes;
-    pairs ``a = b`` name the rows whose region reaches beyond the walk."""
+    whose signatures agree in ``AGREE`` places or more, by their lowest bytes
+    (``kind`` 0), rows of crowded regions (1), and the regions at the ranges'
+    borders with their least and greatest component and number of rows (2)."""
     named = comp.select(F.col("node").alias("doc"), "component").hint("merge")
     # documents without links so far are components of their own
     known = nodes.join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "signature")
@@ -296,7 +370,34 @@ def strangers(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 
     forest = known.mapInArrow(run, "tree byte, prefix long, deeper long, doc long, component long, sketch binary")
     order = ["tree", "prefix", "deeper", "doc"]
-    return forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_strangers, "a long, b long").distinct()
+    return forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_strangers, WALKED)
+
+
+def crowded_rows(nodes: DataFrame, walked: DataFrame) -> DataFrame:
+    """``doc`` of the rows that may have similar ones of another component
+    beyond the second walk: those of regions of more than ``NEXT`` rows, or cut
+    by the border of a range, that hold more than one component."""
+    border = walked.where(F.col("kind") == BORDER).groupBy("tree", "prefix")
+    border = border.agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n"), F.min("a").alias("least"), F.max("b").alias("most"))
+    cut = border.where(((F.col("ranges") > 1) | (F.col("n") > NEXT)) & (F.col("least") != F.col("most"))).select("tree", "prefix")
+    wanted = [np.zeros(0, np.int64)] * TREES
+    regions = cut.collect()  # no more than two regions for each range
+    for t in {r.tree for r in regions}:
+        wanted[t] = np.array([r.prefix for r in regions if r.tree == t], np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = np.zeros(b.num_rows, bool)
+            for rows in _forest_rows(iter([b])):
+                prefix = rows.column(1).to_numpy().reshape(TREES, -1)
+                for t, own in enumerate(shared.value):
+                    if len(own):
+                        hit |= np.isin(prefix[t], own)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit))], names=["doc"])
+
+    inner = walked.where(F.col("kind") == CROWDED).select(F.col("a").alias("doc"))
+    return inner.unionByName(nodes.select("doc", "signature").mapInArrow(run, "doc long")).distinct()
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -403,10 +504,10 @@ def linked_components(docs: DataFrame, nodes: DataFrame, similarity: int = SIMIL
     comp = components(links)
     met = nodes.join(sets.select("doc").hint("merge"), "doc", "left_semi")  # the others share no region with any
     walked = stored(strangers(met, comp), "strangers")
-    far = walked.where("a <> b").join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    far = walked.where(F.col("kind") == PAIR).select("a", "b").distinct().join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     links = links.unionByName(stored(confirmed(far, sets, similarity), "links"))
     out = components(links)
-    crowded = walked.where("a = b").select(F.col("a").alias("doc"))
+    crowded = stored(crowded_rows(met, walked), "crowded")
     rest = stored(confirmed(prefix_pairs(sets, crowded, out, similarity), sets, similarity), "links")
     if rest.limit(1).count():
         out = components(links.unionByName(rest))

@@ -32,6 +32,8 @@ from casepipe.llm.common import flat, slabs, stored
 
 #: Training documents of each language, about.
 PER_LANGUAGE = 1500
+#: Bytes of the table of language sizes that may be broadcast.
+SIZES_BYTES = 1 << 23
 #: Hash space of n-grams.
 SIZE_BITS = 15
 #: Codes of up to this many languages are exhaustive (every split in two).
@@ -138,7 +140,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """
     usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()
     labelled = docs.where(usable)
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    if (sizes.agg(F.sum(F.octet_length("lang") + 16)).first()[0] or 0) <= SIZES_BYTES:
+        sizes = F.broadcast(sizes)  # only the sampled texts are dealt out then
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = stored(labelled.select("doc_id", "lang", "text").join(sizes, "lang").where(draw < per_language / F.col("size")).select("lang", "text").repartition("lang"), "language-sample")
 

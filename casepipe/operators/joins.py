@@ -1,7 +1,10 @@
 """Joins: null-safe left merges, semi/anti file filters, positional joins and
 the label consolidation composite.
 
-Label tables are de-duplicated on the join key *before* the join, so every
+Texts among the join keys are compared by their SHA-256 digest (``key_columns``),
+so a shuffle is dealt and sorted by 32 bytes instead of the paragraph, and the
+label side leaves its texts behind at the scan.  A digest of this length needs no second look
+at the texts.  Label tables are de-duplicated on the join key *before* the join, so every
 left merge is many-to-one and preserves the left row count.  Broadcast is left
 to Spark's size estimate and AQE's runtime statistics (a side is broadcast
 only when measured under ``spark.sql.autoBroadcastJoinThreshold``); hot keys
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.functions.text import normalise_label, strip_ws
-from casepipe.operators.ordering import add_paragraph_number, dedup_first
+from casepipe.operators.ordering import TEXT_KEYS, add_paragraph_number, key_columns, union_all
 
 LABELS = ("introduction", "fact", "citation", "judgment")
 
@@ -34,8 +37,10 @@ def left_merge(
     right: DataFrame,
     on: Sequence[str] | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
+    texts: Sequence[str] = TEXT_KEYS,
 ) -> DataFrame:
-    """Left join on ``on`` (default: all shared columns), NULL keys equal.
+    """Left join on ``on`` (default: all shared columns), NULL keys equal;
+    key columns among ``texts`` are compared by digest.
 
     Key columns appear once (from the left); other shared columns get
     ``suffixes``.  Right-side duplicates multiply rows exactly as a left merge
@@ -43,9 +48,11 @@ def left_merge(
     """
     shared = [c for c in left.columns if c in right.columns]
     on = list(on) if on is not None else shared
-    l = left.alias("l")
-    r = right.alias("r")
-    cond = _null_safe_on(l, r, on)
+    kinds = (dict(left.dtypes), dict(right.dtypes))
+    texts = [c for c in texts if c in on and kinds[0][c] == kinds[1][c] == "string"]
+    l = left.select("*", *key_columns(left, on, texts)).alias("l")
+    r = right.select(*[f"`{c}`" for c in right.columns if c not in on], *key_columns(right, on, texts)).alias("r")
+    cond = _null_safe_on(l, r, [f"_k{i}" for i in range(len(on))])
     cols = []
     for c in left.columns:
         name = c if (c in on or c not in right.columns) else c + suffixes[0]
@@ -69,7 +76,7 @@ def keep_files(df: DataFrame, files: DataFrame, key: str = "file_name") -> DataF
 
 
 def drop_files(df: DataFrame, files: DataFrame, key: str = "file_name") -> DataFrame:
-    """Rows whose file is not in ``files`` (left anti join, NULL-aware)."""
+    """Rows whose file is not in ``files`` (left anti join; a row without a file name stays)."""
     return df.join(files.select(key), key, "left_anti")
 
 
@@ -109,12 +116,10 @@ def positional_join(a: DataFrame, b: DataFrame, key: str, order_a: str, order_b:
 
 def frames_equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: ``equal`` true when the two frames hold the same multiset of
-    ``keys`` tuples, plus the number of differing tuples.  Counts per tuple are
-    compared with a full outer join, NULL-safe."""
-    ca = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
-    cb = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    j = ca.alias("a").join(cb.alias("b"), _null_safe_on(ca.alias("a"), cb.alias("b"), keys), "full")
-    diff = j.where(~F.coalesce(F.col("_na"), F.lit(0)).eqNullSafe(F.coalesce(F.col("_nb"), F.lit(0))))
+    ``keys`` tuples, plus the number of differing tuples.  The rows of both
+    are counted per tuple in one aggregate, ``a`` up and ``b`` down."""
+    both = a.select(*key_columns(a, keys), F.lit(1).alias("_n")).unionAll(b.select(*key_columns(b, keys), F.lit(-1)))
+    diff = both.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
     return diff.agg(F.count(F.lit(1)).alias("n_diff")).select(
         (F.col("n_diff") == 0).alias("equal"), F.col("n_diff").cast("long").alias("n_diff")
     )
@@ -137,17 +142,25 @@ def consolidate_labels(
     normalised to 0/1/NULL, sources are left-merged NULL-safe onto the base,
     and missing labels become 0.  Result ``(file_name, pos,
     paragraph_number, paragraph, introduction, fact, citation, judgment)``.
+
+    The sources become one table of labels by a union and one aggregate over
+    key digests, so the base is merged once and no label row carries a text.
     """
     key = list(key)
-    ij1 = dedup_first(ij.select(*key, "pos", "introduction", "judgment"), key, ["pos"]).drop("pos")
-    ci1 = dedup_first(citation.select(*key, "pos", "citation"), key, ["pos"]).drop("pos")
-    fa1 = dedup_first(fact.select(*key, "pos", normalise_label("fact").alias("fact")), key, ["pos"]).drop("pos")
-    # the ordinal depends on the base rows only: number them before the joins
+    label = {"introduction": ij, "judgment": ij, "citation": citation, "fact": fact}
+    value = {c: (normalise_label(c) if c == "fact" else F.col(c)).cast("int") for c in label}
+    keys = [f"_k{i}" for i in range(len(key))]
+
+    def slim(source: DataFrame) -> DataFrame:
+        own = [c for c in label if label[c] is source]
+        return source.select(*key_columns(source, key), *[F.struct(F.col("pos").alias("at"), value[c].alias("v")).alias(c) for c in own])
+
+    rows = union_all([slim(ij), slim(citation), slim(fact)])
+    labels = rows.groupBy(*keys).agg(*[F.min_by(F.col(c)["v"], F.col(c)["at"]).alias(c) for c in label])
+    # the ordinal depends on the base rows only: number them before the join
     out = add_paragraph_number(base.select("file_name", "pos", "paragraph"))
-    out = left_merge(out, ij1, key)
-    out = left_merge(out, ci1, key)
-    out = left_merge(out, fa1, key)
-    return out.select(
+    l, r = out.select("*", *key_columns(out, key)).alias("l"), labels.alias("r")
+    return l.join(r, _null_safe_on(l, r, keys), "left").select(
         "file_name",
         "pos",
         "paragraph_number",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.operators.segments import running_count
@@ -18,17 +18,28 @@ from casepipe.operators.segments import running_count
 PARAGRAPH_NUMBER_PREFIX = "The paragraph number is "
 # ---------------------------------------------------------------------------
 
+#: Key columns that hold whole texts.
+TEXT_KEYS = ("paragraph",)
 
-def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+
+def key_columns(df: DataFrame, on: Sequence[str], texts: Sequence[str] = TEXT_KEYS) -> list[Column]:
+    """``_k0, _k1, ...``: the key columns ``on``, string columns among ``texts``
+    as their SHA-256 digest (NULL stays NULL)."""
+    kinds = dict(df.dtypes)
+    digest = lambda c: F.unhex(F.sha2(F.col(f"`{c}`"), 256)) if c in texts and kinds[c] == "string" else F.col(f"`{c}`")
+    return [digest(c).alias(f"_k{i}") for i, c in enumerate(on)]
+
+
+def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], texts: Sequence[str] = TEXT_KEYS) -> DataFrame:
     """Keep, per ``keys`` (NULL equal to NULL), the row first in ``order``.
 
-    Deterministic, unlike ``dropDuplicates``: ``min_by(row, order)``.
+    Deterministic, unlike ``dropDuplicates``: ``min_by(row, order)``.  Keys
+    among ``texts`` are grouped by digest; the row that stays carries the text.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    ordv = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), ordv).alias("_r"))
-    return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*df.columns)
+    by = key_columns(df, keys, texts)
+    names = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*by, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r"), F.struct(*[F.col(c) for c in order]).alias("_o"))
+    return rows.groupBy(*names).agg(F.min_by("_r", "_o").alias("_r")).select("_r.*")
 
 
 def dedup_all(df: DataFrame) -> DataFrame:

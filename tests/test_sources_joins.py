@@ -72,6 +72,42 @@ def test_consolidation_keeps_row_count(spark):
     assert rows[2].fact == 1 and rows[1].citation == 0
 
 
+def test_text_keys_are_compared_null_safe_and_repeats_multiply(spark):
+    long = "word " * 50_000
+    left = spark.createDataFrame([("f", long, 1), ("f", long + "x", 2), ("f", None, 3), (None, "", 4), ("f", "", 5)], "file_name STRING, paragraph STRING, pos INT")
+    right = spark.createDataFrame([("f", long, "a"), ("f", None, "b"), (None, "", "c"), ("f", long, "d")], "file_name STRING, paragraph STRING, v STRING")
+    got = joins.left_merge(left, right, ["file_name", "paragraph"])
+    assert got.columns == ["file_name", "paragraph", "pos", "v"]
+    assert sorted((r.pos, r.v or "-") for r in got.collect()) == [(1, "a"), (1, "d"), (2, "-"), (3, "b"), (4, "c"), (5, "-")]
+    assert joins.left_merge(left, right.limit(0)).where("v IS NULL").count() == 5
+    numbers = right.select("file_name", F.length("paragraph").alias("paragraph"), "v")
+    assert joins.left_merge(left.withColumn("paragraph", F.length("paragraph")), numbers, ["file_name", "paragraph"]).count() == 6
+
+
+def test_dedup_first_groups_texts_by_digest(spark):
+    df = spark.createDataFrame([("f", None, 2, "b"), ("f", None, 1, None), (None, "t", 3, "c"), ("f", "t", 4, "d"), ("f", "t", 4, "d")], "file_name STRING, paragraph STRING, pos INT, v STRING")
+    got = ordering.dedup_first(df, ["file_name", "paragraph"], ["pos"])
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.where("pos <> 2").distinct().collect()))
+
+
+def test_consolidation_takes_the_first_row_even_without_a_label(spark):
+    base = spark.createDataFrame([("f", 0, "p"), ("f", 1, None), ("f", 2, "p")], "file_name STRING, pos INT, paragraph STRING")
+    ij = spark.createDataFrame([("f", None, 0, 1, None), ("f", None, 1, 0, 1)], "file_name STRING, paragraph STRING, pos INT, introduction INT, judgment INT")
+    ci = spark.createDataFrame([("f", "p", 3, 1), ("f", "p", 1, None)], "file_name STRING, paragraph STRING, pos INT, citation INT")
+    fa = spark.createDataFrame([], "file_name STRING, paragraph STRING, pos INT, fact STRING")
+    rows = joins.consolidate_labels(base, ij, ci, fa).orderBy("pos").collect()
+    assert [(r.introduction, r.fact, r.citation, r.judgment) for r in rows] == [(0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0)]
+
+
+def test_frames_equal_counts_repeats(spark):
+    a = spark.createDataFrame([("f", "p"), ("f", "p"), ("f", None)], "file_name STRING, paragraph STRING")
+    keys = ["file_name", "paragraph"]
+    assert joins.frames_equal(a, a, keys).first() == (True, 0)
+    assert joins.frames_equal(a, a.distinct(), keys).first() == (False, 1)
+    assert joins.frames_equal(a.limit(0), a, keys).first() == (False, 2)
+
+
 def test_group_split_sizes_and_no_leak(spark):
     df = spark.createDataFrame([(f"file{i}", j) for i in range(90) for j in range(2)], "file_name STRING, pos INT")
     s = splits.group_split(df, "file_name")

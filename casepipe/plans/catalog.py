@@ -315,7 +315,7 @@ def q_split_sizes(spark, sf):
 
 
 # ------------------------------------------------------------ sources (A*)
-from casepipe.sources import akn, html, iob, search  # noqa: E402
+from casepipe.sources import akn, akn_stream, html, iob, search  # noqa: E402
 from casepipe.operators import labelling, metrics  # noqa: E402
 from casepipe.functions.tags import align_labels, argmax, sigmoid_threshold, tag_id, tag_name  # noqa: E402
 
@@ -435,6 +435,15 @@ def q_akn_numbered(spark, sf):
     return segments.merge_numbered(s)
 
 
+@register("akn_case_tables")
+def q_akn_case_tables(spark, sf):
+    """Main paragraphs, cover and segments of every judgment from one parse, broken ones included."""
+    root = _scratch(spark, "akn-rows")
+    parsed = akn_stream.akn_rows(A.akn_xml(spark, sf, broken=True))
+    parsed.write.partitionBy("kind").parquet(root)  # each table reads the rows of its kind
+    return akn_stream.case_tables(spark.read.schema(parsed.schema).parquet(root))
+
+
 @register("xml_quarantine")
 def q_xml_quarantine(spark, sf):
     return akn.quarantine(akn.akn_paragraph_texts(A.akn_xml(spark, sf, broken=True))).select("file_name")

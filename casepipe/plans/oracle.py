@@ -615,19 +615,15 @@ SELECT * FROM (SELECT page_id, CAST(i - 2 AS INTEGER) AS pos,
 FROM (SELECT page_id, unnest(arr) AS piece, generate_subscripts(arr, 1) AS i
       FROM (SELECT page_id, string_split_regex(html, '<p[^>]*>') AS arr FROM pages))
 WHERE i > 1) WHERE {main_filter}"""
-    out["akn_main_paragraphs"] = with_views(
-        f"""SELECT file_name, CAST(pos - 2 AS INTEGER) AS pos, paragraph || chr(10) AS paragraph
-FROM paras WHERE pos >= 2 AND {main_filter}""",
-        "paras",
-    )
-    out["akn_cover"] = with_views(
-        r"""SELECT file_name,
+    akn_main = f"""SELECT file_name, CAST(pos - 2 AS INTEGER) AS pos, paragraph || chr(10) AS paragraph
+FROM paras WHERE pos >= 2 AND {main_filter}"""
+    out["akn_main_paragraphs"] = with_views(akn_main, "paras")
+    akn_cover = r"""SELECT file_name,
        coalesce(string_agg(paragraph || chr(10), '' ORDER BY pos)
                 FILTER (WHERE length(paragraph) - length(replace(paragraph, '-', '')) <= 2
                           AND regexp_matches(paragraph || chr(10), '\S')), '') AS cover_text
-FROM paras WHERE pos < 2 GROUP BY file_name""",
-        "paras",
-    )
+FROM paras WHERE pos < 2 GROUP BY file_name"""
+    out["akn_cover"] = with_views(akn_cover, "paras")
     akn_seg = f"""SELECT file_name, CAST(seg AS INTEGER) AS seg, {strip("string_agg(v, ' ' ORDER BY pos, k)")} AS segment
 FROM (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY pos, k) AS seg
       FROM (SELECT file_name, pos, 0 AS k,
@@ -644,6 +640,18 @@ FROM (SELECT *, sum(CASE WHEN regexp_matches(segment, '^\\d+\\.') THEN 1 ELSE 0
 GROUP BY file_name, gid""",
         "paras",
     )
+    out["akn_case_tables"] = with_views(
+        f"""SELECT f.file_name, f.error_kind, CASE WHEN f.error_kind IS NULL THEN c.cover_text END AS cover_text,
+       CASE WHEN f.error_kind IS NULL THEN coalesce(m.n, 0) ELSE 0 END AS n_paragraphs,
+       CASE WHEN f.error_kind IS NULL THEN CAST(coalesce(m.chars, 0) AS BIGINT) ELSE 0 END AS paragraph_chars,
+       CASE WHEN f.error_kind IS NULL THEN coalesce(s.n, 0) ELSE 0 END AS n_segments,
+       CASE WHEN f.error_kind IS NULL THEN CAST(coalesce(s.chars, 0) AS BIGINT) ELSE 0 END AS segment_chars
+FROM (SELECT DISTINCT file_name, CASE doc_id % 50 WHEN 7 THEN 'parse' WHEN 8 THEN 'encoding' END AS error_kind FROM paras) f
+LEFT JOIN ({akn_cover}) c USING (file_name)
+LEFT JOIN (SELECT file_name, count(*) AS n, sum(length(paragraph)) AS chars FROM ({akn_main}) GROUP BY file_name) m USING (file_name)
+LEFT JOIN (SELECT file_name, count(*) AS n, sum(length(segment)) AS chars FROM ({akn_seg}) GROUP BY file_name) s USING (file_name)""",
+        "paras",
+    )
     out["xml_quarantine"] = with_views("SELECT DISTINCT file_name FROM paras WHERE doc_id % 50 IN (7, 8)", "paras")
     out["segments"] = with_views(
         f"""WITH ev AS (SELECT file_name, pos AS ev, CASE WHEN pos % 7 IN (0, 3) THEN 'num' ELSE 'p' END AS tag,

@@ -746,6 +746,14 @@ def q_token_bayes(spark, sf):
     return bayes.tag_counts(bayes.token_bayes(tokens))
 
 
+@register("token_viterbi")
+def q_token_viterbi(spark, sf):
+    from casepipe.operators import bayes, sequence
+
+    tokens = checkpoint(splits.row_split(A.ner_pred(spark, sf).withColumn("id", F.col("doc_id").cast("string")), "id"))
+    return bayes.tag_counts(sequence.tag_sequences(tokens))
+
+
 @register("token_tagger")
 def q_token_tagger(spark, sf):
     from casepipe.operators import models

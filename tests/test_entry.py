@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-NO_ORACLE = {"multilabel_train_predict", "token_tagger"}
+NO_ORACLE = {"multilabel_train_predict", "token_tagger", "token_viterbi"}
 
 
 def test_entry_smoke(spark):

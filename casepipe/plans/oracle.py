@@ -868,6 +868,32 @@ best AS (SELECT doc_id, idx, true_tag, t FROM sc QUALIFY row_number() OVER (PART
 SELECT true_tag, {TAG_LIST}[t + 1] AS pred_tag, CAST(count(*) AS BIGINT) AS n FROM best GROUP BY 1, 2""",
         "ner_pred",
     )
+    learned = out["token_bayes"][out["token_bayes"].index("ids AS (SELECT id, CASE") : out["token_bayes"].index("sc AS (SELECT f.doc_id")]
+    out["token_viterbi"] = with_views(
+        f"""{learned}
+em AS MATERIALIZED (SELECT doc_id, idx, true_tag, list(s ORDER BY t) AS e
+       FROM (SELECT f.doc_id, f.idx, f.true_tag, sz.t,
+                    floor(1000 * (ln((coalesce(cw.c, 0) + 1) / (sz.n + vw + 1)) + ln((coalesce(cx.c, 0) + 1) / (sz.n + vx + 1)))) AS s
+             FROM f JOIN sz ON true LEFT JOIN cw ON cw.w = f.w AND cw.t = sz.t LEFT JOIN cx ON cx.x = f.x AND cx.t = sz.t, v WHERE f.split = 'test')
+       GROUP BY ALL),
+pairs AS (SELECT p, t, count(*) AS c FROM (SELECT t, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY idx), 11) AS p FROM tr) GROUP BY ALL),
+steps AS (SELECT g.p, g.t, CASE WHEN g.t = 0 OR g.t % 2 = 1 OR g.p IN (g.t - 1, g.t) THEN coalesce(c, 0) + 1 END AS n
+          FROM (SELECT p, t FROM (SELECT unnest(range(12)) AS p), (SELECT unnest(range(11)) AS t)) g LEFT JOIN pairs USING (p, t)),
+a AS MATERIALIZED (SELECT list(r ORDER BY t) AS a FROM (SELECT t, list(w ORDER BY p) AS r
+       FROM (SELECT p, t, coalesce(floor(1000 * ln(n / sum(n) OVER (PARTITION BY p))), -1e15) AS w FROM steps) GROUP BY t)),
+vit AS MATERIALIZED (
+  SELECT doc_id, idx, [a[j][12] + e[j] FOR j IN range(1, 12)] AS d, CAST([] AS INTEGER[]) AS b FROM em, a WHERE idx = 0
+  UNION ALL
+  SELECT doc_id, idx, [list_max(x[j]) + e[j] FOR j IN range(1, 12)], [CAST(list_position(x[j], list_max(x[j])) AS INTEGER) FOR j IN range(1, 12)]
+  FROM (SELECT em.doc_id, em.idx, em.e, [[vit.d[i] + a[j][i] FOR i IN range(1, 12)] FOR j IN range(1, 12)] AS x
+        FROM vit JOIN em ON em.doc_id = vit.doc_id AND em.idx = vit.idx + 1, a)),
+path AS (
+  SELECT doc_id, idx, CAST(list_position(d, list_max(d)) AS INTEGER) AS t FROM vit QUALIFY idx = max(idx) OVER (PARTITION BY doc_id)
+  UNION ALL
+  SELECT path.doc_id, path.idx - 1, vit.b[path.t] FROM path JOIN vit ON vit.doc_id = path.doc_id AND vit.idx = path.idx WHERE path.idx > 0)
+SELECT true_tag, {TAG_LIST}[path.t] AS pred_tag, CAST(count(*) AS BIGINT) AS n FROM path JOIN em USING (doc_id, idx) GROUP BY 1, 2""",
+        "ner_pred",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     out["csv_roundtrip"] = with_views(
         f"""SELECT file_name, pos, {odd} AS paragraph, CAST(0 AS INTEGER) AS introduction,
        CAST(regexp_matches(paragraph, {FACT}) AS INTEGER) AS fact,

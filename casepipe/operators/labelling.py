@@ -13,6 +13,7 @@ one by one, so a job that is killed keeps all that it had finished.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -71,6 +72,21 @@ def killed_on(word: str, fn: Labeller) -> Labeller:
     return dying
 
 
+def retrying(fn: Labeller, tries: int = 4, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Labeller:
+    """``fn``, called up to ``tries`` times a batch with a pause that doubles
+    from ``wait`` seconds; the last failure is the batch's error."""
+
+    def patient(texts: list[str]) -> list[str | None]:
+        for n in range(tries - 1):
+            try:
+                return fn(texts)
+            except Exception:  # noqa: BLE001 - whatever a service raises
+                sleep(wait * 2**n)
+        return fn(texts)
+
+    return patient
+
+
 def batch_label(
     df: DataFrame,
     text_col: str,
@@ -79,7 +95,11 @@ def batch_label(
     batch_size: int = 25,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``(keys..., output, error)`` for every row of ``df``."""
+    """``(keys..., output, error)`` for every row of ``df``.
+
+    A task has one call under way at a time, so ``partitions`` bounds the
+    calls at one time; ``retrying`` adds patience with a busy service.
+    """
     keys = list(keys)
     src = df.select(*keys, F.col(text_col).alias("_text"))
     if partitions:

@@ -1,6 +1,8 @@
 """Labelling whose finished chunks outlive a crash."""
 
 import os
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,36 @@ def test_the_stand_in_rule_is_linear():
     t0 = time.time()
     assert labelling.rule_labeller(["Act" + " " * 300_000 + "x", "s.12 of", None, "Act 1990", "nothing"]) == ["0", "1", None, "1", "0"]
     assert time.time() - t0 < 5
+
+
+def test_partitions_bound_the_calls_at_one_time(spark, scratch):
+    def counting(texts):
+        mine = os.path.join(scratch, uuid.uuid4().hex)
+        open(mine, "w").close()
+        time.sleep(0.02)
+        n = len(os.listdir(scratch))
+        os.remove(mine)
+        return [str(n)] * len(texts)
+
+    df = spark.range(400).select("id", F.col("id").cast("string").alias("t")).repartition(8)
+    got = [int(r.output) for r in labelling.batch_label(df, "t", ["id"], counting, batch_size=10, partitions=2).collect()]
+    assert len(got) == 400 and max(got) <= 2
+
+
+def test_retries_wait_longer_each_time():
+    waits, calls = [], []
+
+    def busy(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return texts
+
+    assert labelling.retrying(busy, tries=3, wait=1, sleep=waits.append)(["a"]) == ["a"]
+    assert waits == [1, 2] and len(calls) == 3
+    calls.clear()
+    try:
+        labelling.retrying(busy, tries=2, wait=1, sleep=waits.append)(["a"])
+        raise AssertionError("the last failure is raised")
+    except RuntimeError:
+        assert len(calls) == 2

@@ -3,9 +3,9 @@
 NER metrics take a token table ``(doc_id, idx, true_tag, pred_tag)`` (tag
 names, ``idx`` dense from 0 per document, ignored positions already
 removed).  Multi-label metrics take ``(y ARRAY<INT>, logits ARRAY<DOUBLE>)``
-per row.  Everything reduces to counts with partial aggregation; chunk
-extraction uses an equi-join for the previous tag and a skew-safe running
-count, so no document or label meets in one task.
+per row.  Everything reduces to counts with partial aggregation; entities are
+counted inside blocks of a document and settled across the blocks' edges, so no
+document or label meets in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casepipe.functions.tags import TAGS, THRESHOLD, sigmoid_threshold
-from casepipe.operators.segments import neighbours, running_counts
+from casepipe.operators.segments import BLOCK_ROWS, earlier_max, neighbours, with_block
 from casepipe.session import checkpoint
 
 
@@ -26,60 +26,97 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when((p + r) == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def _both_chunks(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
-    """Entities of both tag columns in one pass: ``(doc, side, type, start,
-    end)`` with ``side`` 't' (true) or 'p' (predicted)."""
-    t = tokens.select(doc, idx, "true_tag", "pred_tag")
-    j = neighbours(t, doc, idx, ["true_tag", "pred_tag"], keep_block=True)
-    j = j.withColumnRenamed("prev_true_tag", "_pt").withColumnRenamed("prev_pred_tag", "_pp")
-
-    def start(tag: str, prev_tag: str) -> Column:
-        tg, pv = F.col(tag), F.coalesce(F.col(prev_tag), F.lit("O"))
-        typ = F.when(tg == "O", F.lit(None)).otherwise(F.substring_index(tg, "-", -1))
-        ptyp = F.when(pv == "O", F.lit(None)).otherwise(F.substring_index(pv, "-", -1))
-        return ((tg != "O") & ((F.substring_index(tg, "-", 1) == "B") | (pv == "O") | ~typ.eqNullSafe(ptyp))).cast("int")
-
-    c = running_counts(j, doc, idx, {"_ct": start("true_tag", "_pt"), "_cp": start("pred_tag", "_pp")}, reuse_block=True)
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit("t").alias("side"), F.col("true_tag").alias("tag"), F.col("_ct").alias("ch")),
-            F.struct(F.lit("p").alias("side"), F.col("pred_tag").alias("tag"), F.col("_cp").alias("ch")),
-        )
-    )
-    e = c.select(doc, idx, sides.alias("s")).select(doc, idx, "s.side", "s.tag", "s.ch").where(F.col("tag") != "O")
-    return e.groupBy(doc, "side", "ch").agg(
-        F.min_by(F.substring_index(F.col("tag"), "-", -1), F.col(idx)).alias("type"),
-        F.min(idx).alias("start"),
-        F.max(idx).alias("end"),
-    ).drop("ch")
-
-
-def _ner_counts(tokens: DataFrame, doc: str, idx: str) -> DataFrame:
-    """One aggregate over a union of entity rows and token rows: entity
-    counts (true, predicted, both) and token counts (correct, entity flags)."""
-    ent = _both_chunks(tokens, doc, idx)
-    per = ent.groupBy(doc, "type", "start", "end").agg(
-        F.max((F.col("side") == "t").cast("long")).alias("_t"), F.max((F.col("side") == "p").cast("long")).alias("_p")
+def _type(tag: Column) -> Column:
+    return F.substring_index(tag, "-", -1)
+
+
+def _begins(tag: Column, prev: Column) -> Column:
+    """Whether an entity begins at ``tag``; NULL where that hangs on an unknown ``prev``."""
+    return (tag != "O") & ((F.substring_index(tag, "-", 1) == "B") | (prev == "O") | (_type(tag) != _type(prev)))
+
+
+def _ends(tag: Column, nxt: Column) -> Column:
+    """Whether an entity ends at ``tag``; NULL where that hangs on an unknown ``nxt``."""
+    return (tag != "O") & ((nxt == "O") | _begins(nxt, tag))
+
+
+def _block_counts(tokens: DataFrame, doc: str, idx: str, block_rows: int) -> DataFrame:
+    """One row per (document, block of ``idx``): counts of what the block alone
+    decides, and its two edges.
+
+    An entity ends on both sides at one row; it is the same entity if its type
+    and its last start are equal.  ``cross`` ends have both starts before the
+    rows that decide them, ``half_t`` (``half_p``) ends match if the block's
+    first row begins a true (predicted) entity.
+    """
+    raw = tokens.select(F.col(doc).alias("_doc"), F.col(idx).cast("long").alias("_i"), "true_tag", "pred_tag")
+    w = Window.partitionBy("_doc", "_blk").orderBy("_i")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = F.lit("O")
+    x = with_block(raw, "_i", block_rows).select("*", F.coalesce("true_tag", o).alias("t"), F.coalesce("pred_tag", o).alias("p"))
+    sides = ("t", "p")
+    no = F.lit(False)
+    x = x.select("*", *[F.lag(s).over(w).alias(f"_b{s}") for s in sides], *[F.lead(s).over(w).alias(f"_a{s}") for s in sides])
+    x = x.select(
+        *["_doc", "_blk", "_i", "true_tag", "pred_tag", "t", "p"],
+        *[F.when(F.coalesce(_begins(F.col(s), F.col(f"_b{s}")), no), F.col("_i")).alias(f"start_{s}") for s in sides],
+        (F.coalesce(_ends(F.col("t"), F.col("_at")), no) & F.coalesce(_ends(F.col("p"), F.col("_ap")), no) & (_type(F.col("t")) == _type(F.col("p")))).alias("both"),
     )
-    nul = F.lit(None).cast("long")
-    ent_rows = per.select("_t", "_p", nul.alias("_ok"), nul.alias("_y"), nul.alias("_yh"))
-    tok_rows = tokens.select(
-        nul.alias("_t"),
-        nul.alias("_p"),
-        (F.col("true_tag") == F.col("pred_tag")).cast("long").alias("_ok"),
-        (F.col("true_tag") != "O").cast("long").alias("_y"),
-        (F.col("pred_tag") != "O").cast("long").alias("_yh"),
+    x = x.select("*", F.min("_i").over(so_far).alias("_head"), *[F.max(f"start_{s}").over(so_far).alias(f"_s{s}") for s in sides])
+    st, sp, both = F.col("_st"), F.col("_sp"), F.col("both")
+    count = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+    y, yh = F.col("true_tag") != "O", F.col("pred_tag") != "O"
+    ok = F.col("true_tag") == F.col("pred_tag")
+    return x.groupBy(F.struct("_doc").alias("_d"), F.col("_blk").alias("_b")).agg(
+        F.count("start_t").alias("n_true"),
+        F.count("start_p").alias("n_pred"),
+        count(both & (st == sp)).alias("tp"),
+        count(both & st.isNull() & sp.isNull()).alias("cross"),
+        count(both & st.isNull() & (sp == F.col("_head"))).alias("half_t"),
+        count(both & sp.isNull() & (st == F.col("_head"))).alias("half_p"),
+        F.min("_i").alias("first"),
+        F.max("start_t").alias("last_t"),
+        F.max("start_p").alias("last_p"),
+        F.min_by(F.struct("t", "p"), "_i").alias("head"),
+        F.max_by(F.struct("t", "p"), "_i").alias("tail"),
+        F.count(ok).alias("n"),
+        count(ok).alias("ok"),
+        count(y).alias("pos"),
+        count(yh).alias("pp"),
+        count(y & yh).alias("tpb"),
     )
-    z = F.lit(0)
-    return ent_rows.unionByName(tok_rows).agg(
-        F.coalesce(F.sum("_t"), z).cast("long").alias("n_true"),
-        F.coalesce(F.sum("_p"), z).cast("long").alias("n_pred"),
-        F.coalesce(F.sum(F.col("_t") * F.col("_p")), z).cast("long").alias("tp"),
-        F.avg("_ok").alias("accuracy"),
-        F.count("_ok").alias("n"),
-        F.coalesce(F.sum("_y"), z).alias("pos"),
-        F.coalesce(F.sum("_yh"), z).alias("pp"),
-        F.coalesce(F.sum(F.col("_y") * F.col("_yh")), z).alias("tpb"),
+
+
+def _ner_counts(tokens: DataFrame, doc: str, idx: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of entity counts (true, predicted, both) and token counts.
+
+    The tokens are read and shuffled once, by (document, block); the table of
+    blocks, one row per 4,096 tokens of a document, is stored, and entities that
+    pass a block's edge are settled there from the neighbouring blocks' edge
+    tags and the last start before a block, both in levels.
+    """
+    sides = ("t", "p")
+    b = checkpoint(_block_counts(tokens, doc, idx, block_rows))
+    b = neighbours(b, "_d", "_b", ["head", "tail"])
+    out = lambda edge, s: F.coalesce(F.col(edge)[s], F.lit("O"))
+    # a first row that begins an entity only by the row before it
+    late = lambda s: (F.substring_index(F.col("head")[s], "-", 1) != "B") & _begins(F.col("head")[s], out("prev_tail", s))
+    b = b.select("*", *[late(s).alias(f"late_{s}") for s in sides])
+    b = b.select("*", *[F.coalesce(F.col(f"last_{s}"), F.when(F.col(f"late_{s}"), F.col("first"))).alias(f"_own_{s}") for s in sides])
+    b = earlier_max(b, "_d", "_b", ["_own_t", "_own_p"])
+    at_head = {s: F.when(F.col(f"late_{s}"), F.col("first")).otherwise(F.col(f"before__own_{s}")) for s in sides}
+    at_tail = {s: F.coalesce(F.col(f"last_{s}"), at_head[s]) for s in sides}
+    ends = [_ends(F.col("tail")[s], out("next_head", s)) for s in sides]
+    tail = ends[0] & ends[1] & (_type(F.col("tail")["t"]) == _type(F.col("tail")["p"])) & (at_tail["t"] == at_tail["p"])
+    n = lambda cond: F.coalesce(cond.cast("long"), F.lit(0))
+    tp = F.col("tp") + F.col("cross") * n(at_head["t"] == at_head["p"]) + F.col("half_t") * n(F.col("late_t")) + F.col("half_p") * n(F.col("late_p")) + n(tail)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return b.agg(
+        total(F.col("n_true") + n(F.col("late_t"))).alias("n_true"),
+        total(F.col("n_pred") + n(F.col("late_p"))).alias("n_pred"),
+        total(tp).alias("tp"),
+        F.try_divide(F.sum("ok"), F.sum("n")).alias("accuracy"),
+        *[total(c).alias(c) for c in ("n", "pos", "pp", "tpb")],
     )
 
 
@@ -98,9 +135,9 @@ def _auc_col(tp: str = "tpb") -> Column:
 
 def ner_entity_scores(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
     """One row: entity-level precision, recall, F1 (micro over types) and
-    token accuracy; zero division -> 0.  True and predicted entities come
-    from one pass; a true positive is an entity present on both sides, found
-    by one more aggregate instead of a join."""
+    token accuracy; zero division -> 0.  True and predicted entities are
+    counted in one pass; a true positive ends at one row on both sides with the
+    same type and start."""
     return _ner_counts(tokens, doc, idx).select(*_entity_cols(), "n_true", "n_pred", "tp")
 
 

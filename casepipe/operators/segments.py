@@ -80,34 +80,6 @@ def running_count(
     return res if keep_block else res.drop("_blk")
 
 
-def running_counts(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: str,
-    flags: dict[str, Column],
-    block_rows: int = BLOCK_ROWS,
-    reuse_block: bool = False,
-) -> DataFrame:
-    """``running_count`` for several flags in one pass (one block aggregate,
-    one offset join, one window); ``flags`` maps output name -> 0/1 flag.
-    ``reuse_block``: ``df`` already carries ``_blk`` (blocks of the same
-    ``order``, e.g. from ``neighbours``), so its partitioning is reused."""
-    keys = _keys(keys)
-    names = list(flags)
-    if reuse_block:
-        b = df
-    else:
-        b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows)
-    b = b.select("*", *[flags[n].cast("long").alias(f"_f_{n}") for n in names])
-    per_block = b.groupBy(*keys, "_blk").agg(*[F.sum(f"_f_{n}").alias(f"_bc_{n}") for n in names])
-    offsets = _block_offsets(per_block, keys, names, block_rows)
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    res = b.join(offsets, [*keys, "_blk"], "inner").select(
-        "*", *[(F.col(f"_off_{n}") + F.sum(f"_f_{n}").over(w_in)).cast("int").alias(n) for n in names]
-    )
-    return res.drop("_blk", *[f"_f_{n}" for n in names], *[f"_off_{n}" for n in names])
-
-
 def neighbours(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -155,6 +127,20 @@ def neighbours(
     return out if keep_block else out.drop("_blk")
 
 
+def earlier_max(df: DataFrame, keys: str | Sequence[str], order: str, cols: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``before_<c>``: the largest ``c`` of the earlier rows of the same key
+    (NULL where none has one), in levels as ``running_count``."""
+    keys = _keys(keys)
+    b = with_block(df, order, block_rows, "_up")
+    w_top = Window.partitionBy(*keys).orderBy("_up").rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*keys, "_up").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "_up").agg(*[F.max(c).alias(f"_max_{c}") for c in cols])
+    tops = tops.select(*keys, "_up", *[F.max(f"_max_{c}").over(w_top).alias(f"_top_{c}") for c in cols])
+    return b.join(tops, [*keys, "_up"]).select(
+        *df.columns, *[F.greatest(f"_top_{c}", F.max(c).over(w_in)).alias(f"before_{c}") for c in cols]
+    )
+
+
 def _ordered_join(order: str, value: str, sep: str) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)

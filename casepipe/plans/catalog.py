@@ -535,13 +535,6 @@ def q_tag_ids(spark, sf):
     return t.select("line_no", "tag", tag_id("tag").alias("tag_id"), tag_name(tag_id("tag")).alias("tag_name"))
 
 
-def _tokens(spark, sf):
-    """The NER token table, checkpointed once (eager, shared checkpoint
-    folder): the metric queries read it four to five times, and each read
-    would otherwise split every document again."""
-    return checkpoint(A.ner_pred(spark, sf).drop("word"))
-
-
 def _doc_words(spark, sf):
     """Words and tag ids of a document as arrays, built in the row (no shuffle)."""
     d = A.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", A.words_of("text").alias("words")).where(F.size("words") > 0)
@@ -585,12 +578,12 @@ def q_row_split(spark, sf):
 
 @register("ner_entity_scores")
 def q_ner_entity_scores(spark, sf):
-    return metrics.ner_entity_scores(_tokens(spark, sf))
+    return metrics.ner_entity_scores(A.ner_pred(spark, sf))
 
 
 @register("ner_piece_scores")
 def q_ner_piece_scores(spark, sf):
-    return metrics.ner_entity_scores(checkpoint(A.ner_pieces(spark, sf)))
+    return metrics.ner_entity_scores(A.ner_pieces(spark, sf))
 
 
 @register("ner_auc_pr")
@@ -605,7 +598,7 @@ def q_tag_report(spark, sf):
 
 @register("ner_metrics")
 def q_ner_metrics(spark, sf):
-    return metrics.ner_metrics(_tokens(spark, sf))
+    return metrics.ner_metrics(A.ner_pred(spark, sf))
 
 
 @register("token_features")

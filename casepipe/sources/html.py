@@ -178,7 +178,9 @@ def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     cut each piece at ``</p>`` or ``</article>``, strip tags and whitespace.
     Result ``(id, pos, paragraph)`` with ``pos`` from 0.
     """
-    pieces = F.split(F.col(html_col), "<p[^>]*>", -1)
-    # the texts are made inside the generator's array: a later filter reads them and does not make them again
-    texts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda p: strip_tags(F.regexp_replace(p, r"(?s)(</p>|</article>).*$", "")))
+    pieces = F.slice(F.split(F.col(html_col), "<p[^>]*>", -1), 2, 1 << 30)
+    # a step's text is a variable of the next step, so it is made once; and inside the generator's
+    # array, so a later filter reads it and does not make it again
+    bare = F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)(</p>|</article>).*$", ""), TAG_RE, ""))
+    texts = F.transform(F.transform(bare, decode_entities), strip_ws)
     return pages.select(F.col(id_col), F.posexplode(texts).alias("pos", "paragraph"))

@@ -2,6 +2,8 @@
 
 import os
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,10 +68,48 @@ def test_multilabel_metrics(spark):
     assert r.hamming_loss == pytest.approx(0.375)
 
 
-def test_chunk_rules(spark):
+def entities(tags):
+    """(type, start, end) of every entity, by a plain loop."""
+    out = []
+    for i, tag in enumerate(tags):
+        prev = tags[i - 1] if i else "O"
+        if tag == "O":
+            continue
+        kind = tag.rsplit("-", 1)[-1]
+        if tag.startswith("B-") or prev == "O" or prev.rsplit("-", 1)[-1] != kind:
+            out.append([kind, i, i])
+        else:
+            out[-1][2] = i
+    return {tuple(e) for e in out}
+
+
+def test_chunk_rules():
     # I- after O starts a chunk; type change starts a chunk
     tags = "I-DATE I-DATE O I-JUDGE B-JUDGE I-COURT".split()
-    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(tags)], "doc_id INT, idx INT, tag STRING")
-    both = metrics._both_chunks(df.select("doc_id", "idx", F.col("tag").alias("true_tag"), F.col("tag").alias("pred_tag")), "doc_id", "idx")
-    got = sorted((r.type, r.start, r.end) for r in both.where("side = 't'").collect())
-    assert got == [("COURT", 5, 5), ("DATE", 0, 1), ("JUDGE", 3, 3), ("JUDGE", 4, 4)]
+    assert entities(tags) == {("COURT", 5, 5), ("DATE", 0, 1), ("JUDGE", 3, 3), ("JUDGE", 4, 4)}
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 5, 4096])
+def test_entities_over_block_edges(spark, block_rows):
+    """Counts equal the plain loop's, whatever the blocks; positions may have gaps; a document may have no id."""
+    rng = random.Random(block_rows)
+    rows, want = [], [0, 0, 0]
+    for doc in [*range(40), None]:
+        n = rng.randrange(1, 30)
+        vocabulary = rng.choice([["O", "I-A"], ["O", "B-A", "I-A", "I-A", "I-A"], ["O", "B-A", "I-A", "I-B", "B-B"]])
+        true = [rng.choice(vocabulary) for _ in range(n)]
+        pred = [t if rng.random() < 0.8 else rng.choice(vocabulary) for t in true]
+        t, p = entities(true), entities(pred)
+        want = [want[0] + len(t), want[1] + len(p), want[2] + len(t & p)]
+        at = sorted(rng.sample(range(2 * n), n))
+        rows += [(doc, i, x, None if y == "O" and rng.random() < 0.1 else y) for i, x, y in zip(at, true, pred)]
+    df = spark.createDataFrame(rows, "doc_id INT, idx INT, true_tag STRING, pred_tag STRING")
+    r = metrics._ner_counts(df, "doc_id", "idx", block_rows).first()
+    assert [r.n_true, r.n_pred, r.tp] == want
+    known = [(x, y) for _, _, x, y in rows if y is not None]
+    assert r.n == len(known) and r.accuracy == pytest.approx(sum(x == y for x, y in known) / len(known))
+
+
+def test_entities_of_no_tokens(spark):
+    r = metrics.ner_metrics(spark.createDataFrame([], "doc_id INT, idx INT, true_tag STRING, pred_tag STRING")).first()
+    assert (r.precision, r.recall, r.accuracy) == (0.0, 0.0, None)

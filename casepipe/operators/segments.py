@@ -36,15 +36,16 @@ def _block_offsets(per_block: DataFrame, keys: list[str], names: Sequence[str],
     blocks (``rows / block_rows**2``) of a key meet in one window.
     """
     upper = F.floor(F.col("_blk") / F.lit(block_rows)).cast("long")
-    b = per_block.withColumn("_up", upper)
-    tops = b.groupBy(*keys, "_up").agg(*[F.sum(f"_bc_{n}").alias(f"_bc_{n}") for n in names])
+    # the blocks of a block of blocks travel as one row, so the input is read once
+    tops = per_block.withColumn("_up", upper).groupBy(*keys, "_up").agg(
+        F.collect_list(F.struct("_blk", *[f"_bc_{n}" for n in names])).alias("_b"), *[F.sum(f"_bc_{n}").alias(f"_bc_{n}") for n in names]
+    )
     w_top = Window.partitionBy(*keys).orderBy("_up").rowsBetween(Window.unboundedPreceding, -1)
     w_in = Window.partitionBy(*keys, "_up").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     z = F.lit(0)
-    tops = tops.select(*keys, "_up", *[F.coalesce(F.sum(f"_bc_{n}").over(w_top), z).alias(f"_top_{n}") for n in names])
-    return b.join(tops, [*keys, "_up"]).select(
-        *keys, "_blk", *[(F.col(f"_top_{n}") + F.coalesce(F.sum(f"_bc_{n}").over(w_in), z)).alias(f"_off_{n}") for n in names]
-    )
+    tops = tops.select(*keys, "_up", "_b", *[F.coalesce(F.sum(f"_bc_{n}").over(w_top), z).alias(f"_top_{n}") for n in names])
+    b = tops.select(*keys, "_up", *[f"_top_{n}" for n in names], F.inline("_b"))
+    return b.select(*keys, "_blk", *[(F.col(f"_top_{n}") + F.coalesce(F.sum(f"_bc_{n}").over(w_in), z)).alias(f"_off_{n}") for n in names])
 
 
 def running_count(
@@ -61,8 +62,10 @@ def running_count(
 
     Prefix sum in levels: flag totals per (key, block) -> exclusive running
     sum over blocks (a table ``block_rows`` times smaller than the input, again
-    in blocks) -> joined back as an offset (broadcast when AQE measures it
-    small) -> running sum inside each block.  Equivalent to
+    in blocks) -> joined back as an offset -> running sum inside each block.
+    The join shuffles the rows, as the window has to: rows read from files look
+    as small as the list of files, so Spark would broadcast all of them.
+    Equivalent to
     ``sum(flag).over(partitionBy(keys).orderBy(order))`` but bounded per task.
     With ``keep_block`` the ``_blk`` column (blocks of ``order``) is kept, so a
     following ``concat_by`` in the same order reuses the partitioning.
@@ -71,9 +74,9 @@ def running_count(
     b = with_block(df.drop("_blk") if "_blk" in df.columns else df, order, block_rows).withColumn("_flag", flag.cast("long"))
     per_block = b.groupBy(*keys, "_blk").agg(F.sum("_flag").alias("_bc_0"))
     offsets = _block_offsets(per_block, keys, ["0"], block_rows).withColumnRenamed("_off_0", "_off")
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_in = Window.partitionBy("_blk", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     res = (
-        b.join(offsets, [*keys, "_blk"], "inner")
+        b.join(offsets.hint("shuffle_hash"), [*keys, "_blk"], "inner")
         .withColumn(out, (F.col("_off") + F.sum("_flag").over(w_in)).cast(dtype))
         .drop("_flag", "_off")
     )

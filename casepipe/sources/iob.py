@@ -7,6 +7,11 @@ of ``-DOCSTART-`` lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from casepipe.session import checkpoint
@@ -41,6 +46,26 @@ def dense_ids(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     return ranged.join(sizes, "_part").withColumn(out, F.col("_before") + inside).drop("_m", "_part", "_before")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(file, block, doc, at, token, tag)``, sorted by file and ``at``, as one
+    row ``(file, doc, first at, tokens, tags)`` for each run of a document in a block."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if pc.count_distinct(b.column(3)).as_py() < b.num_rows:  # tokens on one line number: in order of their own
+            runs = [(c, "ascending") for c in t.column_names]
+            t = t.sort_by([*runs[:2], runs[3], runs[2], *runs[4:]])
+        file, block, doc, at, token, tag = (c.combine_chunks() for c in t.columns)
+        new = np.ones(len(at), bool)
+        changed = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (file, block, doc)]
+        new[1:] = np.logical_or.reduce(changed)
+        first = np.flatnonzero(new)
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        columns = [*(c.take(pa.array(first)) for c in (file, doc, at)), pa.ListArray.from_arrays(ends, token), pa.ListArray.from_arrays(ends, tag)]
+        yield pa.RecordBatch.from_arrays(columns, names=[t.column_names[0], "_doc", "_at", "_t", "_g"])
+
+
 def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no", materialize: bool = False) -> DataFrame:
     """Trainer reader: documents ``(id, tokens, ner_tags)``.
 
@@ -48,36 +73,42 @@ def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_n
     document; blank lines are not boundaries; other lines split on TAB, token
     = first field, tag = last field, unknown tag -> 0.  Empty documents take
     no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` is any number
-    that increases along a file: the line's number, or its byte offset.  With ``materialize`` the per-document
-    table is checkpointed once (eager, shared checkpoint folder) because the
-    id numbering reads it three times.
+    that increases along a file: the line's number, or its byte offset.  The lines, as
+    ``running_count`` leaves them, become arrays of each document's
+    neighbouring tokens before they are dealt out by document.  With ``materialize`` these rows
+    are checkpointed once (eager, shared checkpoint folder) because the id
+    numbering reads them three times.
     """
-    s = lines.select(file_col, order, strip_ws(F.col("line")).alias("_l"))
-    start = F.col("_l").startswith(DOCSTART_TRAINER).cast("int")
-    s = running_count(s, file_col, order, start, "_doc")
-    tok = s.where((F.col("_l") != "") & ~F.col("_l").startswith(DOCSTART_TRAINER))
-    parts = F.split(F.col("_l"), "\t", -1)
-    tok = tok.select(
+    s = lines.select(file_col, order, strip_ws(F.col("line")).alias("_l")).where(F.col("_l") != "")
+    is_start = F.col("_l").startswith(DOCSTART_TRAINER)
+    s = running_count(s, file_col, order, is_start.cast("int"), "_doc", keep_block=True)
+    tok = s.where(~is_start).select(
         file_col,
         "_doc",
+        "_blk",
         order,
-        F.get(parts, 0).alias("_token"),
-        tag_id(F.element_at(parts, -1)).alias("_tag"),
+        F.substring_index("_l", "\t", 1).alias("_token"),
+        tag_id(F.substring_index("_l", "\t", -1)).alias("_tag"),
     )
-    docs = tok.groupBy(file_col, "_doc").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_token").alias("t"), F.col("_tag").alias("g")))).alias("_x"),
+    kind = dict(tok.dtypes)
+    pieces = tok.sortWithinPartitions("_blk", file_col, order).select(file_col, "_blk", "_doc", order, "_token", "_tag")
+    pieces = pieces.mapInArrow(_packed, f"`{file_col}` {kind[file_col]}, _doc int, _at {kind[order]}, _t array<string>, _g array<int>")
+    if materialize:
+        pieces = checkpoint(pieces)
+    # dense ids in (file, document) order, from the slim table of names
+    ids = dense_ids(pieces.select(file_col, "_doc").distinct(), [file_col, "_doc"], "_id")
+    # merged on what the grouping below needs, so the pieces are dealt out once
+    named = pieces.hint("merge").join(ids, [file_col, "_doc"])
+    docs = named.groupBy(file_col, "_doc").agg(
+        F.first("_id").alias("_id"),
+        F.array_sort(F.collect_list(F.struct(F.col("_at").alias("a"), F.col("_t").alias("t"), F.col("_g").alias("g")))).alias("_x"),
     )
-    docs = docs.select(
+    return docs.select(
+        F.col("_id").cast("string").alias("id"),
+        F.flatten(F.transform("_x", lambda x: x["t"])).alias("tokens"),
+        F.flatten(F.transform("_x", lambda x: x["g"])).alias("ner_tags"),
         file_col,
-        "_doc",
-        F.transform("_x", lambda x: x["t"]).alias("tokens"),
-        F.transform("_x", lambda x: x["g"]).alias("ner_tags"),
     )
-    if materialize:
-        docs = checkpoint(docs)
-    # dense ids in (file, document) order, from the slim table of names
-    ids = dense_ids(docs.select(file_col, "_doc"), [file_col, "_doc"], "_id")
-    return docs.join(ids, [file_col, "_doc"]).select(F.col("_id").cast("string").alias("id"), "tokens", "ner_tags", file_col)
 
 
 def iob_tokens(lines: DataFrame, file_col: str = "file", order: str = "line_no") -> DataFrame:

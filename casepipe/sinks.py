@@ -1,10 +1,14 @@
 """Sinks: JSON / CSV / Parquet writes, per-case annotation export and
 metric rows.  Table writes go through Spark's commit protocol (atomic per
-job); ``write_documents`` writes single files, idempotently."""
+job); ``write_documents`` and ``write_grouped_csv`` write many single files, idempotently."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.functions.text import case_name, page_number
@@ -35,6 +39,98 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
+def _folder(value: str | None) -> str:
+    """The name of a value in a partition folder, as Spark writes it."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\x7f\"#%'*/:=?\\{[]^" else c for c in value)
+
+
+def folder_value(path: Column, name: str) -> Column:
+    """The value of the partition folder ``<name>=<value>`` in a file's path."""
+    text = F.regexp_extract(path, f"/{name}=([^/]*)/", 1)
+    value = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.when(text != "__HIVE_DEFAULT_PARTITION__", value)
+
+
+def _file_root(df: DataFrame, root: str) -> tuple:
+    """Hadoop's path and file system of ``root``, and its name for ``pyarrow.fs``."""
+    # the same meaning that spark.read gives the path: the default file system's, if it names none
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(conf)
+    target = system.makeQualified(path).toString()
+    return path, system, "file://" + target[5:] if target.startswith("file:/") and not target.startswith("file://") else target
+
+
+def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: Sequence[str], mode: str = "overwrite") -> None:
+    """One CSV file per value of the columns ``folders`` under
+    ``<folder>=<value>/...``, as ``partitionBy`` lays them out, with rows in ``order``.
+
+    Spark's file commit costs a few file operations per file on one machine, the
+    driver.  Here the tasks write their files one after the other, line by
+    line, into a hidden folder, whose top folders the driver then moves: all or
+    nothing shows, and a retried task writes its files anew.
+    """
+    folders = list(folders)
+    path, system, target_root = _file_root(df, root)
+    if system.exists(path):
+        if mode == "ignore":
+            return
+        if mode in ("error", "errorifexists", "default"):
+            raise AnalysisException(f"path {root} already exists")
+        if mode == "overwrite":
+            system.delete(path, True)
+    job = uuid.uuid4().hex
+    cells = [c for c in df.columns if c not in folders]
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in cells) + "\n"
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    lines = df.repartition(*folders).sortWithinPartitions(*folders, *order)
+    lines = lines.select(*[F.col(f).cast("string") for f in folders], F.to_csv(F.struct(*cells), options).alias("_line"))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        filesystem, base = pafs.FileSystem.from_uri(f"{target_root.rstrip('/')}/_temporary_{job}")
+        last, out, n = None, None, 0
+        try:
+            for b in batches:
+                *names, texts = (c.to_pylist() for c in b.columns)
+                for case, line in zip(zip(*names, strict=True), texts, strict=True):
+                    if case != last:
+                        if out is not None:
+                            out.close()
+                        folder = "/".join([base, *(f"{f}={_folder(v)}" for f, v in zip(folders, case, strict=True))])
+                        filesystem.create_dir(folder, recursive=True)
+                        out = filesystem.open_output_stream(f"{folder}/part-{job}.csv", buffer_size=1 << 16)
+                        out.write(header.encode())
+                        last, n = case, n + 1
+                    out.write(f"{line}\n".encode())
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    written = lines.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    system.mkdirs(path)
+
+    def move(source, target) -> None:
+        for s in system.listStatus(source):
+            to = hadoop(target, s.getPath().getName())
+            if s.isDirectory() and system.exists(to):
+                move(s.getPath(), to)  # appended to a folder that was there
+            elif not system.rename(s.getPath(), to):
+                raise OSError(f"could not move {s.getPath()} to {to}")
+
+    if written:
+        temporary = hadoop(path, f"_temporary_{job}")
+        move(temporary, path)
+        system.delete(temporary, True)
+    system.create(hadoop(path, "_SUCCESS"), True).close()
+
+
 def export_cases(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     """One CSV folder per case under ``page=<n>/case=<name>``.
 
@@ -43,13 +139,7 @@ def export_cases(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     global sort.
     """
     out = df.withColumn("page", page_number("file_name")).withColumn("case", case_name("file_name"))
-    out = out.repartition("page", "case").sortWithinPartitions("page", "case", "pos")
-    (
-        out.write.mode(mode)
-        .partitionBy("page", "case")
-        .options(**CSV_OPTIONS)
-        .csv(root)
-    )
+    write_grouped_csv(out, root, ["page", "case"], ["pos"], mode)
 
 
 def write_metrics(df: DataFrame, path: str, method: str, mode: str = "overwrite") -> None:
@@ -68,12 +158,7 @@ def write_documents(df: DataFrame, root: str, path_col: str = "path", content_co
     """
     import pandas as pd
 
-    # the same meaning that spark.read gives the path: the default file system's, if it names none
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    target_root = path.getFileSystem(conf).makeQualified(path).toString()
-    if target_root.startswith("file:/") and not target_root.startswith("file://"):
-        target_root = "file://" + target_root[5:]
+    target_root = _file_root(df, root)[2]
 
     def run(batches):
         from pyarrow import fs as pafs

@@ -17,39 +17,102 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casepipe.session import checkpoint
+
 RANGE = 32 << 20
 #: Bytes read at once past a range's end, and most tasks of one read.
 AHEAD = 1 << 16
 TASKS = 20_000
+WAVES = 8
+#: Folders that a task lists, at most about.
+FOLDERS = 20_000
 BATCH = 20_000
 _FEED, _RETURN, _QUOTE = 10, 13, 34
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
+    """``(file, length)`` of the files under ``path`` (which may be a pattern),
+    at any depth or in folders exactly ``depth`` levels below it.  As for Spark's
+    readers, names that start with ``.``, or with ``_`` and hold no ``=``, are none.
+
+    Tasks list the folders, one level after the other; the driver learns how
+    many there are, not their names.
+    """
+    from pyspark.errors import AnalysisException
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(conf).globStatus(pattern)
+    if not found:
+        raise AnalysisException(f"Path does not exist: {path}")
+    top = [(s.getPath().toString(), None if s.isDirectory() else s.getLen()) for s in found if s.isDirectory() or not _hidden(s.getPath().getName())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(_uri(folder))
+                rows = []
+                for x in system.get_file_info(fs.FileSelector(name, recursive=False)):
+                    if not _hidden(x.base_name):
+                        rows.append((f"{folder.rstrip('/')}/{x.base_name}", x.size if x.is_file else None))
+                yield from _rows(iter(rows), ("file", "length"), (pa.string(), pa.int64()))
+
+    schema = "file string, length long"
+    level, files, at = spark.createDataFrame(top, schema), [], 0
+    while True:
+        if depth is None or depth == at:
+            files.append(level.where("length IS NOT NULL"))
+        folders = level.where("length IS NULL").select("file")
+        if depth == at or not (n := folders.count()):
+            break
+        tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, n // FOLDERS)))
+        level = checkpoint(folders.repartition(tasks).mapInArrow(run, schema))
+        at += 1
+    out = files[0]
+    for more in files[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def byte_ranges(spark: SparkSession, path: str, size: int = RANGE) -> tuple[DataFrame, int]:
     """``(file, lo, hi, length)`` of all files under ``path`` at any depth,
     whose contents are not read, dealt to tasks; and the number of tasks: one
-    for each ``size`` bytes, so small files share tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
+    for each ``size`` bytes, so small files share tasks, but of ranges below
+    ``RANGE`` no more than ``WAVES`` a core, as two shuffles of them follow."""
+    files = list_files(spark, path).where("length > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
-    ranges = files.select(F.col("path").alias("file"), "length", starts.alias("lo"))
+    ranges = files.select("file", "length", starts.alias("lo"))
     ranges = ranges.select("file", "lo", F.least(F.col("lo") + size, "length").alias("hi"), "length")
     n, total = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()
-    tasks = max(1, min(n, TASKS, max(2 * spark.sparkContext.defaultParallelism, -(-total // size))))
+    waves = min(n, WAVES * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(n, TASKS, max(2 * spark.sparkContext.defaultParallelism, -(-total // max(size, RANGE)), min(waves, -(-total // size)))))
     return ranges.repartition(tasks, "file", "lo"), tasks
 
 
+def _uri(file: str) -> str:
+    """Hadoop's name of a file, whose characters stand for themselves, as a URI."""
+    scheme, _, rest = file.partition(":")
+    host, _, name = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest[1:])
+    return f"{scheme}://{host}/{quote(name)}"
+
+
 def _open(file: str):
     from pyarrow import fs
 
-    if file.startswith("file:/") and not file.startswith("file://"):
-        file = "file://" + file[5:]
-    system, name = fs.FileSystem.from_uri(file)
+    system, name = fs.FileSystem.from_uri(_uri(file))
     return system.open_input_file(name)
 
 

@@ -5,9 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from casepipe import sinks
 from casepipe.operators import segments
 from casepipe.session import ship
-from casepipe.sources import iob
+from casepipe.sources import akn, iob, ranges
 
 
 @pytest.fixture()
@@ -53,3 +54,36 @@ def test_iob_documents_deals_documents_once(shipped):
     rows = [("f", i, "-DOCSTART- -X-" if i % 5 == 0 else f"w{i}\tO") for i in range(50)]
     docs = iob.iob_documents(shipped.createDataFrame(rows, "file STRING, line_no LONG, line STRING"), materialize=True)
     assert "BroadcastHashJoin" not in plan_of(docs.select("tokens")) and docs.count() == 10
+
+
+def test_cases_are_written_by_tasks_and_read_from_their_folders(shipped, scratch):
+    names = [("1", "a+b"), ("1", "x=y:[z] %41"), ("2", None), ("2", "é")]
+    rows = [(p, c, i, 'q"\n,' * i if i else None) for p, c in names for i in (2, 0, 1)]
+    df = shipped.createDataFrame(rows, "page STRING, `case` STRING, pos INT, t STRING")
+    root = os.path.join(scratch, "w")
+    for mode, times in (("overwrite", 1), ("overwrite", 1), ("append", 2)):
+        sinks.write_grouped_csv(df, root, ["page", "case"], ["pos"], mode)
+        back = shipped.read.options(**sinks.CSV_OPTIONS).option("multiLine", True).schema("pos INT, t STRING, page STRING, `case` STRING").csv(root)
+        assert sorted((r.page, r["case"], r.pos, r.t) for r in back.collect() if r["case"]) == sorted(r for r in rows * times if r[1])
+        of = ranges.read_csv_records(shipped, root, 50).where("at > 0")
+        of = of.select(sinks.folder_value(F.col("file"), "page").alias("p"), sinks.folder_value(F.col("file"), "case").alias("c"), "file", "at", "record")
+        got = of.orderBy("file", "at").collect()
+        assert len(got) == len(rows) * times and {(r.p, r.c) for r in got} == set(names)
+        assert [r.record.startswith(f'"{i % 3}"') for i, r in enumerate(got)] == [True] * len(got)
+    assert not [n for n in os.listdir(root) if n.startswith("_temporary")]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_grouped_csv(df, root, ["page"], ["pos"], "error")
+
+
+def test_files_are_listed_by_tasks(shipped, scratch):
+    for name in ("a/1.xml", "a/2.txt", "b/deep/3.xml", "4.xml", "_no/5.xml", "k=_v/6.xml", "a/.7.xml", "a/_8.xml"):
+        os.makedirs(os.path.dirname(os.path.join(scratch, name)), exist_ok=True)
+        with open(os.path.join(scratch, name), "w") as f:
+            f.write(name)
+    for pattern in (scratch, os.path.join(scratch, "*", "*.xml"), os.path.join(scratch, "4.xml")):
+        spark_own = shipped.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path", "length")
+        got = sorted(map(tuple, ranges.list_files(shipped, pattern).collect()))
+        assert got == sorted(map(tuple, spark_own.collect())) and got
+    scan = akn.scan_sizes(shipped, scratch)
+    assert sorted(os.path.basename(r.path) for r in scan.collect()) == ["1.xml", "6.xml"]
+    assert "binaryFile" not in plan_of(scan)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepipe.functions.text import case_name, page_number
+from casepipe.sources.ranges import list_files
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,6 +40,36 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """The same as ``write_csv``, in one file: tasks make its parts, and one task
+    copies their bytes one after the other into the file."""
+    spark = df.sparkSession
+    job = uuid.uuid4().hex
+    folder, system, target_root = _file_root(df, path)
+    system.delete(folder, True)
+    parts = f"{path.rstrip('/')}/_parts_{job}"
+    df.write.options(**{**CSV_OPTIONS, "header": "false"}).csv(parts)
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n"
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        names = sorted(n for b in batches for n in b.column(0).to_pylist())
+        filesystem, base = pafs.FileSystem.from_uri(target_root)
+        with filesystem.open_output_stream(f"{base.rstrip('/')}/part-{job}.csv") as out:
+            out.write(header.encode())
+            for name in names:
+                with filesystem.open_input_stream(f"{base.rstrip('/')}/_parts_{job}/{name}") as part:
+                    while data := part.read(8 << 20):
+                        out.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    names = list_files(spark, parts).select(F.element_at(F.split("file", "/"), -1).alias("name"))
+    names.repartition(1).mapInArrow(run, "n long").collect()
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(parts), True)
+
+
 def _folder(value: str | None) -> str:
     """The name of a value in a partition folder, as Spark writes it."""
     if not value:

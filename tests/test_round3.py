@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casepipe import sinks
 from casepipe.operators import segments
 from casepipe.session import ship
-from casepipe.sources import akn, iob, ranges
+from casepipe.sources import akn, iob, ranges, tabular
 
 
 @pytest.fixture()
@@ -87,3 +87,15 @@ def test_files_are_listed_by_tasks(shipped, scratch):
     scan = akn.scan_sizes(shipped, scratch)
     assert sorted(os.path.basename(r.path) for r in scan.collect()) == ["1.xml", "6.xml"]
     assert "binaryFile" not in plan_of(scan)
+
+
+def test_one_csv_file_made_by_many_tasks(shipped, scratch):
+    rows = [(i, ["a", "", None, 'q"\n,', "  x "][i % 5]) for i in range(5000)]
+    df = shipped.createDataFrame(rows, "i INT, t STRING").repartition(7)
+    path = os.path.join(scratch, "c")
+    for frame, want in ((df, rows), (df.limit(0), [])):
+        sinks.write_one_csv(frame, path)
+        assert len([n for n in os.listdir(path) if n.endswith(".csv") and n[0] not in "._"]) == 1
+        got = tabular.read_table_csv(shipped, path, "i INT, t STRING", 64)
+        assert sorted(map(tuple, got.collect())) == want
+        assert got.rdd.getNumPartitions() <= ranges.WAVES * shipped.sparkContext.defaultParallelism

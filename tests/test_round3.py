@@ -99,3 +99,44 @@ def test_one_csv_file_made_by_many_tasks(shipped, scratch):
         got = tabular.read_table_csv(shipped, path, "i INT, t STRING", 64)
         assert sorted(map(tuple, got.collect())) == want
         assert got.rdd.getNumPartitions() <= ranges.WAVES * shipped.sparkContext.defaultParallelism
+
+
+def test_token_bayes_counts_distinct_words_once(spark):
+    import math
+
+    from casepipe.functions.tags import TAGS
+    from casepipe.operators import bayes
+
+    tags = ["O", "B-COURT", "B-DATE"]
+    rows = [(d, i, w, tags[(d + i) % 3] if w != "Aab" else "B-DATE", part) for d, part in ((1, "train"), (2, "train"), (3, "test"), (4, "validation"))
+            for i, w in enumerate(["Aab", "xaab", "cd", None, "cd", f"only{d}"])]
+    df = spark.createDataFrame(rows, "doc_id LONG, idx INT, word STRING, true_tag STRING, split STRING")
+    low = lambda w: None if w is None else w.lower()
+    end = lambda w: None if w is None else w[-3:]
+    train = [(low(r[2]), TAGS.index(r[3])) for r in rows if r[4] == "train"]
+    kinds = [len({w for w, _ in train}), len({end(w) for w, _ in train})]
+    want = []
+    for d, i, w, t, part in rows:
+        if part == "test":
+            s = []
+            for k in range(len(TAGS)):
+                n = sum(g == k for _, g in train)
+                own = sum(v is not None and v == low(w) and g == k for v, g in train) + 1
+                of_end = sum(v is not None and end(v) == end(low(w)) and g == k for v, g in train) + 1
+                s.append(math.log(n + 1) + math.log(own / (n + kinds[0])) + math.log(of_end / (n + kinds[1])))
+            want.append((d, i, t, TAGS[s.index(max(s))]))
+    pred = bayes.token_bayes(df)
+    assert sorted(map(tuple, pred.collect())) == sorted(want)
+    # before, a token met the words' and the ends' counts in a join each
+    assert plan_of(pred).count("true_tag") and plan_of(pred).split("Initial Plan")[0].count("Join") == 2
+
+
+def test_multilabel_bayes_deals_out_test_words_only(spark):
+    from casepipe.operators import bayes
+
+    rows = [("f", i, ["a b b", "b c", "a"][i % 3], i % 2, "train" if i < 8 else "test") for i in range(12)]
+    df = spark.createDataFrame(rows, "file_name STRING, pos INT, t STRING, y1 INT, split STRING")
+    pred = bayes.multilabel_bayes(df, "t", ["y1"], ["file_name", "pos"])
+    assert pred.count() == 4
+    deals = [line for line in plan_of(pred).splitlines() if "hashpartitioning(file_name" in line and ", w#" in line]
+    assert len(deals) == 1  # before, the train rows' words too

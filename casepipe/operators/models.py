@@ -10,25 +10,65 @@ regularisation is chosen on validation, and the test part is scored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from casepipe.session import checkpoint
+from casepipe.session import checkpoint, ensure_checkpoint_dir
 
 from casepipe.operators.segments import neighbours
 
 
+#: Up to so many repeated keys are broadcast when their documents are told from the rest.
+BROADCAST_KEYS = 100_000
+
+
+def _features(word: str, prev: Column, nxt: Column) -> list[Column]:
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(word), r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\d", "d")
+    return [prev.alias("prev_word"), nxt.alias("next_word"), shape.alias("shape"), F.substring(F.col(word), -3, 3).alias("suffix")]
+
+
 def token_features(tokens: DataFrame, doc: str = "doc_id", idx: str = "idx", word: str = "word") -> DataFrame:
     """Previous / next word, word shape (``X`` upper, ``x`` lower, ``d``
     digit) and 3-character suffix.  Neighbours come from block windows
     (``segments.neighbours``), so a long document is not one task."""
     t = neighbours(tokens.select(doc, idx, word), doc, idx, [word])
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(word), r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\d", "d")
-    return t.select(
-        doc, idx, word, F.col(f"prev_{word}").alias("prev_word"), F.col(f"next_{word}").alias("next_word"),
-        shape.alias("shape"), F.substring(F.col(word), -3, 3).alias("suffix"),
-    )
+    return t.select(doc, idx, word, *_features(word, F.col(f"prev_{word}"), F.col(f"next_{word}")))
+
+
+def document_features(docs: DataFrame, words: str = "words", further: Mapping[str, Column] | None = None, doc: str = "doc_id") -> DataFrame:
+    """``token_features`` of documents that come as rows with all their words
+    in order, plus the other columns of ``docs`` and ``further`` columns
+    (expressions over ``idx`` and ``word``).
+
+    A token finds its neighbours in its own row, so nothing is shuffled.  The
+    documents of a key that several rows share are taken apart first, as token
+    rows; rows without a key have no features.
+    """
+    further = dict(further or {})
+    more = [c for c in docs.columns if c not in (doc, words)]
+    docs = docs.where(F.col(doc).isNotNull())
+    kept = [*more, *further]
+
+    def tokens(d: DataFrame) -> DataFrame:
+        t = d.select(doc, *more, words, F.posexplode(words).alias("idx", "word"))
+        return t.select("*", *[c.alias(n) for n, c in further.items()])
+
+    def alone(d: DataFrame) -> DataFrame:
+        at = lambda i: F.get(F.col(words), F.col("idx") + i)
+        return tokens(d).select(doc, "idx", "word", *_features("word", at(-1), at(1)), *kept)
+
+    shared = checkpoint(docs.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(doc))
+    n = shared.count()
+    if n == 0:
+        return alone(docs)
+    shared = F.broadcast(shared) if n <= BROADCAST_KEYS else shared
+    t = tokens(docs.join(shared, doc, "left_semi"))
+    rest = token_features(t, doc)
+    if kept:
+        rest = rest.join(t.select(doc, "idx", *kept), [doc, "idx"])
+    return alone(docs.join(shared, doc, "left_anti")).unionByName(rest)
 
 
 def fit_multilabel(

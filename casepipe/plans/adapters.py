@@ -293,6 +293,13 @@ def _word_table(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     return w.select("doc_id", *more, F.col("idx").cast("int").alias("idx"), "word", b.alias("bucket"), tag.alias("tag"))
 
 
+def ner_words(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """The words of ``ner_pred`` as one row per document, ``(doc_id, words)``,
+    and the further columns of ``docs``."""
+    d = text_table(spark, sf_dir, "documents", "doc_id", "text") if docs is None else docs
+    return d.withColumn("words", words_of("text")).drop("text")
+
+
 def iob_lines(spark: SparkSession, sf_dir: str, with_doc: bool = False) -> DataFrame:
     """An IOB file as ``(file, line_no, line)``: per document a
     ``-DOCSTART- -X- O O`` line, one ``word TAB tag`` line per word (a bare

@@ -341,15 +341,23 @@ def ner_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     with its word's tags: what is scored when all pieces carry labels."""
     d = text_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", words_of("text").alias("w"))
 
-    def piece(w, i):
-        true_tag = true_tag_of(w, i)
-        tags = F.array(*[F.lit(t) for t in TAGS])
-        b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w), 1, 1)) - 1
-        flip = F.substring(F.md5(F.concat(w, F.lit("#"))), 1, 1).isin("0", "1", "2")
-        pred = F.when(flip, F.get(tags, (b + 3) % 11)).otherwise(true_tag)
-        return F.array_repeat(F.struct(true_tag.alias("t"), pred.alias("p")), F.ceil(F.length(w) / 4).cast("int"))
-
-    p = d.select("doc_id", F.posexplode(F.flatten(F.transform("w", piece))).alias("idx", "x"))
+    tags = F.array(*[F.lit(t) for t in TAGS])
+
+    # a word's digests are made once, then its tags, then its pieces
+    def digits(w):
+        return F.struct(
+            (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w), 1, 1)) - 1).alias("b"),
+            F.substring(F.md5(F.concat(w, F.lit("#"))), 1, 1).isin("0", "1", "2").alias("flip"),
+            F.ceil(F.length(w) / 4).cast("int").alias("n"),
+        )
+
+    def tagged(x, i):
+        true_tag = F.when((i % 13 == 12) | (x["b"] >= len(TAGS)), F.lit("O")).otherwise(F.get(tags, x["b"]))
+        return F.struct(true_tag.alias("t"), F.when(x["flip"], F.get(tags, (x["b"] + 3) % 11)).otherwise(true_tag).alias("p"), x["n"].alias("n"))
+
+    words = F.transform(F.transform("w", digits), tagged)
+    pieces = F.flatten(F.transform(words, lambda x: F.array_repeat(F.struct(x["t"].alias("t"), x["p"].alias("p")), x["n"])))
+    p = d.select("doc_id", F.posexplode(pieces).alias("idx", "x"))
     return p.select("doc_id", "idx", F.col("x.t").alias("true_tag"), F.col("x.p").alias("pred_tag"))
 
 

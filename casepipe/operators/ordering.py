@@ -47,10 +47,11 @@ def dedup_all(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def add_paragraph_number(df: DataFrame, key: str = "file_name", order: str = "pos", out: str = "paragraph_number") -> DataFrame:
+def add_paragraph_number(df: DataFrame, key: str = "file_name", order: str = "pos", out: str = "paragraph_number", ordinal: str | None = None) -> DataFrame:
     """``'The paragraph number is ' || i`` with ``i`` the 1-based ordinal of
-    the row in its file.  The ordinal is a skew-safe two-level prefix sum."""
-    numbered = running_count(df, key, order, F.lit(1), "_i")
+    the row in its file.  The ordinal is a skew-safe two-level prefix sum, or the
+    column ``ordinal`` of rows that their reader has numbered."""
+    numbered = running_count(df, key, order, F.lit(1), "_i") if ordinal is None else df.withColumn("_i", F.col(ordinal))
     return numbered.withColumn(out, F.concat(F.lit(PARAGRAPH_NUMBER_PREFIX), F.col("_i").cast("string"))).drop("_i")
 
 

@@ -100,11 +100,12 @@ def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: S
 
     Spark's file commit costs a few file operations per file on one machine, the
     driver.  Here the tasks write their files one after the other, line by
-    line, into a hidden folder, whose top folders the driver then moves: all or
-    nothing shows, and a retried task writes its files anew.
+    line, into a hidden folder beside ``root``, which the driver then renames as
+    a whole: all or nothing shows, and a retried task writes its files anew.
+    Only what is appended to a ``root`` that exists is moved folder by folder.
     """
     folders = list(folders)
-    path, system, target_root = _file_root(df, root)
+    path, system, _ = _file_root(df, root)
     if system.exists(path):
         if mode == "ignore":
             return
@@ -113,6 +114,10 @@ def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: S
         if mode == "overwrite":
             system.delete(path, True)
     job = uuid.uuid4().hex
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    added = system.exists(path)
+    temporary = hadoop(path if added else system.makeQualified(path).getParent(), f"_temporary_{job}")
+    target_root = _file_root(df, temporary.toString())[2]
     cells = [c for c in df.columns if c not in folders]
     header = ",".join('"' + c.replace('"', '""') + '"' for c in cells) + "\n"
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
@@ -123,7 +128,7 @@ def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: S
         import pyarrow as pa
         from pyarrow import fs as pafs
 
-        filesystem, base = pafs.FileSystem.from_uri(f"{target_root.rstrip('/')}/_temporary_{job}")
+        filesystem, base = pafs.FileSystem.from_uri(target_root)
         last, out, n = None, None, 0
         try:
             for b in batches:
@@ -143,10 +148,6 @@ def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: S
                 out.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    written = lines.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    system.mkdirs(path)
-
     def move(source, target) -> None:
         for s in system.listStatus(source):
             to = hadoop(target, s.getPath().getName())
@@ -155,11 +156,19 @@ def write_grouped_csv(df: DataFrame, root: str, folders: Sequence[str], order: S
             elif not system.rename(s.getPath(), to):
                 raise OSError(f"could not move {s.getPath()} to {to}")
 
-    if written:
-        temporary = hadoop(path, f"_temporary_{job}")
-        move(temporary, path)
+    system.mkdirs(temporary)
+    try:
+        lines.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        if added:
+            move(temporary, path)
+        else:
+            system.create(hadoop(temporary, "_SUCCESS"), True).close()
+            if not system.rename(temporary, path):
+                raise OSError(f"could not move {temporary} to {path}")
+    finally:
         system.delete(temporary, True)
-    system.create(hadoop(path, "_SUCCESS"), True).close()
+    if added:
+        system.create(hadoop(path, "_SUCCESS"), True).close()
 
 
 def export_cases(df: DataFrame, root: str, mode: str = "overwrite") -> None:

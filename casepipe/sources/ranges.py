@@ -203,35 +203,68 @@ def read_line_offsets(spark: SparkSession, path: str, size: int = RANGE) -> Data
     return byte_ranges(spark, path, size)[0].mapInArrow(run, "file string, at long, line string")
 
 
+def _starting(raw: np.ndarray, after: int, lead: int, state: int, header: bool) -> int:
+    """How many records that are not blank start in a range (its bytes without
+    the ``lead`` ones before it), if it starts with the quote ``state``; a
+    ``header`` (the record at offset 0) is none."""
+    inside = np.concatenate([np.full(lead, bool(state)), _inside(raw[lead:], state)])
+    ends = _ends(raw, after, inside)
+    starts = ends + 1
+    starts = starts[(starts >= lead) & (starts < len(raw))]
+    if lead == 0 and not header:
+        starts = np.append(0, starts)
+    stops = np.append(ends, len(raw))[np.searchsorted(ends, starts)]
+    one, two = stops == starts, (raw[starts] == _RETURN) & (stops == starts + 1)
+    feeds = np.append(raw, np.uint8(max(after, 0)))[np.minimum(starts + 1, len(raw))] == _FEED
+    return int(len(starts) - np.count_nonzero(one | two & feeds))
+
+
 def _with_states(ranges: DataFrame) -> DataFrame:
-    """Ranges with ``state``: 1 if they start inside quotes."""
+    """Ranges with ``state``: 1 if they start inside quotes; and ``before``: how
+    many records after the header, blank ones left out, start in the ranges
+    before them.  Files of one range are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odd = []
+            told = []
             for file, lo, hi, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if hi == length:  # no range comes after it
-                    odd.append(0)
+                    told.append((0, 0, 0))
                     continue
                 with _open(file) as f:
-                    f.seek(lo)
-                    odd.append(f.read(hi - lo).count(b'"') & 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(odd, pa.int32())], names=["file", "lo", "hi", "odd"])
+                    base = max(lo - 1, 0)
+                    f.seek(base)
+                    data = f.read(hi - base + 1)
+                raw = np.frombuffer(data, np.uint8)
+                own, after = raw[: hi - base], int(raw[hi - base])
+                odd = int(np.count_nonzero(own[lo - base :] == _QUOTE) & 1)
+                told.append((odd, *(_starting(own, after, lo - base, state, lo == 0) for state in (0, 1))))
+            columns = [pa.array(c, pa.int64()) for c in zip(*told, strict=True)] if told else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["file", "lo", "hi", "odd", "n0", "n1"])
 
     before = Window.partitionBy("file").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    told = ranges.mapInArrow(run, "file string, lo long, hi long, odd int")
-    return told.select("file", "lo", "hi", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("state"))
+    told = ranges.mapInArrow(run, "file string, lo long, hi long, odd long, n0 long, n1 long")
+    told = told.withColumn("state", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int"))
+    n = F.when(F.col("state") == 0, F.col("n0")).otherwise(F.col("n1"))
+    return told.select("file", "lo", "hi", "state", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("before"))
 
 
 def _csv_pieces(spark: SparkSession, path: str, size: int, schema: str, of_file: Callable, names: Sequence[str], kinds: Sequence[pa.DataType]) -> DataFrame:
-    """Rows that ``of_file(file, open file)`` makes of each record ``(offset, bytes)`` of its file."""
+    """Rows that ``of_file(file, open file)`` makes of each record ``(ordinal,
+    offset, bytes)`` of its file; the records after the header are numbered from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, lo, hi, state in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                with _open(file) as f:
-                    make = of_file(file, f)
-                    yield from _rows((make(at, r) for at, r in _pieces(f, lo, hi, state) if r), names, kinds)
+        def made() -> Iterator[tuple]:
+            for b in batches:
+                for file, lo, hi, state, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    with _open(file) as f:
+                        make = of_file(file, f)
+                        for at, r in _pieces(f, lo, hi, state):
+                            if r:
+                                n += at > 0
+                                yield make(n, at, r)
+
+        yield from _rows(made(), names, kinds)  # the records of many small files share a batch
 
     ranges, tasks = byte_ranges(spark, path, size)
     return _with_states(ranges).repartition(tasks, "file", "lo").mapInArrow(run, schema)
@@ -243,13 +276,13 @@ def read_csv_records(spark: SparkSession, path: str, size: int = RANGE) -> DataF
     lines are none."""
 
     def of_file(file: str, f):
-        return lambda at, r: (file, at, r.decode(errors="replace"))
+        return lambda n, at, r: (file, at, r.decode(errors="replace"))
 
     return _csv_pieces(spark, path, size, "file string, at long, record string", of_file, ("file", "at", "record"), (pa.string(), pa.int64(), pa.string()))
 
 
 def read_csv_by_name(spark: SparkSession, path: str, columns: Sequence[str], renamed: Mapping[str, str], null: str, size: int = RANGE) -> DataFrame:
-    """``(file, at, <columns...>)`` as texts: the columns found by name in each
+    """``(file, at, ordinal, <columns...>)`` as texts: the columns found by name in each
     file's own header, whatever their order; those that a file lacks are NULL.
     Every task reads the header of the file at hand, so no layout is assumed."""
     columns, renamed = list(columns), dict(renamed)
@@ -268,12 +301,12 @@ def read_csv_by_name(spark: SparkSession, path: str, columns: Sequence[str], ren
                 place[meant] = head.index(other)
         at_of = [place.get(name, -1) for name in columns]
 
-        def make(at: int, record: bytes) -> tuple:
+        def make(n: int, at: int, record: bytes) -> tuple:
             row = cells(record)
-            return (file, at, *(row[i] if 0 <= i < len(row) else None for i in at_of))
+            return (file, at, n, *(row[i] if 0 <= i < len(row) else None for i in at_of))
 
         return make
 
-    names = ["file", "at", *columns]
-    schema = ", ".join(["file string", "at long", *(f"`{c}` string" for c in columns)])
-    return _csv_pieces(spark, path, size, schema, of_file, names, [pa.string(), pa.int64(), *[pa.string()] * len(columns)]).where("at > 0")
+    names = ["file", "at", "ordinal", *columns]
+    schema = ", ".join(["file string", "at long", "ordinal long", *(f"`{c}` string" for c in columns)])
+    return _csv_pieces(spark, path, size, schema, of_file, names, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * len(columns)]).where("at > 0")

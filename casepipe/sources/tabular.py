@@ -42,5 +42,5 @@ def read_annotations(spark: SparkSession, root: str, schema: str, size: int = RA
     """
     want = spark.createDataFrame([], schema).schema
     texts = read_csv_by_name(spark, root, [f.name for f in want], RENAMED, CSV_NULL, size)
-    out = texts.select(F.col("file").alias("_source"), F.col("at").alias("_at"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
-    return add_paragraph_number(out, "_source", "_at").drop("_source", "_at")
+    out = texts.select(F.col("file").alias("_source"), F.col("at").alias("_at"), F.col("ordinal").alias("_ordinal"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+    return add_paragraph_number(out, "_source", "_at", ordinal="_ordinal").drop("_source", "_at", "_ordinal")

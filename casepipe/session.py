@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +82,25 @@ def checkpoint(df):
     from the session first, so it works in any session)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Session setting of Spark 4.1: an execution's shuffle files go when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: for results that are stored,
+    so that no later step reads the shuffles again."""
+    was = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if was is None else spark.conf.set(DROP_SHUFFLES, was)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

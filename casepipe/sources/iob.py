@@ -1,24 +1,25 @@
 """IOB (CoNLL-style) token files.
 
 Lines are read in byte ranges and named by their byte offset, so a file of any
-size is read by many tasks; documents are then cut by a skew-safe running count
-of ``-DOCSTART-`` lines.
+size is read by many tasks; documents are then cut at ``-DOCSTART-`` lines
+inside blocks of lines, and the blocks' edges are stitched together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from casepipe.session import checkpoint
+from casepipe.session import checkpoint, shuffles_dropped
 
 from casepipe.functions.tags import tag_id
 from casepipe.functions.text import strip_ws
-from casepipe.operators.segments import running_count
+from casepipe.operators.segments import BLOCK_ROWS, earlier_max
 from casepipe.sources.ranges import RANGE, read_line_offsets
 
 # --- fixed values: must equal the reference's for identical results -------
@@ -46,69 +47,212 @@ def dense_ids(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     return ranged.join(sizes, "_part").withColumn(out, F.col("_before") + inside).drop("_m", "_part", "_before")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(file, block, doc, at, token, tag)``, sorted by file and ``at``, as one
-    row ``(file, doc, first at, tokens, tags)`` for each run of a document in a block."""
+#: Tag of a ``-DOCSTART-`` line in packed lines.
+START = -1
+
+
+def _blob(numbers: list[np.ndarray], text: str) -> bytes:
+    """Arrays of one length (or none) and a text, compressed."""
+    raw = b"".join([(len(numbers[0]) if numbers else 0).to_bytes(4, "little"), *(x.tobytes() for x in numbers), text.encode("utf-8", "surrogatepass")])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _from_blob(blob: bytes, *kinds: type) -> tuple:
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += out[-1].nbytes
+    return *out, raw[at:].decode("utf-8", "surrogatepass")
+
+
+def _words(texts: list[str]) -> pa.Array:
+    """The words of texts that tabs part."""
+    return pc.split_pattern(pa.array(["\t".join(texts)], pa.large_string()), "\t").values.cast(pa.string())
+
+
+def _joined(words: pa.Array, ends: np.ndarray) -> list[str]:
+    """The words between ``ends`` as texts, parted by tabs."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), "\t").to_pylist()
+
+
+def _packed(block: int) -> Callable:
+    """Rows ``(file, at, token, tag)`` as one row ``(file, block, blob)`` for the lines
+    of a block of a file in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file, at, token, tag = b.columns
+            at = at.to_numpy(zero_copy_only=False)
+            code = pc.dictionary_encode(file).indices.to_numpy(zero_copy_only=False)
+            if (np.diff(code) < 0).any() or ((np.diff(code) == 0) & (np.diff(at) < 0)).any():
+                by = np.lexsort((at, code))
+                file, token, tag = (c.take(pa.array(by)) for c in (file, token, tag))
+                at, code = at[by], code[by]
+            blk = at // block
+            first = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(blk) != 0)))
+            ends = np.append(first, len(at))
+            offset, tag = (at - blk * block).astype(np.int32), tag.to_numpy(zero_copy_only=False).astype(np.int8)
+            step = np.diff(offset, prepend=np.int32(0))
+            step[first] = offset[first]
+            blobs = [_blob([step[i:j], tag[i:j]], t) for i, j, t in zip(ends, ends[1:], _joined(token, ends), strict=False)]
+            yield pa.RecordBatch.from_arrays([file.take(pa.array(first)), pa.array(blk[first], pa.int64()), pa.array(blobs, pa.binary())], names=[b.schema.names[0], "_blk", "_x"])
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(file, block, blobs)`` as one row ``(file, block, starts, k, tokens, blob)``
+    for each run of tokens between the block's starts: ``k`` starts of the block stand
+    before it.  A block without tokens is one row without a blob."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        if pc.count_distinct(b.column(3)).as_py() < b.num_rows:  # tokens on one line number: in order of their own
-            runs = [(c, "ascending") for c in t.column_names]
-            t = t.sort_by([*runs[:2], runs[3], runs[2], *runs[4:]])
-        file, block, doc, at, token, tag = (c.combine_chunks() for c in t.columns)
-        new = np.ones(len(at), bool)
-        changed = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (file, block, doc)]
-        new[1:] = np.logical_or.reduce(changed)
-        first = np.flatnonzero(new)
-        ends = pa.array(np.append(first, len(at)), pa.int32())
-        columns = [*(c.take(pa.array(first)) for c in (file, doc, at)), pa.ListArray.from_arrays(ends, token), pa.ListArray.from_arrays(ends, tag)]
-        yield pa.RecordBatch.from_arrays(columns, names=[t.column_names[0], "_doc", "_at", "_t", "_g"])
-
-
-def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no", materialize: bool = False) -> DataFrame:
+        rows = []
+        for file, blk, blobs in zip(*b.columns, strict=True):
+            steps, tags, texts = zip(*(_from_blob(x.as_py(), np.int32, np.int8) for x in blobs), strict=True)
+            at, tag, words = np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(tags), _words(texts)
+            if (np.diff(at) <= 0).any():  # lines on one number: starts first, tokens in order of their own
+                t = pa.table([pa.array(at), pa.array(tag != START), words, pa.array(tag)], names=["at", "token", "word", "tag"])
+                by = pc.sort_indices(t, [(c, "ascending") for c in t.column_names])
+                words, tag = words.take(by), tag[by.to_numpy()]
+            token = tag != START
+            k, starts = np.cumsum(~token)[token], int(np.count_nonzero(~token))
+            words, tag = words.filter(pa.array(token)), tag[token]
+            if not len(tag):
+                rows.append((file.as_py(), blk.as_py(), starts, 0, 0, None))
+                continue
+            first = np.flatnonzero(np.append(True, np.diff(k) != 0))
+            ends = np.append(first, len(k))
+            for i, j, t in zip(ends, ends[1:], _joined(words, ends), strict=False):
+                rows.append((file.as_py(), blk.as_py(), starts, int(k[i]), int(j - i), _blob([tag[i:j]], t)))
+        if rows:
+            kinds = [b.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[b.schema.names[0], "_blk", "_starts", "_k", "_n", "_x"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(part, line_no, line)`` as one row ``(part, first, last line_no, blob)`` for each
+    run of lines of a batch that follow each other."""
+    for b in batches:
+        part, at, line = b.columns
+        at = at.to_numpy(zero_copy_only=False)
+        new = np.append(True, (np.diff(at) != 1) | pc.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False))
+        first = np.flatnonzero(new[: len(at)])
+        ends = np.append(first, len(at))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), line), "\n").to_pylist()
+        blobs = [_blob([], t) for t in texts]
+        yield pa.RecordBatch.from_arrays([part.take(pa.array(first)), pa.array(at[first]), pa.array(at[ends[1:] - 1]), pa.array(blobs, pa.binary())], names=["part", "_first", "_last", "_x"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs, sorted by part and first line, as ``(part, text)`` of one or more lines in order.
+    Runs that overlap are taken apart and sorted by line."""
+
+    def made() -> Iterator[tuple[str, str]]:
+        group, part, last = [], None, None
+
+        def text() -> str:
+            read = [(lo, _from_blob(x)[0]) for lo, x in group]
+            if len(read) == 1:
+                return read[0][1]
+            lines = sorted(((lo + i, t) for lo, x in read for i, t in enumerate(x.split("\n"))), key=lambda x: x[0])
+            return "\n".join(t for _, t in lines)
+
+        for b in batches:
+            for p, lo, hi, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and (p != part or lo > last):
+                    yield part, text()
+                    group, last = [], None
+                group.append((lo, x))
+                part, last = p, hi if last is None else max(last, hi)
+        if group:
+            yield part, text()
+
+    rows = made()
+    while held := list(itertools.islice(rows, 500)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=["part", "line"])
+
+
+def write_lines(lines: DataFrame, root: str) -> None:
+    """``(part, line_no, line)`` as text files, one under ``part=<part>`` for each part, its
+    lines in order.  Lines travel in compressed runs; a line holds no line end."""
+    s = lines.select("part", F.col("line_no").cast("long").alias("line_no"), "line")
+    runs = s.mapInArrow(_runs, "part string, _first long, _last long, _x binary")
+    texts = runs.repartition("part").sortWithinPartitions("part", "_first").mapInArrow(_texts, "part string, line string")
+    with shuffles_dropped(lines.sparkSession):
+        texts.write.partitionBy("part").text(root)
+
+
+#: Bytes of compressed tokens that become rows at once, about.
+_UNPACKED = 4 << 20
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(id, file, blobs in order)`` as ``(id, tokens, ner_tags, file)``."""
+    for b in batches:
+        name, (ids, files, blobs) = b.schema.names[1], b.columns
+        sizes = np.cumsum([sum(len(x) for x in row) for row in blobs.to_pylist()])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // _UNPACKED)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            parts = [[_from_blob(x, np.int8) for x in row] for row in blobs[i:j].to_pylist()]
+            ends = pa.array(np.append(0, np.cumsum([sum(len(p[0]) for p in row) for row in parts])), pa.int32())
+            words = _words([p[1] for row in parts for p in row])
+            tags = pa.array(np.concatenate([p[0] for row in parts for p in row]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids[i:j], pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, tags), files[i:j]], names=["id", "tokens", "ner_tags", name])
+
+
+def iob_documents(lines: DataFrame, file_col: str = "file", order: str = "line_no", materialize: bool = False, block: int = BLOCK_ROWS) -> DataFrame:
     """Trainer reader: documents ``(id, tokens, ner_tags)``.
 
     Each line is stripped; a line starting ``-DOCSTART- -X-`` ends the current
     document; blank lines are not boundaries; other lines split on TAB, token
     = first field, tag = last field, unknown tag -> 0.  Empty documents take
-    no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` is any number
-    that increases along a file: the line's number, or its byte offset.  The lines, as
-    ``running_count`` leaves them, become arrays of each document's
-    neighbouring tokens before they are dealt out by document.  With ``materialize`` these rows
-    are checkpointed once (eager, shared checkpoint folder) because the id
-    numbering reads them three times.
+    no id; ids are ``'0', '1', ...`` in file order.  ``line_no`` is any whole number
+    that increases along a file: the line's number, or its byte offset.
+
+    Lines travel as compressed runs, not as rows.  They meet by ``block`` numbers of
+    their file, where each run of tokens between two starts becomes one row; a run
+    that opens a block belongs to the last start of an earlier block, which a
+    table of one row per block tells.  With ``materialize`` the runs are
+    checkpointed once (eager, shared checkpoint folder), because the id
+    numbering reads them too, and the shuffles that led to them are dropped.
     """
-    s = lines.select(file_col, order, strip_ws(F.col("line")).alias("_l")).where(F.col("_l") != "")
-    is_start = F.col("_l").startswith(DOCSTART_TRAINER)
-    s = running_count(s, file_col, order, is_start.cast("int"), "_doc", keep_block=True)
-    tok = s.where(~is_start).select(
-        file_col,
-        "_doc",
-        "_blk",
-        order,
-        F.substring_index("_l", "\t", 1).alias("_token"),
-        tag_id(F.substring_index("_l", "\t", -1)).alias("_tag"),
-    )
-    kind = dict(tok.dtypes)
-    pieces = tok.sortWithinPartitions("_blk", file_col, order).select(file_col, "_blk", "_doc", order, "_token", "_tag")
-    pieces = pieces.mapInArrow(_packed, f"`{file_col}` {kind[file_col]}, _doc int, _at {kind[order]}, _t array<string>, _g array<int>")
+    spark = lines.sparkSession
+    s = lines.select(file_col, F.col(order).cast("long").alias("_at"), strip_ws(F.col("line")).alias("_l"))
+    s = s.where((F.col("_l") != "") & F.col(file_col).isNotNull() & F.col("_at").isNotNull())
+    start = F.col("_l").startswith(DOCSTART_TRAINER)
+    token = F.when(start, F.lit("")).otherwise(F.substring_index("_l", "\t", 1))
+    tag = F.when(start, F.lit(START)).otherwise(tag_id(F.substring_index("_l", "\t", -1)))
+    kind = dict(s.dtypes)[file_col]
+    packed = s.select(file_col, "_at", token.alias("_token"), tag.cast("int").alias("_tag"))
+    packed = packed.mapInArrow(_packed(block), f"`{file_col}` {kind}, _blk long, _x binary")
+    pieces = packed.groupBy(file_col, "_blk").agg(F.collect_list("_x").alias("_x"))
+    pieces = pieces.mapInArrow(_cut, f"`{file_col}` {kind}, _blk long, _starts long, _k long, _n long, _x binary")
     if materialize:
-        pieces = checkpoint(pieces)
+        with shuffles_dropped(spark):
+            pieces = checkpoint(pieces.select("*"))  # the setting counts where a frame is made
+    # a document is named by its start: the block, and the starts in it up to this one
+    named = lambda k: F.col("_blk") * F.lit(1 << 31) + F.col(k)
+    blocks = pieces.groupBy(file_col, "_blk").agg(F.max("_starts").alias("_starts"))
+    blocks = earlier_max(blocks.withColumn("_doc", F.when(F.col("_starts") > 0, named("_starts"))), file_col, "_blk", ["_doc"])
+    opened = blocks.select(file_col, "_blk", F.coalesce("before__doc", F.lit(-(1 << 63))).alias("_doc"))
+    some = pieces.where("_n > 0")
+
+    def with_names(cols: list[str]) -> DataFrame:
+        inner = some.where("_k > 0").select(file_col, named("_k").alias("_doc"), *cols)
+        return inner.unionByName(some.where("_k = 0").select(file_col, "_blk", *cols[1:]).join(opened.hint("shuffle_hash"), [file_col, "_blk"]).select(file_col, "_doc", *cols))
+
     # dense ids in (file, document) order, from the slim table of names
-    ids = dense_ids(pieces.select(file_col, "_doc").distinct(), [file_col, "_doc"], "_id")
+    ids = dense_ids(with_names(["_blk"]).select(file_col, "_doc").distinct(), [file_col, "_doc"], "_id")
     # merged on what the grouping below needs, so the pieces are dealt out once
-    named = pieces.hint("merge").join(ids, [file_col, "_doc"])
-    docs = named.groupBy(file_col, "_doc").agg(
-        F.first("_id").alias("_id"),
-        F.array_sort(F.collect_list(F.struct(F.col("_at").alias("a"), F.col("_t").alias("t"), F.col("_g").alias("g")))).alias("_x"),
-    )
-    return docs.select(
-        F.col("_id").cast("string").alias("id"),
-        F.flatten(F.transform("_x", lambda x: x["t"])).alias("tokens"),
-        F.flatten(F.transform("_x", lambda x: x["g"])).alias("ner_tags"),
-        file_col,
+    docs = with_names(["_blk", "_x"]).hint("merge").join(ids, [file_col, "_doc"]).groupBy(file_col, "_doc").agg(
+        F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("_blk", "_x"))).alias("_x")
     )
+    docs = docs.select(F.col("_id").cast("string").alias("id"), file_col, F.transform("_x", lambda x: x["_x"]).alias("_x"))
+    return docs.mapInArrow(_unpacked, f"id string, tokens array<string>, ner_tags array<int>, `{file_col}` {kind}")
 
 
 def iob_tokens(lines: DataFrame, file_col: str = "file", order: str = "line_no") -> DataFrame:

@@ -112,8 +112,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, blk, blobs in zip(*b.columns, strict=True):
             steps, tags, texts = zip(*(_from_blob(x.as_py(), np.int32, np.int8) for x in blobs), strict=True)
             at, tag, words = np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(tags), _words(texts)
-            if (np.diff(at) <= 0).any():  # lines on one number: starts first, tokens in order of their own
-                t = pa.table([pa.array(at), pa.array(tag != START), words, pa.array(tag)], names=["at", "token", "word", "tag"])
+            if (np.diff(at) <= 0).any():  # lines on one number: tokens in order of their own, then starts
+                t = pa.table([pa.array(at), pa.array(tag == START), words, pa.array(tag)], names=["at", "start", "word", "tag"])
                 by = pc.sort_indices(t, [(c, "ascending") for c in t.column_names])
                 words, tag = words.take(by), tag[by.to_numpy()]
             token = tag != START
@@ -176,8 +176,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_lines(lines: DataFrame, root: str) -> None:
     """``(part, line_no, line)`` as text files, one under ``part=<part>`` for each part, its
-    lines in order.  Lines travel in compressed runs; a line holds no line end."""
-    s = lines.select("part", F.col("line_no").cast("long").alias("line_no"), "line")
+    lines in order, those without a number first.  Lines travel in compressed runs; a
+    line holds no line end."""
+    at = F.coalesce(F.col("line_no").cast("long"), F.lit(-(1 << 63)))
+    s = lines.select(F.coalesce("part", F.lit("")).alias("part"), at.alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
     runs = s.mapInArrow(_runs, "part string, _first long, _last long, _x binary")
     texts = runs.repartition("part").sortWithinPartitions("part", "_first").mapInArrow(_texts, "part string, line string")
     with shuffles_dropped(lines.sparkSession):

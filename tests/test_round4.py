@@ -162,6 +162,19 @@ def test_lines_written_in_runs_are_in_order(spark, tmp_path):
             assert sorted(now) == sorted(place[at])
 
 
+def test_lines_without_part_number_or_text_are_written(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", None, "first"), ("a", 2, None), (None, 1, "none")]
+    iob.write_lines(spark.createDataFrame(rows, "part string, line_no long, line string").repartition(1), str(tmp_path / "out"))
+    assert {f.parent.name: f.read_text() for f in (tmp_path / "out").glob("part=*/part-*.txt")} == {"part=a": "first\nx\n\n", "part=__HIVE_DEFAULT_PARTITION__": "none\n"}
+
+
+def test_a_token_on_the_number_of_a_start_stands_before_it(spark):
+    rows = [("a", 1, "x\tO"), ("a", 2, "-DOCSTART- -X- O O"), ("a", 2, "y\tO"), ("a", 3, "z\tO")]
+    for order in (rows, rows[::-1]):
+        got = iob.iob_documents(spark.createDataFrame(order, "file string, line_no long, line string").coalesce(1)).collect()
+        assert sorted((r["id"], r["tokens"]) for r in got) == [("0", ["x", "y"]), ("1", ["z"])]
+
+
 def test_the_round_trip_drops_its_files(spark, monkeypatch):
     made, real = [], catalog._scratch
     monkeypatch.setattr(catalog, "_scratch", lambda *a: made.append(real(*a)) or made[-1])
